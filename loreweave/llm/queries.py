@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, secrets, sharding
+from . import bpe, chat, packing, quality, secrets, sharding, simhash
 from .oracles import ORACLES
 
 #: The conversation that holds the template's own control strings.
@@ -48,6 +48,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(k) for k, c in secrets.counts().items()), F.sha2(secrets.listed(secrets.base_spans()), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_quality_rules": op9_quality_rules,
 }
