@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, secrets, sharding, simhash
+from . import bpe, chat, media, packing, quality, secrets, sharding, simhash
 from .oracles import ORACLES
 
 #: The conversation that holds the template's own control strings.
@@ -62,6 +62,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(media.read_media(media.store_texts(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_quality_rules": op9_quality_rules,
+    "op10_webp_media": op10_webp_media,
 }
 
 
