@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the operators' contracts define it.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share.
 
-    The folder is the one of spark.checkpoint.dir; only a session without one
-    (a test) gets a temporary folder.
+    It is the one of spark.checkpoint.dir; only a session without one (a test)
+    gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import MARKERS, RULES, SENTENCES, normal_sentence
 from .quality import STOP_WORDS
 
 _CODES = r"replace(replace(replace(replace({0}, '\', '\e'), '###', '\h'), '</turn>', '\t'), '<same/>', '\s')"
@@ -100,9 +101,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND n_stop_words >= 0.06 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_bullet_lines <= 0.9 * n_lines AND n_ellipsis_lines <= 0.3 * n_lines AS kept
 FROM judged"""
 
+_NORMAL = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+_CUT = r"regexp_replace({0}, '([.:!?])[\x20\x09-\x0D]+|\n[\x20\x09]*\n{1}', '\1' || chr(1), 'g')"
+
+
+def _reading(name: str, more: str) -> str:
+    return f"""
+    SELECT doc_id, coalesce(string_agg(coalesce('<' || id || '>', '<?>'), '' ORDER BY i), '') AS raw, count(id) AS n FROM (
+        SELECT doc_id, i, {_NORMAL.format('s')} AS norm FROM (SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split({_CUT.format('t', more)}, chr(1)) AS p FROM docs))
+    ) LEFT JOIN known USING (norm) WHERE norm <> '' GROUP BY doc_id"""
+
+
+def _licences() -> str:
+    known = ", ".join(f"('{normal_sentence(v)}', '{k}')" for k, v in SENTENCES.items())
+    marked = " OR ".join(f"contains(lower(text), '{m}')" for m in MARKERS)
+    steps, last = [], "read"
+    for k, r in enumerate(RULES):
+        steps.append(f"r{k} AS (SELECT doc_id, identifiers, regexp_replace(rest, '{r.pattern}', '<?>', 'g') AS rest, CASE WHEN regexp_matches(rest, '{r.pattern}') AND NOT list_contains(found, '{r.licence}') THEN list_append(found, '{r.licence}') ELSE found END AS found FROM {last})")
+        last = f"r{k}"
+    count = "len(regexp_extract_all({0}, '<[^?>]'))"
+    return rf"""
+WITH known(norm, id) AS (VALUES {known}),
+docs AS (SELECT doc_id, CASE WHEN {marked} THEN text ELSE '' END AS t FROM documents),
+flow AS ({_reading('flow', '')}), lines AS ({_reading('lines', '|' + chr(92) + 'n')}),
+read AS (
+    SELECT d.doc_id, CASE WHEN best IN ('', '<?>') THEN '' ELSE best END AS identifiers, CASE WHEN best IN ('', '<?>') THEN '' ELSE best END AS rest, CAST([] AS VARCHAR[]) AS found
+    FROM documents d LEFT JOIN (SELECT doc_id, regexp_replace(CASE WHEN l.n > f.n THEN l.raw ELSE f.raw END, '(<\?>)+', '<?>', 'g') AS b FROM flow f JOIN lines l USING (doc_id)) x USING (doc_id), LATERAL (SELECT coalesce(b, '') AS best)
+),
+{', '.join(steps)}
+SELECT doc_id, identifiers, array_to_string(found, ',') AS licences, {count.format('identifiers')} AS n_known, {count.format('rest')} AS n_left FROM {last}"""
+
+
+REVISITS = r"""
+WITH cut AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS r FROM pages),
+parts AS (
+    SELECT *, regexp_replace(lower(regexp_extract(r, '^([^/?]*)', 1)), '^www\.|:(?:80|443)$', '', 'g') || regexp_replace(regexp_extract(r, '^[^/?]*([^?]*)', 1), '/+$', '') AS page,
+        regexp_replace(regexp_replace(regexp_extract(r, '\?(.*)$', 1), '(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&+', '') AS q
+    FROM cut
+),
+named AS (SELECT page_id, md5(html) AS tag, sha1(html) AS sha, octet_length(encode(html)) AS n, page || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM parts),
+joined AS (
+    SELECT 2 * v.page_id + 1 AS record_id, v.canonical, v.tag AS mine, f.*
+    FROM named v ASOF LEFT JOIN (SELECT page_id AS page, canonical AS c, tag, sha, n FROM named) f ON v.canonical = f.c AND v.page_id + 6000 > f.page
+)
+SELECT record_id, canonical, CASE WHEN page IS NULL THEN 'no response' WHEN mine <> tag THEN 'validators differ' ELSE 'resolved' END AS verdict,
+    CASE WHEN mine = tag THEN 2 * page END AS response_id, CASE WHEN mine = tag THEN sha END AS payload_digest,
+    CASE WHEN mine = tag THEN 'cache-control: max-age=600; content-length: ' || n || '; content-type: text/html; etag: W/' || mine END AS headers
+FROM joined"""
+
 ORACLES = {
     "op1_chat_format": CHAT.strip(),
     "op2_rendezvous_shards": SHARDS.strip(),
+    "op4_license_scan": _licences().strip(),
     "op5_secret_scan": SECRETS.strip(),
+    "op8_warc_revisits": REVISITS.strip(),
     "op9_quality_rules": QUALITY.strip(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, packing, quality, secrets, sharding, simhash
+from . import bpe, chat, licenses, media, packing, quality, secrets, sharding, simhash, warc
 from .oracles import ORACLES
 
 #: The conversation that holds the template's own control strings.
@@ -43,6 +43,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, CAPACITY).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licences(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "identifiers", F.array_join("licences", ",").alias("licences"), "n_known", "n_left")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(c.alias(k) for k, c in secrets.counts().items()), F.sha2(secrets.listed(secrets.base_spans()), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
@@ -57,6 +62,38 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+#: Seconds from a page's capture to its revisit.
+REVISIT_AFTER = 6000
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Two records for each page: its response at second page_id, and later a not-modified revisit with the same entity tag."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    at = lambda s: F.timestamp_seconds(F.unix_timestamp(start) + s)
+    tag = F.md5("html")
+    response = F.struct(
+        (2 * F.col("page_id")).alias("record_id"),
+        F.lit("response").alias("kind"),
+        at(F.col("page_id")).alias("date"),
+        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.octet_length("html").cast("string")).alias("headers"),
+        F.sha1("html").alias("payload_digest"),
+    )
+    revisit = F.struct(
+        (2 * F.col("page_id") + 1).alias("record_id"),
+        F.lit("revisit").alias("kind"),
+        at(F.col("page_id") + REVISIT_AFTER).alias("date"),
+        F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0")).alias("headers"),
+        F.lit(None).cast("string").alias("payload_digest"),
+    )
+    return pages.select("url", F.inline(F.array(response, revisit)))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
+    return rows.select("record_id", "canonical", "verdict", "response_id", "payload_digest", headers.alias("headers"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -70,9 +107,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_quality_rules": op9_quality_rules,
     "op10_webp_media": op10_webp_media,
 }
