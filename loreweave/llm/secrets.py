@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fixed, text_of
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,8 @@ def find_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, ledger:
     found = scan_unseen(versions, rules, ledger).select("blob", "spans").filter(F.size("spans") > 0)
     if known is not None:
         found = found.unionByName(known.select("blob", "spans")).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return versions.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    # Written first, the findings are a plain side of the join, whose hot blobs Spark can split.
+    return versions.join(fixed(found), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
 def listed(spans: Column) -> Column:
