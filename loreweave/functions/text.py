@@ -79,10 +79,27 @@ def one_line(text: Column, n: int) -> Column:
     return F.regexp_replace(F.substring(text, 1, n), r"\n", " ")
 
 
-def citation(title: Column, authors: Column, year: Column, venue: Column, url: Column, kind: Column) -> Column:
-    """A reference as one line; web sites end with their address."""
-    parts = F.concat_ws(". ", F.nullif(F.array_join(authors, ", "), F.lit("")), title, F.nullif(venue, F.lit("")), year.cast("string"))
-    return F.when(kind == "website", F.concat_ws(". ", title, url)).otherwise(F.concat(parts, F.lit(".")))
+def citation(title: Column, authors: Column, year: Column, venue: Column, url: Column, kind: Column, doi: Column) -> Column:
+    """A reference as one line; web sites end with their address, others with DOI or address."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    by = F.coalesce(F.nullif(F.array_join(authors, ", "), F.lit("")), F.lit("Anonymous"))
+    when = text(F.concat(F.lit("("), year.cast("string"), F.lit(")")))
+    site = F.concat(by, F.lit(". "), when, F.lit(" "), text(title), F.lit(". "), text(url))
+    has_doi = text(doi) != ""
+    tail = F.when(has_doi, F.concat(F.lit(" DOI: "), doi)).when(text(url) != "", F.concat(F.lit(" "), url)).otherwise("")
+    other = F.concat(by, F.when(when != "", F.concat(F.lit(" "), when)).otherwise(""), F.lit(". "), text(title), F.lit(". "), text(venue), F.lit("."), tail)
+    return strip(F.when(kind == "website", site).otherwise(other))
+
+
+# Headings of the sections that models append to an answer.
+TAILS = ("引用来源", "引用列表", "参考资料", "置信度评估", "置信度", "回答总结", "总结")
+
+
+def strip_tails(text: Column) -> Column:
+    """Without the sections behind such a heading on a line of its own, and without a closing rule."""
+    for t in TAILS:
+        text = F.regexp_replace(text, rf"\n\s*(?:\*\*|##+)?\s*{t}\s*[:：]\s*\n[\s\S]*$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"\n-+\s*$", ""), r"\s+$", "")
 
 
 def tag_name(tag: Column) -> Column:
@@ -111,15 +128,16 @@ def json_object(text: Column) -> Column:
     return F.when(F.try_parse_json(found).isNotNull(), found)
 
 
-# Placeholders that models leave in answers.
-PLACEHOLDERS = (r"\[(?:文档|来源|doc|source)\s*\d+\]", r"【\d+】", r"\{\{[^}]*\}\}", r"<placeholder[^>]*>", r"\[citation needed\]")
+# Placeholders that models leave in answers, and what stands for them.
+PLACEHOLDERS = (r"\[object\s+\w+\]", "<undefined>", "<null>", "<empty>", r"\{\{[\w.\-]+\}\}", r"\$\{[\w.\-]+\}", r"(?<![\w<])undefined(?![\w>])", r"(?<![\w<])null(?![\w>])", r"\bNaN\b")
+ODD, USELESS = "（内容异常）", "（模型输出异常，请换个问法重试）"
 
 
 def sanitise(text: Column) -> Column:
     for p in PLACEHOLDERS:
-        text = F.regexp_replace(text, f"(?i){p}", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
-    return F.when(strip(text) == "", F.lit("暂无内容")).otherwise(strip(text))
+        text = F.regexp_replace(text, p, ODD)
+    text = F.regexp_replace(text, f"({ODD}){{2,}}", ODD)
+    return F.when(strip(text).isin(ODD, ""), USELESS).otherwise(text)
 
 
 def collection_name(dim: Column) -> Column:

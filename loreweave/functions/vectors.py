@@ -27,11 +27,15 @@ def hash_tokens(text: Column) -> Column:
     """Distinct characters (c:), neighbouring characters (b:) and words (w:) of a text in lower case."""
     text = F.lower(text)
     n = F.length(text)
-    characters = F.filter(F.split(text, ""), lambda c: F.trim(c) != "")
-    pairs = F.when(n > 1, F.filter(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(text, i, F.lit(2))), lambda b: F.trim(b) != "")).otherwise(F.array().cast("array<string>"))
+    seen = lambda x: x.rlike(r"\S")
+    pieces = lambda last, width: F.when(last > 0, F.filter(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(width))), seen)).otherwise(F.array().cast("array<string>"))
+    characters, pairs = pieces(n, 1), pieces(n - 1, 2)
     words = F.regexp_extract_all(text, F.lit(r"([a-z0-9]+)"), F.lit(1))
-    tagged = [F.transform(a, lambda x, t=t: F.concat(F.lit(t), x)) for t, a in (("c:", characters), ("b:", pairs), ("w:", words))]
-    return F.array_distinct(F.concat(*tagged))
+
+    def tagged(tag: str, found: Column) -> Column:
+        return F.transform(found, lambda x: F.concat(F.lit(tag), x))
+
+    return F.array_distinct(F.concat(tagged("c:", characters), tagged("b:", pairs), tagged("w:", words)))
 
 
 def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = 512) -> DataFrame:

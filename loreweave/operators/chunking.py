@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loreweave.functions.text import strip, token_estimate
 
 NONE = "array<string>"
-SENTENCE = "[^。！？.!?]*[。！？.!?]"
+END = "[。！？.!?]"
 # Fixed values of the chunkers.
 HEADING = r"^(?:#{1,6}\s+.+|【.+?】|第[一二三四五六七八九十\d]+[章节].*)$"
 TRANSITIONS = ("但是", "然而", "另一方面", "此外", "同时", "另外", "其次", "首先", "最后")
@@ -59,6 +59,11 @@ def general(text: Column, size: int = 500, overlap: int = 50) -> Column:
     return sliding(text, 3 * size, 3 * (size - overlap))
 
 
+def terminated(text: Column) -> Column:
+    """Sentences with their end marks; a rest without one is dropped."""
+    return F.filter(F.split(text, f"(?<={END})", -1), lambda s: s.rlike(f"{END}$"))
+
+
 def _fold(units: Column, step: Callable[[Column, Column], Column], more: dict[str, Column] | None = None) -> Column:
     """Chunks of a fold over units; step gives the state's new fields (open, done and more)."""
     start = F.struct(F.lit("").alias("open"), F.array().cast(NONE).alias("done"), *(v.alias(k) for k, v in (more or {}).items()))
@@ -78,7 +83,7 @@ def recursive(text: Column, size: int = 500) -> Column:
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
     unit = lambda t, force: F.struct(t.alias("text"), force.alias("force"))
     nothing = F.array(unit(F.lit(""), F.lit(True)))
-    sentences = lambda p: F.concat(nothing, F.transform(F.regexp_extract_all(p, F.lit(SENTENCE), F.lit(0)), lambda s: unit(s, F.lit(False))))
+    sentences = lambda p: F.concat(nothing, F.transform(terminated(p), lambda s: unit(s, F.lit(False))))
     units = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > size, sentences(p)).otherwise(F.array(unit(F.concat(p, F.lit("\n\n")), F.lit(False))))))
     bare = lambda u: F.length(F.regexp_replace(u["text"], "\n\n$", ""))
     return _fold(units, lambda s, u: _pack(s, ~u["force"] & (F.length(s["open"]) + bare(u) < size), F.concat(s["open"], u["text"]), u["text"]))
@@ -101,7 +106,7 @@ def structure(text: Column, size: int = 500) -> Column:
 
 def semantic(text: Column, size: int = 500) -> Column:
     """Terminated sentences packed below size, and cut before a transition once a chunk is over half full."""
-    sentences = F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), strip), lambda x: x != "")
+    sentences = F.filter(F.transform(terminated(text), strip), lambda x: x != "")
 
     def step(s: Column, u: Column) -> Column:
         turn = (F.length(s["open"]) > 0.5 * size) & F.substring(u, 1, 10).rlike("|".join(TRANSITIONS))
