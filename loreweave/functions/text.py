@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 MARKERS = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body and the lambdas in it refer to it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import bind
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -25,17 +27,20 @@ def cosine_safe(a: Column, b: Column) -> Column:
 
 def hash_tokens(text: Column) -> Column:
     """Distinct characters (c:), neighbouring characters (b:) and words (w:) of a text in lower case."""
-    text = F.lower(text)
-    n = F.length(text)
-    seen = lambda x: x.rlike(r"\S")
-    pieces = lambda last, width: F.when(last > 0, F.filter(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(width))), seen)).otherwise(F.array().cast("array<string>"))
-    characters, pairs = pieces(n, 1), pieces(n - 1, 2)
-    words = F.regexp_extract_all(text, F.lit(r"([a-z0-9]+)"), F.lit(1))
 
     def tagged(tag: str, found: Column) -> Column:
         return F.transform(found, lambda x: F.concat(F.lit(tag), x))
 
-    return F.array_distinct(F.concat(tagged("c:", characters), tagged("b:", pairs), tagged("w:", words)))
+    blank = lambda c: c.isin(*" \t\n\x0b\x0c\r")
+
+    def tokens(characters: Column) -> Column:
+        n = F.size(characters)
+        pair = lambda i: F.when(~(blank(F.get(characters, i)) & blank(F.get(characters, i + 1))), F.concat(F.lit("b:"), F.get(characters, i), F.get(characters, i + 1)))
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), pair)).otherwise(F.array().cast("array<string>"))
+        return F.array_compact(F.concat(tagged("c:", F.filter(characters, lambda c: ~blank(c))), pairs))
+
+    lower = F.lower(text)
+    return F.array_distinct(F.concat(bind(F.regexp_extract_all(lower, F.lit("(?s)(.)"), F.lit(1)), tokens), tagged("w:", F.regexp_extract_all(lower, F.lit("([a-z0-9]+)"), F.lit(1)))))
 
 
 def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = 512) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreweave.functions.text import bind
+
 # Fixed values.
 TOKEN = r"([一-鿿]{2,}|[A-Za-z][A-Za-z0-9]{2,})"
 STOP_WORDS = (
@@ -29,8 +31,7 @@ def keywords(title: Column, content: Column, n: int = 8) -> Column:
     """The first n distinct words, whatever their case, of the title and the content's first 800 characters."""
     found = F.regexp_extract_all(F.concat_ws(" ", title, F.substring(content, 1, 800)), F.lit(TOKEN), F.lit(1))
     kept = F.filter(found, lambda t: ~F.lower(t).isin(list(STOP_WORDS)))
-    lower = F.transform(kept, F.lower)
-    first = F.filter(kept, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+    first = bind(kept, lambda k: bind(F.transform(k, lambda t: F.lower(t)), lambda lower: F.filter(k, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)))
     return F.slice(first, 1, n)
 
 
