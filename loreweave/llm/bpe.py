@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Pre-tokens that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Longer ones are encoded, but not remembered.
 LONGEST_REMEMBERED = 40
 #: Texts whose new pre-tokens are merged together.
@@ -164,8 +164,10 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for batch in batches:
-            ids = [x.astype(np.int32) for x in e.encode(batch["text"].tolist())]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [e.decode(x.tolist()) for x in ids]})
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                part = batch.iloc[at : at + TEXTS_AT_ONCE]
+                ids = [x.view(np.int32) for x in e.encode(part["text"].tolist())]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": ids, "decoded": [e.decode(x.tolist()) for x in ids]})
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, f"doc_id {key}, ids array<int>, decoded string")
