@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import by_batches, text_of
 
 #: Pre-tokens that a worker remembers.
 REMEMBERED = 300_000
@@ -169,8 +169,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
                 ids = [x.view(np.int32) for x in e.encode(part["text"].tolist())]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": ids, "decoded": [e.decode(x.tolist()) for x in ids]})
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, f"doc_id {key}, ids array<int>, decoded string")
+    return by_batches(docs.select("doc_id", text_of().alias("text")), run, "ids array<int>, decoded string")
 
 
 def bpe_digest(encoded: DataFrame) -> DataFrame:

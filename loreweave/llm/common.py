@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def by_batches(docs: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], columns: str) -> DataFrame:
+    """mapInPandas over docs; columns are those of run besides doc_id.
+
+    doc_id travels as a string, since pandas would turn integers with nulls to floats.
+    """
+    kind = docs.schema["doc_id"].dataType
+    text_keys = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return text_keys.mapInPandas(run, f"doc_id string, {columns}").withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def words_of(text: Column) -> Column:
     """Words between white space; an empty array for a text without any."""
     return F.filter(F.split(text, SPACES), lambda w: w != "")

@@ -21,7 +21,9 @@ from .common import text_of
 SENTENCES = {
     "apache-short": "Licensed under the Apache License, Version 2.0.",
     "apache-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-    "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-copy": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-copy-url": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "apache-as-is": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "apache-see": "See the License for the specific language governing permissions and limitations under the License.",
     "mit-short": "Released under the MIT License.",
@@ -51,7 +53,7 @@ CC_TERMS = ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 SENTENCES |= {f"cc-{t}-{v}".lower(): f"Licensed under CC {t} {v}." for t in CC_TERMS for v in CC_VERSIONS}
 #: Every known sentence holds one of these; a text without any has no licence sentence.
-MARKERS = ("licen", "permi", "warrant", "redistribut", "copyright", "public domain", "liable")
+MARKERS = ("licen", "permi", "warrant", "redistribut", "copyright", "public domain", "liable", "apache.org")
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,7 @@ def _ids(*names: str) -> str:
 
 # Full notices come before their parts and short forms.
 RULES = (
-    LicenceRule("Apache-2.0", _ids("apache-notice") + f"(?:<\\?>)?(?:{_ids('apache-copy')})?(?:<\\?>)?(?:{_ids('apache-as-is')})?(?:{_ids('apache-see')})?"),
+    LicenceRule("Apache-2.0", _ids("apache-notice") + f"(?:<\\?>)?(?:{_ids('apache-copy', 'apache-url')}|{_ids('apache-copy-url')})?(?:<\\?>)?(?:{_ids('apache-as-is')})?(?:{_ids('apache-see')})?"),
     LicenceRule("MIT", f"(?:{_ids('mit-title')})?(?:<\\?>)?" + _ids("mit-grant", "mit-notice", "mit-as-is") + f"(?:{_ids('mit-liability')})?"),
     LicenceRule("BSD-3-Clause", _ids("bsd-grant") + r"(?:<\?>)?" + _ids("bsd-source") + r"(?:<\?>)?" + _ids("bsd-binary") + r"(?:<\?>)?" + _ids("bsd-names")),
     LicenceRule("BSD-2-Clause", _ids("bsd-grant") + r"(?:<\?>)?" + _ids("bsd-source") + r"(?:<\?>)?" + _ids("bsd-binary")),
@@ -92,8 +94,8 @@ def normal_sentence(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).strip(" ")
 
 
-#: Sentences end behind a full stop, colon, question or exclamation mark before white space, and at blank lines.
-ENDS = r"(?<=[.:!?])[\x20\x09-\x0D]+|\n[\x20\x09]*\n"
+#: Sentences end behind a full stop, colon, question or exclamation mark before white space, and at lines that are blank or hold comment marks alone.
+ENDS = r"(?<=[.:!?])[\x20\x09-\x0D]+|\n[\x20\x09#*/;-]*\n"
 
 
 def _normal(sentence: Column) -> Column:

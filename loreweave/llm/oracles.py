@@ -102,7 +102,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 _NORMAL = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
-_CUT = r"regexp_replace({0}, '([.:!?])[\x20\x09-\x0D]+|\n[\x20\x09]*\n{1}', '\1' || chr(1), 'g')"
+_CUT = r"regexp_replace({0}, '([.:!?])[\x20\x09-\x0D]+|\n[\x20\x09#*/;-]*\n{1}', '\1' || chr(1), 'g')"
 
 
 def _reading(name: str, more: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import fixed, gapless_rank, text_of
+from .common import by_batches, fixed, gapless_rank, text_of
 
 #: Ends every document.
 END_ID = 1
@@ -160,7 +160,6 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 4096, with_ids: bo
     A document is its ids and END_ID; only longer ones than capacity are cut.
     Null and empty texts are END_ID alone.
     """
-    key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([END_ID], "<u4")
@@ -171,10 +170,9 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 4096, with_ids: bo
                 for piece, start in enumerate(range(0, ids.size, capacity)):
                     part = ids[start : start + capacity]
                     rows.append((doc_id, piece, start, part.size, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-            yield frame.astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return by_batches(docs.select("doc_id", text_of().alias("text")), run, "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:

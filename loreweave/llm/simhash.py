@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fixed, text_of
+from .common import by_batches, fixed, text_of
 from .components import components
 
 BITS = 64
@@ -56,14 +56,13 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long). Null and empty texts: 0."""
-    key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, width, seed) for t in batch["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp})
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, f"doc_id {key}, fp long")
+    return by_batches(docs.select("doc_id", text_of().alias("text")), run, "fp long")
 
 
 class Part(NamedTuple):
