@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from loreweave.functions.vectors import hash_embedding
 
@@ -60,7 +61,7 @@ def final_answer(answer: Column, n_citations: Column, faq: Column) -> Column:
     return F.when(lost & (n_citations == 0) & ~faq, F.lit(f"知识库中{NOT_FOUND[0]}相关内容")).otherwise(answer)
 
 
-@F.pandas_udf("struct<added:int,removed:int,diff:string>")
+@F.pandas_udf(StructType([StructField("added", IntegerType()), StructField("removed", IntegerType()), StructField("diff", StringType())]))
 def text_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """A unified diff of two texts by lines, and how many lines it adds and removes."""
     rows = []
