@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ SYNONYMS = {
     "大模型": ("LLM", "llm", "大语言模型"),
     "知识图谱": ("图谱", "知识网络", "KG", "knowledge graph"),
 }
-#: Queries that a batch may have; it is broadcast.
+#: Queries that are broadcast at a time.
 MOST_QUERIES = 10_000
 
 
@@ -53,8 +54,19 @@ def matches(categories: list[str] | None = None, kb_id: str | None = None) -> Co
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank. queries: query_id, query (a vector); vectors: vec_id, embedding."""
-    pairs = vectors.join(F.broadcast(queries.limit(MOST_QUERIES)))
+    """query_id, vec_id, score, rank. queries: query_id, query (a vector); vectors: vec_id, embedding.
+
+    The queries are broadcast; a batch of more than MOST_QUERIES goes block by block.
+    """
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    if blocks > 1:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        return reduce(DataFrame.unionByName, (_top_k(queries.filter(block == b), vectors, k) for b in range(blocks)))
+    return _top_k(queries, vectors, k)
+
+
+def _top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    pairs = vectors.crossJoin(F.broadcast(queries))
     scored = pairs.select("query_id", "vec_id", F.greatest(F.lit(0.0), F.round(cosine(F.col("query"), F.col("embedding")), 6)).alias("score"))
     return ranked(scored, ["query_id"], "score", "vec_id", k)
 
