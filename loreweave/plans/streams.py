@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.operators import chunking as C
+from loreweave.sources.checkpoints import shared_folder
 from loreweave.sources.tables import table
 from loreweave.streaming import jobs as J
 
@@ -16,10 +17,7 @@ from .registry import query
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
