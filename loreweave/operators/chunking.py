@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import strip, token_estimate
+from loreweave.functions.text import bind, strip, token_estimate
 
 NONE = "array<string>"
 END = "[。！？.!?]"
@@ -22,6 +22,12 @@ ALIASES = {
     "auto": "recursive", "naive": "fixed", "general": "recursive", "intelligent": "structure", "parent_child": "recursive",
     "book": "structure", "paper": "structure", "resume": "structure", "qa": "recursive", "table": "fixed",
 }
+# Separators, from the coarsest to single characters, of the two chunkers that go down level by level.
+BY_TOKENS = ("\n\n", "\n", ". ", "；", "。", " ", "")
+BY_CHARACTERS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
+SECTION = r"^(#{1,6}\s+.+|第[一二三四五六七八九十\d]+[章节部分].+|[一二三四五六七八九十\d]+[、\.]\s*.+)$"
+PAIR = r"(?is)(?:Q|问|Question)[:：\s]+(.+?)(?:A|答|Answer)[:：\s]+(.+?)(?=(?:Q|问|Question)[:：]|$)"
+ITEM = r"(?s)(\d+[、\.]\s*.+?)(?=\d+[、\.]|$)"
 PAPER_SECTIONS = ("abstract", "introduction", "related work", "method", "experiment", "result", "discussion", "conclusion", "references")
 
 
@@ -145,13 +151,19 @@ def markdown_tables(text: Column) -> Column:
 
 
 def questions(text: Column) -> Column:
-    """Question and answer pairs; else lines of key: value; else numbered items; else the whole text."""
-    text_in_pairs = F.regexp_extract_all(text, F.lit(r"(?is)((?:Q|问)[:：]\s*.+?\s*(?:A|答)[:：]\s*.+?)(?=\s*(?:Q|问)[:：]|$)"), F.lit(1))
-    pairs = F.transform(text_in_pairs, lambda p: F.regexp_replace(strip(p), r"\s*(A|答)[:：]", "\n$1:"))
-    values = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x.rlike(r"^[^:：;；]{1,50}[:：;；].+"))
-    items = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(\d+[.、)].+)$"), F.lit(1)), strip)
-    whole = F.array(strip(text))
-    return F.when(F.size(pairs) > 0, pairs).when(F.size(values) > 0, values).when(F.size(items) > 0, items).when(strip(text) != "", whole).otherwise(F.array().cast(NONE))
+    """Question and answer pairs; else key: value between line ends and semicolons; else numbered items; else the whole text."""
+    asked, answered = (F.regexp_extract_all(text, F.lit(PAIR), F.lit(g)) for g in (1, 2))
+    pairs = F.transform(F.arrays_zip(asked.alias("q"), answered.alias("a")), lambda p: F.concat(F.lit("Q: "), strip(p["q"]), F.lit("\nA: "), strip(p["a"])))
+
+    def value(part: Column) -> Column:
+        name = F.substring_index(part, ":", 1)
+        rest = strip(F.substr(part, F.length(name) + 2))
+        return F.when(part.contains(":") & (strip(name) != "") & (rest != ""), F.concat(strip(name), F.lit(": "), rest))
+
+    values = F.array_compact(F.transform(F.split(text, "[\n;]"), value))
+    items = F.transform(F.regexp_extract_all(text, F.lit(ITEM), F.lit(1)), strip)
+    found = F.transform(F.array(F.struct(pairs.alias("p"), values.alias("v"), items.alias("i"))), lambda x: F.when(F.size(x["p"]) > 0, x["p"]).when(F.size(x["v"]) > 0, x["v"]).when(F.size(x["i"]) > 0, x["i"]).otherwise(F.filter(F.array(text), lambda t: strip(t) != "")))
+    return F.get(found, 0)
 
 
 def is_title(line: Column) -> Column:
@@ -182,10 +194,181 @@ def with_overlap(chunks: DataFrame, key: str, n: int, joiner: str = "") -> DataF
     return chunks.withColumn("text", F.when(before.isNull(), F.col("text")).otherwise(F.concat(tail, F.lit(joiner), F.col("text"))))
 
 
-def parent_child(docs: DataFrame, key: str, text: str, parent: int = 4608, child: int = 1536, overlap: int = 192) -> DataFrame:
-    """key, parent_index, chunk_index, text: children cut from parents; sizes in characters, three to a token."""
-    parents = docs.select(key, F.posexplode(fixed(F.col(text), parent, 0)).alias("parent_index", "_p"))
-    return parents.select(key, "parent_index", F.posexplode(fixed(F.col("_p"), child, overlap)).alias("chunk_index", "text"))
+def punctuated(text: Column, size: int = 500, overlap: int = 100) -> Column:
+    """Windows of size, cut behind the last end mark or line end in their second half; the next one starts overlap characters before the end."""
+    _check(size, 2 * overlap)
+    least, half, length = size // 2 + 2 - overlap, size * 0.5, F.length(text)
+
+    def step(s: Column, _: Column) -> Column:
+        def placed(window: Column) -> Column:
+            cut = F.length(F.regexp_extract(window, r"(?s)^(.*(?:[。？！\n]|\.(?= )))", 1))
+            n = F.when((s["at"] + size < length) & (cut - 1 > half), cut).otherwise(F.lit(size))
+            return bind(n, lambda k: F.struct((s["at"] + k - overlap).alias("at"), _flush(s["done"], F.substr(window, F.lit(1), k)).alias("done")))
+
+        return F.when(s["at"] < length, bind(F.substr(text, s["at"] + 1, F.lit(size)), placed)).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(length / F.lit(least)).cast("int")), start, step, lambda s: s["done"])
+
+
+def _split_at(text: Column, separator: str, width: int) -> Column:
+    """text between separators, or windows of width if the separator is empty."""
+    if separator:
+        return F.split(text, f"\\Q{separator}\\E", -1)
+    return _windows(text, F.ceil(F.length(text) / F.lit(width)).cast("int"), width, width)
+
+
+_UNITS = "array<struct<text:string,long:boolean>>"
+
+
+def _unit(text: Column, long: Column) -> Column:
+    return F.struct(text.alias("text"), long.alias("long"))
+
+
+def _gathered(text: Column, separator: str, size: int) -> Column:
+    """Units of a long text: parts gathered up to size tokens, and parts that are longer on their own."""
+    parts = F.transform(_split_at(text, separator, 3 * size), lambda p: F.struct(p.alias("text"), token_estimate(p).alias("n")))
+    start = F.struct(F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"), F.array().cast(_UNITS).alias("done"))
+    closed = lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], _unit(s["open"], F.lit(False))))
+
+    def step(s: Column, p: Column) -> Column:
+        long, more = p["n"] > size, s["n"] + p["n"]
+        alone = F.when(strip(p["text"]) == "", closed(s)).otherwise(F.array_append(closed(s), _unit(p["text"], F.lit(True))))
+        full = more > size
+        return F.struct(
+            F.when(long, F.lit(None)).when(full | s["open"].isNull(), p["text"]).otherwise(F.concat(s["open"], F.lit(separator), p["text"])).alias("open"),
+            F.when(long, 0).when(full, p["n"]).otherwise(more).alias("n"),
+            F.when(long, alone).when(full, closed(s)).otherwise(s["done"]).alias("done"),
+        )
+
+    return F.aggregate(parts, start, step, closed)
+
+
+def token_bounded(text: Column, size: int = 512, overlap: int = 64) -> Column:
+    """Chunks of about size tokens, each behind the end of the one before it, three characters to a token of overlap.
+
+    Level by level of BY_TOKENS, what is still too long is split at the next
+    separator and gathered again; what a level has gathered stays.
+    """
+    units = F.filter(F.array(_unit(text, token_estimate(text) > size)), lambda u: strip(u["text"]) != "")
+
+    def at(separator: str) -> Callable[[Column], Column]:
+        return lambda u: F.when(u["long"], _gathered(u["text"], separator, size)).otherwise(F.array(u))
+
+    for separator in BY_TOKENS:
+        units = F.flatten(F.transform(units, at(separator)))
+    if not overlap:
+        return F.filter(F.transform(units, lambda u: strip(u["text"])), lambda c: c != "")
+
+    def behind(plain: Column) -> Column:
+        before = lambda i: F.right(F.get(plain, i - 1)["text"], F.lit(3 * overlap))
+        return F.transform(plain, lambda u, i: strip(F.when(i > 0, F.concat(before(i), F.lit(" "), u["text"])).otherwise(u["text"])))
+
+    return F.filter(bind(units, behind), lambda c: c != "")
+
+
+_PLACED = "array<struct<text:string,long:boolean,path:array<int>>>"
+
+
+def _packed(text: Column, path: Column, separator: str, size: int) -> Column:
+    """Units of a long text: parts with their separators packed up to size, and parts that are longer on their own."""
+    unit = lambda t, long: F.struct(t.alias("text"), F.lit(long).alias("long"), path.alias("path"))
+    closed = lambda s: F.when(strip(s["open"]) == "", s["done"]).otherwise(F.array_append(s["done"], unit(strip(s["open"]), False)))
+    if not separator:
+        windows = F.filter(F.transform(_split_at(text, "", size), strip), lambda w: w != "")
+        return F.transform(windows, lambda w: unit(w, False))
+
+    def step(s: Column, part: Column) -> Column:
+        def taken(p: Column) -> Column:
+            fits, long = F.length(s["open"]) + F.length(p) <= size, F.length(p) > size
+            return F.struct(
+                F.when(fits, F.concat(s["open"], p)).when(long, F.lit("")).otherwise(p).alias("open"),
+                F.when(fits, s["done"]).when(long, F.array_append(closed(s), unit(p, True))).otherwise(closed(s)).alias("done"),
+            )
+
+        return bind(F.when(s["open"] == "", part).otherwise(F.concat(part, F.lit(separator))), taken)
+
+    start = F.struct(F.lit("").alias("open"), F.array().cast(_PLACED).alias("done"))
+    return F.aggregate(_split_at(text, separator, size), start, step, closed)
+
+
+def by_separators(text: Column, size: int = 500, overlap: int = 50) -> Column:
+    """Chunks of up to size characters, packed level by level of BY_CHARACTERS.
+
+    What is still too long goes down a level; path lists the texts that a chunk
+    was cut from. Deepest first, the chunks of each such text get the end of the
+    one before. A run without any separator is cut into windows, none of it lost.
+    """
+    first = F.struct(text.alias("text"), (F.length(text) > size).alias("long"), F.array().cast("array<int>").alias("path"))
+    units = F.filter(F.array(first), lambda u: strip(u["text"]) != "")
+    units = F.transform(units, lambda u: F.struct(F.when(u["long"], u["text"]).otherwise(strip(u["text"])).alias("text"), u["long"].alias("long"), u["path"].alias("path")))
+
+    def at(separator: str) -> Callable[[Column, Column], Column]:
+        return lambda u, i: F.when(u["long"], _packed(u["text"], F.array_append(u["path"], i), separator, size)).otherwise(F.array(u))
+
+    for separator in BY_CHARACTERS:
+        units = F.flatten(F.transform(units, at(separator)))
+
+    def joined(level: int) -> Callable[[Column], Column]:
+        def one(chunks: Column, u: Column, i: Column) -> Column:
+            before = F.get(chunks, i - 1)
+            same = (i > 0) & (F.get(u["path"], level) == F.get(before["path"], level))
+            return F.struct(F.when(same, F.concat(F.right(before["text"], F.lit(overlap)), u["text"])).otherwise(u["text"]).alias("text"), u["path"].alias("path"))
+
+        return lambda chunks: F.transform(chunks, lambda u, i: one(chunks, u, i))
+
+    for level in reversed(range(len(BY_CHARACTERS) if overlap else 0)):
+        units = bind(units, joined(level))
+    return F.transform(units, lambda u: u["text"])
+
+
+def parent_child(docs: DataFrame, key: str, text: str, parent: int = 1536, child: int = 512, overlap: int = 64) -> DataFrame:
+    """key, chunk_index, parent_index, text: children, numbered through, cut from parents without overlap; sizes in tokens."""
+    parents = docs.select(key, token_bounded(F.col(text), parent, 0).alias("_p"))
+    children = F.flatten(F.transform("_p", lambda p, i: F.transform(token_bounded(p, child, overlap), lambda c: F.struct(i.alias("parent_index"), c.alias("text")))))
+    return parents.select(key, F.posexplode(children).alias("chunk_index", "_c")).select(key, "chunk_index", "_c.parent_index", "_c.text")
+
+
+_SECTIONS = "array<struct<title:string,text:string>>"
+
+
+def headed_sections(text: Column) -> Column:
+    """array<struct<title, text>>: lines from a heading to the next one, each with its line end; blank sections dropped."""
+    start = F.struct(F.lit(None).cast("string").alias("title"), F.lit("").alias("text"), F.array().cast(_SECTIONS).alias("done"))
+    closed = lambda s: F.when(strip(s["text"]) == "", s["done"]).otherwise(F.array_append(s["done"], F.struct(s["title"].alias("title"), s["text"].alias("text"))))
+
+    def step(s: Column, line: Column) -> Column:
+        head, ended = strip(line).rlike(SECTION), F.concat(line, F.lit("\n"))
+        return F.struct(
+            F.when(head, strip(line)).otherwise(s["title"]).alias("title"),
+            F.when(head, ended).otherwise(F.concat(s["text"], ended)).alias("text"),
+            F.when(head, closed(s)).otherwise(s["done"]).alias("done"),
+        )
+
+    return F.aggregate(F.split(text, "\n", -1), start, step, closed)
+
+
+def merged_sections(sections: Column, least: int = 50) -> Column:
+    """Sections below least tokens take in the ones that follow; a merged one has the first title that it meets."""
+    start = F.array().cast(_SECTIONS)
+
+    def step(done: Column, s: Column) -> Column:
+        def added(last: Column) -> Column:
+            both = F.struct(F.coalesce(last["title"], s["title"]).alias("title"), F.concat(last["text"], F.lit("\n\n"), s["text"]).alias("text"))
+            grown = F.array_append(F.slice(done, 1, F.size(done) - 1), both)
+            return F.when(token_estimate(last["text"]) < least, grown).otherwise(F.array_append(done, s))
+
+        return F.when(F.size(done) == 0, F.array(s)).otherwise(bind(F.get(done, F.size(done) - 1), added))
+
+    return F.aggregate(sections, start, step)
+
+
+def intelligent(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64, least: int = 50) -> DataFrame:
+    """key, chunk_index, section_title, text: merged sections, the long ones cut to size tokens. Blank texts have none."""
+    found = docs.select(key, merged_sections(headed_sections(F.col(text)), least).alias("_s"))
+    cut = lambda s: F.when(token_estimate(s["text"]) > size, token_bounded(s["text"], size, overlap)).otherwise(F.array(strip(s["text"])))
+    chunks = F.flatten(F.transform("_s", lambda s: F.transform(cut(s), lambda c: F.struct(s["title"].alias("section_title"), c.alias("text")))))
+    return found.select(key, F.posexplode(chunks).alias("chunk_index", "_c")).select(key, "chunk_index", "_c.section_title", "_c.text")
 
 
 #: Strategy to the expression that cuts a text.

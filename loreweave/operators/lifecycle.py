@@ -58,8 +58,8 @@ def map_changes(old: Column, new: Column) -> Column:
 
 
 def to_bin(docs: DataFrame, now: Column) -> DataFrame:
-    """Soft-deleted copies with cut contents and the date they expire."""
-    return docs.select("doc_id", F.substring("content", 1, BIN_CHARS).alias("content"), now.alias("deleted_at"), (now + F.expr(f"INTERVAL {BIN_DAYS} DAYS")).alias("expires_at"))
+    """Soft-deleted copies with cut contents, their other columns and the date they expire."""
+    return docs.select(*(c for c in docs.columns if c != "content"), F.substring("content", 1, BIN_CHARS).alias("content"), now.alias("deleted_at"), (now + F.expr(f"INTERVAL {BIN_DAYS} DAYS")).alias("expires_at"))
 
 
 def listed_bin(items: DataFrame, now: Column) -> DataFrame:
@@ -72,6 +72,37 @@ def purged_bin(items: DataFrame, now: Column) -> DataFrame:
     return items.filter(~(F.col("expires_at") < now))
 
 
+def restored(docs: DataFrame, items: DataFrame, wanted: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """docs with the wanted items (doc_id, new_id) of the bin under their new ids, and the bin without them.
+
+    What has expired or isn't in the bin is left as it is.
+    """
+    back = items.filter(F.col("expires_at") > now).join(wanted.select("doc_id", "new_id").dropDuplicates(["doc_id"]), "doc_id")
+    rows = back.drop("doc_id").withColumnRenamed("new_id", "doc_id")
+    kept = [c for c in docs.columns if c in rows.columns]
+    return docs.unionByName(rows.select(*kept), allowMissingColumns=True), items.join(back.select("doc_id"), "doc_id", "left_anti")
+
+
+def moved_to_base(docs: DataFrame, chunks: DataFrame, wanted: DataFrame, kb_id: str) -> tuple[DataFrame, DataFrame]:
+    """docs and chunks with those of the wanted ids in another knowledge base; the vectors move with their document."""
+    ids = wanted.select("doc_id").distinct().withColumn("_w", F.lit(True))
+    move = lambda rows: rows.join(ids, "doc_id", "left").withColumn("kb_id", F.when(F.col("_w"), kb_id).otherwise(F.col("kb_id"))).drop("_w")
+    return move(docs), move(chunks)
+
+
+def without_base(docs: DataFrame, chunks: DataFrame, kb_id: str) -> tuple[DataFrame, DataFrame]:
+    """docs and chunks without a knowledge base's; rows without any base stay."""
+    other = ~F.col("kb_id").eqNullSafe(F.lit(kb_id))
+    return docs.filter(other), chunks.filter(other)
+
+
+def without_category(configured: DataFrame, docs: DataFrame, name: str, default: str) -> tuple[DataFrame, DataFrame]:
+    """The configured categories (name) without one, whose documents fall back to the default; the default itself can't go."""
+    if name == default:
+        return configured, docs
+    return configured.filter(F.col("name") != name), docs.withColumn("category", F.when(F.col("category") == name, default).otherwise(F.col("category")))
+
+
 def migrate(docs: DataFrame, wanted: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     """docs with the wanted ones (doc_id) moved to a category, and doc_id, status for each wanted id."""
     ids = wanted.select("doc_id").distinct()

@@ -132,6 +132,26 @@ def chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.parent_child(documents(spark, sf_dir), "doc_id", "content")
 
 
+@query()
+def chunk_punctuated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exploded(documents(spark, sf_dir), "doc_id", C.punctuated(F.col("content")))
+
+
+@query()
+def chunk_by_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exploded(documents(spark, sf_dir), "doc_id", C.by_separators(F.col("content")))
+
+
+@query()
+def chunk_token_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exploded(documents(spark, sf_dir), "doc_id", C.token_bounded(F.col("content")))
+
+
+@query()
+def chunk_intelligent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.intelligent(documents(spark, sf_dir), "doc_id", "content")
+
+
 @query()
 def chunk_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.by_category(documents(spark, sf_dir), "doc_id", "content", {"src0": ("fixed", 400, 80), "src1": ("semantic", 500, 0), "src2": ("book", 800, 0)})

@@ -111,6 +111,37 @@ def recycle_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.purged_bin(_bin(spark, sf_dir), now()).select("doc_id")
 
 
+@query(f"""
+WITH b AS ({_BIN})
+SELECT doc_id, source AS category, CAST(length(text) AS INTEGER) AS n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT d.doc_id + 1000000, source, CAST(least(length(text), 10000) AS INTEGER) FROM documents d JOIN b ON b.doc_id = d.doc_id WHERE expires_at > {_NOW} AND d.doc_id % 2 = 0""")
+def recycle_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live documents and the even ones of the bin, back under new ids."""
+    items = _bin(spark, sf_dir)
+    wanted = items.filter("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") + 1000000).alias("new_id"))
+    live = L.missing(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return L.restored(live, items, wanted, now())[0].select("doc_id", "category", F.length("content").alias("n_chars"))
+
+
+@query(f"""
+SELECT kb_id, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs
+FROM (SELECT c.doc_id, CASE WHEN c.doc_id IN (SELECT doc_id FROM labels) THEN 'moved' ELSE lang END AS kb_id FROM ({FIXED_SQL}) c JOIN documents d ON d.doc_id = c.doc_id) GROUP BY 1""")
+def kb_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = L.moved_to_base(documents(spark, sf_dir), base_chunks(spark, sf_dir), table(spark, sf_dir, "labels"), "moved")[1]
+    return chunks.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query("SELECT doc_id, lang AS kb_id FROM documents WHERE lang <> 'fr'")
+def kb_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.without_base(documents(spark, sf_dir), base_chunks(spark, sf_dir), "fr")[0].select("doc_id", "kb_id")
+
+
+@query("SELECT CASE WHEN source = 'src1' THEN 'default' ELSE source END AS category, count(*) AS n_docs FROM documents GROUP BY 1")
+def category_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configured = spark.createDataFrame([("src1",), ("default",)], "name string")
+    return L.without_category(configured, documents(spark, sf_dir), "src1", "default")[1].groupBy("category").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event of a user is a version of the user's document."""
     events = audit(spark, sf_dir)

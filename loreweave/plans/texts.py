@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import intent as I
 from loreweave.functions import text as T
+from loreweave.operators.answers import NOT_FOUND, final_answer
 from loreweave.sources.tables import documents, messages, table
 
 from .registry import query
 
+_SPACE = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
 
 @query(r"SELECT doc_id, regexp_replace(lower(regexp_replace(substr(text, 1, 300), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS text FROM documents")
 def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +89,62 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fill_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return docs.select("doc_id", T.fill_template(F.lit("Title: {title}, language: {kb}, {unknown}"), {"title": F.col("title"), "kb": F.col("kb_id")}).alias("text"))
+
+
+def _tagged():
+    return F.concat(F.lit("<think>"), F.substring("content", 1, 50), F.lit("</think> "), F.substring("content", 51, 100))
+
+
+@query(rf"SELECT doc_id, {_SPACE.format('substr(text, 1, 50)')} AS thought, {_SPACE.format('substr(text, 51, 100)')} AS answer FROM documents")
+def split_think(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thought, answer = T.split_think(_tagged())
+    return documents(spark, sf_dir).select("doc_id", thought.alias("thought"), answer.alias("answer"))
+
+
+@query(rf"SELECT doc_id, regexp_replace(substr(text, 1, 200), '\s+$', '') AS text FROM documents")
+def strip_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.substring("content", 1, 200), F.lit("\n## 参考资料：\n1. "), F.col("title"))
+    return documents(spark, sf_dir).select("doc_id", T.strip_tails(said).alias("text"))
+
+
+@query("SELECT event_id, ts AS at FROM events")
+def parse_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times with and without fractions, written as text and read back."""
+    ts = F.col("ts").cast("timestamp")
+    text = F.when(F.date_trunc("second", ts) == ts, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return table(spark, sf_dir, "events").select("event_id", T.parse_iso(text).cast("timestamp_ntz").alias("at"))
+
+
+@query(r"SELECT doc_id, NOT regexp_matches(s, '[a-zA-Z0-9]') AS odd, CAST(doc_id % 3 AS INTEGER) AS emoji FROM (SELECT doc_id, substr(text, 1, CAST(doc_id % 4 AS BIGINT)) AS s FROM documents)")
+def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without a letter or digit, and runs of emoji."""
+    docs = documents(spark, sf_dir).withColumn("s", F.expr("substring(content, 1, CAST(doc_id % 4 AS INT))"))
+    return docs.select("doc_id", T.no_letters_or_digits(F.col("s")).alias("odd"), T.emoji_runs(F.concat(F.lit("x "), F.expr("repeat('😀😀 ', CAST(doc_id % 3 AS INT))"))).alias("emoji"))
+
+
+@query("SELECT event_id, props AS found FROM events")
+def json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" as asked."))
+    return table(spark, sf_dir, "events").select("event_id", T.json_object(said).alias("found"))
+
+
+@query(r"SELECT doc_id, CASE WHEN k = 0 THEN t ELSE regexp_replace(regexp_extract(substr(t, 1, k - 1), '(?s)^(.*[。！？.!?])', 1), '^\s+|\s+$', '', 'g') END AS text FROM (SELECT doc_id, substr(text, 1, 400) AS t, instr(substr(text, 1, 400), ' is ') AS k FROM documents)")
+def cut_at_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.cut_at_first(F.substring("content", 1, 400), [" is "]).alias("text"))
+
+
+@query("SELECT p_partkey, lower(trim(p_brand)) AS tag FROM part")
+def tag_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.tag_name(F.concat(F.lit("  "), F.col("p_brand"), F.lit(" \t"))).alias("tag"))
+
+
+@query("SELECT vec_id, 'chunks_d' || len(embedding) AS collection FROM embeddings")
+def collection_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", T.collection_name(F.size("embedding")).alias("collection"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND turn % 2 = 0 THEN '知识库中{0}相关内容' WHEN turn % 3 = 0 THEN '{0}。' ELSE text END AS answer FROM conversations WHERE text <> ''".format(NOT_FOUND[0]))
+def final_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third answer found nothing; of those, even turns have no citation."""
+    said = F.when(F.col("turn") % 3 == 0, NOT_FOUND[0] + "。").otherwise(F.col("text"))
+    return messages(spark, sf_dir).filter("text <> ''").select("conv_id", "turn", final_answer(said, (F.col("turn") % 2).cast("int"), F.lit(False)).alias("answer"))

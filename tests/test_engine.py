@@ -206,3 +206,20 @@ def test_queries_have_sql_of_their_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 80
+
+
+def test_bin_bases_and_categories(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "one"), (2, None, "y", "two")], "doc_id long, category string, kb_id string, content string")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    old = L.to_bin(docs.filter("doc_id = 1").withColumn("doc_id", F.lit(7).cast("long")), now - F.expr("INTERVAL 7 DAYS"))
+    items = L.to_bin(docs.filter("doc_id = 2").withColumn("doc_id", F.lit(8).cast("long")), now).unionByName(old)
+    wanted = spark.createDataFrame([(7, 70), (8, 80), (8, 80), (9, 90)], "doc_id long, new_id long")
+    live, left = L.restored(docs, items, wanted, now)
+    assert sorted(r["doc_id"] for r in live.collect()) == [1, 2, 80] and [r["doc_id"] for r in left.collect()] == [7]
+    assert live.filter("doc_id = 80").first().asDict() == {"doc_id": 80, "category": None, "kb_id": "y", "content": "two"}
+    moved, chunks = L.moved_to_base(docs, docs, wanted.withColumn("doc_id", F.lit(1).cast("long")), "z")
+    assert sorted((r["doc_id"], r["kb_id"]) for r in moved.collect()) == sorted((r["doc_id"], r["kb_id"]) for r in chunks.collect()) == [(1, "z"), (2, "y")]
+    assert [r["doc_id"] for r in L.without_base(docs, docs, "x")[0].collect()] == [2]
+    names = spark.createDataFrame([("a",), ("d",)], "name string")
+    assert [[r["name"] for r in L.without_category(names, docs, n, "d")[0].collect()] for n in ("a", "d")] == [["d"], ["a", "d"]]
+    assert [r["category"] for r in L.without_category(names, docs, "a", "d")[1].orderBy("doc_id").collect()] == ["d", None]
