@@ -17,8 +17,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
+# Unicode's white space, with the four separators that text tools count as such.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalise(text: Column) -> Column:
@@ -37,7 +41,8 @@ def emoji_runs(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Chinese characters at 1.5 to a token, others at 4."""
-    chinese = F.length(F.regexp_replace(text, "[^一-鿿]", ""))
+    # A text of as many bytes as characters is ASCII.
+    chinese = F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.length(F.regexp_replace(text, "[^一-鿿]+", "")))
     return F.floor(chinese / F.lit(1.5) + (F.length(text) - chinese) / F.lit(4)).cast("int")
 
 

@@ -197,9 +197,9 @@ def with_overlap(chunks: DataFrame, key: str, n: int, joiner: str = "") -> DataF
 def punctuated(text: Column, size: int = 500, overlap: int = 100) -> Column:
     """Windows of size, cut behind the last end mark or line end in their second half; the next one starts overlap characters before the end."""
     _check(size, 2 * overlap)
-    least, half, length = size // 2 + 2 - overlap, size * 0.5, F.length(text)
+    least, half = size // 2 + 2 - overlap, size * 0.5
 
-    def step(s: Column, _: Column) -> Column:
+    def step(length: Column, s: Column) -> Column:
         def placed(window: Column) -> Column:
             cut = F.length(F.regexp_extract(window, r"(?s)^(.*(?:[。？！\n]|\.(?= )))", 1))
             n = F.when((s["at"] + size < length) & (cut - 1 > half), cut).otherwise(F.lit(size))
@@ -208,7 +208,7 @@ def punctuated(text: Column, size: int = 500, overlap: int = 100) -> Column:
         return F.when(s["at"] < length, bind(F.substr(text, s["at"] + 1, F.lit(size)), placed)).otherwise(s)
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("done"))
-    return F.aggregate(F.sequence(F.lit(0), F.ceil(length / F.lit(least)).cast("int")), start, step, lambda s: s["done"])
+    return bind(F.length(text), lambda n: F.aggregate(F.sequence(F.lit(0), F.ceil(n / F.lit(least)).cast("int")), start, lambda s, _: step(n, s), lambda s: s["done"]))
 
 
 def _split_at(text: Column, separator: str, width: int) -> Column:
@@ -280,15 +280,17 @@ def _packed(text: Column, path: Column, separator: str, size: int) -> Column:
 
     def step(s: Column, part: Column) -> Column:
         def taken(p: Column) -> Column:
-            fits, long = F.length(s["open"]) + F.length(p) <= size, F.length(p) > size
+            fits, long = s["n"] + p["n"] <= size, p["n"] > size
             return F.struct(
-                F.when(fits, F.concat(s["open"], p)).when(long, F.lit("")).otherwise(p).alias("open"),
-                F.when(fits, s["done"]).when(long, F.array_append(closed(s), unit(p, True))).otherwise(closed(s)).alias("done"),
+                F.when(fits, F.concat(s["open"], p["text"])).when(long, F.lit("")).otherwise(p["text"]).alias("open"),
+                F.when(fits, s["n"] + p["n"]).when(long, 0).otherwise(p["n"]).alias("n"),
+                F.when(fits, s["done"]).when(long, F.array_append(closed(s), unit(p["text"], True))).otherwise(closed(s)).alias("done"),
             )
 
-        return bind(F.when(s["open"] == "", part).otherwise(F.concat(part, F.lit(separator))), taken)
+        ended = F.when(s["n"] == 0, part).otherwise(F.concat(part, F.lit(separator)))
+        return bind(bind(ended, lambda t: F.struct(t.alias("text"), F.length(t).alias("n"))), taken)
 
-    start = F.struct(F.lit("").alias("open"), F.array().cast(_PLACED).alias("done"))
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("n"), F.array().cast(_PLACED).alias("done"))
     return F.aggregate(_split_at(text, separator, size), start, step, closed)
 
 
