@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +45,32 @@ def hash_tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(bind(F.regexp_extract_all(lower, F.lit("(?s)(.)"), F.lit(1)), tokens), tagged("w:", F.regexp_extract_all(lower, F.lit("([a-z0-9]+)"), F.lit(1)))))
 
 
-def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = 512) -> DataFrame:
+#: White space as Python's str.strip knows it.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def cased_tokens(text: Column) -> Column:
+    """As hash_tokens, with the case of characters and pairs kept, and runs of Chinese characters as words too."""
+    stripped = F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    blank = lambda c: c.isin(*BLANKS)
+
+    def tokens(characters: Column) -> Column:
+        n = F.size(characters)
+        pair = lambda i: F.when(~(blank(F.get(characters, i)) & blank(F.get(characters, i + 1))), F.concat(F.lit("b:"), F.get(characters, i), F.get(characters, i + 1)))
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), pair)).otherwise(F.array().cast("array<string>"))
+        return F.array_compact(F.concat(F.transform(F.filter(F.array_distinct(characters), lambda c: ~blank(c)), lambda c: F.concat(F.lit("c:"), c)), F.array_distinct(pairs)))
+
+    words = F.regexp_extract_all(stripped, F.lit("([A-Za-z0-9]+|[\u4e00-\u9fff]+)"), F.lit(1))
+    return F.array_distinct(F.concat(bind(F.regexp_extract_all(stripped, F.lit("(?s)(.)"), F.lit(1)), tokens), F.transform(words, lambda w: F.concat(F.lit("w:"), F.lower(w)))))
+
+
+def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = 512, tokens_of: Callable[[Column], Column] = hash_tokens) -> DataFrame:
     """key, idx, weight: the non-zero cells of a signed feature hash of every text, of length 1.
 
     A token's hash is the first eight hexadecimal digits of its MD5; its highest
     bit gives the sign. Cells stay sparse: only they are shuffled.
     """
-    tokens = docs.select(key, F.explode(hash_tokens(F.col(text))).alias("_t"))
+    tokens = docs.select(key, F.explode(tokens_of(F.col(text))).alias("_t"))
     hashed = tokens.select(key, F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long").alias("_h"))
     cells = hashed.groupBy(key, (F.col("_h") % dim).cast("int").alias("idx")).agg(F.sum(F.when(F.shiftright("_h", 31) == 1, -1.0).otherwise(1.0)).alias("_w")).filter("_w <> 0")
     norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))

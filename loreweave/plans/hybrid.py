@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.functions.vectors import cosine_safe, hash_embedding, norm
+from loreweave.functions.vectors import cased_tokens, cosine_safe, hash_embedding, norm
 from loreweave.operators import retrieval as R
 from loreweave.sources.tables import documents, table, vectors
 
@@ -13,7 +13,7 @@ from .registry import query
 
 WORDS = "the worthless, and tion"
 QUESTION = "worthless and the thinking"
-#: Characters of a document that its embedding covers.
+#: Characters of a document that its embedding covers in the queries that have SQL.
 EMBEDDED = 400
 
 
@@ -113,12 +113,27 @@ def tf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.term_rank(documents(spark, sf_dir), "tion", 10)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search for one question."""
+@query()
+def hash_embed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hash_embed_sparse over whole texts, with the case kept."""
+    return hash_embedding(documents(spark, sf_dir), "doc_id", "content", tokens_of=cased_tokens).withColumn("weight", F.round("weight", 6))
+
+
+def _whole(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of the whole documents and of the question."""
+    question = spark.range(1).select(F.lit(-1).alias("doc_id"), F.lit(QUESTION).alias("q"))
+    return hash_embedding(docs, "doc_id", "content", tokens_of=cased_tokens), hash_embedding(question, "doc_id", "q", tokens_of=cased_tokens)
+
+
+@query()
+def hybrid_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    cells = hash_embedding(docs.withColumn("prefix", F.substring("content", 1, EMBEDDED)), "doc_id", "prefix")
-    asked = hash_embedding(spark.range(1).select(F.lit(-1).alias("doc_id"), F.lit(QUESTION).alias("q")), "doc_id", "q")
-    return R.hybrid(docs, cells, asked, QUESTION)
+    return R.hybrid(docs, *_whole(spark, docs), QUESTION)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search for one question, over whole documents."""
+    return hybrid_search_whole(spark, sf_dir)
 
 
 _TERMS = " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in R.terms_of(QUESTION))
@@ -138,7 +153,10 @@ w AS (SELECT doc_id, r, vector_score, keyword_score, round(coalesce(nullif(vecto
 k AS (SELECT * FROM w WHERE keyword_hits > 0 OR ((SELECT max(keyword_hits) FROM w) = 0 AND r <= 3))
 SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score, vector_score, keyword_score, CAST(keyword_hits AS INTEGER) AS keyword_hits FROM k""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagship(spark, sf_dir)
+    docs = documents(spark, sf_dir)
+    cells = hash_embedding(docs.withColumn("prefix", F.substring("content", 1, EMBEDDED)), "doc_id", "prefix")
+    asked = hash_embedding(spark.range(1).select(F.lit(-1).alias("doc_id"), F.lit(QUESTION).alias("q")), "doc_id", "q")
+    return R.hybrid(docs, cells, asked, QUESTION)
 
 
 @query(f"WITH {_NEAR} SELECT doc_id, rrf_score, vector_score, keyword_score, coalesce(nullif(vector_score, 0), 0.5) AS shown FROM fused")
@@ -146,6 +164,17 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     cells = hash_embedding(docs.withColumn("prefix", F.substring("content", 1, EMBEDDED)), "doc_id", "prefix")
     asked = hash_embedding(spark.range(1).select(F.lit(-1).alias("doc_id"), F.lit(QUESTION).alias("q")), "doc_id", "q").select("idx", F.col("weight").alias("_q"))
+    return _fused(docs, cells, asked)
+
+
+@query()
+def rrf_fuse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    cells, asked = _whole(spark, docs)
+    return _fused(docs, cells, asked.select("idx", F.col("weight").alias("_q")))
+
+
+def _fused(docs: DataFrame, cells: DataFrame, asked: DataFrame) -> DataFrame:
     dots = cells.join(F.broadcast(asked), "idx").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("_q")), 6).alias("score")).filter("score > 0").withColumn("query_id", F.lit(0))
     near = R.ranked(R.above_threshold(R.ranked(dots, ["query_id"], "score", "doc_id", 16)).drop("rank"), ["query_id"], "score", "doc_id", 16)
     words = R.ranked(R.keyword_search(docs, QUESTION, 16).withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 16)
