@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loreweave.sources.checkpoints import shared_folder
+
+__all__ = ["SPACES", "Scratch", "by_batches", "fixed", "gapless_rank", "parts_for", "parts_of", "shared_folder", "text_of", "words_of"]
+
 #: White space as the operators' contracts define it.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which driver and executors share.
+class Scratch:
+    """Tables of one run below the shared folder.
 
-    It is the one of spark.checkpoint.dir; only a session without one (a test)
-    gets a temporary folder.
+    A table is dropped when what was made of it has been written, so a run holds
+    what its next steps read and no more. Tables behind a result stay.
     """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
-    return context.getCheckpointDir()
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """df, written and read back; its size is then known to Spark, which broadcasts small tables by itself."""
+        path = f"{self.folder}/{len(self._paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(back)] = back, path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        context = self.spark.sparkContext
+        for table in tables:
+            path = context._jvm.org.apache.hadoop.fs.Path(self._paths[id(table)][1])
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -45,6 +65,15 @@ def by_batches(docs: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator
     return text_keys.mapInPandas(run, f"doc_id string, {columns}").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def parts_of(batch: pd.DataFrame, column: str, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """The rows of a batch in parts whose values of a column have about most characters, or one row."""
+    sizes = batch[column].str.len().to_numpy()
+    part = (np.cumsum(sizes) - sizes) // most
+    edges = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(batch)] if len(batch) else []
+    for first, after in pairwise(edges):
+        yield batch.iloc[first:after]
+
+
 def words_of(text: Column) -> Column:
     """Words between white space; an empty array for a text without any."""
     return F.filter(F.split(text, SPACES), lambda w: w != "")

@@ -9,17 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import webp
-from .common import by_batches, text_of
+from . import webp, webp_writer
+from .common import by_batches, parts_of, text_of
 
 #: Samples in a row of a picture; payloads are padded to whole rows.
 ROW = 64
 
 
 def write_pictures(payload: bytes) -> bytes:
-    """WebP files on end, of at most webp.MOST_ROWS rows each."""
+    """WebP files on end, of at most webp_writer.MOST_ROWS rows each."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    return b"".join(webp.encode_grey(rows[i : i + webp.MOST_ROWS]) for i in range(0, len(rows), webp.MOST_ROWS))
+    return b"".join(webp_writer.encode_grey(rows[i : i + webp_writer.MOST_ROWS]) for i in range(0, len(rows), webp_writer.MOST_ROWS))
 
 
 def read_pictures(media: bytes) -> np.ndarray:
@@ -38,26 +38,35 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every text in UTF-8, padded with zeros to a positive multiple of ROW, as pictures.
 
     Null text is the empty text, one row of zeros. A text of more than
-    ROW * webp.MOST_ROWS bytes takes several pictures. Equal texts have equal
-    media. Repeated rows are stored alike. No rows: no rows.
+    ROW * webp_writer.MOST_ROWS bytes takes several pictures. Equal texts have
+    equal media. Repeated rows are stored alike; ties don't occur. No rows: no
+    rows. Other columns are ignored, whatever their names. A task holds about a
+    megabyte of texts and their media at a time, or one longer text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw = [t.encode("utf-8", "replace") for t in batch["text"]]
-            media = [write_pictures(b.ljust(max(ROW, -(-len(b) // ROW) * ROW), b"\0")) for b in raw]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": list(map(len, raw)), "media": media})
+            for part in parts_of(batch, "text"):
+                raw = [t.encode("utf-8", "replace") for t in part["text"]]
+                media = [write_pictures(b.ljust(max(ROW, -(-len(b) // ROW) * ROW), b"\0")) for b in raw]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": list(map(len, raw)), "media": media})
 
     return by_batches(docs.select("doc_id", text_of().alias("text")), run, "n_bytes long, media binary")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """stored (doc_id, n_bytes, media) with pixels, the samples read back, and feature."""
+    """stored (doc_id, n_bytes, media) with pixels, the samples read back, and feature.
+
+    Media that is no lossless WebP, or ends early, raises an error; so does null.
+    Repeated rows are read alike. No rows: no rows. Other columns are ignored. Media
+    is read about a megabyte at a time, or one longer value.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            samples = [read_pictures(m) for m in batch["media"]]
-            yield batch.assign(pixels=[s.tobytes() for s in samples], feature=list(map(features, samples)))
+            for part in parts_of(batch, "media"):
+                samples = [read_pictures(m) for m in part["media"]]
+                yield part.assign(pixels=[s.tobytes() for s in samples], feature=list(map(features, samples)))
 
     return by_batches(stored.select("doc_id", "n_bytes", "media"), run, "n_bytes long, media binary, pixels binary, feature string")
 

@@ -1,15 +1,13 @@
-"""Lossless WebP (RFC 9649): a decoder of the whole format and a writer of grey images.
+"""Lossless WebP (RFC 9649): a decoder of the whole format.
 
-The decoder reads prefix codes, back-references and the colour cache and inverts
-the predictor, cross-colour, subtract-green and palette transforms. A pixel is a
-32-bit ARGB number. Images whose red, blue and alpha codes have one symbol each, as
-the writer makes them, take a path that reads several green symbols at a time.
+It reads prefix codes, back-references and the colour cache and inverts the
+predictor, cross-colour, subtract-green and palette transforms. A pixel is a 32-bit
+ARGB number. Images whose red, blue and alpha codes have one symbol each take a
+path that reads several green symbols at a time.
 """
 
 from __future__ import annotations
 
-import heapq
-import struct
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +28,6 @@ NEAR = (
 )
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
-MOST_ROWS = 1 << 14
 #: Bits that the quick path looks at; no prefix code is longer.
 _LOOK = 15
 
@@ -89,7 +86,26 @@ class Prefix:
 prefix_of = lru_cache(maxsize=32)(Prefix)
 
 
+#: What told the last codes, by size: (bits, their number, code). Equal bits tell equal codes.
+_told: dict[int, list[tuple[int, int, Prefix]]] = {}
+
+
 def read_prefix(bits: Bits, size: int) -> Prefix:
+    i, start = bits.at >> 3, bits.at
+    ahead, known = int.from_bytes(bits.data[i : i + 128], "little") >> (start & 7), _told.setdefault(size, [])
+    for value, n, prefix in known:
+        if ahead & ((1 << n) - 1) == value:
+            bits.at += n
+            return prefix
+    prefix = _read_prefix(bits, size)
+    n = bits.at - start
+    if n <= 1000:
+        known.insert(0, (ahead & ((1 << n) - 1), n, prefix))
+        del known[12:]
+    return prefix
+
+
+def _read_prefix(bits: Bits, size: int) -> Prefix:
     if bits.read(1):  # one or two symbols, written out
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
@@ -127,6 +143,14 @@ def _amount(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
+def _back(code: int, width: int) -> int:
+    """Pixels back, of a distance code."""
+    if code > len(NEAR):
+        return code - len(NEAR)
+    dx, dy = NEAR[code - 1]
+    return max(1, dx + dy * width)
+
+
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """The coded image before transforms, as uint32 of shape (height, width)."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -140,9 +164,9 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     n_groups = 1 + (max(map(max, groups_at)) if groups_at else 0)
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = [[read_prefix(bits, n) for n in sizes] for _ in range(n_groups)]
-    green, red, blue, alpha, _ = groups[0]
-    if main and n_groups == 1 and not cache_bits and None not in (red.only, blue.only, alpha.only) and not any(green.lengths[256:]):
-        values = _greens(bits, green, width * height).astype(np.uint32)
+    green, red, blue, alpha, distance = groups[0]
+    if main and n_groups == 1 and not cache_bits and None not in (red.only, blue.only, alpha.only):
+        values = _greens(bits, green, distance, width, width * height).astype(np.uint32)
         return (values << 8 | np.uint32(alpha.only << 24 | red.only << 16 | blue.only)).reshape(height, width)
     out: list[int] = []
     cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
@@ -158,12 +182,7 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             out.append(alpha.read(bits) << 24 | r << 16 | symbol << 8 | b)
         elif symbol < 280:
             n = _amount(bits, symbol - 256)
-            code = _amount(bits, distance.read(bits))
-            if code > len(NEAR):
-                back = code - len(NEAR)
-            else:
-                dx, dy = NEAR[code - 1]
-                back = max(1, dx + dy * width)
+            back = _back(_amount(bits, distance.read(bits)), width)
             if back > at:
                 raise ValueError("a back-reference before the image")
             for k in range(at, min(at + n, total)):
@@ -176,39 +195,58 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32).reshape(height, width)
 
 
-@lru_cache(maxsize=4)
-def _several(lengths: tuple[int, ...]) -> list[tuple[bytes, int]]:
-    """For every value of the next bits: the symbols that they hold whole, and how many bits those take."""
+@lru_cache(maxsize=8)
+def _several(lengths: tuple[int, ...]) -> list[tuple[bytes, int, int]]:
+    """For every value of the next bits: the literals that they hold whole, the length symbol behind them or -1, and how many bits all those take."""
     one = prefix_of(lengths)
     out = []
     for value in range(1 << _LOOK):
-        symbols, used = bytearray(), 0
+        symbols, used, copy = bytearray(), 0, -1
         while True:
             symbol, n = one.table[value >> used & ((1 << one.wide) - 1)]
             if used + n > _LOOK:
                 break
-            symbols.append(symbol)
             used += n
-        out.append((bytes(symbols), used))
+            if symbol > 255:
+                copy = symbol - 256
+                break
+            symbols.append(symbol)
+        out.append((bytes(symbols), copy, used))
     return out
 
 
-def _greens(bits: Bits, green: Prefix, n: int) -> np.ndarray:
+def _greens(bits: Bits, green: Prefix, distance: Prefix, width: int, n: int) -> np.ndarray:
+    """The green values of n pixels that are told by green symbols and back-references alone."""
     if green.only is not None:
+        if green.only > 255:
+            raise ValueError("a back-reference before the image")
         return np.full(n, green.only, np.uint8)
-    table, first = _several(green.lengths), bits.at >> 3
-    raw = np.frombuffer(bits.data[first:] + b"\0\0\0", np.uint8).astype(np.uint32)
-    window = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()
-    at, end, out, mask = bits.at & 7, 8 * (len(bits.data) - first), [], (1 << _LOOK) - 1
+    table, mask, data = _several(green.lengths), (1 << _LOOK) - 1, bits.data
+    raw = np.frombuffer(data + b"\0\0", np.uint8).astype(np.uint32)
+    windows = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()
+    at, end, out = bits.at, 8 * len(data), bytearray()
     while at < end:
-        symbols, used = table[window[at >> 3] >> (at & 7) & mask]
-        out.append(symbols)
+        symbols, copy, used = table[windows[at >> 3] >> (at & 7) & mask]
+        out += symbols
         at += used
-    # Bits behind the last pixel read as symbols too; they are cut off.
-    values = np.frombuffer(b"".join(out), np.uint8)[:n]
-    if values.size < n:
+        if copy >= 0:
+            if len(out) >= n:
+                break
+            bits.at = at
+            length = _amount(bits, copy)
+            back = _back(_amount(bits, distance.read(bits)), width)
+            at, start = bits.at, len(out) - back
+            if start < 0:
+                raise ValueError("a back-reference before the image")
+            if length <= back:
+                out += out[start : start + length]
+            else:
+                out += (out[start:] * (length // back + 1))[:length]
+    if len(out) < n:
         raise ValueError("the image ends early")
-    return values
+    bits.at = at
+    # Bits behind the last pixel may read as symbols too; they are cut off.
+    return np.frombuffer(out, np.uint8)[:n]
 
 
 def _planes(pixels: np.ndarray) -> np.ndarray:
@@ -250,6 +288,13 @@ def _predicted(mode: int, left: np.ndarray, top: np.ndarray, top_left: np.ndarra
 def _unpredict(pixels: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
     planes = _planes(pixels).astype(np.int64)
     height, width = pixels.shape
+    used = np.unique(modes >> 8 & 15)
+    if used.size == 1 and used[0] in (1, 2):  # sums along rows or columns
+        planes[0, 0, 3] += 255
+        down, right = (0, 1) if used[0] == 1 else (1, 0)
+        edge = planes[:, 0] if down == 0 else planes[0]
+        edge[:] = np.cumsum(edge, axis=0)
+        return _pixels((np.cumsum(planes, axis=right) & 255).astype(np.uint8))
     kinds = (modes >> 8 & 15).tolist()
     for y in range(height):
         for x in range(width):
@@ -337,92 +382,3 @@ def decode(data: bytes) -> list[np.ndarray]:
                 out.append(_decode_stream(data[at + 8 : at + 8 + size]))
             at += 8 + size + (size & 1)
     return out
-
-
-def huffman_lengths(weights: list[int]) -> tuple[int, ...]:
-    heap = [(w, k, (k,)) for k, w in enumerate(weights) if w]
-    heapq.heapify(heap)
-    lengths = [0] * len(weights)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        for symbol in (*a[2], *b[2]):
-            lengths[symbol] += 1
-        heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-    return tuple(lengths)
-
-
-@lru_cache(maxsize=1)
-def text_code() -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
-    """Lengths and codes of one prefix code for all texts: letters by rank, every other byte possible."""
-    order = " etnaoirshdlucmgwfbpyv.,\nkETAOISRHDLNUCMjxqz-'\"|0123456789"
-    weights = [1] * 256
-    for rank, letter in enumerate(order):
-        weights[ord(letter)] = 2000 // (rank + 3)
-    for b in (0xC3, 0xA9, 0xA8, 0xA4, 0xBC, 0xB6, 0xAA, 0xA7, 0xB3, 0xAD, 0xA1, 0xB1):
-        weights[b] = 40
-    lengths = huffman_lengths(weights)
-    codes = np.zeros(256, np.uint64)
-    for symbol, _, code in canonical(lengths):
-        codes[symbol] = code
-    return lengths, np.array(lengths, np.int64), codes
-
-
-@lru_cache(maxsize=1)
-def _head() -> tuple[int, int]:
-    """Bits behind the size of a grey image up to its pixels, as (value, number of bits)."""
-    value = n = 0
-
-    def put(x: int, width: int) -> None:
-        nonlocal value, n
-        value |= x << n
-        n += width
-
-    put(0, 1)  # alpha is not used
-    put(0, 3)
-    put(1, 1)
-    put(SUBTRACT_GREEN, 2)
-    put(0, 1)  # no further transform
-    put(0, 1)  # no colour cache
-    put(0, 1)  # one group of codes
-    # Code lengths with a code of four bits for each of 0 to 15.
-    put(0, 1)
-    put(len(LENGTH_ORDER) - 4, 4)
-    for k in LENGTH_ORDER:
-        put(4 if k < 16 else 0, 3)
-    put(1, 1)
-    put(3, 3)
-    put(256 - 2, 8)
-    for length in text_code()[0]:
-        put(int(f"{length:04b}"[::-1], 2), 4)
-    for symbol in (0, 0, 255, 0):  # red and blue less green, alpha, distance
-        put(1, 1)
-        put(0, 1)
-        put(1, 1)
-        put(symbol, 8)
-    return value, n
-
-
-def encode_grey(samples: np.ndarray) -> bytes:
-    """uint8 samples of shape (height, width) as a WebP file, in which red, green and blue are equal."""
-    height, width = samples.shape
-    value, n = _head()
-    start = 0x2F | (width - 1) << 8 | (height - 1) << 22 | value << 36
-    begin = 36 + n
-    _, lengths, codes = text_code()
-    flat = samples.reshape(-1)
-    size, code = lengths[flat], codes[flat]
-    at = np.cumsum(size) - size + begin
-    total = int(at[-1] + size[-1])
-    word, shift = at >> 6, (at & 63).astype(np.uint64)
-    words = np.zeros((total >> 6) + 2, np.uint64)
-    edges = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    # Codes don't share bits, so a word is the sum of its codes; a code may run on into the next word.
-    words[word[edges]] = np.add.reduceat(code << shift, edges)
-    over = np.flatnonzero((at & 63) + size > 64)
-    words[word[over] + 1] += code[over] >> (np.uint64(64) - shift[over])
-    body = bytearray(words.view(np.uint8)[: (total + 7) >> 3].tobytes())
-    head = start.to_bytes((begin + 7) >> 3, "little")
-    body[: len(head) - 1] = head[:-1]
-    body[len(head) - 1] |= head[-1]
-    body += b"\0" * (len(body) & 1)
-    return struct.pack("<4sI4s4sI", b"RIFF", len(body) + 12, b"WEBP", b"VP8L", len(body)) + bytes(body)

@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pytest
 
-from loreweave.llm import media, webp
+from loreweave.llm import media, webp, webp_writer
 
 random.seed(5)
 
@@ -255,15 +255,62 @@ def test_palette(n):
     assert webp.decode(picture(width, height, body))[0].reshape(-1).tolist() == [palette[i] for i in index]
 
 
-def test_own_pictures_by_both_paths(monkeypatch):
-    for size in (64, 640, 64 * 300):
-        raw = bytes(random.choice(b"etaoin \x00\xff\xc3") for _ in range(size))
+def contents():
+    """Payloads of many kinds, each a multiple of 64 bytes."""
+    r = random.Random(3)
+    prose = lambda n: " ".join(r.choice(("the", "archive", "of", "quiet", "harbour", "lanterns", "is", "été", "42")) for _ in range(n)).encode()
+    some = [bytes(64), b"x" * 64, b"xy" * 320, bytes(range(16)) * 40, bytes(range(17)) * 64, bytes(range(256)) * 3, r.randbytes(64 * 70), prose(9), prose(300), prose(40) * 30, b"0123456789abcdef" * 8 + prose(50)]
+    some += [bytes((k * k // 7 + j) & 255 for k in range(40) for j in range(64)), bytes((37 * j * j + k) & 255 for k in range(80) for j in range(64)), bytes(b for b in prose(400) for _ in range(3))]
+    some += [bytes(r.choice(b"ab") for _ in range(640)), bytes(r.choice(b"abc\n") for _ in range(640)), bytes(r.choice(b"abcdefgh \n") for _ in range(6400))]
+    return [p.ljust(-(-len(p) // 64) * 64, b"\0") for p in some]
+
+
+@pytest.mark.parametrize("k", range(17))
+def test_own_pictures_by_both_paths(k, monkeypatch):
+    raw = contents()[k]
+    stored = media.write_pictures(raw)
+    p = webp.decode(stored)[0]
+    assert media.read_pictures(stored).tobytes() == raw and (p >> 24 == 255).all()
+    assert (p >> 16 & 255).tolist() == (p & 255).tolist() == (p >> 8 & 255).tolist()
+
+    def slowly(bits, green, distance, width, n):
+        out = []
+        while len(out) < n:
+            symbol = green.read(bits)
+            if symbol < 256:
+                out.append(symbol)
+            else:
+                length = webp._amount(bits, symbol - 256)
+                back = webp._back(webp._amount(bits, distance.read(bits)), width)
+                for _ in range(length):
+                    out.append(out[-back])
+        return np.array(out[:n], np.uint8)
+
+    monkeypatch.setattr(webp, "_greens", slowly)
+    assert media.read_pictures(stored).tobytes() == raw
+
+
+def test_the_writer_chooses_by_content(monkeypatch):
+    seen = []
+    for name in ("_unindex", "_unpredict", "_add_green", "_back"):
+        monkeypatch.setattr(webp, name, lambda *a, f=getattr(webp, name), n=name: (seen.append(n), f(*a))[1])
+    used = []
+    for raw in contents():
+        seen.clear()
+        media.read_pictures(media.write_pictures(raw))
+        used.append(set(seen))
+    assert used[0] == {"_unindex"} and used[6] == {"_add_green"} and used[9] == {"_add_green", "_back"}
+    assert "_unpredict" in used[11] and "_unpredict" in used[12] and "_unindex" in used[16]
+    prose = contents()[9]
+    assert len(media.write_pictures(prose)) < len(prose) / 2
+
+
+def test_texts_of_several_pictures():
+    r = random.Random(1)
+    for raw in (r.randbytes(64 * (webp_writer.MOST_ROWS + 1)), contents()[8] * 1000, contents()[16] * 400):
         stored = media.write_pictures(raw)
+        assert len(webp.decode(stored)) == -(-len(raw) // (64 * webp_writer.MOST_ROWS)) > 1
         assert media.read_pictures(stored).tobytes() == raw
-        p = webp.decode(stored)[0]
-        assert (p >> 16 & 255).tolist() == (p & 255).tolist() == (p >> 8 & 255).tolist()
-    many = random.randbytes(64 * 16385)
-    assert len(webp.decode(media.write_pictures(many))) == 2 and media.read_pictures(media.write_pictures(many)).tobytes() == many
 
 
 def test_damaged_files_raise():
