@@ -1,23 +1,29 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, which are normalised and looked up in a table of
-known licence sentences. The identifiers, in the order of the text, form a
-string in which any other sentences are a single mark; ordered rules, regular
-expressions over identifiers, recognise licences there. What a rule has
-recognised is taken out, so that a later and less specific rule can't use it.
+A text is cut into segments at sentence ends and line ends, which are normalised.
+A known licence sentence is one segment or several on end, so neither a wrapped
+notice nor a full stop inside a sentence hides it. The identifiers of the known
+sentences, in the order of the text, form a string in which any other segments are
+a single mark; ordered rules over identifiers recognise licences there. What a rule
+has recognised is taken out, so that a later and less specific rule can't use it.
+
+Spark empties texts without any marker word; the others are read by a small helper.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import by_batches, text_of
 
-# Sentences of well-known licences and their notices.
+# Sentences of well-known licences and their notices; {} stands for one to ten words.
 SENTENCES = {
     "apache-short": "Licensed under the Apache License, Version 2.0.",
     "apache-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -37,80 +43,182 @@ SENTENCES = {
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-names": "Neither the name of {} nor the names of {} contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "gpl3-short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl2-short": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl2-program": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only-program": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "agpl-program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "lgpl21-library": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-see": "See the GNU General Public License for more details.",
     "lgpl-short": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "mpl-short": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl-1": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "boost-short": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "cc0-short": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc0-person": "To the extent possible under law, {} has waived all copyright and related or neighboring rights to {}.",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-dedication": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
 }
 CC_TERMS = ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 SENTENCES |= {f"cc-{t}-{v}".lower(): f"Licensed under CC {t} {v}." for t in CC_TERMS for v in CC_VERSIONS}
-#: Every known sentence holds one of these; a text without any has no licence sentence.
-MARKERS = ("licen", "permi", "warrant", "redistribut", "copyright", "public domain", "liable", "apache.org")
+#: Licences that a tag line names by their short identifier.
+TAGGED = (
+    "Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0",
+)
+SENTENCES |= {f"spdx-{t}".lower(): f"SPDX-License-Identifier: {t}" for t in TAGGED}
+#: Every known sentence holds one of these within a word; a text without any has no licence sentence.
+MARKERS = ("licen", "permi", "warrant", "redistribut", "copyright", "unencumbered", "liable", "apache", "universal", "mpl")
 
 
 @dataclass(frozen=True)
 class LicenceRule:
-    """A licence, and the identifiers it is made of: a regular expression over ``<id>`` and ``<?>``."""
+    """A licence and the identifiers that make it, in order; those that end in ? may be missing.
+
+    One mark of other segments may stand between two of them.
+    """
 
     licence: str
-    pattern: str
+    steps: tuple[str, ...]
 
+    @property
+    def pattern(self) -> str:
+        """The rule as a regular expression over ``<id>`` and ``<?>``."""
+        ids = [(f"<{re.escape(s.rstrip('?'))}>".replace("\\-", "-"), s.endswith("?")) for s in self.steps]
+        first = next(k for k, (_, may) in enumerate(ids) if not may)
+        before = "".join(f"(?:{i}(?:<\\?>)?)?" for i, _ in ids[:first])
+        after = "".join(f"(?:(?:<\\?>)?{i})?" if may else f"(?:<\\?>)?{i}" for i, may in ids[first + 1 :])
+        return before + ids[first][0] + after
 
-def _ids(*names: str) -> str:
-    return "".join(f"<{re.escape(n)}>" for n in names).replace("\\-", "-")
+
+def _rules(*rows: tuple[str, str]) -> tuple[LicenceRule, ...]:
+    return tuple(LicenceRule(licence, tuple(steps.split())) for licence, steps in rows)
 
 
 # Full notices come before their parts and short forms.
 RULES = (
-    LicenceRule("Apache-2.0", _ids("apache-notice") + f"(?:<\\?>)?(?:{_ids('apache-copy', 'apache-url')}|{_ids('apache-copy-url')})?(?:<\\?>)?(?:{_ids('apache-as-is')})?(?:{_ids('apache-see')})?"),
-    LicenceRule("MIT", f"(?:{_ids('mit-title')})?(?:<\\?>)?" + _ids("mit-grant", "mit-notice", "mit-as-is") + f"(?:{_ids('mit-liability')})?"),
-    LicenceRule("BSD-3-Clause", _ids("bsd-grant") + r"(?:<\?>)?" + _ids("bsd-source") + r"(?:<\?>)?" + _ids("bsd-binary") + r"(?:<\?>)?" + _ids("bsd-names")),
-    LicenceRule("BSD-2-Clause", _ids("bsd-grant") + r"(?:<\?>)?" + _ids("bsd-source") + r"(?:<\?>)?" + _ids("bsd-binary")),
-    LicenceRule("GPL-3.0-or-later", _ids("gpl-program") + f"(?:{_ids('gpl-hope')})?(?:{_ids('gpl-see')})?"),
-    LicenceRule("GPL-2.0-or-later", _ids("gpl2-program") + f"(?:{_ids('gpl-hope')})?(?:{_ids('gpl-see')})?"),
-    LicenceRule("ISC", _ids("isc-grant")),
-    LicenceRule("Apache-2.0", _ids("apache-short")),
-    LicenceRule("MIT", f"{_ids('mit-short')}|{_ids('mit-licensed')}|{_ids('mit-title')}"),
-    LicenceRule("GPL-3.0-only", _ids("gpl3-short")),
-    LicenceRule("GPL-2.0-only", _ids("gpl2-short")),
-    LicenceRule("LGPL-3.0-only", _ids("lgpl-short")),
-    LicenceRule("MPL-2.0", _ids("mpl-short")),
-    LicenceRule("Unlicense", _ids("unlicense")),
-    LicenceRule("CC0-1.0", _ids("cc0-short")),
-    *(LicenceRule(f"CC-{t}-{v}", _ids(f"cc-{t}-{v}".lower())) for t in CC_TERMS for v in CC_VERSIONS),
+    *_rules(
+        ("Apache-2.0", "apache-notice apache-copy? apache-copy-url? apache-url? apache-as-is? apache-see?"),
+        ("MIT", "mit-title? mit-grant mit-notice mit-as-is mit-liability?"),
+        ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-names bsd-as-is?"),
+        ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary bsd-as-is?"),
+        ("AGPL-3.0-or-later", "agpl-program gpl-hope? agpl-see?"),
+        ("GPL-3.0-or-later", "gpl-program gpl-hope? gpl-see?"),
+        ("GPL-2.0-or-later", "gpl2-program gpl-hope? gpl-see?"),
+        ("GPL-2.0-only", "gpl2-only-program gpl-hope? gpl-see?"),
+        ("LGPL-2.1-or-later", "lgpl21-library lgpl-hope? lgpl-see?"),
+        ("ISC", "isc-grant"),
+        ("Zlib", "zlib-as-is? zlib-liability? zlib-grant"),
+        ("MPL-2.0", "mpl-short mpl-copy? mpl-copy-https?"),
+        ("EPL-2.0", "epl-2"),
+        ("EPL-1.0", "epl-1"),
+        ("CC0-1.0", "cc0-title? cc0-dedication"),
+        ("Apache-2.0", "apache-short"),
+        ("MIT", "mit-short"),
+        ("MIT", "mit-licensed"),
+        ("MIT", "mit-title"),
+        ("BSD-3-Clause", "bsd-style"),
+        ("GPL-3.0-only", "gpl3-short"),
+        ("GPL-2.0-only", "gpl2-short"),
+        ("LGPL-3.0-only", "lgpl-short"),
+        ("BSL-1.0", "boost-short"),
+        ("Unlicense", "unlicense"),
+        ("CC0-1.0", "cc0-short"),
+        ("CC0-1.0", "cc0-person"),
+        ("CC0-1.0", "cc0-title"),
+    ),
+    *(LicenceRule(f"CC-{t}-{v}", (f"cc-{t}-{v}".lower(),)) for t in CC_TERMS for v in CC_VERSIONS),
+    *(LicenceRule(t, (f"spdx-{t}".lower(),)) for t in TAGGED),
 )
 
+#: Segments end behind a full stop, colon, question or exclamation mark before white space, and at line ends.
+ENDS = re.compile(r"(?<=[.:!?])[\x20\x09-\x0D]+|\n")
+_OTHER = re.compile("[^a-z0-9]+")
+_UPPER = {c: c + 32 for c in range(65, 91)}
+
 
 def normal_sentence(text: str) -> str:
-    """Lower-case ASCII letters and digits, other runs as one space. A test holds the column below to it."""
-    return re.sub(r"[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).strip(" ")
+    """ASCII letters in lower case and digits, other runs as one space."""
+    return _OTHER.sub(" ", text.translate(_UPPER)).strip(" ")
 
 
-#: Sentences end behind a full stop, colon, question or exclamation mark before white space, and at lines that are blank or hold comment marks alone.
-ENDS = r"(?<=[.:!?])[\x20\x09-\x0D]+|\n[\x20\x09#*/;-]*\n"
+def _wildcard(sentence: str) -> str:
+    """A sentence with {} as a regular expression over normalised text."""
+    words = r"[a-z0-9]+(?: [a-z0-9]+){0,9}?"
+    return words.join(f" {normal_sentence(part)} " for part in sentence.split("{}")).strip(" ")
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+@lru_cache(maxsize=1)
+def _known() -> tuple[dict[str, str], set[str], list[tuple[str, re.Pattern, str]]]:
+    """Identifiers by normalised sentence; all their beginnings of whole words; (first words, pattern, identifier) of sentences with {}."""
+    whole = {normal_sentence(v): k for k, v in SENTENCES.items() if "{}" not in v}
+    begun = {" ".join(w[:n]) for w in map(str.split, whole) for n in range(1, len(w) + 1)}
+    open_ = [(normal_sentence(v.split("{}")[0]), re.compile(_wildcard(v)), k) for k, v in SENTENCES.items() if "{}" in v]
+    return whole, begun, open_
 
 
-def identifiers(text: Column, by_line: bool) -> Column:
-    """The identifiers of the sentences in order, other sentences as one ``<?>``; '' if none is known."""
-    known = {normal_sentence(v): k for k, v in SENTENCES.items()}
-    sentences = F.filter(F.transform(F.split(text, ENDS + ("|\n" if by_line else "")), _normal), lambda s: s != "")
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    # Most sentences are unknown; the hash set tells them before the map is searched.
-    ids = F.transform(sentences, lambda s: F.when(s.isin(list(known)), F.concat(F.lit("<"), F.element_at(table, s), F.lit(">"))).otherwise(F.lit("<?>")))
-    joined = F.regexp_replace(F.array_join(ids, ""), r"(<\?>)+", "<?>")
-    return F.when(joined.isin("", "<?>"), "").otherwise(joined)
+#: Segments and characters that a sentence with {} may take.
+_MOST_SEGMENTS, _MOST_CHARACTERS = 24, 1000
+
+
+def identifiers(text: str) -> str:
+    """The identifiers of the known sentences in order, any other segments as one ``<?>``; '' if none is known.
+
+    At each segment the longest known sentence that starts there is taken.
+    """
+    whole, begun, open_ = _known()
+    segments = [s for s in map(normal_sentence, ENDS.split(text)) if s]
+    out, at = [], 0
+    while at < len(segments):
+        joined, until, name, best, found = segments[at], at + 1, None, at, None
+        while joined in begun:
+            if joined in whole:
+                best, found = until, whole[joined]
+            if until == len(segments):
+                break
+            joined, until = f"{joined} {segments[until]}", until + 1
+        for head, pattern, name in open_ if found is None else ():
+            joined, until = segments[at], at + 1
+            while head.startswith(joined[: len(head)]) and found is None and until - at <= _MOST_SEGMENTS and len(joined) <= _MOST_CHARACTERS:
+                if pattern.fullmatch(joined):
+                    best, found = until, name
+                if until == len(segments):
+                    break
+                joined, until = f"{joined} {segments[until]}", until + 1
+        if found is not None:
+            out.append(f"<{found}>")
+            at = best
+        else:
+            at += 1
+            if not out or out[-1] != "<?>":
+                out.append("<?>")
+    return "" if out in ([], ["<?>"]) else "".join(out)
+
+
+def recognised(ids: str, rules: tuple[tuple[str, re.Pattern], ...]) -> tuple[list[str], str]:
+    """The licences that the rules find, each once, in the order of the rules, and what is left of ids."""
+    found: dict[str, None] = {}
+    for licence, pattern in rules if ids else ():
+        ids, n = pattern.subn("<?>", ids)
+        if n:
+            found[licence] = None
+    return list(found), ids
 
 
 def _with_markers(text: Column) -> Column:
@@ -124,23 +232,23 @@ def _with_markers(text: Column) -> Column:
 def scan_licences(docs: DataFrame, rules: tuple[LicenceRule, ...] = RULES) -> DataFrame:
     """doc_id, identifiers, licences, n_known, n_left for every row of docs.
 
-    A wrapped notice is read across line ends; a licence line among other lines
-    is read line by line. identifiers is the reading that knows more sentences,
-    of equal ones the one across lines. licences lists each recognised licence
-    once, in the order of the rules; n_left counts known sentences that no rule used.
+    licences lists each recognised licence once, in the order of the rules; n_known
+    counts known sentences, n_left those that no rule used. A tag line with an
+    expression of several licences is no known sentence.
 
-    Null and empty texts: no identifiers, empty list, zeros. Repeated rows are
-    read alike. No rows: no rows. Other columns are ignored.
+    Null and empty texts: no identifiers, empty list, zeros. Whole texts are read,
+    however long. Repeated rows are read alike; ties don't occur. No rows: no rows.
+    Other columns are ignored, whatever their names.
     """
-    count = lambda c: F.size(F.split(c, "<[^?>]")) - 1
-    marked = docs.select("doc_id", F.when(_with_markers(text_of()), text_of()).otherwise("").alias("_text"))
-    read = marked.select("doc_id", F.inline(F.array(F.struct(identifiers(F.col("_text"), False).alias("_flow"), identifiers(F.col("_text"), True).alias("_lines")))))
-    read = read.select("doc_id", F.when(count(F.col("_lines")) > count(F.col("_flow")), F.col("_lines")).otherwise(F.col("_flow")).alias("identifiers"))
-    table = F.array(*(F.struct(F.lit(r.licence).alias("licence"), F.lit(r.pattern).alias("pattern")) for r in rules))
-    start = F.struct(F.col("identifiers").alias("left"), F.array().cast("array<string>").alias("found"))
-    step = lambda done, r: F.struct(
-        F.regexp_replace(done["left"], r["pattern"], "<?>").alias("left"),
-        F.when(F.regexp_like(done["left"], r["pattern"]), F.array_append(done["found"], r["licence"])).otherwise(done["found"]).alias("found"),
-    )
-    read = read.withColumn("_end", F.when(F.col("identifiers") != "", F.aggregate(table, start, step)).otherwise(start))
-    return read.select("doc_id", "identifiers", F.array_distinct("_end.found").alias("licences"), count(F.col("identifiers")).cast("long").alias("n_known"), count(F.col("_end.left")).cast("long").alias("n_left"))
+    marked = docs.select("doc_id", F.when(_with_markers(text_of()), text_of()).otherwise("").alias("text"))
+    compiled = [(r.licence, r.pattern) for r in rules]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready = tuple((licence, re.compile(p)) for licence, p in compiled)
+        for batch in batches:
+            ids = [identifiers(t) if t else "" for t in batch["text"]]
+            found = [recognised(i, ready) for i in ids]
+            known = lambda x: len(re.findall("<[^?>]", x))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "identifiers": ids, "licences": [f for f, _ in found], "n_known": list(map(known, ids)), "n_left": [known(left) for _, left in found]})
+
+    return by_batches(marked, run, "identifiers string, licences array<string>, n_known long, n_left long")

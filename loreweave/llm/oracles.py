@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import MARKERS, RULES, SENTENCES, normal_sentence
+from .licenses import RULES, SENTENCES, _wildcard, normal_sentence
 from .quality import STOP_WORDS
 
 _CODES = r"replace(replace(replace(replace({0}, '\', '\e'), '###', '\h'), '</turn>', '\t'), '<same/>', '\s')"
@@ -101,33 +101,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND n_stop_words >= 0.06 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_bullet_lines <= 0.9 * n_lines AND n_ellipsis_lines <= 0.3 * n_lines AS kept
 FROM judged"""
 
-_NORMAL = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
-_CUT = r"regexp_replace({0}, '([.:!?])[\x20\x09-\x0D]+|\n[\x20\x09#*/;-]*\n{1}', '\1' || chr(1), 'g')"
-
-
-def _reading(name: str, more: str) -> str:
-    return f"""
-    SELECT doc_id, coalesce(string_agg(coalesce('<' || id || '>', '<?>'), '' ORDER BY i), '') AS raw, count(id) AS n FROM (
-        SELECT doc_id, i, {_NORMAL.format('s')} AS norm FROM (SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split({_CUT.format('t', more)}, chr(1)) AS p FROM docs))
-    ) LEFT JOIN known USING (norm) WHERE norm <> '' GROUP BY doc_id"""
-
-
 def _licences() -> str:
-    known = ", ".join(f"('{normal_sentence(v)}', '{k}')" for k, v in SENTENCES.items())
-    marked = " OR ".join(f"contains(lower(text), '{m}')" for m in MARKERS)
+    """No cuts here: the known sentences are searched for in the normalised text, longer ones first."""
+    known = sorted(((_wildcard(v) if "{}" in v else normal_sentence(v), k) for k, v in SENTENCES.items()), key=lambda x: (-len(x[0]), x[0]))
+    plain = ", ".join(f"('{v}', '{k}')" for v, k in known if "[" not in v)
+    open_ = "".join(f" WHEN regexp_full_match(f, '{v}') THEN '{k}'" for v, k in known if "[" in v)
+    pattern = r"\b(?:" + "|".join(v for v, _ in known) + r")\b"
     steps, last = [], "read"
     for k, r in enumerate(RULES):
         steps.append(f"r{k} AS (SELECT doc_id, identifiers, regexp_replace(rest, '{r.pattern}', '<?>', 'g') AS rest, CASE WHEN regexp_matches(rest, '{r.pattern}') AND NOT list_contains(found, '{r.licence}') THEN list_append(found, '{r.licence}') ELSE found END AS found FROM {last})")
         last = f"r{k}"
     count = "len(regexp_extract_all({0}, '<[^?>]'))"
     return rf"""
-WITH known(norm, id) AS (VALUES {known}),
-docs AS (SELECT doc_id, CASE WHEN {marked} THEN text ELSE '' END AS t FROM documents),
-flow AS ({_reading('flow', '')}), lines AS ({_reading('lines', '|' + chr(92) + 'n')}),
-read AS (
-    SELECT d.doc_id, CASE WHEN best IN ('', '<?>') THEN '' ELSE best END AS identifiers, CASE WHEN best IN ('', '<?>') THEN '' ELSE best END AS rest, CAST([] AS VARCHAR[]) AS found
-    FROM documents d LEFT JOIN (SELECT doc_id, regexp_replace(CASE WHEN l.n > f.n THEN l.raw ELSE f.raw END, '(<\?>)+', '<?>', 'g') AS b FROM flow f JOIN lines l USING (doc_id)) x USING (doc_id), LATERAL (SELECT coalesce(b, '') AS best)
-),
+WITH known(norm, id) AS (VALUES {plain}),
+docs AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents),
+hits AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS fs, string_split_regex(t, '{pattern}') AS gaps FROM docs WHERE regexp_matches(t, '{pattern}')),
+each AS (SELECT doc_id, len(gaps) AS n, unnest(gaps) AS gap, unnest(list_append(fs, NULL)) AS f, unnest(range(len(gaps))) AS i FROM hits),
+named AS (SELECT doc_id, string_agg(CASE WHEN trim(gap) <> '' THEN '<?>' ELSE '' END || coalesce('<' || coalesce(id, CASE{open_} END) || '>', ''), '' ORDER BY i) AS ids FROM each LEFT JOIN known ON f = norm GROUP BY doc_id),
+read AS (SELECT d.doc_id, coalesce(ids, '') AS identifiers, coalesce(ids, '') AS rest, CAST([] AS VARCHAR[]) AS found FROM documents d LEFT JOIN named USING (doc_id)),
 {', '.join(steps)}
 SELECT doc_id, identifiers, array_to_string(found, ',') AS licences, {count.format('identifiers')} AS n_known, {count.format('rest')} AS n_left FROM {last}"""
 
