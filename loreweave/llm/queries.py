@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, licenses, media, packing, quality, secrets, sharding, simhash, warc
+from .common import Scratch, shared_folder
 from .oracles import ORACLES
 
 #: The conversation that holds the template's own control strings.
@@ -48,8 +50,22 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "identifiers", F.array_join("licences", ",").alias("licences"), "n_known", "n_left")
 
 
+#: The rules of the first of op5's two scans: one of them has changed since.
+EARLIER_RULES = tuple(secrets.SecretRule("hex", "0", r"[0-9a-f]{32,}") if r.kind == "hex" else r for r in secrets.RULES)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Two increments of a ledger: the English documents under earlier rules, then all documents under today's.
+
+    The second scan takes blobs that are new under all rules and the others under
+    the one that has changed; findings of its earlier version are not reported.
+    """
+    docs, scratch = table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "ledger")
+    earlier = secrets.addressed(table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text"))
+    ledger = scratch.write(secrets.scan_unseen(earlier, EARLIER_RULES))
+    versions = secrets.addressed(docs)
+    ledger = ledger.unionByName(scratch.write(secrets.scan_unseen(versions, secrets.RULES, ledger)))
+    found = secrets.on_paths(versions.select("doc_id", "blob", "marked"), secrets.findings(ledger))
     return found.select("doc_id", *(c.alias(k) for k, c in secrets.counts().items()), F.sha2(secrets.listed(secrets.base_spans()), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
@@ -67,7 +83,7 @@ REVISIT_AFTER = 6000
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Two records for each page: its response at second page_id, and later a not-modified revisit with the same entity tag."""
+    """Two captures of each page: its response at second page_id, and later a not-modified revisit with the same entity tag."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     at = lambda s: F.timestamp_seconds(F.unix_timestamp(start) + s)
     tag = F.md5("html")
@@ -75,23 +91,31 @@ def captures(pages: DataFrame) -> DataFrame:
         (2 * F.col("page_id")).alias("record_id"),
         F.lit("response").alias("kind"),
         at(F.col("page_id")).alias("date"),
-        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.octet_length("html").cast("string")).alias("headers"),
+        F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), tag, F.lit("Content-Type"), F.lit("text/html"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Length"), F.octet_length("html").cast("string")).alias("headers"),
         F.sha1("html").alias("payload_digest"),
+        F.col("html").alias("body"),
     )
     revisit = F.struct(
         (2 * F.col("page_id") + 1).alias("record_id"),
         F.lit("revisit").alias("kind"),
         at(F.col("page_id") + REVISIT_AFTER).alias("date"),
-        F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0")).alias("headers"),
+        F.lit(304).alias("status"),
+        F.create_map(F.lit("ETag"), F.concat(F.lit("W/"), tag), F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Content-Length"), F.lit("0")).alias("headers"),
         F.lit(None).cast("string").alias("payload_digest"),
+        F.lit(None).cast("string").alias("body"),
     )
     return pages.select("url", F.inline(F.array(response, revisit)))
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    """The pages' captures are written as WARC files to the shared folder, read from there and resolved."""
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(captures(table(spark, sf_dir, "pages")), folder)
+    rows = warc.resolve_revisits(warc.read_warc(spark, folder))
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
-    return rows.select("record_id", "canonical", "verdict", "response_id", "payload_digest", headers.alias("headers"))
+    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return rows.select(number("record_id").alias("record_id"), "canonical", "verdict", number("response_id").alias("response_id"), "payload_digest", headers.alias("headers"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,22 @@
 
 A revisit record has no body. It is joined, as of its date, to the latest earlier
 full response of the same canonical URL; the validators of the two must agree,
-and headers that a not-modified answer may renew are taken from the revisit.
+and headers that a not-modified answer may renew are taken from the revisit. WARC
+files are read as text that is split between records, so plain files are read in
+parallel and compressed ones as a stream; no file is one value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Headers that a 304 response may renew, query keys that don't name a page.
 RENEWABLE = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
+VERSION, GAP = "WARC/1.0\r\n", "\r\n\r\n"
+#: Records of a URL from which its time is cut into slices of about as many.
+ROWS_PER_SLICE = 50_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -44,33 +49,123 @@ def latest_before(rows: DataFrame, keys: list[str], order: list[str], slice_: st
     return placed.join(carried, [*keys, slice_]).withColumn("latest", F.coalesce("_own", "_carried")).drop("_own", "_carried")
 
 
-def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
+def write_warc(captures: DataFrame, path: str) -> None:
+    """Write records as WARC files below path.
+
+    captures has record_id, kind, url, date, status, headers (map), payload_digest
+    and body; a null body or digest is left out. Texts of URLs and headers must
+    not hold line ends.
+    """
+    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
+    http = F.concat(
+        F.concat(F.lit("HTTP/1.1 "), F.col("status").cast("string"), F.lit("\r\n")),
+        F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n"))), ""),
+        F.lit("\r\n"),
+        F.coalesce("body", F.lit("")),
+    )
+    made = captures.withColumn("_http", http)
+    record = F.concat(
+        F.lit(VERSION),
+        line("WARC-Type", F.col("kind")),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("record_id").cast("string"), F.lit(">"))),
+        line("WARC-Target-URI", F.col("url")),
+        line("WARC-Date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Payload-Digest", F.col("payload_digest")),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", F.octet_length("_http").cast("string")),
+        F.lit("\r\n"),
+        F.col("_http"),
+    )
+    made.select(record.alias("value")).write.option("lineSep", GAP).text(path)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, kind, url, date, status, headers, payload_digest, refers_to_url, refers_to_date of the responses and revisits in WARC files.
+
+    kind is 'revisit' also for a response of status 304, which has no body of its
+    own. Names of headers are in lower case; values of a repeated one are joined by
+    commas. A field that a record lacks is null, a date that can't be read too.
+    Records of other types are left out. Bodies aren't kept; one that holds the
+    line between two records is cut there, and what follows is no record.
+    """
+    text = spark.read.option("lineSep", GAP + VERSION).text(path)
+    split = text.select(F.regexp_replace("value", rf"^{VERSION}", "").alias("_r")).select(F.substring_index("_r", GAP, 1).alias("_head"), F.substring_index(F.expr(f"substr(_r, length(substring_index(_r, '{_sql(GAP)}', 1)) + 5)"), GAP, 1).alias("_http"))
+    field = lambda name: F.nullif(F.regexp_extract("_head", rf"(?im)^{name}:[\x20\t]*([^\r\n]*?)[\x20\t]*\r?$", 1), F.lit(""))
+    date = lambda name: F.try_to_timestamp(F.regexp_replace(field(name), r"(\.\d+)?Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    status = F.regexp_extract("_http", r"^HTTP/[\d.]+ (\d{3})", 1)
+    lines = F.filter(F.slice(F.split("_http", "\r?\n"), 2, F.size(F.split("_http", "\r?\n"))), lambda x: x.contains(":"))
+    entries = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, F.lit(":")) + 1)).alias("v")))
+    made = split.select(
+        F.regexp_replace(field("WARC-Record-ID"), "^<|>$", "").alias("record_id"),
+        F.when((field("WARC-Type") == "response") & (status == "304"), "revisit").otherwise(field("WARC-Type")).alias("kind"),
+        field("WARC-Target-URI").alias("url"),
+        date("WARC-Date").alias("date"),
+        F.nullif(status, F.lit("")).cast("int").alias("status"),
+        F.when(F.col("_http").startswith("HTTP/"), entries).otherwise(F.array().cast("array<struct<k:string,v:string>>")).alias("_entries"),
+        field("WARC-Payload-Digest").alias("payload_digest"),
+        field("WARC-Refers-To-Target-URI").alias("refers_to_url"),
+        date("WARC-Refers-To-Date").alias("refers_to_date"),
+    )
+    names = F.array_distinct(F.transform("_entries", lambda e: e["k"]))
+    values = F.transform(names, lambda n: F.array_join(F.transform(F.filter("_entries", lambda e: e["k"] == n), lambda e: e["v"]), ", "))
+    return made.filter(F.col("kind").isin("response", "revisit")).withColumn("headers", F.map_from_arrays(names, values)).drop("_entries")
+
+
+def _sql(text: str) -> str:
+    return text.replace("\r", "\\r").replace("\n", "\\n")
+
+
+def _sliced(known: DataFrame, rows_per_slice: int) -> DataFrame:
+    """known with ``_slice``, which rises with _asof: 0 for most URLs, about rows_per_slice rows to a slice for a URL of more.
+
+    The edges of a URL's slices are quantiles of its own dates, so a burst is cut
+    where it is dense. Records of one second stay together.
+    """
+    seconds = F.col("_asof").cast("double")
+    counts = known.groupBy("canonical").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slice)
+    most = counts.agg(F.max("_n")).first()[0]
+    if most is None:
+        return known.withColumn("_slice", F.lit(0))
+    n = -(-most // rows_per_slice)
+    shares = F.array(*(F.lit(k / n) for k in range(1, n)))
+    # A row for each URL of more than rows_per_slice records.
+    edges = known.join(counts.select("canonical"), "canonical", "left_semi").groupBy("canonical").agg(F.percentile_approx(seconds, shares, F.lit(10 * n)).alias("_edges"))
+    # Binary search: the number of edges that are not above the date.
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    upto = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size("_edges")) & (F.get("_edges", at + step - 1) <= seconds), at + step).otherwise(at))
+    return known.join(edges, "canonical", "left").withColumn("_slice", F.when(F.col("_edges").isNotNull(), upto).otherwise(0)).drop("_edges")
+
+
+def resolve_revisits(records: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """A row for each revisit: record_id, url, canonical, date, verdict, response_id, payload_digest, headers.
 
     records has record_id, kind ('response' or 'revisit'), url, date (timestamp),
-    headers (map with lower-case keys) and payload_digest; other kinds and columns
+    headers (map with lower-case keys), payload_digest and, if it likes,
+    refers_to_url and refers_to_date: a revisit that names the capture it refers to
+    is looked up by those, up to and including that date. Other kinds and columns
     are ignored. verdict: 'resolved'; 'no response'; 'validators differ' if the
     entity tags, the dates of modification or the digests, where both have them,
     aren't equal; 'no validator' if there is nothing to compare. Only resolved
     rows have response_id, payload_digest and headers, the response's with those
     of the revisit that may be renewed.
 
-    Records of equal date are ordered by record_id. Null url or date: 'no
-    response', as a revisit, and never found, as a response. Null headers: none.
-    Repeated rows each give a row. No rows: no rows.
+    Records of equal date are ordered by record_id. Null or blank url, or null
+    date: 'no response', as a revisit, and never found, as a response. Null
+    headers: none. Very long URLs and headers are taken whole. Repeated rows each
+    give a row. No rows: no rows.
     """
     empty = F.create_map().cast("map<string,string>")
-    clean = records.filter(F.col("kind").isin("response", "revisit")).select("record_id", "kind", "url", "date", F.coalesce("headers", empty).alias("headers"), "payload_digest")
-    clean = clean.withColumn("canonical", canonical_url(F.col("url")))
-    usable = F.col("canonical").isNotNull() & F.col("date").isNotNull()
-    known = clean.filter(usable)
-    seconds = F.col("date").cast("double")
-    span = known.agg(F.min(seconds).alias("_from"), F.max(seconds).alias("_to"))
-    first, last = span.first()
-    width = max(((last or 0) - (first or 0)) / slices, 1e-6)
-    known = known.withColumn("_slice", F.floor((seconds - F.lit(first)) / width).cast("int"))
+    for name, kind in (("refers_to_url", "string"), ("refers_to_date", "timestamp")):
+        if name not in records.columns:
+            records = records.withColumn(name, F.lit(None).cast(kind))
+    clean = records.filter(F.col("kind").isin("response", "revisit")).select("record_id", "kind", "url", "date", F.coalesce("headers", empty).alias("headers"), "payload_digest", "refers_to_url", "refers_to_date")
+    refers = (F.col("kind") == "revisit") & F.col("refers_to_date").isNotNull()
+    clean = clean.withColumn("canonical", canonical_url(F.when(F.col("kind") == "revisit", F.coalesce("refers_to_url", "url")).otherwise(F.col("url"))))
+    clean = clean.withColumn("_asof", F.when(refers, F.least("refers_to_date", "date")).otherwise(F.col("date"))).withColumn("_behind", refers.cast("int")).drop("refers_to_url", "refers_to_date")
+    usable = (F.col("canonical") != "") & F.col("date").isNotNull()
+    known = _sliced(clean.filter(usable), rows_per_slice)
     known = known.withColumn("_response", F.when(F.col("kind") == "response", F.struct("record_id", "headers", "payload_digest")))
-    found = latest_before(known, ["canonical"], ["date", "record_id"], "_slice", "_response").filter("kind = 'revisit'").drop("_slice", "_response")
+    found = latest_before(known, ["canonical"], ["_asof", "_behind", "record_id"], "_slice", "_response").filter("kind = 'revisit'").drop("_slice", "_response")
     lost = clean.filter(~F.coalesce(usable, F.lit(False)) & (F.col("kind") == "revisit"))
     rows = found.unionByName(lost, allowMissingColumns=True)
 

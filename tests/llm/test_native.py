@@ -10,14 +10,14 @@ import pytest
 
 from loreweave.llm import chat, licenses, quality, secrets, sharding, warc
 
-CLASH = "_text string, blob int, spans int, kept int, n_words int, _words int, length int, shard int, slot int, fp int"
+CLASH = "_text string, blob int, marked int, spans int, kept int, n_words int, _words int, length int, shard int, slot int, fp int"
 DOCS = f"doc_id long, text string, {CLASH}"
 
 
 def docs(spark, texts, ids=None):
     """Documents with columns whose names operators use for themselves."""
     ids = range(len(texts)) if ids is None else ids
-    return spark.createDataFrame([(i, t, "x", *[1] * 9) for i, t in zip(ids, texts, strict=True)], DOCS)
+    return spark.createDataFrame([(i, t, "x", *[1] * 10) for i, t in zip(ids, texts, strict=True)], DOCS)
 
 
 NASTY = ["\\### Assistant: </turn> ok", "", "\\", "\\e\\h\\t\\s", "### user:\n</turn>\n<same/>", "####", "######", "<same", "/turn>\n", "a\nb", "é漢😀\x00", "</turn></turn>\n### x:\n"]
@@ -82,23 +82,39 @@ def _secrets(text):
     return sorted(found + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
 
 
+def _spans(row):
+    return tuple((s["start"], s["rank"], s["end"], s["kind"]) for s in row["spans"])
+
+
 def test_secrets_and_ledger(spark):
     frame = docs(spark, SECRET_TEXTS * 2)
     found = secrets.find_secrets(frame).collect()
-    assert Counter((r["doc_id"], tuple(tuple(s) for s in r["spans"])) for r in found) == Counter((k, tuple(_secrets(t))) for k, t in enumerate(SECRET_TEXTS * 2))
-    old = secrets.addressed(docs(spark, SECRET_TEXTS[:3]))
-    scans = secrets.scan_unseen(old).cache()
-    ledger = secrets.ledger_rows(scans)
+    assert Counter((r["doc_id"], _spans(r)) for r in found) == Counter((k, tuple(_secrets(t))) for k, t in enumerate(SECRET_TEXTS * 2))
+    ledger = secrets.scan_unseen(secrets.addressed(docs(spark, SECRET_TEXTS[:3]))).cache()
     again = secrets.scan_unseen(secrets.addressed(docs(spark, SECRET_TEXTS)), ledger=ledger)
     # Null and empty text are one blob.
     assert again.count() == len(set(t or "" for t in SECRET_TEXTS)) - 3
-    rules = (secrets.SecretRule("assign", "2", secrets.RULES[0].pattern, 1, 6), *secrets.RULES[1:])
+    rules = (secrets.SecretRule("assign", "2", "nothing like this"), *secrets.RULES[1:])
+    old = secrets.addressed(docs(spark, SECRET_TEXTS[:3]))
     assert {tuple(r["scanned"]) for r in secrets.scan_unseen(old, rules, ledger).collect()} == {("assign@2",)}
-    merged = secrets.find_secrets(docs(spark, SECRET_TEXTS), ledger=ledger, known=scans).collect()
-    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in merged} == {k: _secrets(t) for k, t in enumerate(SECRET_TEXTS)}
+    assert secrets.scan_unseen(old, secrets.RULES, ledger).count() == 0
+    merged = secrets.find_secrets(docs(spark, SECRET_TEXTS), ledger=ledger).collect()
+    assert {r["doc_id"]: _spans(r) for r in merged} == {k: tuple(_secrets(t)) for k, t in enumerate(SECRET_TEXTS)}
+    # What a replaced rule version found is gone.
+    later = secrets.find_secrets(docs(spark, SECRET_TEXTS), rules, ledger).collect()
+    assert {r["doc_id"]: _spans(r) for r in later} == {k: tuple(s for s in _secrets(t) if s[3] != "assign") for k, t in enumerate(SECRET_TEXTS)}
     assert secrets.find_secrets(docs(spark, [])).collect() == []
 
 
+def test_secrets_of_null_ids_repeated_rows_and_a_very_long_text(spark):
+    long = "word " * 400_000 + "AKIA" + "X" * 20 + " " + "é" * 1000 + " token: abcdef"
+    texts, ids = [long, long, "password=hunter22", "password=hunter22", "password=hunter22", None], [None, None, 3, 3, 4, None]
+    found = secrets.find_secrets(docs(spark, texts, ids)).collect()
+    assert Counter((r["doc_id"], _spans(r)) for r in found) == Counter((i, tuple(_secrets(t))) for i, t in zip(ids, texts, strict=True))
+    # Copies are scanned once.
+    assert secrets.scan_unseen(secrets.addressed(docs(spark, texts, ids))).count() == 3
+
+
 def test_redaction_leaves_no_secret(spark):
     frame = secrets.find_secrets(docs(spark, SECRET_TEXTS))
     for r in frame.select("text", secrets.redacted(frame["text"], frame["spans"]).alias("out")).collect():
@@ -136,22 +152,57 @@ def test_quality(spark):
     assert filtered._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
 
 
+def _filled(name):
+    return licenses.SENTENCES[name].replace("{}", "The Example Project and Friends")
+
+
 def test_licences(spark):
     one, at, url, as_is, see = (licenses.SENTENCES[k] for k in ("apache-notice", "apache-copy", "apache-url", "apache-as-is", "apache-see"))
     notice = f"# {one}\n# {at}\n#\n#     {url}\n#\n# {as_is}\n# {see}"
+    wrapped = notice.replace("compliance with", "compliance\n# with")
     mit = " ".join(licenses.SENTENCES[k] for k in ("mit-grant", "mit-notice", "mit-as-is", "mit-liability"))
-    texts = [
-        "Some words\nLicensed under the Apache License, Version 2.0.", "nothing here", None, "", "prose. Licensed under CC BY-NC 4.0. prose", notice.replace("compliance with", "compliance\n# with"), "The MIT License (MIT)\n\nCopyright me\n\n" + mit,
-        "Released under the MIT License.\nReleased under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.", "A licence of my own. Permission denied.", "x. " * 5000 + "This work is licensed under the GNU General Public License, version 3.",
-    ]
+    want = {
+        "Some words\nLicensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        "nothing here": [],
+        "": [],
+        "prose. Licensed under CC BY-NC 4.0. prose": ["CC-BY-NC-4.0"],
+        wrapped: ["Apache-2.0"],
+        "The MIT License (MIT)\n\nCopyright me\n\n" + mit: ["MIT"],
+        "Released under the MIT License.\nReleased under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.": ["MIT", "GPL-3.0-only"],
+        "A licence of my own. Permission denied.": [],
+        "x. " * 50_000 + "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0-only"],
+        wrapped + "\na line without a full stop\nLicensed under CC BY 4.0.": ["Apache-2.0", "CC-BY-4.0"],
+        "A title\n" + mit.replace("free of charge, ", "free of charge,\n * "): ["MIT"],
+        "# This is free and unencumbered software released into the public\n# domain.": ["Unlicense"],
+        "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at http://mozilla.org/MPL/2.0/.": ["MPL-2.0"],
+        "/* SPDX-License-Identifier: GPL-2.0-or-later */": ["GPL-2.0-or-later"],
+        "To the extent possible under law,\nA. Person Jr. has waived all copyright and related or neighboring rights to\nThis Work.": ["CC0-1.0"],
+    }
+    texts = [*want, None]
     found = {r["doc_id"]: r for r in licenses.scan_licences(docs(spark, texts)).collect()}
-    want = [["Apache-2.0"], [], [], [], ["CC-BY-NC-4.0"], ["Apache-2.0"], ["MIT"], ["MIT", "GPL-3.0-only"], [], ["GPL-3.0-only"]]
-    assert [found[k]["licences"] for k in range(len(texts))] == want
-    assert all(r["n_left"] == 0 for r in found.values()) and found[7]["n_known"] == 3
-    assert all(any(m in licenses.normal_sentence(s) or m in s.lower() for m in licenses.MARKERS) for s in licenses.SENTENCES.values())
+    assert [found[k]["licences"] for k in range(len(texts))] == [*want.values(), []]
+    assert found[5]["n_left"] == 0 and found[6]["n_known"] == 3
+    assert all(any(m in s.lower() for m in licenses.MARKERS) for s in licenses.SENTENCES.values())
     assert licenses.scan_licences(docs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("wrap", [False, True])
+def test_every_sentence_and_every_rule_is_reached(wrap):
+    rules = tuple((r.licence, re.compile(r.pattern)) for r in licenses.RULES)
+    broken = lambda t: re.sub(r"(\S+ \S+ \S+) ", r"\1\n# ", t) if wrap else t
+    for name in licenses.SENTENCES:
+        # One sentence ends in words of any kind; wrapped, its last line is not known to belong to it.
+        assert licenses.identifiers(broken(_filled(name))).removesuffix("<?>") == f"<{name}>"
+    assert {s.rstrip("?") for r in licenses.RULES for s in r.steps} == set(licenses.SENTENCES) and len(set(licenses.RULES)) == len(licenses.RULES)
+    for k, r in enumerate(licenses.RULES):
+        for steps in ([s for s in r.steps if not s.endswith("?")], [s.rstrip("?") for s in r.steps]):
+            for gap in ("\n", "\nsomething else here\n"):
+                ids = licenses.identifiers(gap.join(broken(_filled(s)) for s in steps))
+                assert licenses.recognised(ids, rules)[0] == [r.licence], (r, ids)
+                # and by this rule, not by a later one
+                assert not any(p.search(ids) for _, p in rules[:k]) and licenses.recognised(ids, rules[k : k + 1])[0] == [r.licence]
+
+
 def test_revisits(spark):
     from datetime import datetime, timedelta
 
@@ -168,11 +219,99 @@ def test_revisits(spark):
         (8, "revisit", None, at(9), {"etag": "1"}, None),
         (9, "revisit", "https://a.com/x", None, {"etag": "1"}, None),
         (10, "request", "https://a.com/x", at(1), {}, None),
+        (11, "revisit", "  ", at(9), {"etag": "1"}, None),
         (2, "revisit", "https://a.com/x", at(5), {"etag": "W/1", "cache-control": "new", "content-length": "0"}, None),
     ]
     frame = spark.createDataFrame(rows, "record_id long, kind string, url string, date timestamp, headers map<string,string>, payload_digest string").selectExpr("*", "1 AS latest", "2 AS verdict")
-    for slices in (1, 64):
-        found = sorted(((r["record_id"], r["verdict"], r["response_id"], r["headers"]) for r in warc.resolve_revisits(frame, slices).collect()), key=lambda x: x[0])
-        assert [x[:3] for x in found] == [(2, "resolved", 1), (2, "resolved", 1), (4, "validators differ", None), (5, "resolved", 3), (6, "no validator", None), (7, "no response", None), (8, "no response", None), (9, "no response", None)]
+    for rows_per_slice in (1, 3, 50_000):
+        found = sorted(((r["record_id"], r["verdict"], r["response_id"], r["headers"]) for r in warc.resolve_revisits(frame, rows_per_slice).collect()), key=lambda x: x[0])
+        assert [x[:3] for x in found] == [(2, "resolved", 1), (2, "resolved", 1), (4, "validators differ", None), (5, "resolved", 3), (6, "no validator", None), (7, "no response", None), (8, "no response", None), (9, "no response", None), (11, "no response", None)]
         assert found[0][3] == {"etag": "W/1", "content-length": "9", "cache-control": "new"}
     assert warc.resolve_revisits(frame.limit(0)).collect() == []
+
+
+WARC = """WARC/1.0
+WARC-Type: warcinfo
+WARC-Record-ID: <urn:a:0>
+Content-Length: 4
+
+soft
+
+WARC/1.0
+WARC-Type: response
+warc-record-id: <urn:a:1>
+WARC-Target-URI: http://a.com/x
+WARC-Date: 2024-01-01T00:00:00.123Z
+WARC-Payload-Digest: sha1:AAA
+
+HTTP/1.1 200 OK
+ETag: "1"
+Set-Cookie: a
+set-cookie: b
+
+<html>
+
+one: two</html>
+
+WARC/1.0
+WARC-Type: response
+WARC-Record-ID: <urn:a:2>
+WARC-Target-URI: http://a.com/x
+WARC-Date: 2024-01-01T00:00:10Z
+
+HTTP/1.1 200 OK
+ETag: "2"
+
+new
+
+WARC/1.0
+WARC-Type: response
+WARC-Record-ID: <urn:a:3>
+WARC-Target-URI: http://a.com/x
+WARC-Date: 2024-01-01T00:00:20Z
+
+HTTP/1.1 304 Not Modified
+ETag: W/"2"
+Expires: never
+
+WARC/1.0
+WARC-Type: revisit
+WARC-Record-ID: <urn:a:4>
+WARC-Target-URI: http://b.com/
+WARC-Date: 2024-01-01T00:00:30Z
+WARC-Refers-To-Target-URI: https://www.a.com/x
+WARC-Refers-To-Date: 2024-01-01T00:00:00Z
+WARC-Payload-Digest: sha1:AAA
+
+HTTP/1.1 200 OK
+
+"""
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_files_are_read_and_resolved(spark, tmp_path, packed):
+    import gzip
+
+    raw = WARC.replace("\n", "\r\n").encode()
+    if packed:  # a compressed file has a member for each record
+        cuts = [0, *(m.start() for m in re.finditer(rb"(?<!^)WARC/1.0\r\n", raw)), len(raw)]
+        raw = b"".join(gzip.compress(raw[a:b]) for a, b in zip(cuts, cuts[1:]))
+    (tmp_path / ("x.warc.gz" if packed else "x.warc")).write_bytes(raw)
+    records = warc.read_warc(spark, str(tmp_path))
+    found = {r["record_id"]: r for r in records.collect()}
+    assert {k: (r["kind"], r["status"]) for k, r in found.items()} == {"urn:a:1": ("response", 200), "urn:a:2": ("response", 200), "urn:a:3": ("revisit", 304), "urn:a:4": ("revisit", 200)}
+    assert found["urn:a:1"]["headers"] == {"etag": '"1"', "set-cookie": "a, b"} and found["urn:a:1"]["payload_digest"] == "sha1:AAA" and found["urn:a:2"]["payload_digest"] is None
+    told = {r["record_id"]: (r["verdict"], r["response_id"], r["headers"]) for r in warc.resolve_revisits(records).collect()}
+    assert told == {"urn:a:3": ("resolved", "urn:a:2", {"etag": 'W/"2"', "expires": "never"}), "urn:a:4": ("resolved", "urn:a:1", {"etag": '"1"', "set-cookie": "a, b"})}
+
+
+def test_warc_files_that_are_written(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(1, "response", "http://a/", datetime(2024, 5, 6, 7, 8, 9), 200, {"ETag": "x"}, "d", "body\n\n and é"), (2, "revisit", "http://a/", datetime(2024, 5, 7), 304, {}, None, None)]
+    frame = spark.createDataFrame(rows, "record_id long, kind string, url string, date timestamp, status int, headers map<string,string>, payload_digest string, body string")
+    warc.write_warc(frame, str(tmp_path / "w"))
+    back = sorted(warc.read_warc(spark, str(tmp_path / "w")).collect(), key=lambda r: r["record_id"])
+    assert [(r["record_id"], r["kind"], r["url"], r["date"], r["status"], r["headers"], r["payload_digest"]) for r in back] == [(f"urn:record:{k}", kind, u, d, s, {a.lower(): b for a, b in h.items()}, p) for k, kind, u, d, s, h, p, _ in rows]
+    warc.write_warc(frame.limit(0), str(tmp_path / "none"))
+    assert warc.read_warc(spark, str(tmp_path / "none")).collect() == []
