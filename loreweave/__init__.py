@@ -1 +1 @@
-"""loreweave: retrieval, knowledge-graph and corpus analytics written for Spark DataFrames."""
+"""loreweave: retrieval, entity-graph and corpus analytics written for Spark DataFrames."""

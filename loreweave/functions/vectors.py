@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,30 +25,12 @@ def cosine_safe(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)), F.lit(0.0)).otherwise(dot(a, b) / ((norm(a) + F.lit(1e-8)) * (norm(b) + F.lit(1e-8))))
 
 
-def hash_tokens(text: Column) -> Column:
-    """Distinct characters (c:), neighbouring characters (b:) and words (w:) of a text in lower case."""
-
-    def tagged(tag: str, found: Column) -> Column:
-        return F.transform(found, lambda x: F.concat(F.lit(tag), x))
-
-    blank = lambda c: c.isin(*" \t\n\x0b\x0c\r")
-
-    def tokens(characters: Column) -> Column:
-        n = F.size(characters)
-        pair = lambda i: F.when(~(blank(F.get(characters, i)) & blank(F.get(characters, i + 1))), F.concat(F.lit("b:"), F.get(characters, i), F.get(characters, i + 1)))
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), pair)).otherwise(F.array().cast("array<string>"))
-        return F.array_compact(F.concat(tagged("c:", F.filter(characters, lambda c: ~blank(c))), pairs))
-
-    lower = F.lower(text)
-    return F.array_distinct(F.concat(bind(F.regexp_extract_all(lower, F.lit("(?s)(.)"), F.lit(1)), tokens), tagged("w:", F.regexp_extract_all(lower, F.lit("([a-z0-9]+)"), F.lit(1)))))
-
-
 #: White space as Python's str.strip knows it.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-def cased_tokens(text: Column) -> Column:
-    """As hash_tokens, with the case of characters and pairs kept, and runs of Chinese characters as words too."""
+def hash_tokens(text: Column) -> Column:
+    """Distinct characters (c:) and neighbouring characters (b:) of a trimmed text, and its words (w:) in lower case."""
     stripped = F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
     blank = lambda c: c.isin(*BLANKS)
 
@@ -64,14 +44,40 @@ def cased_tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(bind(F.regexp_extract_all(stripped, F.lit("(?s)(.)"), F.lit(1)), tokens), F.transform(words, lambda w: F.concat(F.lit("w:"), F.lower(w)))))
 
 
-def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = 512, tokens_of: Callable[[Column], Column] = hash_tokens) -> DataFrame:
-    """key, idx, weight: the non-zero cells of a signed feature hash of every text, of length 1.
+CELLS = "array<struct<idx:int,weight:double>>"
+
+
+def hash_cells(text: Column, dim: int = 512) -> Column:
+    """The non-zero cells of a signed feature hash of a text, of length 1: array<struct<idx, weight>>, made inside the row.
 
     A token's hash is the first eight hexadecimal digits of its MD5; its highest
-    bit gives the sign. Cells stay sparse: only they are shuffled.
+    bit gives the sign. Cell and sign are one number; sorted, equal ones are a run,
+    and the two signs of a cell are neighbours. Null and blank texts: no cells.
     """
-    tokens = docs.select(key, F.explode(tokens_of(F.col(text))).alias("_t"))
-    hashed = tokens.select(key, F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long").alias("_h"))
-    cells = hashed.groupBy(key, (F.col("_h") % dim).cast("int").alias("idx")).agg(F.sum(F.when(F.shiftright("_h", 31) == 1, -1.0).otherwise(1.0)).alias("_w")).filter("_w <> 0")
-    norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    return cells.join(norms, key).select(key, "idx", (F.col("_w") / (F.col("_n") + F.lit(1e-8))).alias("weight"))
+    code = lambda h: h % dim * 2 + F.shiftright(h, 31)
+    coded = F.sort_array(F.transform(hash_tokens(text), lambda t: code(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")).cast("int")))
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bind(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("code"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("n"))))
+
+    def summed(runs: Column) -> Column:
+        def weight(r: Column, k: Column) -> Column:
+            after, before = F.get(runs, k + 1), F.get(runs, k - 1)
+            plus = r["n"] - F.when(after["code"] == r["code"] + 1, after["n"]).otherwise(0)
+            w = F.when(r["code"] % 2 == 0, plus).when(F.coalesce(before["code"] == r["code"] - 1, F.lit(False)), 0).otherwise(-r["n"])
+            return F.struct(F.floor(r["code"] / 2).cast("int").alias("idx"), w.cast("double").alias("w"))
+
+        return F.filter(F.transform(runs, weight), lambda c: c["w"] != 0)
+
+    def scaled(cells: Column) -> Column:
+        length = F.sqrt(F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["w"] * c["w"])) + F.lit(1e-8)
+        return bind(length, lambda n: F.transform(cells, lambda c: F.struct(c["idx"].alias("idx"), (c["w"] / n).alias("weight"))))
+
+    made = bind(coded, lambda s: F.when(F.size(s) > 0, bind(counted(s), lambda runs: bind(summed(runs), scaled))))
+    return F.coalesce(made.cast(CELLS), F.array().cast(CELLS))
+
+
+def hash_embedding(docs: DataFrame, keys: str | list[str], text: str, dim: int = 512) -> DataFrame:
+    """keys, idx, weight: the cells of every text, one to a row. Nothing is shuffled."""
+    return docs.select(*([keys] if isinstance(keys, str) else keys), F.inline(hash_cells(F.col(text), dim)))

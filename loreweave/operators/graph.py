@@ -1,11 +1,18 @@
-"""The knowledge graph: nodes and edges as DataFrames, built, cleaned and searched."""
+"""The entity graph: nodes and edges as DataFrames, built, cleaned and searched.
+
+Where an entity comes from is a table (id, doc_id), not an array in its node: an
+entity that every document mentions would be one value.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import bind
+from loreweave.functions.text import bind, strip
+from loreweave.sources.checkpoints import written_once
 
 # Fixed values.
 TOKEN = r"([一-鿿]{2,}|[A-Za-z][A-Za-z0-9]{2,})"
@@ -23,16 +30,27 @@ SYNONYMS = (
 )
 FRAGMENTS = ("测试", "12个关键场景", "黄金提示词模板", "论文图表生成", "多模型对比实验", "润色优化与查重降重", "模块化设计", "上海", "fallback")
 HINTS = ("一份系统化的", "完整的工作流", "完整的提示词", "系统化的方法", "完整的科研", "关键场景", "实战手册", "工作流程指南")
-RELATIONS = {"belongs": "属于", "mentions": "提及"}
-ROOT = "文档资源"
+EXAMPLE_NAMES = (
+    "张三", "李四", "王五", "赵六", "钱七", "孙八", "周九", "吴十", "小明", "小红", "小李", "小张", "小王", "小赵", "小刚", "小芳", "老王", "老李", "老张", "老赵", "老刘",
+    "Alice", "Bob", "Charlie", "David", "Eve", "Frank", "Grace", "Henry", "John", "Jane", "Tom", "Jerry", "Mike", "Lily", "Lucy",
+)
+RELATIONS = {"belongs": "属于", "mentions": "提及", "contains": "包含"}
+ROOT, DOCUMENT, CONCEPT, EXTRACTED = "文档资源", "文档: ", "概念", "从文档内容提取的主题概念："
+#: Characters of a document in which a name that was extracted must occur.
+GUARDED = 1500
+
+
+def words_of(query: str) -> list[str]:
+    """The words of a question between white space and commas; the question itself if it has none."""
+    return [w for w in re.split(r"[\s,，、]+", query) if w] or [query]
 
 
 def keywords(title: Column, content: Column, n: int = 8) -> Column:
-    """The first n distinct words, whatever their case, of the title and the content's first 800 characters."""
+    """The first n distinct words, whatever their case, of the title and the content's first 800 characters; without any, the title's first 8 characters."""
     found = F.regexp_extract_all(F.concat_ws(" ", title, F.substring(content, 1, 800)), F.lit(TOKEN), F.lit(1))
     kept = F.filter(found, lambda t: ~F.lower(t).isin(list(STOP_WORDS)))
     first = bind(kept, lambda k: bind(F.transform(k, lambda t: F.lower(t)), lambda lower: F.filter(k, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)))
-    return F.slice(first, 1, n)
+    return bind(F.slice(first, 1, n), lambda w: F.when(F.size(w) > 0, w).otherwise(F.filter(F.array(F.substring(title, 1, 8)), lambda t: t != "")))
 
 
 def entity_id(name: Column) -> Column:
@@ -43,16 +61,59 @@ def document_node(doc_id: Column) -> Column:
     return F.concat(F.lit("doc_"), doc_id.cast("string"))
 
 
-def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of documents: each document, its keywords as entities, and the root that all belong to."""
-    words = docs.select("doc_id", "kb_id", F.explode(keywords(F.col("title"), F.col("content"))).alias("name"))
-    documents = docs.select("kb_id", document_node(F.col("doc_id")).alias("id"), F.col("title").alias("name"), F.lit("文档").alias("type"), F.lit("document").alias("category"), "doc_id")
-    names = words.select("name").unionByName(docs.select(F.lit(ROOT).alias("name"))).distinct()
+def extracted(docs: DataFrame) -> DataFrame:
+    """kb_id, doc_id, title and names, the keywords, of every document: what the graph is built from, without the texts."""
+    return docs.select("kb_id", "doc_id", "title", keywords(F.col("title"), F.col("content")).alias("names"))
+
+
+def document_nodes(docs: DataFrame) -> DataFrame:
+    """The nodes of documents (kb_id, doc_id, title)."""
+    return docs.select("kb_id", document_node(F.col("doc_id")).alias("id"), F.col("title").alias("name"), F.lit("文档").alias("type"), F.concat(F.lit(DOCUMENT), F.col("title")).alias("description"), F.lit("document").alias("category"), "doc_id")
+
+
+def build(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of extracted documents: each document, its keywords as entities, and the root that all belong to."""
+    mentioned = words.select("doc_id", F.explode("names").alias("name"))
+    found = mentioned.select("name", F.concat(F.lit(EXTRACTED), F.col("name")).alias("description")).unionByName(words.select(F.lit(ROOT).alias("name"), F.lit("").alias("description"))).distinct()
+    none = F.lit(None)
+    entities = found.select(none.cast("string").alias("kb_id"), entity_id(F.col("name")).alias("id"), "name", F.lit(CONCEPT).alias("type"), "description", F.lit("entity").alias("category"), none.cast("long").alias("doc_id"))
+    edges = mentioned.select(document_node(F.col("doc_id")).alias("source"), entity_id(F.col("name")).alias("target"), F.lit(RELATIONS["mentions"]).alias("type"))
+    roots = words.select(document_node(F.col("doc_id")).alias("source"), entity_id(F.lit(ROOT)).alias("target"), F.lit(RELATIONS["belongs"]).alias("type"))
+    return document_nodes(words).unionByName(entities), distinct_edges(edges.unionByName(roots))
+
+
+def guarded(entities: DataFrame, docs: DataFrame) -> DataFrame:
+    """Entities (doc_id, name and others) that their document's title and first characters hold; names of one character and of examples are dropped."""
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring(F.coalesce("content", F.lit("")), 1, GUARDED))
+    known = entities.withColumn("name", strip(F.col("name"))).filter((F.length("name") >= 2) & ~F.col("name").isin(list(EXAMPLE_NAMES)))
+    return known.join(docs.select("doc_id", text.alias("_text")), "doc_id").filter(F.instr(F.col("_text"), F.col("name")) > 0).drop("_text")
+
+
+def from_entities(docs: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and provenance (id, doc_id) of documents whose entities and relations something else has extracted.
+
+    entities: doc_id, ref, name, type, description; relations: doc_id, source and
+    target (refs of that document), type. Names are resolved to one entity each,
+    with the type and description that the least doc_id gives. A relation whose
+    ends aren't both known entities is dropped.
+    """
+    named = entities.withColumn("id", entity_id(F.col("name")))
+    least = lambda c: F.min_by(c, F.struct("doc_id", "ref")).alias(c)
+    nodes = named.groupBy("id").agg(F.min("name").alias("name"), least("type"), least("description"))
     none = F.lit(None)
-    entities = names.select(none.cast("string").alias("kb_id"), entity_id(F.col("name")).alias("id"), "name", F.lit("概念").alias("type"), F.lit("entity").alias("category"), none.cast("long").alias("doc_id"))
-    edges = words.select(document_node(F.col("doc_id")).alias("source"), entity_id(F.col("name")).alias("target"), F.lit(RELATIONS["mentions"]).alias("type"))
-    roots = docs.select(document_node(F.col("doc_id")).alias("source"), entity_id(F.lit(ROOT)).alias("target"), F.lit(RELATIONS["belongs"]).alias("type"))
-    return documents.unionByName(entities), distinct_edges(edges.unionByName(roots))
+    nodes = nodes.select(none.cast("string").alias("kb_id"), "id", "name", F.coalesce("type", F.lit(CONCEPT)).alias("type"), F.coalesce("description", F.lit("")).alias("description"), F.lit("entity").alias("category"), none.cast("long").alias("doc_id"))
+    held = named.select(document_node(F.col("doc_id")).alias("source"), F.col("id").alias("target"), F.lit(RELATIONS["contains"]).alias("type"))
+    refs = named.select("doc_id", "ref", "id")
+    ends = relations.join(refs.withColumnRenamed("ref", "source").withColumnRenamed("id", "_s"), ["doc_id", "source"]).join(refs.withColumnRenamed("ref", "target").withColumnRenamed("id", "_t"), ["doc_id", "target"])
+    related = ends.select(F.col("_s").alias("source"), F.col("_t").alias("target"), "type")
+    return document_nodes(docs).unionByName(nodes), distinct_edges(held.unionByName(related)), named.select("id", "doc_id").distinct()
+
+
+def rebuild_unlinked(nodes: DataFrame, edges: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with the documents that no edge leaves built anew from their extracted words."""
+    bare = unlinked_documents(nodes, edges).withColumnRenamed("id", "_id")
+    more_nodes, more_edges = build(words.join(bare, document_node(F.col("doc_id")) == F.col("_id"), "left_semi"))
+    return union([(nodes, edges), (more_nodes, more_edges)])[0], distinct_edges(edges.unionByName(more_edges))
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -100,18 +161,22 @@ def no_document_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(pairs, ["source", "target", "type"], "left_anti")
 
 
-def unfounded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Ids of entities of four types that nothing points to, that name no live document and that a rule tells as invented.
+def founded(provenance: DataFrame, docs: DataFrame) -> DataFrame:
+    """Ids of entities with a live document among those that they come from (provenance: id, doc_id)."""
+    return provenance.join(docs.select("doc_id"), "doc_id", "left_semi").select("id").distinct()
 
-    nodes has description and source_doc_ids (array of document ids).
-    """
+
+def unfounded(nodes: DataFrame, edges: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
+    """Ids of entities of four types that nothing points to, that come from no document with a node and that a rule tells as invented."""
     kinds = nodes.filter(F.col("category") != "document").filter(F.col("type").isin("产品", "技术", "概念", "事件"))
     bare = kinds.join(edges.select(F.col("target").alias("id")), "id", "left_anti")
-    live = nodes.filter("category = 'document'").select("id")
-    named = bare.select("id", F.explode("source_doc_ids").alias("_d")).select(F.col("id").alias("_e"), document_node(F.col("_d")).alias("id")).join(live, "id", "left_semi").select(F.col("_e").alias("id"))
     text = F.coalesce("description", F.lit(""))
-    rule = F.col("type").isin("产品", "技术") | (F.length(text) >= 10) | text.rlike("|".join(HINTS)) | (F.size(F.coalesce("source_doc_ids", F.array().cast("array<bigint>"))) > 0)
-    return bare.join(named, "id", "left_anti").filter(rule).select("id")
+    rule = F.col("type").isin("产品", "技术") | (F.length(text) >= 10) | text.rlike("|".join(HINTS))
+    if provenance is None:
+        return bare.filter(rule).select("id")
+    live = nodes.filter("category = 'document'").select("doc_id")
+    told = provenance.select("id").distinct().withColumn("_told", F.lit(True))
+    return bare.join(founded(provenance, live), "id", "left_anti").join(told, "id", "left").filter(rule | F.col("_told").isNotNull()).select("id")
 
 
 def merge_synonyms(nodes: DataFrame, edges: DataFrame, pairs: tuple[tuple[str, str], ...] = SYNONYMS) -> tuple[DataFrame, DataFrame]:
@@ -171,20 +236,46 @@ def shared_entities(edges: DataFrame, least: int = 2) -> DataFrame:
     return mentions.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= least)
 
 
-def candidate_pairs(edges: DataFrame, n: int = 20, most_docs: int = 5) -> DataFrame:
-    """a, b, n_shared: the n pairs of documents that share most entities, through each entity's first most_docs documents."""
-    mentions = edges.filter(F.col("type") == RELATIONS["mentions"]).select("source", "target").distinct()
-    few = mentions.withColumn("_r", F.row_number().over(Window.partitionBy("target").orderBy("source"))).filter(F.col("_r") <= most_docs)
-    pairs = few.select("target", F.col("source").alias("a")).join(few.select("target", F.col("source").alias("b")), "target").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared")).orderBy(F.desc("n_shared"), "a", "b").limit(n)
+def candidate_pairs(provenance: DataFrame, n: int = 20, each: int = 5) -> DataFrame:
+    """shared, doc_a, doc_b, a, b: the first n pairs of entities of two documents that share another entity.
+
+    Of each document the first ``each`` entities besides the shared one are paired;
+    a pair counts once, whatever its order. Pairs come in the order of the later
+    document's place among the shared entity's, the shared entity, the earlier
+    document's place and the entities' own. So only the first few documents of an
+    entity are read; if they give less than n pairs, twice as many are.
+    """
+    held = provenance.select("id", "doc_id").distinct()
+    own = F.row_number().over(Window.partitionBy("id").orderBy("doc_id"))
+    few = 4
+    while True:
+        placed = held.withColumn("_p", own).filter(F.col("_p") <= few)
+        sides = placed.join(held.select("doc_id", F.col("id").alias("_e")), "doc_id").filter("id <> _e")
+        sides = sides.withColumn("_r", F.row_number().over(Window.partitionBy("id", "doc_id").orderBy("_e"))).filter(F.col("_r") <= each)
+        left, right = (sides.select("id", F.col("doc_id").alias(f"doc_{s}"), F.col("_e").alias(s), F.col("_p").alias(f"p_{s}"), F.col("_r").alias(f"r_{s}")) for s in "ab")
+        order = ["p_b", "id", "p_a", "r_a", "r_b"]
+        both = left.join(right, "id").filter("p_a < p_b").withColumn("_o", F.struct(*order))
+        first = both.groupBy(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).agg(F.min_by(F.struct("id", "doc_a", "doc_b", "a", "b"), "_o").alias("_f"), F.min("_o").alias("_o"))
+        found = first.orderBy("_o").limit(n).select(F.col("_f.id").alias("shared"), "_f.doc_a", "_f.doc_b", "_f.a", "_f.b")
+        if found.count() == n or placed.filter(F.col("_p") == few).isEmpty():
+            return found
+        few *= 2
 
 
 def sample_by_type(nodes: DataFrame, most: int = 400) -> DataFrame:
-    """All nodes, or, of more than most, an equal number of each type."""
+    """All nodes, or, of more than most, an equal number of each type. Each type is cut to most before it is shuffled."""
     sizes = nodes.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("type").alias("_t"))  # one row
-    counted = nodes.join(F.broadcast(sizes))
     w = Window.partitionBy("type").orderBy("id")
-    return counted.withColumn("_r", F.row_number().over(w)).filter((F.col("_n") <= most) | (F.col("_r") <= F.floor(F.lit(most) / F.col("_t")))).drop("_r", "_n", "_t")
+    first = nodes.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+    return first.join(F.broadcast(sizes)).filter((F.col("_n") <= most) | (F.col("_r") <= F.floor(F.lit(most) / F.col("_t")))).drop("_r", "_n", "_t")
+
+
+def backup(nodes: DataFrame, edges: DataFrame, folder: str, at: str) -> str:
+    """A copy of the graph below folder, named by the time; gives its path."""
+    path = f"{folder}/graph-{at}"
+    nodes.write.parquet(f"{path}/nodes")
+    edges.write.parquet(f"{path}/edges")
+    return path
 
 
 def union(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
@@ -197,6 +288,11 @@ def union(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFra
     return nodes.withColumn("_r", first).filter("_r = 1").drop("_r", "_graph"), edges
 
 
+def joined_vocabulary(*lists: Column) -> Column:
+    """The words of several lists in their order, each once."""
+    return F.array_distinct(F.concat(*lists))
+
+
 def link_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """edges and, for every entity without any, one from the first document node of its category tag, if there is one.
 
@@ -208,12 +304,23 @@ def link_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.unionByName(made)
 
 
-def maintain(nodes: DataFrame, edges: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The audit: synonyms, fragments, unfounded entities, orphans, ghosts, document pairs, one after the other."""
-    nodes, edges = merge_synonyms(nodes, edges)
-    nodes, edges = remove_fragments(nodes, edges)
-    if {"description", "source_doc_ids"} <= {*nodes.columns}:
-        nodes, edges = without(nodes, edges, unfounded(nodes, edges))
-    edges = link_orphans(nodes, edges)
-    nodes, edges = without(nodes, edges, ghosts(nodes, docs))
+def with_categories(nodes: DataFrame) -> DataFrame:
+    """nodes with the category that a missing one must be: that of a document by its id, else of an entity."""
+    return nodes.withColumn("category", F.coalesce("category", F.when(F.col("id").startswith("doc_"), "document").otherwise("entity")))
+
+
+def maintain(nodes: DataFrame, edges: DataFrame, docs: DataFrame, provenance: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The audit: categories, synonyms, fragments, unfounded entities, orphans, ghosts, document pairs, one after the other. backup comes before it.
+
+    Each of the first steps reads the whole graph several times, so its result is
+    written to the shared folder; one plan of all steps would double with each.
+    """
+
+    def written(graph: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+        return written_once(graph[0]), written_once(graph[1])
+
+    nodes, edges = written(merge_synonyms(with_categories(nodes), edges))
+    nodes, edges = written(remove_fragments(nodes, edges))
+    nodes, edges = written(without(nodes, edges, unfounded(nodes, edges, provenance)))
+    nodes, edges = written(without(nodes, link_orphans(nodes, edges), ghosts(nodes, docs)))
     return nodes, no_document_pairs(nodes, edges)

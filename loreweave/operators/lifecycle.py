@@ -84,14 +84,14 @@ def restored(docs: DataFrame, items: DataFrame, wanted: DataFrame, now: Column)
 
 
 def moved_to_base(docs: DataFrame, chunks: DataFrame, wanted: DataFrame, kb_id: str) -> tuple[DataFrame, DataFrame]:
-    """docs and chunks with those of the wanted ids in another knowledge base; the vectors move with their document."""
+    """docs and chunks with those of the wanted ids in another base; the vectors move with their document."""
     ids = wanted.select("doc_id").distinct().withColumn("_w", F.lit(True))
     move = lambda rows: rows.join(ids, "doc_id", "left").withColumn("kb_id", F.when(F.col("_w"), kb_id).otherwise(F.col("kb_id"))).drop("_w")
     return move(docs), move(chunks)
 
 
 def without_base(docs: DataFrame, chunks: DataFrame, kb_id: str) -> tuple[DataFrame, DataFrame]:
-    """docs and chunks without a knowledge base's; rows without any base stay."""
+    """docs and chunks without a base's; rows without any base stay."""
     other = ~F.col("kb_id").eqNullSafe(F.lit(kb_id))
     return docs.filter(other), chunks.filter(other)
 

@@ -31,15 +31,15 @@ SYNONYMS = {
     "智能体": ("Agent", "agent", "AI agent", "智能代理"),
     "提示词": ("prompt", "Prompt", "系统提示", "指令"),
     "大模型": ("LLM", "llm", "大语言模型"),
-    "知识图谱": ("图谱", "知识网络", "KG", "knowledge graph"),
+    "知识图谱": ("图谱", "知识网络", "KG"),
 }
 #: Queries that are broadcast at a time.
 MOST_QUERIES = 10_000
 
 
-def ranked(df: DataFrame, keys: list[str], score: str, tie: str, k: int, rank: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], score: str, tie: str | list[str], k: int, rank: str = "rank") -> DataFrame:
     """The k best rows of each key with their rank from 1; ties go to the lower tie."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
+    w = Window.partitionBy(*keys).orderBy(F.desc(score), *([tie] if isinstance(tie, str) else tie))
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
@@ -181,27 +181,75 @@ class HybridConfig:
     top_k: int = 8
     categories: tuple[str, ...] = ()
     kb_id: str | None = None
+    keywords: bool = True
 
 
-def hybrid(docs: DataFrame, cells: DataFrame, query_cells: DataFrame, query: str, config: HybridConfig = HybridConfig()) -> DataFrame:
-    """doc_id, rank, score, vector_score, keyword_score for one query.
+#: Nodes of the graph that are added to a question's hits, and what stands between texts of one document.
+GRAPH_HITS, GAP, KEYWORD_MARK = 5, "\n...\n", "[关键词命中]: "
 
-    cells and query_cells are hash embeddings (doc_id, idx, weight). Only cells
-    on the query's indices meet, by an equi-join with a side of one text. The
-    vector and keyword channels each give 2 top_k documents; their fused top_k are
-    weighted by length and must hold a term of the query.
+
+def near_chunks(cells: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id (0), doc_id, chunk_index, score, rank of the k chunks nearest to one question, without those far below the best.
+
+    cells (doc_id, chunk_index, idx, weight) and asked (idx, weight) are hash
+    embeddings. Only cells on the question's indices meet, by an equi-join with a
+    side of one text, and a chunk's are summed before the shuffle.
+    """
+    dots = cells.join(F.broadcast(asked.select("idx", F.col("weight").alias("_q"))), "idx").groupBy("doc_id", "chunk_index").agg(F.round(F.sum(F.col("weight") * F.col("_q")), 6).alias("score"))
+    best = ranked(dots.filter("score > 0").withColumn("query_id", F.lit(0)), ["query_id"], "score", ["doc_id", "chunk_index"], k)
+    return above_threshold(best)
+
+
+def fuse_chunks(near: DataFrame, words: DataFrame) -> DataFrame:
+    """query_id, doc_id, rrf_score, vector_score, keyword_score, source, content: every hit of a document adds its reciprocal rank.
+
+    near has query_id, doc_id, rank, score, text of chunks; words the same of documents,
+    with text as snippet. content joins a document's texts in the order of their
+    ranks, chunks first, without those that it holds already.
+    """
+    columns = ["query_id", "doc_id", "rank", "score", "text", "channel"]
+    both = near.withColumn("channel", F.lit(0)).select(columns).unionByName(words.withColumn("text", F.col("snippet")).withColumn("channel", F.lit(1)).select(columns))
+    of = lambda c: F.when(F.col("channel") == c, F.col("score"))
+    hits = F.array_sort(F.collect_list(F.struct("channel", "rank", "text")))
+    fused = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("rrf_score"), F.max(of(0)).alias("vector_score"), F.max(of(1)).alias("keyword_score"), hits.alias("_h"))
+    mark = lambda h: F.when(h["channel"] == 1, KEYWORD_MARK).otherwise("")
+    add = lambda text, h: F.when(text.contains(h["text"]), text).otherwise(F.concat(text, F.lit(GAP), mark(h), h["text"]))
+    content = F.aggregate(F.slice("_h", 2, F.size("_h")), F.get("_h", 0)["text"], add)
+    source = F.when(F.col("vector_score").isNull(), "keyword").when(F.col("keyword_score").isNull(), "vector").otherwise("hybrid")
+    return fused.select("query_id", "doc_id", "rrf_score", "vector_score", "keyword_score", source.alias("source"), content.alias("content"))
+
+
+def graph_hits(reached: DataFrame, nodes: DataFrame, n: int = GRAPH_HITS) -> DataFrame:
+    """The first n nodes that a question reaches in the graph, as hits without a score of their own. reached: id, distance."""
+    first = reached.join(nodes.select("id", "name", "type"), "id").orderBy("distance", "id").limit(n)
+    none = F.lit(None)
+    content = F.concat(F.lit("实体: "), F.col("name"), F.lit(" ("), F.col("type"), F.lit(")"))
+    return first.select(F.lit(0).alias("query_id"), F.col("id"), none.cast("double").alias("rrf_score"), none.cast("double").alias("vector_score"), none.cast("double").alias("keyword_score"), F.lit("graph").alias("source"), content.alias("content"))
+
+
+def hybrid(docs: DataFrame, chunks: DataFrame, cells: DataFrame, asked: DataFrame, query: str, config: HybridConfig = HybridConfig(), graph: DataFrame | None = None) -> DataFrame:
+    """id, rank, source, score, rrf_score, weighted, keyword_hits, content of what answers one question.
+
+    chunks (doc_id, chunk_index, text) of docs, and cells, their hash embeddings;
+    asked, the question's. The vector channel gives 2 top_k chunks, the keyword
+    channel 2 top_k documents; their fused top_k documents and the hits of graph
+    (as graph_hits gives them) are weighted by length and must hold a term of the query.
     """
-    keep = matches(list(config.categories), config.kb_id)
-    docs = docs.filter(keep)
-    dots = cells.join(F.broadcast(query_cells.select("idx", F.col("weight").alias("_q"))), "idx").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("_q")), 6).alias("score"))
-    near = ranked(dots.join(docs.select("doc_id"), "doc_id", "left_semi").filter("score > 0").withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 2 * config.top_k)
-    near = ranked(above_threshold(near).drop("rank"), ["query_id"], "score", "doc_id", 2 * config.top_k)
-    words = keyword_search(docs, query, 2 * config.top_k).withColumn("query_id", F.lit(0))
-    words = ranked(words, ["query_id"], "score", "doc_id", 2 * config.top_k)
-    fused = ranked(fuse(near, words), ["query_id"], "rrf_score", "doc_id", config.top_k)
-    merged = fused.join(docs.select("doc_id", "content"), "doc_id").withColumn("score", F.round(display_score(F.col("vector_score")) * length_factor(F.length("content")), 6))
-    kept = covered(merged, query)
-    return ranked(kept.drop("rank"), ["query_id"], "score", "doc_id", config.top_k).select("doc_id", "rank", "score", "vector_score", "keyword_score", "keyword_hits")
+    docs = docs.filter(matches(list(config.categories), config.kb_id))
+    if config.categories or (config.kb_id and config.kb_id != "all"):
+        cells = cells.join(docs.select("doc_id"), "doc_id", "left_semi")
+    near = near_chunks(cells, asked, 2 * config.top_k).join(chunks, ["doc_id", "chunk_index"])
+    words = ranked(keyword_search(docs, query, 2 * config.top_k).withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 2 * config.top_k)
+    fused = fuse_chunks(near, words if config.keywords else words.limit(0))
+    hits = ranked(fused, ["query_id"], "rrf_score", "doc_id", config.top_k).drop("rank").withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
+    if graph is not None:
+        hits = hits.unionByName(graph)
+    weighted = F.round(F.coalesce("rrf_score", F.lit(0.0)) * length_factor(F.length("content")), 9)
+    hits = hits.withColumn("weighted", weighted)
+    hits = covered(ranked(hits, ["query_id"], "weighted", "id", config.top_k + GRAPH_HITS), query)
+    best = ranked(hits.drop("rank"), ["query_id"], "weighted", "id", config.top_k + GRAPH_HITS)
+    score = F.when(F.col("source") == "graph", F.lit(None)).otherwise(display_score(F.col("vector_score")))
+    return best.select("id", "rank", "source", score.cast("double").alias("score"), "rrf_score", "weighted", "keyword_hits", "content")
 
 
 def context_line(kind: Column, title: Column, content: Column, score: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.functions.text import strip
+
 
 def collection_stats(chunks: DataFrame) -> DataFrame:
     """One row: chunks, documents, categories."""
@@ -28,21 +30,41 @@ def category_totals(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return counted.groupBy("category").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chunks").alias("n_chunks")).orderBy("category")
 
 
-def snapshot(docs: DataFrame, n: int = 5, width: int = 500) -> DataFrame:
-    """category, n_docs, docs: the first n documents of each category with a preview in one line."""
-    from pyspark.sql import Window
+def snapshot(docs: DataFrame, width: int = 500) -> DataFrame:
+    """category, n_docs, doc_id, title, n_chars, preview: every document, with the size of its category.
+
+    A document is a row, so no category is one value or one task; order by n_docs,
+    category and doc_id to list them. preview: the first characters of the trimmed
+    text, then with white space in one line.
+    """
+    text = strip(F.coalesce("content", F.lit("")))
+    sizes = docs.groupBy("category").agg(F.count(F.lit(1)).alias("n_docs"))
+    preview = F.regexp_replace(F.substring(text, 1, width), r"(?U)\s+", " ")
+    rows = docs.select("category", "doc_id", "title", F.length(text).alias("n_chars"), preview.alias("preview"))
+    return rows.join(sizes, "category").select("category", "n_docs", "doc_id", "title", "n_chars", "preview")
+
+
+def listing(docs: DataFrame) -> DataFrame:
+    """The snapshot without previews."""
+    return snapshot(docs.withColumn("content", F.lit(""))).drop("preview", "n_chars")
+
+
+def counter(before: Column, change: Column) -> Column:
+    """A count after a change; it doesn't fall below 0."""
+    return F.greatest(F.lit(0), F.coalesce(before, F.lit(0)) + change)
+
 
-    preview = F.substring(F.regexp_replace("content", r"\s+", " "), 1, width)
-    first = docs.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy("doc_id"))).filter(F.col("_r") <= n)
-    listed = first.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("doc_id", "title", preview.alias("preview")))).alias("docs"))
-    return docs.groupBy("category").agg(F.count(F.lit(1)).alias("n_docs")).join(listed, "category").orderBy(F.desc("n_docs"), "category")
+def share(rows: DataFrame, keep: Column) -> DataFrame:
+    """n_kept, n and ratio of the rows for which keep holds; no rows: 0."""
+    return rows.agg(F.count_if(keep).alias("n_kept"), F.count(F.lit(1)).alias("n")).withColumn("ratio", F.round(F.col("n_kept") / F.greatest("n", F.lit(1)), 4))
 
 
 def audit_stats(audit: DataFrame, n: int = 10, denied: str = "denied") -> DataFrame:
-    """kind ('action', 'user', 'denied'), name, n: the n most frequent actions and users, and how often access was denied."""
+    """kind ('action', 'user', 'denied'), name, n: the n most frequent actions and users, and how often access was denied, by action or by result."""
     actions = top(audit, "action", n).select(F.lit("action").alias("kind"), F.col("action").alias("name"), "n")
     users = top(audit.filter(F.coalesce("username", F.lit("")) != ""), "username", n).select(F.lit("user").alias("kind"), F.col("username").alias("name"), "n")
-    refused = audit.agg(F.count_if(F.col("action") == denied).alias("n")).select(F.lit("denied").alias("kind"), F.lit(denied).alias("name"), "n")
+    by_result = F.coalesce(F.col("result") == "denied", F.lit(False)) if "result" in audit.columns else F.lit(False)
+    refused = audit.agg(F.count_if((F.col("action") == denied) | by_result).alias("n")).select(F.lit("denied").alias("kind"), F.lit(denied).alias("name"), "n")
     return actions.unionByName(users).unionByName(refused)
 
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.functions.vectors import cased_tokens, cosine_safe, hash_embedding, norm
+from loreweave.functions.vectors import cosine_safe, hash_embedding, norm
+from loreweave.operators import graph as G
 from loreweave.operators import retrieval as R
 from loreweave.sources.tables import documents, table, vectors
 
+from .chunks import FIXED_SQL, chunk_fixed
+from .graphs import GRAPH_SQL, KHOP_SQL, graph_of
 from .registry import query
 
 WORDS = "the worthless, and tion"
 QUESTION = "worthless and the thinking"
-#: Characters of a document that its embedding covers in the queries that have SQL.
-EMBEDDED = 400
 
 
 def every_hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,24 +61,36 @@ def embedding_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.size("embedding").alias("dimension"), F.round(norm(F.col("embedding")), 6).alias("norm"), F.array_join(F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x * 1000).cast("long")), ",").alias("preview"))
 
 
-def _cells(source: str, text: str) -> str:
+def _cells(keys: str, source: str) -> str:
+    """Cells of the texts of source (keys, text)."""
     return f"""
-    SELECT doc_id, CAST(h % 512 AS INTEGER) AS idx, sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END) AS w FROM (
-        SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT doc_id, unnest(list_concat(list_concat(
+    SELECT {keys}, idx, w / (sqrt(sum(w * w) OVER (PARTITION BY {keys})) + 1e-8) AS weight FROM (
+    SELECT {keys}, CAST(h % 512 AS INTEGER) AS idx, sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END) AS w FROM (
+        SELECT {keys}, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT {keys}, unnest(list_concat(list_concat(
             list_transform(list_filter(list_transform(range(length(s)), lambda i: substr(s, i + 1, 1)), lambda x: regexp_matches(x, '\\S')), lambda x: 'c:' || x),
             list_transform(list_filter(list_transform(range(length(s) - 1), lambda i: substr(s, i + 1, 2)), lambda x: regexp_matches(x, '\\S')), lambda x: 'b:' || x)),
-            list_transform(regexp_extract_all(s, '[a-z0-9]+'), lambda x: 'w:' || x))) AS tok
-        FROM (SELECT doc_id, lower({text}) AS s FROM {source}))) GROUP BY ALL HAVING sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END) <> 0"""
+            list_transform(regexp_extract_all(s, '[A-Za-z0-9]+|[一-鿿]+'), lambda x: 'w:' || lower(x)))) AS tok
+        FROM (SELECT {keys}, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM {source}))) GROUP BY ALL HAVING sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END) <> 0)"""
 
 
-def _embedding(source: str, text: str) -> str:
-    return f"SELECT doc_id, idx, w / (n + 1e-8) AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS n FROM ({_cells(source, text)}))"
+def chunk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_embedding(chunk_fixed(spark, sf_dir), ["doc_id", "chunk_index"], "text")
 
 
-@query(f"SELECT doc_id, idx, round(weight, 6) AS weight FROM ({_embedding('documents', f'substr(text, 1, {EMBEDDED})')})")
+def asked_cells(spark: SparkSession, question: str = QUESTION) -> DataFrame:
+    return hash_embedding(spark.range(1).select(F.lit(question).alias("text")), [], "text")
+
+
+@query(f"WITH c AS ({FIXED_SQL}) SELECT doc_id, chunk_index, idx, round(weight, 6) AS weight FROM ({_cells('doc_id, chunk_index', 'c')})")
 def hash_embed_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("prefix", F.substring("content", 1, EMBEDDED))
-    return hash_embedding(docs, "doc_id", "prefix").withColumn("weight", F.round("weight", 6))
+    """Every chunk of every document."""
+    return chunk_cells(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"SELECT doc_id, idx, round(weight, 6) AS weight FROM ({_cells('doc_id', 'documents')})")
+def hash_embed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one text."""
+    return hash_embedding(documents(spark, sf_dir), "doc_id", "content").withColumn("weight", F.round("weight", 6))
 
 
 def keyword_sql(words: str, k: int) -> str:
@@ -113,72 +126,124 @@ def tf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.term_rank(documents(spark, sf_dir), "tion", 10)
 
 
-@query()
-def hash_embed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hash_embed_sparse over whole texts, with the case kept."""
-    return hash_embedding(documents(spark, sf_dir), "doc_id", "content", tokens_of=cased_tokens).withColumn("weight", F.round("weight", 6))
+_TERMS = " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in R.terms_of(QUESTION))
+_FACTOR = "CASE WHEN length(content) BETWEEN 50 AND 5000 THEN 1 + least(0.1, (length(content) - 50) / 2000.0 * 0.1) ELSE 1.0 END"
+
+
+_WHOLE = "SELECT doc_id, 0 AS chunk_index, text FROM documents"
+
+
+def _near(k: int, chunks: str = FIXED_SQL) -> str:
+    """The CTEs c, cut (chunk hits) and kw (keyword hits) of the question."""
+    return f"""
+c AS ({chunks}),
+q AS ({_cells('one', "(SELECT 1 AS one, '" + QUESTION + "' AS text)")}),
+d AS ({_cells('doc_id, chunk_index', 'c')}),
+dots AS (SELECT d.doc_id, d.chunk_index, round(sum(d.weight * q.weight), 6) AS score FROM d JOIN q USING (idx) GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, chunk_index) AS rank FROM dots WHERE score > 0 QUALIFY rank <= {k}),
+cut AS (SELECT n.doc_id, n.chunk_index, score, rank, text FROM near n JOIN c USING (doc_id, chunk_index) WHERE score >= (SELECT greatest(0.20, round(max(score) - 0.06, 6)) FROM near)),
+kw AS (SELECT doc_id, score, snippet AS text, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({keyword_sql(QUESTION, k)}))"""
+
+
+def _hits(channels: str) -> str:
+    """The CTEs hits and fused of what near gives; channels is a query of doc_id, rank, score, text and channel."""
+    return f"""
+hits AS ({channels}),
+fused AS (
+    SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, max(score) FILTER (channel = 0) AS vector_score, max(score) FILTER (channel = 1) AS keyword_score,
+        list_reduce(list(CASE WHEN channel = 1 THEN '{R.KEYWORD_MARK}' ELSE '' END || text ORDER BY channel, rank), lambda a, b: CASE WHEN contains(a, replace(b, '{R.KEYWORD_MARK}', '')) THEN a ELSE a || chr(10) || '...' || chr(10) || b END) AS joined
+    FROM hits GROUP BY doc_id
+),
+f AS (SELECT * EXCLUDE joined, CASE WHEN vector_score IS NULL THEN replace(joined, '{R.KEYWORD_MARK}', '') ELSE joined END AS content, CASE WHEN vector_score IS NULL THEN 'keyword' WHEN keyword_score IS NULL THEN 'vector' ELSE 'hybrid' END AS source FROM fused)"""
 
 
-def _whole(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells of the whole documents and of the question."""
-    question = spark.range(1).select(F.lit(-1).alias("doc_id"), F.lit(QUESTION).alias("q"))
-    return hash_embedding(docs, "doc_id", "content", tokens_of=cased_tokens), hash_embedding(question, "doc_id", "q", tokens_of=cased_tokens)
+_BOTH = "SELECT doc_id, rank, score, text, 0 AS channel FROM cut UNION ALL SELECT doc_id, rank, score, text, 1 FROM kw"
+_VECTOR = "SELECT doc_id, rank, score, text, 0 AS channel FROM cut"
+_CONTENT_TERMS = _TERMS.replace("lower(text)", "lower(content)")
 
 
-@query()
+def _answer(k: int, channels: str, more: str = "", chunks: str = FIXED_SQL) -> str:
+    """CTEs up to best; more is a query of further hits."""
+    return f"""{_near(2 * k, chunks)}, {_hits(channels)},
+top AS (SELECT CAST(doc_id AS VARCHAR) AS id, source, rrf_score, vector_score, content FROM f QUALIFY row_number() OVER (ORDER BY rrf_score DESC, doc_id) <= {k} {more}),
+w AS (SELECT *, row_number() OVER (ORDER BY weighted DESC, id) AS r FROM (SELECT *, round(coalesce(rrf_score, 0.0) * ({_FACTOR}), 9) AS weighted, CAST({_CONTENT_TERMS} AS INTEGER) AS keyword_hits FROM top)),
+best AS (
+    SELECT id, CAST(row_number() OVER (ORDER BY weighted DESC, id) AS INTEGER) AS rank, source, CASE WHEN source <> 'graph' THEN coalesce(nullif(vector_score, 0), 0.5) END AS score, rrf_score, CAST(weighted AS DOUBLE) AS weighted, keyword_hits, content
+    FROM w WHERE keyword_hits > 0 OR ((SELECT max(keyword_hits) FROM w) = 0 AND r <= 3)
+)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str, config: R.HybridConfig = R.HybridConfig(), graph: DataFrame | None = None) -> DataFrame:
+    return R.hybrid(documents(spark, sf_dir), chunk_fixed(spark, sf_dir), chunk_cells(spark, sf_dir), asked_cells(spark), QUESTION, config, graph)
+
+
+@query(f"WITH {_answer(8, _BOTH)} SELECT * FROM best")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and keywords, fused by document."""
+    return _asked(spark, sf_dir)
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as single chunks, and their cells."""
+    chunks = documents(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk_index"), F.col("content").alias("text"))
+    return chunks, hash_embedding(chunks, ["doc_id", "chunk_index"], "text")
+
+
+@query(f"WITH {_answer(8, _BOTH, chunks=_WHOLE)} SELECT * FROM best")
 def hybrid_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return R.hybrid(docs, *_whole(spark, docs), QUESTION)
+    """With a document as one chunk."""
+    return R.hybrid(documents(spark, sf_dir), *_whole(spark, sf_dir), asked_cells(spark), QUESTION)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search for one question, over whole documents."""
-    return hybrid_search_whole(spark, sf_dir)
+    """Hybrid search for one question."""
+    return hybrid_search(spark, sf_dir)
 
 
-_TERMS = " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in R.terms_of(QUESTION))
-_NEAR = f"""
-q AS ({_embedding('(SELECT -1 AS doc_id)', "'" + QUESTION + "'")}),
-d AS ({_embedding('documents', f'substr(text, 1, {EMBEDDED})')}),
-dots AS (SELECT d.doc_id, round(sum(d.weight * q.weight), 6) AS score FROM d JOIN q USING (idx) GROUP BY d.doc_id),
-near AS (SELECT * FROM dots WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 16),
-cut AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM near WHERE score >= (SELECT greatest(0.20, round(max(score) - 0.06, 6)) FROM near)),
-kw AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({keyword_sql(QUESTION, 16)})),
-fused AS (SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, max(vs) AS vector_score, max(ks) AS keyword_score FROM (SELECT doc_id, rank, score AS vs, NULL::DOUBLE AS ks FROM cut UNION ALL SELECT doc_id, rank, NULL, score FROM kw) GROUP BY doc_id)"""
+@query(f"WITH {_answer(10, _VECTOR)} SELECT * FROM best")
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector channel alone."""
+    return _asked(spark, sf_dir, R.HybridConfig(top_k=10, keywords=False))
 
 
-@query(f"""
-WITH {_NEAR}, top AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, doc_id) AS r FROM fused QUALIFY r <= 8),
-w AS (SELECT doc_id, r, vector_score, keyword_score, round(coalesce(nullif(vector_score, 0), 0.5) * CASE WHEN length(text) BETWEEN 50 AND 5000 THEN 1 + least(0.1, (length(text) - 50) / 2000.0 * 0.1) ELSE 1.0 END, 6) AS score, {_TERMS} AS keyword_hits FROM top JOIN documents USING (doc_id)),
-k AS (SELECT * FROM w WHERE keyword_hits > 0 OR ((SELECT max(keyword_hits) FROM w) = 0 AND r <= 3))
-SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score, vector_score, keyword_score, CAST(keyword_hits AS INTEGER) AS keyword_hits FROM k""")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    cells = hash_embedding(docs.withColumn("prefix", F.substring("content", 1, EMBEDDED)), "doc_id", "prefix")
-    asked = hash_embedding(spark.range(1).select(F.lit(-1).alias("doc_id"), F.lit(QUESTION).alias("q")), "doc_id", "q")
-    return R.hybrid(docs, cells, asked, QUESTION)
+def _subgraph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges = graph_of(spark, sf_dir)
+    reached, met = G.expand(nodes, edges, G.seeds_for(nodes, G.words_of(QUESTION)), 2)
+    return nodes, reached, met
 
 
-@query(f"WITH {_NEAR} SELECT doc_id, rrf_score, vector_score, keyword_score, coalesce(nullif(vector_score, 0), 0.5) AS shown FROM fused")
-def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    cells = hash_embedding(docs.withColumn("prefix", F.substring("content", 1, EMBEDDED)), "doc_id", "prefix")
-    asked = hash_embedding(spark.range(1).select(F.lit(-1).alias("doc_id"), F.lit(QUESTION).alias("q")), "doc_id", "q").select("idx", F.col("weight").alias("_q"))
-    return _fused(docs, cells, asked)
+_FIRST = "first AS (SELECT k.id, name, type FROM khop k JOIN nodes USING (id) ORDER BY distance, k.id LIMIT 5)"
 
 
-@query()
-def rrf_fuse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    cells, asked = _whole(spark, docs)
-    return _fused(docs, cells, asked.select("idx", F.col("weight").alias("_q")))
+@query(f"WITH {GRAPH_SQL}, {KHOP_SQL(G.words_of(QUESTION))}, {_FIRST}, {_answer(8, _BOTH, more=chr(10) + 'UNION ALL SELECT id, ' + chr(39) + 'graph' + chr(39) + ', NULL, NULL, ' + chr(39) + '实体: ' + chr(39) + ' || name || ' + chr(39) + ' (' + chr(39) + ' || type || ' + chr(39) + ')' + chr(39) + ' FROM first')} SELECT * FROM best")
+def hybrid_search_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the first five nodes of the graph that the question reaches."""
+    nodes, reached, _ = _subgraph(spark, sf_dir)
+    return _asked(spark, sf_dir, graph=R.graph_hits(reached, nodes))
+
+
+@query(f"WITH {GRAPH_SQL}, {KHOP_SQL(G.words_of(QUESTION))}, {_FIRST} SELECT id, name, type FROM first")
+def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph channel alone: the first five nodes."""
+    nodes, reached, _ = _subgraph(spark, sf_dir)
+    return reached.join(nodes.select("id", "name", "type"), "id").orderBy("distance", "id").limit(R.GRAPH_HITS).select("id", "name", "type")
 
 
-def _fused(docs: DataFrame, cells: DataFrame, asked: DataFrame) -> DataFrame:
-    dots = cells.join(F.broadcast(asked), "idx").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("_q")), 6).alias("score")).filter("score > 0").withColumn("query_id", F.lit(0))
-    near = R.ranked(R.above_threshold(R.ranked(dots, ["query_id"], "score", "doc_id", 16)).drop("rank"), ["query_id"], "score", "doc_id", 16)
-    words = R.ranked(R.keyword_search(docs, QUESTION, 16).withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 16)
-    return R.fuse(near, words).select("doc_id", "rrf_score", "vector_score", "keyword_score", R.display_score(F.col("vector_score")).alias("shown"))
+@query(f"WITH {_near(16)}, {_hits(_BOTH)} SELECT doc_id, rrf_score, vector_score, keyword_score, source, coalesce(nullif(vector_score, 0), 0.5) AS shown, content FROM f")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk hit and keyword hit of a document adds up."""
+    near = R.near_chunks(chunk_cells(spark, sf_dir), asked_cells(spark), 16).join(chunk_fixed(spark, sf_dir), ["doc_id", "chunk_index"])
+    words = R.ranked(R.keyword_search(documents(spark, sf_dir), QUESTION, 16).withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 16)
+    return R.fuse_chunks(near, words).select("doc_id", "rrf_score", "vector_score", "keyword_score", "source", R.display_score(F.col("vector_score")).alias("shown"), "content")
+
+
+@query(f"WITH {_near(16, _WHOLE)}, {_hits(_BOTH)} SELECT doc_id, rrf_score, vector_score, keyword_score, source, coalesce(nullif(vector_score, 0), 0.5) AS shown FROM f")
+def rrf_fuse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a document as one chunk."""
+    chunks, cells = _whole(spark, sf_dir)
+    near = R.near_chunks(cells, asked_cells(spark), 16).join(chunks, ["doc_id", "chunk_index"])
+    words = R.ranked(R.keyword_search(documents(spark, sf_dir), QUESTION, 16).withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 16)
+    return R.fuse_chunks(near, words).select("doc_id", "rrf_score", "vector_score", "keyword_score", "source", R.display_score(F.col("vector_score")).alias("shown"))
 
 
 @query("SELECT doc_id, round(CASE WHEN length(text) BETWEEN 50 AND 5000 THEN 1 + least(0.1, (length(text) - 50) / 2000.0 * 0.1) ELSE 1.0 END, 6)::DOUBLE AS factor FROM documents")
@@ -208,13 +273,18 @@ def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT 'text' AS channel, CAST(doc_id AS VARCHAR) AS id, score FROM ({keyword_sql(WORDS, 5)})
-UNION ALL SELECT 'vector', CAST(vec_id AS VARCHAR), score FROM ({_TOP.format(_SCORED + ' AND q.vec_id = 100', 5)})""")
+WITH {GRAPH_SQL}, {KHOP_SQL(G.words_of(QUESTION))}, {_answer(10, _VECTOR)}
+SELECT 'text' AS channel, CAST(doc_id AS VARCHAR) AS id, score FROM ({keyword_sql(QUESTION, 10)})
+UNION ALL SELECT 'vector', id, score FROM best
+UNION ALL SELECT 'graph', id, NULL FROM khop
+UNION ALL SELECT 'edge', source || ' ' || type || ' ' || target, NULL FROM edges WHERE source IN (SELECT id FROM khop WHERE distance < 2) OR target IN (SELECT id FROM khop WHERE distance < 2)""")
 def three_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = R.keyword_search(documents(spark, sf_dir), WORDS, 5).select(F.lit("text").alias("channel"), F.col("doc_id").cast("string").alias("id"), "score")
-    asked = every_hundredth(spark, sf_dir).filter("query_id = 100")
-    near = R.vector_top_k(asked, vectors(spark, sf_dir), 5).select(F.lit("vector").alias("channel"), F.col("vec_id").cast("string").alias("id"), "score")
-    return text.unionByName(near)
+    """Text, vector and graph hits of one question side by side, the graph's with the edges met."""
+    none = F.lit(None).cast("double").alias("score")
+    text = R.keyword_search(documents(spark, sf_dir), QUESTION, 10).select(F.lit("text").alias("channel"), F.col("doc_id").cast("string").alias("id"), "score")
+    near = vector_search(spark, sf_dir).select(F.lit("vector").alias("channel"), "id", "score")
+    _, reached, met = _subgraph(spark, sf_dir)
+    return text.unionByName(near).unionByName(reached.select(F.lit("graph").alias("channel"), "id", none)).unionByName(met.select(F.lit("edge").alias("channel"), F.concat_ws(" ", "source", "type", "target").alias("id"), none))
 
 
 @query("SELECT doc_id, quality, toxic FROM labels WHERE quality = 1 AND toxic = 0")

@@ -13,7 +13,7 @@ from loreweave.operators import stats
 from loreweave.sources.tables import audit, documents, table
 
 from .chunks import FIXED_SQL, base_chunks
-from .graphs import _BASE
+from .graphs import _BASE, graph_of
 from .hybrid import WORDS, keyword_sql
 from .registry import query
 
@@ -91,20 +91,20 @@ def task_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BASE}, v AS (SELECT id FROM nodes WHERE category = 'document' AND kb_id = 'en' OR category = 'entity' AND name < 'M') SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM v) AND target IN (SELECT id FROM v)")
 def graph_visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = G.build(documents(spark, sf_dir))
+    nodes, edges = graph_of(spark, sf_dir)
     seen = nodes.filter("category = 'document' AND kb_id = 'en' OR category = 'entity' AND name < 'M'").select("id")
     return edges.join(seen.withColumnRenamed("id", "source"), "source", "left_semi").join(seen.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "type")
 
 
 @query(f"WITH {_BASE} SELECT DISTINCT o AS id FROM (SELECT target AS o FROM edges WHERE source = 'doc_7' UNION ALL SELECT source FROM edges WHERE target = 'doc_7')")
 def graph_hover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = G.build(documents(spark, sf_dir))
+    nodes, edges = graph_of(spark, sf_dir)
     return G.neighbours(nodes, edges, "doc_7").select("id").distinct()
 
 
 @query(f"WITH {_BASE} SELECT id, name FROM nodes WHERE contains(lower(name), 'worth')")
 def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _ = G.build(documents(spark, sf_dir))
+    nodes, _ = graph_of(spark, sf_dir)
     return nodes.join(G.seeds_for(nodes, ["worth"]), "id", "left_semi").select("id", "name")
 
 

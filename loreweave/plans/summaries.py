@@ -41,17 +41,38 @@ def kb_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.category_totals(documents(spark, sf_dir), base_chunks(spark, sf_dir))
 
 
-@query(r"""
-SELECT source AS category, count(*) AS n_docs, (SELECT string_agg(doc_id || ':' || substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 500), '|' ORDER BY doc_id) FROM (SELECT * FROM documents e WHERE e.source = d.source ORDER BY doc_id LIMIT 5)) AS docs
-FROM documents d GROUP BY source""")
+@query(r"SELECT source AS category, count(*) OVER (PARTITION BY source) AS n_docs, doc_id, 'doc_' || doc_id AS title, CAST(length(t) AS INTEGER) AS n_chars, regexp_replace(substr(t, 1, 500), '\s+', ' ', 'g') AS preview FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)")
 def meta_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stats.snapshot(documents(spark, sf_dir))
-    return s.select("category", "n_docs", F.array_join(F.transform("docs", lambda d: F.concat_ws(":", d["doc_id"].cast("string"), d["preview"])), "|").alias("docs"))
+    return stats.snapshot(documents(spark, sf_dir))
 
 
-@query("SELECT 'action' AS kind, event_type AS name, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10) UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, CAST(user_id AS VARCHAR) LIMIT 10) UNION ALL SELECT 'denied', 'denied', count(*) FROM events WHERE event_type = 'denied'")
+@query("SELECT source AS category, count(*) OVER (PARTITION BY source) AS n_docs, doc_id, 'doc_' || doc_id AS title FROM documents")
+def meta_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.listing(documents(spark, sf_dir))
+
+
+@query("SELECT 'action' AS kind, event_type AS name, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10) UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, CAST(user_id AS VARCHAR) LIMIT 10) UNION ALL SELECT 'denied', 'view', count(*) FROM events WHERE event_type = 'view' OR value < 10")
 def audit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.audit_stats(audit(spark, sf_dir))
+    """Access counts as denied by one action or by a record's result."""
+    return stats.audit_stats(audit(spark, sf_dir).withColumn("result", F.when(F.col("value") < 10, "denied").otherwise("ok")), denied="view")
+
+
+@query("SELECT user_id, CAST(greatest(0, count(*) - 30) AS BIGINT) AS n FROM events GROUP BY user_id")
+def tag_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that thirty removals have lessened, not below 0."""
+    counts = audit(spark, sf_dir).groupBy("username").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.select(F.col("username").cast("long").alias("user_id"), stats.counter(F.col("_n"), F.lit(-30)).alias("n"))
+
+
+@query("SELECT count(*) FILTER (value > 50) AS n_kept, count(*) AS n, round(count(*) FILTER (value > 50) / count(*), 4) AS ratio FROM events")
+def status_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.share(audit(spark, sf_dir), F.col("value") > 50)
+
+
+@query("SELECT DISTINCT lang AS kb_id, source AS category FROM documents")
+def base_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories that each base holds."""
+    return documents(spark, sf_dir).select("kb_id", "category").distinct()
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 50")

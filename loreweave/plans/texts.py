@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import intent as I
@@ -15,20 +15,29 @@ from .registry import query
 _SPACE = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
-@query(r"SELECT doc_id, regexp_replace(lower(regexp_replace(substr(text, 1, 300), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS text FROM documents")
+def _halves(*marks: Column) -> Column:
+    """The whole text cut in two, with marks before, between and behind."""
+    middle = F.floor(F.length("content") / 2).cast("int")
+    return F.concat(marks[0], F.substr("content", F.lit(1), middle), marks[1], F.substr("content", middle + 1), *marks[2:])
+
+
+_CUT = "(SELECT doc_id, lang, source, text, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM documents)"
+
+
+@query(r"SELECT doc_id, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS text FROM documents")
 def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", T.normalise(F.substring("content", 1, 300)).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", T.normalise(F.col("content")).alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(t, '<think>[\s\S]*?</think>', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, '<think>' || substr(text, 1, 50) || '</think> ' || substr(text, 51, 100) AS t FROM documents)")
+@query(f"SELECT doc_id, {_SPACE.format('b')} AS text FROM {_CUT}")
 def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("<think>"), F.substring("content", 1, 50), F.lit("</think> "), F.substring("content", 51, 100))
+    said = _halves(F.lit("<think>"), F.lit("</think> "))
     return documents(spark, sf_dir).select("doc_id", T.strip_think(said).alias("text"))
 
 
-@query("SELECT doc_id, '①' || a || CASE WHEN n > 1 THEN '②' ELSE '' END || b || CASE WHEN n > 2 THEN '③' ELSE '' END AS text FROM (SELECT doc_id, doc_id % 3 + 1 AS n, substr(text, 1, 20) AS a, substr(text, 21, 20) AS b FROM documents)")
+@query(f"SELECT doc_id, '①' || a || CASE WHEN n > 1 THEN '②' ELSE '' END || b || CASE WHEN n > 2 THEN '③' ELSE '' END AS text FROM (SELECT *, doc_id % 3 + 1 AS n FROM {_CUT})")
 def align_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("⑤"), F.substring("content", 1, 20), F.lit("②"), F.substring("content", 21, 20))
+    said = _halves(F.lit("⑤"), F.lit("②"))
     return documents(spark, sf_dir).select("doc_id", T.align_citations(said, (F.col("doc_id") % 3 + 1).cast("int")).alias("text"))
 
 
@@ -38,15 +47,21 @@ def anonymize_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.anonymous_ip(ip).alias("ip"))
 
 
-@query("SELECT doc_id, md5(lang || '::' || trim(substr(text, 1, 40)) || '::k=' || doc_id || '|source=' || source) AS key FROM documents")
+@query("SELECT doc_id, md5(lang || '::' || trim(text) || '::k=' || doc_id || '|source=' || source) AS key FROM documents")
 def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", T.cache_key(F.col("kb_id"), F.substring("content", 1, 40), {"source": F.col("category"), "k": F.col("doc_id")}).alias("key"))
+    return docs.select("doc_id", T.cache_key(F.col("kb_id"), F.col("content"), {"source": F.col("category"), "k": F.col("doc_id")}).alias("key"))
+
 
+#: What is planted in the middle of each text, in turn.
+PLACED = ("[object Object]", "<undefined>", "<null>", "<empty>", "{{a.b-c}}", "${x}", "undefined", "null", "NaN", "nullable")
 
-@query(rf"SELECT doc_id, regexp_replace(regexp_replace(t, '\[object\s+\w+\]', '{T.ODD}', 'g'), '\{{\{{[\w.\-]+\}}\}}', '{T.ODD}', 'g') AS text FROM (SELECT doc_id, substr(text, 1, 30) || ' [object Object] x {{{{a.b}}}}' AS t FROM documents)")
+
+@query(f"SELECT doc_id, CASE WHEN {_SPACE.format('a || b')} = '' AND k < 9 THEN '{T.USELESS}' ELSE a || ' ' || CASE WHEN k < 9 THEN '{T.ODD}' ELSE 'nullable' END || ' ' || b END AS text FROM (SELECT *, doc_id % 10 AS k FROM {_CUT})")
 def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", T.sanitise(F.concat(F.substring("content", 1, 30), F.lit(" [object Object] x {{a.b}}"))).alias("text"))
+    """Each placeholder, and a word that only looks like one."""
+    mark = F.get(F.array(*map(F.lit, PLACED)), (F.col("doc_id") % len(PLACED)).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", T.sanitise(_halves(F.lit(""), F.concat(F.lit(" "), mark, F.lit(" ")))).alias("text"))
 
 
 def _score(rule: I.Rule) -> str:
@@ -73,11 +88,34 @@ def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("conv_id", "turn", I.intent(F.col("text")).alias("i")).select("conv_id", "turn", "i.intent", "i.confidence")
 
 
-@query("SELECT conv_id, turn, turn > m AND length(trim(text)) < 10 AS is_follow_up FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE role = 'user'")
-def followup(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Questions, and whether each is a follow-up of earlier turns: by the short rule, and by the rule that looks at its subject.
+ASKED = (
+    ("什么是检索增强", True, False), ("hi there", True, False), ("它是怎么工作的，请讲给我听一听吧", True, True), ("please explain the whole retrieval pipeline", False, False),
+    ("这个系统的详细步骤是什么，请列出来", True, True), ("介绍一下你的系统还有上面的全部内容", True, False), ("具体的操作流程应当如何理解才对呢", True, True),
+)
+_ASKED = ", ".join(f"({k}, {short}, {subject})" for k, (_, short, subject) in enumerate(ASKED))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns that ask the planted questions in turn, and whether something was said before."""
     m = messages(spark, sf_dir)
     first = m.groupBy("conv_id").agg(F.min("turn").alias("_m"))
-    return m.join(first, "conv_id").filter("role = 'user'").select("conv_id", "turn", I.follow_up_legacy(F.col("text"), F.col("turn") > F.col("_m")).alias("is_follow_up"))
+    text = F.get(F.array(*(F.lit(q) for q, _, _ in ASKED)), ((F.col("conv_id") + F.col("turn")) % len(ASKED)).cast("int"))
+    return m.join(first, "conv_id").filter("role = 'user'").select("conv_id", "turn", text.alias("text"), (F.col("turn") > F.col("_m")).alias("later"))
+
+
+def _asked_sql(which: str) -> str:
+    return f"WITH a(k, short, subject) AS (VALUES {_ASKED}) SELECT conv_id, turn, turn > m AND {which} AS is_follow_up FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) JOIN a ON (conv_id + turn) % {len(ASKED)} = k WHERE role = 'user'"
+
+
+@query(_asked_sql("short"))
+def followup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select("conv_id", "turn", I.follow_up_legacy(F.col("text"), F.col("later")).alias("is_follow_up"))
+
+
+@query(_asked_sql("subject"))
+def followup_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select("conv_id", "turn", I.follow_up(F.col("text"), F.col("later")).alias("is_follow_up"))
 
 
 @query("SELECT doc_id, CAST(len(string_split(lower(text), 'tion')) - 1 AS INTEGER) AS n FROM documents")
@@ -91,19 +129,18 @@ def fill_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.fill_template(F.lit("Title: {title}, language: {kb}, {unknown}"), {"title": F.col("title"), "kb": F.col("kb_id")}).alias("text"))
 
 
-def _tagged():
-    return F.concat(F.lit("<think>"), F.substring("content", 1, 50), F.lit("</think> "), F.substring("content", 51, 100))
-
-
-@query(rf"SELECT doc_id, {_SPACE.format('substr(text, 1, 50)')} AS thought, {_SPACE.format('substr(text, 51, 100)')} AS answer FROM documents")
+@query(f"SELECT doc_id, {_SPACE.format('a')} AS thought, {_SPACE.format('b')} AS answer FROM {_CUT}")
 def split_think(spark: SparkSession, sf_dir: str) -> DataFrame:
-    thought, answer = T.split_think(_tagged())
+    thought, answer = T.split_think(_halves(F.lit("<think>"), F.lit("</think> ")))
     return documents(spark, sf_dir).select("doc_id", thought.alias("thought"), answer.alias("answer"))
 
 
-@query(rf"SELECT doc_id, regexp_replace(substr(text, 1, 200), '\s+$', '') AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '\n-+\s*$', ''), '\s+$', '') AS text FROM documents")
 def strip_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.substring("content", 1, 200), F.lit("\n## 参考资料：\n1. "), F.col("title"))
+    """Each heading in turn, plain, bold or as a heading, behind the whole text."""
+    head = F.get(F.array(*map(F.lit, T.TAILS)), (F.col("doc_id") % len(T.TAILS)).cast("int"))
+    lead = F.get(F.array(F.lit(""), F.lit("**"), F.lit("## ")), (F.col("doc_id") % 3).cast("int"))
+    said = F.concat(F.col("content"), F.lit("\n"), lead, head, F.lit("：\n1. "), F.col("title"))
     return documents(spark, sf_dir).select("doc_id", T.strip_tails(said).alias("text"))
 
 
@@ -115,11 +152,12 @@ def parse_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.parse_iso(text).cast("timestamp_ntz").alias("at"))
 
 
-@query(r"SELECT doc_id, NOT regexp_matches(s, '[a-zA-Z0-9]') AS odd, CAST(doc_id % 3 AS INTEGER) AS emoji FROM (SELECT doc_id, substr(text, 1, CAST(doc_id % 4 AS BIGINT)) AS s FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN true WHEN doc_id % 4 = 2 THEN false ELSE NOT regexp_matches(text, '[a-zA-Z0-9]') END AS odd, CAST(doc_id % 3 AS INTEGER) AS emoji FROM documents")
 def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without a letter or digit, and runs of emoji."""
-    docs = documents(spark, sf_dir).withColumn("s", F.expr("substring(content, 1, CAST(doc_id % 4 AS INT))"))
-    return docs.select("doc_id", T.no_letters_or_digits(F.col("s")).alias("odd"), T.emoji_runs(F.concat(F.lit("x "), F.expr("repeat('😀😀 ', CAST(doc_id % 3 AS INT))"))).alias("emoji"))
+    """Whole texts, marks alone and marks with one character; and runs of emoji behind a text."""
+    text = F.when(F.col("doc_id") % 4 == 1, "😀 !!! …").when(F.col("doc_id") % 4 == 2, "!! 好 !!").otherwise(F.col("content"))
+    runs = F.concat(F.col("content"), F.lit(" "), F.expr("repeat('😀😀 ', CAST(doc_id % 3 AS INT))"))
+    return documents(spark, sf_dir).select("doc_id", T.no_letters_or_digits(text).alias("odd"), T.emoji_runs(runs).alias("emoji"))
 
 
 @query("SELECT event_id, props AS found FROM events")
@@ -128,9 +166,9 @@ def json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.json_object(said).alias("found"))
 
 
-@query(r"SELECT doc_id, CASE WHEN k = 0 THEN t ELSE regexp_replace(regexp_extract(substr(t, 1, k - 1), '(?s)^(.*[。！？.!?])', 1), '^\s+|\s+$', '', 'g') END AS text FROM (SELECT doc_id, substr(text, 1, 400) AS t, instr(substr(text, 1, 400), ' is ') AS k FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN k = 0 THEN text ELSE regexp_replace(regexp_extract(substr(text, 1, k - 1), '(?s)^(.*[。！？.!?])', 1), '^\s+|\s+$', '', 'g') END AS text FROM (SELECT *, instr(text, ' is ') AS k FROM documents)")
 def cut_at_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", T.cut_at_first(F.substring("content", 1, 400), [" is "]).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", T.cut_at_first(F.col("content"), [" is "]).alias("text"))
 
 
 @query("SELECT p_partkey, lower(trim(p_brand)) AS tag FROM part")

@@ -112,7 +112,7 @@ def test_hash_embedding(spark):
     cells = V.hash_embedding(docs, "d", "t").collect()
     assert {r["d"] for r in cells} == {1, 3}
     assert abs(sum(r["weight"] ** 2 for r in cells if r["d"] == 1) - 1) < 1e-6
-    assert set(value(spark, V.hash_tokens(F.lit("Ab a")))) == {"c:a", "c:b", "b:ab", "b:b ", "b: a", "w:ab", "w:a"}
+    assert set(value(spark, V.hash_tokens(F.lit("Ab a")))) == {"c:A", "c:b", "c:a", "b:Ab", "b:b ", "b: a", "w:ab", "w:a"}
 
 
 def _graph(spark):
@@ -138,11 +138,15 @@ def test_graph(spark):
     assert ("a", "c") in {(r["source"], r["target"]) for r in merged[1].collect()}
     assert [tuple(r) for r in G.shared_entities(edges).collect()] == [("a", 2)]
     assert {r["id"] for r in G.remove_document(nodes, edges, 1)[0].collect()} == {"doc_2", "a", "b", "c", "d"}
-    told = nodes.withColumn("description", F.lit("a long description")).withColumn("source_doc_ids", F.when(F.col("id") == "e", F.array(F.lit(2).cast("long"))))
-    assert [r["id"] for r in G.unfounded(told, edges).collect()] == []
-    assert [r["id"] for r in G.unfounded(told.withColumn("source_doc_ids", F.array(F.lit(9).cast("long"))), edges).collect()] == ["e"]
+    told = nodes.withColumn("description", F.lit("a long description"))
+    from_docs = lambda k: spark.createDataFrame([("e", k)], "id string, doc_id long")
+    assert [r["id"] for r in G.unfounded(told, edges, from_docs(2)).collect()] == []
+    assert [r["id"] for r in G.unfounded(told, edges, from_docs(9)).collect()] == ["e"]
     words = spark.createDataFrame([("Alpha", "alpha beta the beta")], "t string, c string")
     assert words.select(G.keywords(F.col("t"), F.col("c"))).first()[0] == ["Alpha", "beta"]
+    assert words.select(G.keywords(F.lit("a b 12345678"), F.lit("of"))).first()[0] == ["a b 1234"]
+    pairs = G.candidate_pairs(spark.createDataFrame([("s", 1), ("s", 2), ("a", 1), ("b", 2), ("s", 3), ("a", 3)], "id string, doc_id long"), 20)
+    assert {(r["shared"], r["a"], r["b"]) for r in pairs.collect()} == {("s", "a", "b"), ("a", "s", "s"), ("s", "a", "a")}
 
 
 def test_versions_bin_and_tags(spark):

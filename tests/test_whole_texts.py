@@ -41,4 +41,15 @@ def test_vector_channel_meets_what_lies_behind_400_characters(spark, folder):
     floor = max(0.2, max(want.values()) - 0.06)
     got = {r["doc_id"]: r["vector_score"] for r in hybrid.rrf_fuse_whole(spark, folder).collect() if r["vector_score"] is not None}
     assert got == pytest.approx({k: w for k, w in want.items() if w >= floor and w > 0}, abs=2e-6)
-    assert 6 in {r["doc_id"] for r in hybrid.hybrid_search_whole(spark, folder).collect()}
+    assert "6" in {r["id"] for r in hybrid.hybrid_search_whole(spark, folder).collect()}
+
+
+def test_hits_of_chunks_add_up_and_join_their_texts(spark):
+    from loreweave.operators import retrieval as R
+
+    near = spark.createDataFrame([(0, 7, 1, 0.9, "one two"), (0, 7, 2, 0.8, "two"), (0, 8, 3, 0.7, "three"), (0, 7, 4, 0.6, "four")], "query_id int, doc_id long, rank int, score double, text string")
+    words = spark.createDataFrame([(0, 8, 1, 0.95, "three and five"), (0, 9, 2, 0.5, "six")], "query_id int, doc_id long, rank int, score double, snippet string")
+    found = {r["doc_id"]: r for r in R.fuse_chunks(near, words).collect()}
+    assert found[7]["content"] == "one two\n...\nfour" and found[7]["rrf_score"] == round(1 / 61 + 1 / 62 + 1 / 64, 9) and found[7]["source"] == "vector"
+    assert found[8]["content"] == "three\n...\n[关键词命中]: three and five" and found[8]["source"] == "hybrid" and found[8]["vector_score"] == 0.7
+    assert found[9]["content"] == "six" and found[9]["vector_score"] is None and found[9]["source"] == "keyword"
