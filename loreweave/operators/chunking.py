@@ -28,7 +28,16 @@ BY_CHARACTERS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
 SECTION = r"^(#{1,6}\s+.+|第[一二三四五六七八九十\d]+[章节部分].+|[一二三四五六七八九十\d]+[、\.]\s*.+)$"
 PAIR = r"(?is)(?:Q|问|Question)[:：\s]+(.+?)(?:A|答|Answer)[:：\s]+(.+?)(?=(?:Q|问|Question)[:：]|$)"
 ITEM = r"(?s)(\d+[、\.]\s*.+?)(?=\d+[、\.]|$)"
-PAPER_SECTIONS = ("abstract", "introduction", "related work", "method", "experiment", "result", "discussion", "conclusion", "references")
+PAPER_SECTIONS = (
+    "abstract", "摘要", "introduction", "引言", "绪论", "related work", "相关工作", "methodology", "方法", "方法论", "experiment", "实验", "result", "结果",
+    "discussion", "讨论", "conclusion", "结论", "reference", "参考文献", "acknowledgment", "致谢",
+)
+RESUME_SECTIONS = (
+    "个人信息", "基本信息", "personal", "contact", "教育背景", "教育经历", "education", "工作经历", "工作经验", "experience", "employment",
+    "项目经验", "项目经历", "project", "技能", "专业技能", "skill", "证书", "资格证书", "certificate", "自我评价", "summary", "objective",
+)
+TABLE = r"(\|.+\|[\r\n]+\|[-:\s|]+\|[\r\n]+(?:\|.+\|[\r\n]+)+)"
+BASE_STRATEGIES, MORE_STRATEGIES = ("fixed", "recursive", "structure", "semantic"), ("naive", "general", "recursive", "intelligent", "parent_child", "book", "paper", "resume", "qa", "table")
 
 
 def _check(size: int, overlap: int) -> None:
@@ -142,12 +151,20 @@ def pages(text: Column, least: int = 2000) -> Column:
 
 def rows_of_table(text: Column, headers: list[str]) -> Column:
     """One chunk for each line with text, behind the names of the columns."""
-    head = F.lit("列: " + ", ".join(headers) + "\n")
-    return F.transform(F.filter(F.split(text, "\n"), lambda x: strip(x) != ""), lambda x: F.concat(head, strip(x)))
+    head = F.lit("表格数据（列：" + ", ".join(headers) + "）\n")
+    return F.transform(F.filter(F.split(strip(text), "\n"), lambda x: strip(x) != ""), lambda x: F.concat(head, x))
 
 
 def markdown_tables(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"((?:^\|.*\|[ \t]*(?:\n|$)){2,})".replace("^", "(?m:^)")), F.lit(1))
+    """Tables with a line of dashes under their head."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TABLE), F.lit(1)), strip)
+
+
+def table(text: Column, headers: list[str] | None = None) -> Column:
+    """Rows behind the names of the columns; without names the Markdown tables, and without any the text as it is."""
+    if headers:
+        return rows_of_table(text, headers)
+    return bind(markdown_tables(text), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(text)))
 
 
 def questions(text: Column) -> Column:
@@ -187,6 +204,107 @@ def sections(docs: DataFrame, key: str, text: str, starts: Callable[[Column], Co
     return lines.select(key, F.posexplode(F.when(F.size("_l") > 0, cut)).alias("section", "text")).filter(F.length("text") > least)
 
 
+def has_keyword(line: Column, words: tuple[str, ...], below: int) -> Column:
+    """Whether a line of fewer than below characters holds one of the words, whatever its case."""
+    return (F.length(line) < below) & F.lower(line).rlike("|".join(words))
+
+
+def filled_sections(text: Column, starts: Callable[[Column], Column], most: int, least: int) -> Column:
+    """array<struct<title, text>>: lines from one that starts a section to the next, or until their lengths pass most.
+
+    What stands behind such a cut keeps the section's title. Sections of least
+    characters or fewer are dropped, unless they were cut.
+    """
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    chunk = lambda s: F.struct(s["title"].alias("title"), s["open"].alias("text"))
+    nothing = F.array().cast("array<struct<title:string,text:string>>")
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("title"), nothing.alias("done"))
+
+    def closed(s: Column) -> Column:
+        return F.when(F.length(s["open"]) > least, F.array_append(s["done"], chunk(s))).otherwise(s["done"])
+
+    def step(s: Column, line: Column) -> Column:
+        longer = F.when(s["open"] == "", line).otherwise(F.concat(s["open"], F.lit("\n"), line))
+        size = s["size"] + F.length(line)
+        cut = F.array_append(s["done"], F.struct(s["title"].alias("title"), longer.alias("text")))
+        state = lambda o, n, t, d: F.struct(o.alias("open"), n.alias("size"), t.alias("title"), d.alias("done"))
+        return F.when(starts(line), state(line, F.length(line), line, closed(s))).when(size > most, state(F.lit(""), F.lit(0), s["title"], cut)).otherwise(state(longer, size, s["title"], s["done"]))
+
+    return F.aggregate(lines, start, step, closed)
+
+
+def book(text: Column, size: int = 512) -> Column:
+    """Chapters of more than 100 characters, cut when they pass three times size."""
+    return filled_sections(text, is_title, max(3 * size, 1500), 100)
+
+
+#: Longer than any text: a section that isn't cut.
+_NEVER = 2_000_000_000
+
+
+def paper(text: Column) -> Column:
+    return filled_sections(text, lambda x: has_keyword(x, PAPER_SECTIONS, 100), _NEVER, 50)
+
+
+def resume(text: Column) -> Column:
+    return filled_sections(text, lambda x: has_keyword(x, RESUME_SECTIONS, 50), _NEVER, 20)
+
+
+def question_titles(chunks: Column) -> Column:
+    """array<struct<title, text>>: pairs with the first 50 characters of their question."""
+    title = lambda c: F.nullif(F.substring(F.regexp_extract(c, r"(?s)^Q: (.*?)\nA: ", 1), 1, 50), F.lit(""))
+    return F.transform(chunks, lambda c: F.struct(title(c).alias("title"), c.alias("text")))
+
+
+def _untitled(chunks: Column) -> Column:
+    return F.transform(chunks, lambda c: F.struct(F.lit(None).cast("string").alias("title"), c.alias("text")))
+
+
+#: Strategy to what cuts a text into titled chunks, given size and overlap.
+STRATEGIES: dict[str, Callable[[Column, int, int], Column]] = {
+    "fixed": lambda t, size, overlap: _untitled(fixed(t, size, overlap)),
+    "naive": lambda t, size, overlap: _untitled(naive(t, size, overlap)),
+    "general": lambda t, size, overlap: _untitled(general(t, size, overlap)),
+    "recursive": lambda t, size, overlap: _untitled(token_bounded(t, size, overlap)),
+    "structure": lambda t, size, overlap: _untitled(structure(t, size)),
+    "semantic": lambda t, size, overlap: _untitled(semantic(t, size)),
+    "intelligent": lambda t, size, overlap: intelligent_chunks(t, size, overlap),
+    "parent_child": lambda t, size, overlap: F.transform(children(t, 3 * size, size, overlap), lambda c: F.struct(F.lit(None).cast("string").alias("title"), c["text"].alias("text"))),
+    "book": lambda t, size, overlap: book(t, size),
+    "paper": lambda t, size, overlap: paper(t),
+    "resume": lambda t, size, overlap: resume(t),
+    "qa": lambda t, size, overlap: question_titles(questions(t)),
+    "table": lambda t, size, overlap: _untitled(table(t)),
+}
+
+
+def strategies() -> list[str]:
+    """All strategies' names in their order, each once."""
+    return list(dict.fromkeys(BASE_STRATEGIES + MORE_STRATEGIES))
+
+
+def chunk_pages(pages: DataFrame, key: str, strategy: str, size: int = 512, overlap: int = 64) -> DataFrame:
+    """key, chunk_index, page_number, section_title, text, token_count of pages (key, page_number, section_title, text).
+
+    chunk_index runs on over the pages of a document. A chunk without a title of
+    its own has its page's. Unknown strategies raise an error.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {strategy}; there are {', '.join(STRATEGIES)}")
+    cut = pages.select(key, "page_number", "section_title", F.coalesce(STRATEGIES[strategy](F.coalesce("text", F.lit("")), size, overlap), F.array().cast("array<struct<title:string,text:string>>")).alias("_c"))
+    before = Window.partitionBy(key).orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn("_from", F.coalesce(F.sum(F.size("_c")).over(before), F.lit(0)))
+    rows = placed.select(key, "page_number", "section_title", "_from", F.posexplode("_c").alias("_n", "_c"))
+    found = rows.select(key, (F.col("_from") + F.col("_n")).cast("int").alias("chunk_index"), "page_number", F.coalesce("_c.title", "section_title").alias("section_title"), F.col("_c.text").alias("text"))
+    return found.withColumn("token_count", token_estimate(F.col("text")))
+
+
+def chunk_texts(docs: DataFrame, key: str, text: str, strategy: str, size: int = 512, overlap: int = 64) -> DataFrame:
+    """chunk_pages of whole texts, each one page."""
+    pages = docs.select(key, F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section_title"), F.col(text).alias("text"))
+    return chunk_pages(pages, key, strategy, size, overlap)
+
+
 def with_overlap(chunks: DataFrame, key: str, n: int, joiner: str = "") -> DataFrame:
     """Every chunk behind the last n characters of the one before it."""
     before = F.lag("text").over(Window.partitionBy(key).orderBy("chunk_index"))
@@ -324,11 +442,15 @@ def by_separators(text: Column, size: int = 500, overlap: int = 50) -> Column:
     return F.transform(units, lambda u: u["text"])
 
 
+def children(text: Column, parent: int = 1536, child: int = 512, overlap: int = 64) -> Column:
+    """array<struct<parent_index, text>>: children cut from parents without overlap; sizes in tokens."""
+    cut = lambda p, i: F.transform(token_bounded(p, child, overlap), lambda c: F.struct(i.alias("parent_index"), c.alias("text")))
+    return bind(token_bounded(text, parent, 0), lambda parents: F.flatten(F.transform(parents, cut)))
+
+
 def parent_child(docs: DataFrame, key: str, text: str, parent: int = 1536, child: int = 512, overlap: int = 64) -> DataFrame:
-    """key, chunk_index, parent_index, text: children, numbered through, cut from parents without overlap; sizes in tokens."""
-    parents = docs.select(key, token_bounded(F.col(text), parent, 0).alias("_p"))
-    children = F.flatten(F.transform("_p", lambda p, i: F.transform(token_bounded(p, child, overlap), lambda c: F.struct(i.alias("parent_index"), c.alias("text")))))
-    return parents.select(key, F.posexplode(children).alias("chunk_index", "_c")).select(key, "chunk_index", "_c.parent_index", "_c.text")
+    """key, chunk_index, parent_index, text: children, numbered through."""
+    return docs.select(key, F.posexplode(children(F.col(text), parent, child, overlap)).alias("chunk_index", "_c")).select(key, "chunk_index", "_c.parent_index", "_c.text")
 
 
 _SECTIONS = "array<struct<title:string,text:string>>"
@@ -365,12 +487,17 @@ def merged_sections(sections: Column, least: int = 50) -> Column:
     return F.aggregate(sections, start, step)
 
 
-def intelligent(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64, least: int = 50) -> DataFrame:
-    """key, chunk_index, section_title, text: merged sections, the long ones cut to size tokens. Blank texts have none."""
-    found = docs.select(key, merged_sections(headed_sections(F.col(text)), least).alias("_s"))
+def intelligent_chunks(text: Column, size: int = 512, overlap: int = 64, least: int = 50) -> Column:
+    """array<struct<title, text>>: merged sections, the long ones cut to size tokens. Blank texts have none."""
     cut = lambda s: F.when(token_estimate(s["text"]) > size, token_bounded(s["text"], size, overlap)).otherwise(F.array(strip(s["text"])))
-    chunks = F.flatten(F.transform("_s", lambda s: F.transform(cut(s), lambda c: F.struct(s["title"].alias("section_title"), c.alias("text")))))
-    return found.select(key, F.posexplode(chunks).alias("chunk_index", "_c")).select(key, "chunk_index", "_c.section_title", "_c.text")
+    titled = lambda s: F.transform(cut(s), lambda c: F.struct(s["title"].alias("title"), c.alias("text")))
+    return bind(merged_sections(headed_sections(text), least), lambda found: F.flatten(F.transform(found, titled)))
+
+
+def intelligent(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64, least: int = 50) -> DataFrame:
+    """key, chunk_index, section_title, text of intelligent_chunks."""
+    chunks = intelligent_chunks(F.col(text), size, overlap, least)
+    return docs.select(key, F.posexplode(chunks).alias("chunk_index", "_c")).select(key, "chunk_index", F.col("_c.title").alias("section_title"), "_c.text")
 
 
 #: Strategy to the expression that cuts a text.

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import tag_name
+from loreweave.functions.text import tag_name, token_estimate
+from loreweave.functions.vectors import hash_cells
+
+from . import graph
 
 KEPT_VERSIONS, BIN_DAYS, BIN_CHARS = 50, 7, 10_000
 REFERENCE_KINDS = ("paper", "book", "website", "other")
@@ -142,6 +145,23 @@ def listed_references(references: DataFrame, kind: str | None = None) -> DataFra
     return (kinds.filter(F.col("kind") == kind) if kind else kinds).orderBy(F.desc(F.coalesce("year", F.lit(0))), "title")
 
 
+def indexed(docs: DataFrame, cut: Column) -> DataFrame:
+    """doc_id, chunk_index, total_chunks, text, token_count, cells: the chunks of docs (doc_id, content and others) with their embeddings.
+
+    cut is the expression of a chunker: an array of texts. All is made inside the
+    row, so a full index is one pass over the documents. Documents without chunks give none.
+    """
+    cut_up = docs.select("doc_id", cut.alias("_c")).select("doc_id", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "text"))
+    return cut_up.select("doc_id", "chunk_index", "total_chunks", "text", token_estimate(F.col("text")).alias("token_count"), hash_cells(F.col("text")).alias("cells"))
+
+
+def index_report(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: documents, indexed ones, those without chunks, chunks."""
+    made = index.agg(F.count_distinct("doc_id").alias("n_indexed"), F.count(F.lit(1)).alias("n_chunks"))
+    both = docs.agg(F.count_distinct("doc_id").alias("n_docs")).join(F.broadcast(made))  # one row each
+    return both.select("n_docs", "n_indexed", (F.col("n_docs") - F.col("n_indexed")).alias("n_empty"), "n_chunks")
+
+
 def reindexed(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """chunks with those of the documents in new replaced."""
     return upsert(chunks, new, ["doc_id"])
@@ -158,3 +178,67 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
     cut = rows.orderBy(*order).offset((number - 1) * size).limit(size)
     return cut.join(F.broadcast(total)).withColumn("total_pages", F.ceil(F.col("total") / F.lit(size)).cast("int"))
+
+
+def soft_deleted(docs: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, ids: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """docs, chunks, nodes, edges without the documents in ids (column doc_id), and bin, what is kept of them for BIN_DAYS."""
+    gone = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
+    kept_nodes, kept_edges = without_documents(nodes, edges, ids)
+    held = gone.withColumn("content", F.substring("content", 1, BIN_CHARS)).withColumn("deleted_at", now).withColumn("expires_at", now + F.expr(f"INTERVAL {BIN_DAYS} DAYS"))
+    return {"docs": remove(docs, ids, ["doc_id"]), "chunks": remove(chunks, ids, ["doc_id"]), "nodes": kept_nodes, "edges": kept_edges, "bin": held}
+
+
+def without_documents(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph without the nodes of documents and without entities that lose all their edges."""
+    told = ids.select(graph.document_node(F.col("doc_id")).alias("id")).distinct()
+    nodes, edges = graph.without(nodes, edges, told)
+    return graph.without(nodes, edges, graph.orphan_entities(nodes, edges))
+
+
+def create_base(bases: DataFrame, base_id: str, name: str, description: str, at: str) -> DataFrame:
+    """bases (id, name, description, created_at, doc_count) with a new one; a name that is taken raises an error."""
+    if not bases.filter(F.col("name") == name).isEmpty():
+        raise ValueError(f"there is a base named {name}")
+    return bases.unionByName(bases.sparkSession.createDataFrame([(base_id, name, description, at, 0)], bases.schema))
+
+
+def delete_base(bases: DataFrame, docs: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, base_id: str) -> dict[str, DataFrame]:
+    """All tables without a base, its documents, their chunks and their part of the graph."""
+    ids = docs.filter(F.col("kb_id") == base_id).select("doc_id")
+    kept_nodes, kept_edges = without_documents(nodes, edges, ids)
+    return {"bases": bases.filter(F.col("id") != base_id), "docs": remove(docs, ids, ["doc_id"]), "chunks": remove(chunks, ids, ["doc_id"]), "nodes": kept_nodes, "edges": kept_edges}
+
+
+def move_documents(docs: DataFrame, chunks: DataFrame, nodes: DataFrame, ids: DataFrame, base_id: str) -> dict[str, DataFrame]:
+    """docs, chunks and nodes with the base of the documents in ids changed; edges stay, since ids of nodes do."""
+    told = ids.select("doc_id", F.lit(base_id).alias("_to")).distinct()
+    moved = lambda rows: rows.join(told, "doc_id", "left").withColumn("kb_id", F.coalesce("_to", "kb_id")).drop("_to").select(rows.columns)
+    return {"docs": moved(docs), "chunks": moved(chunks), "nodes": moved(nodes)}
+
+
+def delete_versions(versions: DataFrame, ids: DataFrame) -> DataFrame:
+    return remove(versions, ids, ["doc_id"])
+
+
+def version_of(versions: DataFrame, doc_id: int, number: int) -> DataFrame:
+    return versions.filter((F.col("doc_id") == doc_id) & (F.col("version") == number))
+
+
+def delete_by_prefix(chunks: DataFrame, docs: DataFrame, base_id: str) -> DataFrame:
+    """Chunks whose id's part before '_chunk_' is not a document of the base: the way of stores that know no document ids."""
+    ids = docs.filter(F.col("kb_id") == base_id).select(F.col("doc_id").cast("string").alias("_owner"))
+    return chunks.withColumn("_owner", F.substring_index("chunk_id", "_chunk_", 1)).join(ids, "_owner", "left_anti").drop("_owner")
+
+
+def listed_with_dimension(vectors: DataFrame, number: int, size: int) -> DataFrame:
+    """A page of vectors (vec_id, embedding) with the true dimension of each."""
+    rows = vectors.select("vec_id", F.size("embedding").alias("dimension"))
+    return page(rows, [F.col("vec_id")], number, size)
+
+
+def add_exchange(messages: DataFrame, session_id: int, question: str, answer: str) -> DataFrame:
+    """messages (conv_id, turn, role, text) with a question and its answer behind a session's last turn."""
+    last = messages.filter(F.col("conv_id") == session_id).agg(F.coalesce(F.max("turn"), F.lit(-1)).alias("_t"))
+    rows = F.array(*(F.struct(F.lit(k).alias("_k"), F.lit(r).alias("role"), F.lit(t).alias("text")) for k, (r, t) in enumerate((("user", question), ("assistant", answer)), 1)))
+    new = last.select("_t", F.inline(rows)).select(F.lit(session_id).cast("long").alias("conv_id"), (F.col("_t") + F.col("_k")).cast("long").alias("turn"), "role", "text")
+    return messages.unionByName(new)

@@ -21,6 +21,18 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
 _SLIDING = "SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substr(text, i * {1} + 1, {0}) AS text FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / {1}.0) AS BIGINT))) AS i FROM documents)"
 
 
+def CELLS_SQL(keys: str, source: str) -> str:
+    """Cells of the texts of source (keys, text)."""
+    return f"""
+    SELECT {keys}, idx, w / (sqrt(sum(w * w) OVER (PARTITION BY {keys})) + 1e-8) AS weight FROM (
+    SELECT {keys}, CAST(h % 512 AS INTEGER) AS idx, sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END) AS w FROM (
+        SELECT {keys}, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT {keys}, unnest(list_concat(list_concat(
+            list_transform(list_filter(list_transform(range(length(s)), lambda i: substr(s, i + 1, 1)), lambda x: regexp_matches(x, '\\S')), lambda x: 'c:' || x),
+            list_transform(list_filter(list_transform(range(length(s) - 1), lambda i: substr(s, i + 1, 2)), lambda x: regexp_matches(x, '\\S')), lambda x: 'b:' || x)),
+            list_transform(regexp_extract_all(s, '[A-Za-z0-9]+|[一-鿿]+'), lambda x: 'w:' || lower(x)))) AS tok
+        FROM (SELECT {keys}, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM {source}))) GROUP BY ALL HAVING sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END) <> 0)"""
+
+
 def base_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed windows, with their document's category."""
     docs = documents(spark, sf_dir)
@@ -75,15 +87,64 @@ s AS (SELECT *, CAST(sum(CASE WHEN r = 1 THEN 0 ELSE start END) OVER (PARTITION
 SELECT doc_id, section, string_agg(line, chr(10) ORDER BY i) AS text FROM s GROUP BY doc_id, section HAVING length(string_agg(line, chr(10) ORDER BY i)) > {least}"""
 
 
-@query(_sections_sql("length(line) < 100 AND regexp_matches(lower(line), '" + "|".join(C.PAPER_SECTIONS) + "')", 50))
+def _keyword_sql(words: tuple[str, ...], below: int) -> str:
+    return f"length(line) < {below} AND regexp_matches(lower(line), '" + "|".join(words) + "')"
+
+
+@query(_sections_sql(_keyword_sql(C.PAPER_SECTIONS, 100), 50))
 def chunk_paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = lambda x: (F.length(x) < 100) & F.lower(x).rlike("|".join(C.PAPER_SECTIONS))
-    return C.sections(documents(spark, sf_dir), "doc_id", "content", starts, 50)
+    return C.sections(documents(spark, sf_dir), "doc_id", "content", lambda x: C.has_keyword(x, C.PAPER_SECTIONS, 100), 50)
+
+
+#: A heading behind every third line, so that texts have sections.
+HEADINGS = ("Abstract", "2 相关工作 (Related Work)", "Work Experience", "专业技能", "Conclusion")
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one of the headings between all lines."""
+    docs = documents(spark, sf_dir)
+    head = F.get(F.array(*map(F.lit, HEADINGS)), (F.col("doc_id") % len(HEADINGS)).cast("int"))
+    return docs.withColumn("content", F.replace("content", F.lit("\n"), F.concat(F.lit("\n"), head, F.lit("\n"))))
+
+
+_HEADED_DOCS = "headed AS (SELECT doc_id, replace(text, chr(10), chr(10) || h || chr(10)) AS text FROM documents JOIN (VALUES " + ", ".join(f"({k}, '{h}')" for k, h in enumerate(HEADINGS)) + f") v(k, h) ON doc_id % {len(HEADINGS)} = k)"
+
+
+def _titled_sql(test: str, least: int, most: int) -> str:
+    """Line by line: where a section starts, how full it is, and whether it is cut behind the line."""
+    start, size = f"({test})", "CASE WHEN f.cut THEN 0 ELSE f.size END + length(l.line)"
+    return f"""
+WITH RECURSIVE {_HEADED_DOCS},
+l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, line FROM ({_LINES.replace('FROM documents', 'FROM headed')}) WHERE line <> ''),
+f AS (
+    SELECT doc_id, r, line, CAST(0 AS BIGINT) AS id, CASE WHEN {start} THEN line END AS title, CAST(length(line) AS BIGINT) AS size, NOT {start} AND length(line) > {most} AS cut FROM l WHERE r = 1
+    UNION ALL
+    SELECT l.doc_id, l.r, l.line, f.id + CASE WHEN {start.replace('line', 'l.line')} OR f.cut THEN 1 ELSE 0 END, CASE WHEN {start.replace('line', 'l.line')} THEN l.line ELSE f.title END,
+        CASE WHEN {start.replace('line', 'l.line')} THEN length(l.line) ELSE {size} END, NOT {start.replace('line', 'l.line')} AND {size} > {most}
+    FROM f JOIN l ON l.doc_id = f.doc_id AND l.r = f.r + 1
+),
+c AS (SELECT doc_id, id, title, string_agg(line, chr(10) ORDER BY r) AS text, bool_or(cut) AS cut FROM f GROUP BY doc_id, id, title)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1 AS INTEGER) AS chunk_index, title AS section_title, text FROM c WHERE cut OR length(text) > {least}"""
+
 
+def _titled(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    return C.chunk_texts(_headed(spark, sf_dir), "doc_id", "content", strategy).select("doc_id", "chunk_index", "section_title", "text")
 
-@query(_sections_sql("length(line) < 50 AND regexp_matches(line, '^[A-Z]')", 20))
+
+@query(_titled_sql(_keyword_sql(C.PAPER_SECTIONS, 100), 50, 2_000_000_000))
+def chunk_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titled(spark, sf_dir, "paper")
+
+
+@query(_titled_sql(_keyword_sql(C.RESUME_SECTIONS, 50), 20, 2_000_000_000))
 def chunk_resume_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sections(documents(spark, sf_dir), "doc_id", "content", lambda x: (F.length(x) < 50) & x.rlike("^[A-Z]"), 20)
+    return _titled(spark, sf_dir, "resume")
+
+
+@query(_titled_sql(_TITLE.format("line"), 100, 1536))
+def chunk_book_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters that are cut when they grow too long."""
+    return _titled(spark, sf_dir, "book")
 
 
 @query(_sections_sql(_TITLE.format("line"), 100))
@@ -91,11 +152,41 @@ def chunk_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sections(documents(spark, sf_dir), "doc_id", "content", C.is_title, 100)
 
 
-@query(rf"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, '列: a, b' || chr(10) || line AS text FROM ({_LINES}) WHERE line <> ''")
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, '表格数据（列：a, b）' || chr(10) || line AS text FROM l WHERE regexp_matches(line, '\\S')""")
 def chunk_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exploded(documents(spark, sf_dir), "doc_id", C.rows_of_table(F.col("content"), ["a", "b"]))
 
 
+@query("SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CASE WHEN doc_id % 2 = 1 THEN text ELSE '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || doc_id || ' | ' || k || ' |' END AS text FROM documents, (VALUES (0), (1)) t(k) WHERE doc_id % 2 = 0 OR k = 0")
+def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two Markdown tables in every other text; the others stay whole."""
+    made = lambda k: F.concat(F.lit("\n| a | b |\n|---|:-:|\n| "), F.col("doc_id").cast("string"), F.lit(f" | {k} |\n"))
+    docs = documents(spark, sf_dir)
+    docs = docs.withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.concat(made(0), F.replace("content", F.lit("|"), F.lit("/")), made(1))).otherwise(F.col("content")))
+    return C.exploded(docs, "doc_id", C.table(F.col("content")))
+
+
+@query("SELECT n AS name, CAST(k AS INTEGER) AS place FROM (VALUES ('fixed', 0), ('recursive', 1), ('structure', 2), ('semantic', 3), ('naive', 4), ('general', 5), ('intelligent', 6), ('parent_child', 7), ('book', 8), ('paper', 9), ('resume', 10), ('qa', 11), ('table', 12)) t(n, k)")
+def chunk_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of strategies."""
+    return spark.createDataFrame([(n, k) for k, n in enumerate(C.strategies())], "name string, place int")
+
+
+@query("""
+WITH p AS (SELECT doc_id, 1 AS n, substr(text, 1, length(text) // 2) AS t FROM documents UNION ALL SELECT doc_id, 2, substr(text, length(text) // 2 + 1) FROM documents),
+c AS (SELECT doc_id, n, i, substr(t, i * 448 + 1, 512) AS text FROM (SELECT doc_id, n, t, unnest(range(CAST(ceil(length(t) / 448.0) AS BIGINT))) AS i FROM p))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1 AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS page_number, 'part ' || n AS section_title, text, CAST(floor(length(text) / 4) AS INTEGER) AS token_count FROM c""")
+def chunk_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text in two pages; chunks are numbered over both."""
+    docs = documents(spark, sf_dir)
+    half = F.floor(F.length("content") / 2).cast("int")
+    two = F.array(F.struct(F.lit(1).alias("page_number"), F.substr("content", F.lit(1), half).alias("text")), F.struct(F.lit(2).alias("page_number"), F.substr("content", half + 1).alias("text")))
+    pages = docs.select("doc_id", F.inline(two)).withColumn("section_title", F.concat(F.lit("part "), F.col("page_number").cast("string")))
+    return C.chunk_pages(pages, "doc_id", "naive")
+
+
 @query("SELECT n AS name, CASE WHEN n IN ('naive', 'table', 'fixed') THEN 'fixed' WHEN n IN ('intelligent', 'book', 'paper', 'resume', 'structure') THEN 'structure' WHEN n = 'semantic' THEN 'semantic' ELSE 'recursive' END AS strategy FROM (VALUES ('auto'), ('naive'), ('general'), ('intelligent'), ('parent_child'), ('book'), ('paper'), ('resume'), ('qa'), ('table'), ('fixed'), ('structure'), ('semantic'), ('unknown')) t(n)")
 def chunk_strategy_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(n,) for n in (*C.ALIASES, "fixed", "structure", "semantic", "unknown")], "name string")
@@ -174,9 +265,11 @@ def csv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.csv_pages(spark.read.parquet(f"{sf_dir}/nation.parquet"), "n_nationkey")
 
 
-@query(f"WITH c AS ({FIXED_SQL}) SELECT doc_id, chunk_index, CAST(length(text) AS INTEGER) AS n_chars, replace(substr(text, 1, 200), chr(10), ' ') AS preview FROM c")
+@query(f"WITH c AS ({FIXED_SQL}) SELECT c.doc_id || '_chunk_' || chunk_index AS chunk_id, c.doc_id, 'doc_' || c.doc_id AS title, source AS category, chunk_index, CAST(length(c.text) AS INTEGER) AS n_chars, replace(substr(c.text, 1, 200), chr(10), ' ') AS preview FROM c JOIN documents d USING (doc_id)")
 def chunk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.export_chunks(chunk_fixed(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    chunks = docs.select("doc_id", "title", "category", F.posexplode(C.fixed(F.col("content"))).alias("chunk_index", "text"))
+    return files.export_chunks(chunks.withColumn("chunk_id", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))))
 
 
 @query(f"WITH c AS ({FIXED_SQL}) SELECT doc_id || '_chunk_' || chunk_index AS chunk_id, doc_id, md5(text) AS digest FROM c")

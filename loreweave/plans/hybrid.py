@@ -10,7 +10,7 @@ from loreweave.operators import graph as G
 from loreweave.operators import retrieval as R
 from loreweave.sources.tables import documents, table, vectors
 
-from .chunks import FIXED_SQL, chunk_fixed
+from .chunks import CELLS_SQL, FIXED_SQL, chunk_fixed
 from .graphs import GRAPH_SQL, KHOP_SQL, graph_of
 from .registry import query
 
@@ -61,18 +61,6 @@ def embedding_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.size("embedding").alias("dimension"), F.round(norm(F.col("embedding")), 6).alias("norm"), F.array_join(F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x * 1000).cast("long")), ",").alias("preview"))
 
 
-def _cells(keys: str, source: str) -> str:
-    """Cells of the texts of source (keys, text)."""
-    return f"""
-    SELECT {keys}, idx, w / (sqrt(sum(w * w) OVER (PARTITION BY {keys})) + 1e-8) AS weight FROM (
-    SELECT {keys}, CAST(h % 512 AS INTEGER) AS idx, sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END) AS w FROM (
-        SELECT {keys}, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT {keys}, unnest(list_concat(list_concat(
-            list_transform(list_filter(list_transform(range(length(s)), lambda i: substr(s, i + 1, 1)), lambda x: regexp_matches(x, '\\S')), lambda x: 'c:' || x),
-            list_transform(list_filter(list_transform(range(length(s) - 1), lambda i: substr(s, i + 1, 2)), lambda x: regexp_matches(x, '\\S')), lambda x: 'b:' || x)),
-            list_transform(regexp_extract_all(s, '[A-Za-z0-9]+|[一-鿿]+'), lambda x: 'w:' || lower(x)))) AS tok
-        FROM (SELECT {keys}, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM {source}))) GROUP BY ALL HAVING sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END) <> 0)"""
-
-
 def chunk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_embedding(chunk_fixed(spark, sf_dir), ["doc_id", "chunk_index"], "text")
 
@@ -81,13 +69,13 @@ def asked_cells(spark: SparkSession, question: str = QUESTION) -> DataFrame:
     return hash_embedding(spark.range(1).select(F.lit(question).alias("text")), [], "text")
 
 
-@query(f"WITH c AS ({FIXED_SQL}) SELECT doc_id, chunk_index, idx, round(weight, 6) AS weight FROM ({_cells('doc_id, chunk_index', 'c')})")
+@query(f"WITH c AS ({FIXED_SQL}) SELECT doc_id, chunk_index, idx, round(weight, 6) AS weight FROM ({CELLS_SQL('doc_id, chunk_index', 'c')})")
 def hash_embed_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk of every document."""
     return chunk_cells(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"SELECT doc_id, idx, round(weight, 6) AS weight FROM ({_cells('doc_id', 'documents')})")
+@query(f"SELECT doc_id, idx, round(weight, 6) AS weight FROM ({CELLS_SQL('doc_id', 'documents')})")
 def hash_embed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one text."""
     return hash_embedding(documents(spark, sf_dir), "doc_id", "content").withColumn("weight", F.round("weight", 6))
@@ -137,8 +125,8 @@ def _near(k: int, chunks: str = FIXED_SQL) -> str:
     """The CTEs c, cut (chunk hits) and kw (keyword hits) of the question."""
     return f"""
 c AS ({chunks}),
-q AS ({_cells('one', "(SELECT 1 AS one, '" + QUESTION + "' AS text)")}),
-d AS ({_cells('doc_id, chunk_index', 'c')}),
+q AS ({CELLS_SQL('one', "(SELECT 1 AS one, '" + QUESTION + "' AS text)")}),
+d AS ({CELLS_SQL('doc_id, chunk_index', 'c')}),
 dots AS (SELECT d.doc_id, d.chunk_index, round(sum(d.weight * q.weight), 6) AS score FROM d JOIN q USING (idx) GROUP BY ALL),
 near AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, chunk_index) AS rank FROM dots WHERE score > 0 QUALIFY rank <= {k}),
 cut AS (SELECT n.doc_id, n.chunk_index, score, rank, text FROM near n JOIN c USING (doc_id, chunk_index) WHERE score >= (SELECT greatest(0.20, round(max(score) - 0.06, 6)) FROM near)),

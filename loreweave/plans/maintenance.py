@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.operators import answers as A
+from loreweave.operators import chunking as C
 from loreweave.operators import graph as G
 from loreweave.operators import lifecycle as L
 from loreweave.operators import retrieval as R
 from loreweave.operators import stats
-from loreweave.sources.tables import audit, documents, table
+from loreweave.sources.tables import audit, documents, messages, table
 
-from .chunks import FIXED_SQL, base_chunks
-from .graphs import _BASE, graph_of
+from .chunks import CELLS_SQL, FIXED_SQL, base_chunks
+from .graphs import _BASE, GRAPH_SQL, graph_of
 from .hybrid import WORDS, keyword_sql
 from .registry import query
 
@@ -49,12 +52,69 @@ def chunks_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["chunk_index"].cast("string"), x["n"].cast("string"))), ",").alias("chunks"))
 
 
-@query(f"{_CHUNKS}, l AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM c WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT doc_id FROM l) GROUP BY doc_id")
+@query(f"WITH c AS ({FIXED_SQL}), d AS (SELECT doc_id, chunk_index, count(*) AS n FROM ({CELLS_SQL('doc_id, chunk_index', 'c')}) GROUP BY ALL) SELECT doc_id, chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, md5(text) AS digest, CAST(n AS INTEGER) AS n_cells FROM c JOIN d USING (doc_id, chunk_index)")
+def reindex_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and embedded anew."""
+    index = L.indexed(documents(spark, sf_dir), C.fixed(F.col("content")))
+    return index.select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("digest"), F.size("cells").alias("n_cells"))
+
+
+@query(f"WITH c AS ({FIXED_SQL}) SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs, count(DISTINCT doc_id) AS n_indexed, (SELECT count(DISTINCT doc_id) FROM documents) - count(DISTINCT doc_id) AS n_empty, count(*) AS n_chunks FROM c")
+def reindex_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return L.index_report(docs, docs.select("doc_id", F.explode(C.fixed(F.col("content")))))
+
+
+@query(f"WITH c AS ({FIXED_SQL}), l AS (SELECT doc_id FROM labels WHERE toxic = 1), w AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substr(text, i * 450 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 450.0) AS BIGINT))) AS i FROM documents WHERE doc_id IN (SELECT doc_id FROM l))) SELECT doc_id, chunk_index, md5(text) AS digest FROM c WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT doc_id, chunk_index, md5(text) FROM w")
 def reindex_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of documents with the label are replaced by one each."""
-    chunks = base_chunks(spark, sf_dir).select("doc_id", "chunk_index", "text")
-    new = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(0).alias("chunk_index"), F.lit("new").alias("text"))
-    return L.reindexed(chunks, new).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """The index, in which documents with the label are cut by another strategy and embedded anew."""
+    docs = documents(spark, sf_dir)
+    some = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    index = L.reindexed(L.indexed(docs, C.fixed(F.col("content"))), L.indexed(some, C.naive(F.col("content"))))
+    return index.select("doc_id", "chunk_index", F.md5("text").alias("digest"))
+
+
+def _gone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+
+
+_LEFT = f"""{{0}}, gone AS ({{1}}), l AS (SELECT * FROM edges WHERE source NOT IN (SELECT 'doc_' || doc_id FROM gone)),
+n AS (SELECT * FROM nodes WHERE (category = 'document' AND doc_id NOT IN (SELECT doc_id FROM gone)) OR (category = 'entity' AND id IN (SELECT target FROM l)))"""
+
+
+@query(f"WITH {_LEFT.format(GRAPH_SQL, 'SELECT doc_id FROM labels WHERE toxic = 1')}, c AS ({FIXED_SQL}) SELECT 'docs' AS kind, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'chunks', count(*) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'nodes', count(*) FROM n UNION ALL SELECT 'edges', count(*) FROM l UNION ALL SELECT 'bin', count(*) FROM gone")
+def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the label go to the bin, with chunks and graph."""
+    left = L.soft_deleted(documents(spark, sf_dir), base_chunks(spark, sf_dir), *graph_of(spark, sf_dir), _gone(spark, sf_dir), F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return reduce(DataFrame.unionByName, (rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")).select("kind", "n") for kind, rows in left.items()))
+
+
+@query(f"WITH {_LEFT.format(GRAPH_SQL, "SELECT doc_id FROM documents WHERE lang = 'fr'")}, c AS ({FIXED_SQL}) SELECT 'bases' AS kind, 1 AS n UNION ALL SELECT 'docs', count(*) FROM documents WHERE lang <> 'fr' UNION ALL SELECT 'chunks', count(*) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'nodes', count(*) FROM n UNION ALL SELECT 'edges', count(*) FROM l")
+def base_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base goes with its documents, chunks and graph; another was created before."""
+    bases = spark.createDataFrame([("fr", "French", "", "2024", 0)], "id string, name string, description string, created_at string, doc_count int")
+    bases = L.create_base(bases, "xx", "Other", "", "2024")
+    left = L.delete_base(bases, documents(spark, sf_dir), base_chunks(spark, sf_dir), *graph_of(spark, sf_dir), "fr")
+    return reduce(DataFrame.unionByName, (rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")).select("kind", "n") for kind, rows in left.items()))
+
+
+@query(f"WITH {GRAPH_SQL}, m AS (SELECT doc_id FROM labels WHERE quality = 0), c AS ({FIXED_SQL}) SELECT 'docs' AS kind, count(*) AS n FROM m UNION ALL SELECT 'chunks', count(*) FROM c WHERE doc_id IN (SELECT doc_id FROM m) UNION ALL SELECT 'nodes', count(*) FROM m")
+def base_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, chunks and nodes of documents of low quality after their move to a base of their own."""
+    low = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    left = L.move_documents(documents(spark, sf_dir), base_chunks(spark, sf_dir), graph_of(spark, sf_dir)[0], low, "low")
+    return reduce(DataFrame.unionByName, (rows.agg(F.lit(kind).alias("kind"), F.count_if(F.col("kb_id") == "low").alias("n")).select("kind", "n") for kind, rows in left.items()))
+
+
+@query(f"WITH c AS ({FIXED_SQL}) SELECT doc_id || '_chunk_' || chunk_index AS chunk_id FROM c JOIN documents USING (doc_id) WHERE lang <> 'en'")
+def delete_chunks_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = base_chunks(spark, sf_dir).select(F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"))
+    return L.delete_by_prefix(chunks, documents(spark, sf_dir), "en")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT 0, (SELECT coalesce(max(turn), -1) FROM conversations WHERE conv_id = 0) + k, r, t FROM (VALUES (1, 'user', 'why?'), (2, 'assistant', 'so')) v(k, r, t)")
+def session_add_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.add_exchange(messages(spark, sf_dir), 0, "why?", "so")
 
 
 @query("SELECT lang AS kb_id, count(*) AS n_docs, string_agg(DISTINCT source, ',' ORDER BY source) AS categories FROM documents GROUP BY lang")

@@ -66,8 +66,36 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id AS task_id, string_agg(text, '' ORDER BY turn) AS text, true AS done FROM conversations GROUP BY conv_id")
 def stream_token_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("seq"), F.col("text").alias("piece"), F.lit(True).alias("done"))
-    return _finished(spark, J.append_texts(tokens), "update", ["task_id"])
+    folder = _folder(spark)
+    J.ingest(_stream(spark, sf_dir, "conversations"), _tokens, f"{folder}/tokens", f"{folder}/state")
+    return J.assembled(spark.read.parquet(f"{folder}/tokens"))
+
+
+def _tokens(turns: DataFrame) -> DataFrame:
+    return turns.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("seq"), F.col("text").alias("piece"), F.lit(True).alias("done"))
+
+
+@query("""
+WITH s AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT conv_id AS task_id, -1 AS n, 'metadata' AS kind, CAST(n AS VARCHAR) AS payload FROM s
+UNION ALL SELECT conv_id, turn, 'text', text FROM conversations
+UNION ALL SELECT conv_id, max(turn) + 1, CASE WHEN conv_id % 3 = 0 THEN 'error' ELSE 'done' END, '' FROM conversations GROUP BY conv_id""")
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third conversation breaks off."""
+    turns = table(spark, sf_dir, "conversations")
+    sources = turns.filter("role = 'user'").groupBy(F.col("conv_id").alias("task_id")).agg(F.count(F.lit(1)).alias("n_sources"))
+    return J.answer_events(_tokens(turns).withColumn("done", F.col("task_id") % 3 != 0), sources)
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS batch, o_orderkey AS doc_id, CAST(row_number() OVER w AS INTEGER) AS done, count(*) OVER (PARTITION BY o_custkey) AS total, CAST(floor(100 * row_number() OVER w / count(*) OVER (PARTITION BY o_custkey)) AS INTEGER) AS percent FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def migration_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the documents of a migration."""
+    return J.migration_events(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("place"), F.col("o_orderkey").alias("doc_id")))
+
+
+@query("SELECT * FROM (VALUES (5, 'start'), (10, 'vector'), (30, 'vector done'), (40, 'graph'), (65, 'graph done'), (75, 'keyword'), (90, 'keyword done'), (100, 'done')) t(percent, stage)")
+def search_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(J.SEARCH_STAGES), "percent int, stage string")
 
 
 @query("""

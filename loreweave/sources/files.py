@@ -6,6 +6,7 @@ file by file.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loreweave.operators.chunking import pages
+from loreweave.operators.chunking import chunk_pages, pages
 
 # Fixed values.
 CODECS = ("utf-8", "utf-8-sig", "gb18030", "gbk", "big5", "shift_jis", "euc_kr", "utf-16", "cp1252", "latin-1")
@@ -49,8 +50,13 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, text of whole files. Valid UTF-8 is decoded by Spark, other bytes by the list of codecs."""
-    files = read_bytes(spark, path).withColumn("_ok", F.try_validate_utf8(F.col("content").cast("string")).isNotNull())
+    """path, text of whole files."""
+    return texts_of(read_bytes(spark, path))
+
+
+def texts_of(files: DataFrame) -> DataFrame:
+    """path, text of files (path, content). Valid UTF-8 is decoded by Spark, other bytes by the list of codecs."""
+    files = files.withColumn("_ok", F.try_validate_utf8(F.col("content").cast("string")).isNotNull())
 
     def other(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -135,6 +141,39 @@ def document_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return parsed_pages(read_bytes(spark, path), kind)
 
 
+def csv_rows(raw: bytes) -> list[tuple[str | None, str]]:
+    """Pages of 20 rows of a CSV file with a head line, each row as 'name: value; name: value' without empty values."""
+    rows = csv.DictReader(io.StringIO(decode_bytes(raw).removeprefix("\ufeff")))
+    lines = ["; ".join(f"{k}: {v}" for k, v in r.items() if k and v) for r in rows]
+    return [(None, "\n".join(lines[i : i + ROWS_PER_PAGE])) for i in range(0, len(lines), ROWS_PER_PAGE)]
+
+
+PARSERS["csv"] = csv_rows
+
+
+def folder_pages(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Pages of all files below path, each by its extension; unknown ones raise an error, or are read as text."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    kinds = [r[0] for r in listed.select(extension(F.col("path"))).distinct().collect()]  # a row for each extension
+    known = {"txt", "text", "md", "markdown", *PARSERS}
+    if strict and set(kinds) - known:
+        raise ValueError(f"no parser for {', '.join(sorted(set(kinds) - known))}")
+    found = None
+    for kind in sorted(kinds):
+        files = listed.filter(extension(F.col("path")) == kind).select("path", "content")
+        if kind in PARSERS:
+            part = parsed_pages(files, kind)
+        else:
+            part = (markdown_sections if kind in ("md", "markdown") else text_pages)(texts_of(files))
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], PAGES)
+
+
+def chunk_folder(spark: SparkSession, path: str, strategy: str, size: int = 512, overlap: int = 64) -> DataFrame:
+    """Chunks of all files below path: parsed by extension, cut by the strategy."""
+    return chunk_pages(folder_pages(spark, path), "path", strategy, size, overlap)
+
+
 AUDIT = "ts double, iso string, action string, username string, resource string, result string, detail string, ip string"
 
 
@@ -166,8 +205,40 @@ def read_columnar_store(stores: DataFrame) -> DataFrame:
 
 
 def export_chunks(chunks: DataFrame) -> DataFrame:
-    """What a chunk export holds: a preview of 200 characters in one line."""
-    return chunks.select("doc_id", "chunk_index", F.length("text").alias("n_chars"), F.regexp_replace(F.substring("text", 1, 200), "\n", " ").alias("preview"))
+    """What a chunk export holds of chunks (chunk_id, doc_id, title, category, chunk_index, text): with a preview of 200 characters in one line."""
+    return chunks.select("chunk_id", "doc_id", "title", "category", "chunk_index", F.length("text").alias("n_chars"), F.regexp_replace(F.substring("text", 1, 200), "\n", " ").alias("preview"))
+
+
+def write_export(chunks: DataFrame, path: str) -> None:
+    """The export as CSV files with a head line that starts with a byte order mark, as spreadsheets like it."""
+    rows = export_chunks(chunks)
+    first, *more = rows.columns
+    rows.withColumnRenamed(first, "\ufeff" + first).select("\ufeff" + first, *more).write.option("header", True).option("escape", '"').csv(path)
+
+
+def replace_documents(docs: DataFrame, path: str) -> None:
+    """All documents at path give way to docs; docs must not be read from there."""
+    docs.write.mode("overwrite").parquet(path)
+
+
+def newest_operations(log: DataFrame, n: int = 10) -> DataFrame:
+    return log.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+
+
+def save_operations(saved: DataFrame, log: DataFrame, n: int = 10) -> DataFrame:
+    """saved and those of the last n operations of log that it hasn't, told by operator, action and time."""
+    keys = ["operator", "action", "ts"]
+    return saved.unionByName(newest_operations(log, n).join(saved.select(*keys), keys, "left_anti").select(saved.columns))
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The bases of a registry: JSON objects with id, name, description, created_at, doc_count."""
+    return spark.read.schema("id string, name string, description string, created_at string, doc_count int").option("multiLine", True).json(path)
+
+
+def append_lines(lines: DataFrame, path: str) -> None:
+    """Lines (value) behind those of a text log."""
+    lines.select("value").write.mode("append").text(path)
 
 
 def oldest_operations(log: DataFrame, n: int = 500) -> DataFrame:

@@ -7,9 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CACHE_SIZE, CACHE_SECONDS = 100, 300
+CACHE_SECONDS = 300
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -66,36 +65,64 @@ def ingest(documents: DataFrame, chunks: Callable[[DataFrame], DataFrame], path:
     documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def append_texts(tokens: DataFrame) -> DataFrame:
-    """task_id, text, done: the text that a task's tokens (task_id, seq, piece, done) make up so far."""
+def assembled(tokens: DataFrame) -> DataFrame:
+    """task_id, text, done: the text that a task's tokens (task_id, seq, piece, done) make up so far.
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, done = state.get if state.exists else ("", False)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        text, done = text + "".join(rows["piece"]), bool(done or rows["done"].any())
-        state.update((text, done))
-        yield pd.DataFrame({"task_id": [key[0]], "text": [text], "done": [done]})
+    Tokens are kept as rows by ingest and put in order when they are read, so late
+    ones come to their place and no state grows with a text. Of tokens of equal
+    seq the least piece counts, which also covers tokens that were sent again.
+    """
+    once = tokens.groupBy("task_id", "seq").agg(F.min("piece").alias("piece"), F.bool_or("done").alias("done"))
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "piece")))
+    made = once.groupBy("task_id").agg(pieces.alias("_p"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("done"))
+    return made.select("task_id", F.array_join(F.transform("_p", lambda p: F.coalesce(p["piece"], F.lit(""))), "").alias("text"), "done")
 
-    schema = f"task_id {tokens.schema['task_id'].dataType.simpleString()}, text string, done boolean"
-    return tokens.groupBy("task_id").applyInPandasWithState(fold, schema, "text string, done boolean", "update", GroupStateTimeout.NoTimeout)
 
+#: What a hybrid search reports on its way: percent and stage.
+SEARCH_STAGES = ((5, "start"), (10, "vector"), (30, "vector done"), (40, "graph"), (65, "graph done"), (75, "keyword"), (90, "keyword done"), (100, "done"))
 
-def cache_replay(requests: DataFrame, key: Column, seconds: int = CACHE_SECONDS) -> DataFrame:
-    """requests (id, ts) with hit: the key was asked for at most so many seconds after it was last stored.
 
-    A miss stores it. Hits don't renew the time, so of the requests within the
-    time of a stored one all are hits; the stored one is the first of its run.
+def answer_events(tokens: DataFrame, sources: DataFrame) -> DataFrame:
+    """task_id, n, kind, payload: the events of streamed answers in order.
+
+    'metadata' with the number of sources (task_id, n_sources) comes first, then a
+    'text' for each token, and 'done', or 'error' for a task whose last token hasn't come.
     """
-    keyed = requests.withColumn("_key", key).withColumn("_s", F.col("ts").cast("double"))
-    order = Window.partitionBy("_key").orderBy("_s", "id")
-    gathered = keyed.withColumn("_n", F.row_number().over(order)).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_s", "id"))).alias("_all"))
-    start = F.struct(F.lit(None).cast("double").alias("stored"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out"))
+    first = sources.select("task_id", F.lit(-1).cast("long").alias("n"), F.lit("metadata").alias("kind"), F.col("n_sources").cast("string").alias("payload"))
+    text = tokens.select("task_id", F.col("seq").cast("long").alias("n"), F.lit("text").alias("kind"), F.col("piece").alias("payload"))
+    last = tokens.groupBy("task_id").agg((F.max("seq") + 1).cast("long").alias("n"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("_d"))
+    return first.unionByName(text).unionByName(last.select("task_id", "n", F.when(F.col("_d"), "done").otherwise("error").alias("kind"), F.lit("").alias("payload")))
+
 
-    def step(state: Column, r: Column) -> Column:
-        hit = F.coalesce(r["_s"] - state["stored"] <= seconds, F.lit(False))
-        return F.struct(F.when(hit, state["stored"]).otherwise(r["_s"]).alias("stored"), F.array_append(state["out"], F.struct(r["id"].cast("long").alias("id"), hit.alias("hit"))).alias("out"))
+def migration_events(moved: DataFrame) -> DataFrame:
+    """batch, doc_id, done, total, percent: one event for each document (batch, place, doc_id) of a migration, in the order of their places."""
+    own = Window.partitionBy("batch")
+    done, total = F.row_number().over(own.orderBy("place")), F.count(F.lit(1)).over(own)
+    return moved.select("batch", "doc_id", done.alias("done"), total.alias("total")).withColumn("percent", F.floor(100 * F.col("done") / F.col("total")).cast("int"))
 
-    return gathered.select(F.inline(F.aggregate("_all", start, step, lambda s: s["out"])))
+
+def cache_replay(requests: DataFrame, key: Column, seconds: int = CACHE_SECONDS) -> DataFrame:
+    """requests (id, ts) with hit: the key was asked for at most so many seconds after it was last stored.
+
+    A miss stores it, hits don't renew the time. A task reads its keys in the order
+    of time and remembers when the last one was stored, so a key of many requests
+    takes time but no memory. The cache is taken as large enough for all keys.
+    """
+    keyed = requests.select(key.cast("string").alias("_key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("double").alias("_s"))
+    ordered = keyed.withColumn("_key", F.coalesce("_key", F.lit(""))).repartition("_key").sortWithinPartitions("_key", "_s", "id")
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, stored = None, 0.0
+        for b in batches:
+            hits = []
+            for k, s in zip(b["_key"], b["_s"], strict=True):
+                hit = k == last and s - stored <= seconds
+                if not hit:
+                    last, stored = k, s
+                hits.append(hit)
+            yield pd.DataFrame({"id": b["id"], "hit": hits})
+
+    return ordered.mapInPandas(replay, "id long, hit boolean")
 
 
 def hit_rate(replayed: DataFrame) -> DataFrame:

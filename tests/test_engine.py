@@ -199,11 +199,18 @@ def test_streams_over_several_batches(spark, tmp_path):
     for k, r in enumerate(rows):
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    out = J.run_once(J.append_texts(stream), "update", f"{tmp_path}/work", ["task_id"])
-    assert {(r["task_id"], len(r["text"]), r["done"]) for r in out.collect()} == {(1, 3, True), (2, 1, False)}
+    J.ingest(stream, lambda b: b, f"{tmp_path}/tokens", f"{tmp_path}/work")
+    out = J.assembled(spark.read.parquet(f"{tmp_path}/tokens"))
+    assert {(r["task_id"], r["text"], r["done"]) for r in out.collect()} == {(1, "abc", True), (2, "x", False)}
+    late = spark.createDataFrame([*reversed(rows), rows[0], (3, 0, None, None)], schema)
+    assert {(r["task_id"], r["text"], r["done"]) for r in J.assembled(late).collect()} == {(1, "abc", True), (2, "x", False), (3, "", False)}
+    events = J.answer_events(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, 2), (2, 0)], "task_id long, n_sources int"))
+    assert [(r["kind"], r["payload"]) for r in events.filter("task_id = 2").orderBy("n").collect()] == [("metadata", "0"), ("text", "x"), ("error", "")]
     times = spark.createDataFrame([(k, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, s in enumerate((0, 300, 301, 600, 602))], "id long, ts timestamp")
     hits = {r["id"]: r["hit"] for r in J.cache_replay(times, F.lit("q")).collect()}
     assert hits == {0: False, 1: True, 2: False, 3: True, 4: False}
+    mixed = {r["id"]: r["hit"] for r in J.cache_replay(times, F.when(F.col("id") == 1, "other")).collect()}
+    assert mixed == {0: False, 1: False, 2: False, 3: True, 4: False + 1}
 
 
 def test_queries_have_sql_of_their_names():
