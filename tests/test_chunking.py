@@ -90,11 +90,11 @@ def test_pages_rows_and_questions(spark):
     blocks = "\n\n".join("x" * 900 for _ in range(5))
     one = lambda text, f: spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("c")).first()["c"]
     assert [len(p) for p in one(blocks, C.pages)] == [2704, 1802]
-    assert one("1 2\n\n3 4", lambda t: C.rows_of_table(t, ["x", "y"])) == ["列: x, y\n1 2", "列: x, y\n3 4"]
+    assert one("1 2\n\n3 4", lambda t: C.rows_of_table(t, ["x", "y"])) == ["表格数据（列：x, y）\n1 2", "表格数据（列：x, y）\n3 4"]
     assert one("Q: a? A: b", C.questions) == ["Q: a?\nA: b"]
     assert one("k: v\nz: w", C.questions) == ["k: v", "z: w"]
     assert one("1. first\n2. second", C.questions) == ["1. first", "2. second"]
-    assert one("|a|b|\n|-|-|\n|1|2|\nno", C.markdown_tables) == ["|a|b|\n|-|-|\n|1|2|\n"]
+    assert one("|a|b|\n|-|-|\n|1|2|\nno", C.markdown_tables) == ["|a|b|\n|-|-|\n|1|2|"]
 
 
 def test_overlap_tokens_and_parents(spark):
