@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fixed
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,16 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: for every node of edges (a, b, with a < b) the least node of its component.
 
     The steps need as many rounds as about the logarithm of the longest chain.
-    Each is written to the checkpoint folder; only a count and a checksum of the
-    edges reach the driver.
+    Each round's edges are written to the shared folder and those of the round
+    before dropped; only a count and a checksum of the edges reach the driver.
+    No edges: no rows.
     """
-    edges, before = fixed(edges.select("a", "b").distinct()), None
+    scratch = Scratch(edges.sparkSession, "components")
+    edges, before = scratch.write(edges.select("a", "b").distinct()), None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
-        edges, before = fixed(_small_star(_large_star(edges))), now
+        after = scratch.write(_small_star(_large_star(edges)))
+        scratch.drop(edges)
+        edges, before = after, now

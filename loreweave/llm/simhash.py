@@ -37,21 +37,25 @@ _BLOCK = 1 << 16
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """Bit b is set if it is in over half of the shingles' hashes."""
+def shingle_hashes(text: str, width: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; fewer words than width are one shingle, no words none."""
     words = text.encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - width + 1)
-    counts, first, last = np.zeros(BITS, np.int64), starts[:n].tolist(), ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, _BLOCK):
-        hashes = np.array([digest(joined[i:j], seed) for i, j in zip(first[at : at + _BLOCK], last[at : at + _BLOCK], strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bit b is set if it is in over half of the hashes; 0 if there are none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, hashes.size, _BLOCK):
+        counts += np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > hashes.size, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -59,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = np.array([fingerprint(t, width, seed) for t in batch["text"]], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(shingle_hashes(t, width, seed)) for t in batch["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp})
 
     return by_batches(docs.select("doc_id", text_of().alias("text")), run, "fp long")
