@@ -112,7 +112,8 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' captures are written as WARC files to the shared folder, read from there and resolved."""
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(captures(table(spark, sf_dir, "pages")), folder)
-    rows = warc.resolve_revisits(warc.read_warc(spark, folder))
+    records = Scratch(spark, "records").write(warc.read_warc(spark, folder))  # without bodies
+    rows = warc.resolve_revisits(records)
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
     number = lambda c: F.substring_index(c, ":", -1).cast("long")
     return rows.select(number("record_id").alias("record_id"), "canonical", "verdict", number("response_id").alias("response_id"), "payload_digest", headers.alias("headers"))

@@ -89,11 +89,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     line between two records is cut there, and what follows is no record.
     """
     text = spark.read.option("lineSep", GAP + VERSION).text(path)
-    split = text.select(F.regexp_replace("value", rf"^{VERSION}", "").alias("_r")).select(F.substring_index("_r", GAP, 1).alias("_head"), F.substring_index(F.expr(f"substr(_r, length(substring_index(_r, '{_sql(GAP)}', 1)) + 5)"), GAP, 1).alias("_http"))
+    # Only the heads are looked at: what stands before the second blank line.
+    heads = text.select(F.substring_index(F.when(F.col("value").startswith(VERSION), F.expr(f"substr(value, {len(VERSION) + 1})")).otherwise(F.col("value")), GAP, 2).alias("_two"))
+    split = heads.select("_two", F.substring_index("_two", GAP, 1).alias("_head")).select("_head", F.expr("substr(_two, length(_head) + 5)").alias("_http"))
     field = lambda name: F.nullif(F.regexp_extract("_head", rf"(?im)^{name}:[\x20\t]*([^\r\n]*?)[\x20\t]*\r?$", 1), F.lit(""))
     date = lambda name: F.try_to_timestamp(F.regexp_replace(field(name), r"(\.\d+)?Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     status = F.regexp_extract("_http", r"^HTTP/[\d.]+ (\d{3})", 1)
-    lines = F.filter(F.slice(F.split("_http", "\r?\n"), 2, F.size(F.split("_http", "\r?\n"))), lambda x: x.contains(":"))
+    lines = F.filter(F.split("_http", "\r?\n"), lambda x, i: (i > 0) & x.contains(":"))
     entries = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, F.lit(":")) + 1)).alias("v")))
     made = split.select(
         F.regexp_replace(field("WARC-Record-ID"), "^<|>$", "").alias("record_id"),
@@ -111,10 +113,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return made.filter(F.col("kind").isin("response", "revisit")).withColumn("headers", F.map_from_arrays(names, values)).drop("_entries")
 
 
-def _sql(text: str) -> str:
-    return text.replace("\r", "\\r").replace("\n", "\\n")
-
-
 def _sliced(known: DataFrame, rows_per_slice: int) -> DataFrame:
     """known with ``_slice``, which rises with _asof: 0 for most URLs, about rows_per_slice rows to a slice for a URL of more.
 
