@@ -210,7 +210,7 @@ def test_streams_over_several_batches(spark, tmp_path):
     hits = {r["id"]: r["hit"] for r in J.cache_replay(times, F.lit("q")).collect()}
     assert hits == {0: False, 1: True, 2: False, 3: True, 4: False}
     mixed = {r["id"]: r["hit"] for r in J.cache_replay(times, F.when(F.col("id") == 1, "other")).collect()}
-    assert mixed == {0: False, 1: False, 2: False, 3: True, 4: False + 1}
+    assert mixed == {0: False, 1: False, 2: False, 3: True, 4: False}
 
 
 def test_queries_have_sql_of_their_names():
