@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,3 +72,49 @@ def text_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
         body = lines[2:]
         rows.append((sum(x.startswith("+") for x in body), sum(x.startswith("-") for x in body), "\n".join(lines)))
     return pd.DataFrame(rows, columns=["added", "removed", "diff"])
+
+
+# What an answer says that found nothing, or that contradicts itself, and the least score of a hit that was worth reading.
+NOTHING_FOUND = ("知识库中暂未找到", "知识库中暂未", "知识库中未找到", "知识库中没有找到")
+ASK_AGAIN = ("换个问法", "换种问法", "换个问题", "建议重新提问")
+WORTH_READING = 0.30
+
+
+def outcome(answer: Column, n_worth: Column) -> Column:
+    """'kept', 'no_definition' or 'no_match' of an answer, given how many hits were worth reading.
+
+    An answer that found nothing or contradicts itself, without a citation, had
+    hits that don't define what was asked, or none. One that found nothing and
+    cites all the same found nothing. Only a kept answer and 'no_definition' keep their citations.
+    """
+    says = lambda words: reduce(lambda a, b: a | b, (answer.contains(w) for w in words))
+    nothing, again, cites = says(NOTHING_FOUND), says(ASK_AGAIN), answer.rlike("[①-⑳]")
+    lost = F.when(n_worth > 0, "no_definition").otherwise("no_match")
+    return F.when((nothing | again) & ~cites, lost).when(nothing & cites, "no_match").otherwise("kept")
+
+
+# Words of a question that don't tell what it is about, words for the system itself, and titles of texts on it.
+FAQ_STOPS = ("的", "了", "和", "是", "在", "我", "有", "都", "一", "上", "也", "很", "到", "说", "要", "去", "你", "介绍", "什么", "如何", "怎么", "怎样", "一下", "请", "帮")
+FAQ_SYSTEM = (
+    "本平台", "本系统", "本知识库", "这个系统", "该系统", "这套系统", "知识库", "平台", "工具", "应用", "软件", "产品", "知识", "能力", "使用", "功能", "介绍", "使用方式", "使用说明", "使用手册",
+)
+FAQ_TITLES = ("知识库介绍", "使用方式", "知识库使用方式", "本知识库介绍")
+
+
+def faq_override(question: str, hits: DataFrame, faqs: DataFrame) -> DataFrame:
+    """id, title, content, source of what answers a question on the system: the faqs, or hits if they don't fit it.
+
+    Both tables have id, title, content. The faqs give way where there are hits and
+    the question has words, none of which occurs in a faq, or none of which is a word
+    for the system while all faqs are about it.
+    """
+    words = sorted({w for w in (m.lower() for m in re.findall("[一-鿿]+|[A-Za-z]+", question)) if len(w) >= 2 and w not in FAQ_STOPS})
+    text = F.lower(F.concat_ws("\n", "title", "content"))
+    found = reduce(lambda a, b: a | b, (text.contains(w) for w in words), F.lit(False))
+    told = faqs.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.bool_and(F.col("title").isin(*FAQ_TITLES)), F.lit(True)).alias("_intro"), F.coalesce(F.bool_or(found), F.lit(False)).alias("_found"))
+    had = hits.select("id").limit(1).agg(F.count(F.lit(1)).alias("_hits"))
+    flag = told.join(F.broadcast(had))  # one row
+    off_topic = F.lit(bool(words)) & ((F.lit(not set(words) & set(FAQ_SYSTEM)) & F.col("_intro")) | ~F.col("_found"))
+    flag = flag.select(((F.col("_hits") > 0) & (F.col("_n") > 0) & off_topic).alias("_through"))
+    rows = lambda df, source: df.select("id", "title", "content", F.lit(source).alias("source")).join(F.broadcast(flag))
+    return rows(hits, "search").filter("_through").unionByName(rows(faqs, "faq").filter("NOT _through")).drop("_through")

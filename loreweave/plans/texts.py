@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import intent as I
 from loreweave.functions import text as T
-from loreweave.operators.answers import NOT_FOUND, final_answer
+from loreweave.operators.answers import NOT_FOUND, faq_override, final_answer, outcome
+from loreweave.operators.lifecycle import add_absent
 from loreweave.sources.tables import documents, messages, table
 
 from .registry import query
@@ -186,3 +189,39 @@ def final_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third answer found nothing; of those, even turns have no citation."""
     said = F.when(F.col("turn") % 3 == 0, NOT_FOUND[0] + "。").otherwise(F.col("text"))
     return messages(spark, sf_dir).filter("text <> ''").select("conv_id", "turn", final_answer(said, (F.col("turn") % 2).cast("int"), F.lit(False)).alias("answer"))
+
+
+#: Parts of an answer that say that nothing was found, ask again and cite.
+_SAID = ("知识库中未找到相关内容。", "建议换个问法。", "见①。")
+#: What becomes of the eight answers of these parts, without and with a hit that was worth reading.
+_BECOMES = ("kept", "no_match", "no_match", "no_match", "kept", "no_match", "kept", "no_match"), ("kept", "no_definition", "no_definition", "no_definition", "kept", "no_match", "kept", "no_match")
+_OUTCOMES = ", ".join(f"({k}, {n}, '{o}')" for n, side in enumerate(_BECOMES) for k, o in enumerate(side))
+
+
+@query(f"WITH v(k, n, o) AS (VALUES {_OUTCOMES}) SELECT doc_id, o AS outcome FROM documents JOIN v ON doc_id % 8 = k AND (doc_id // 8) % 2 = n")
+def answer_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as answers, with each set of the parts behind them."""
+    part = lambda k: F.when(F.floor(F.col("doc_id") / (1 << k)) % 2 == 1, _SAID[k]).otherwise("")
+    said = F.concat("content", part(0), part(1), part(2))
+    return documents(spark, sf_dir).select("doc_id", outcome(said, F.floor(F.col("doc_id") / 8) % 2).alias("outcome"))
+
+
+#: Questions on the system, and whether the faqs answer them where search found something.
+FAQ_ASKED = (("本系统 功能", True), ("LangChain 原理", False), ("知识库 介绍", True), ("如何 怎么", True), ("平台 zzz", True), ("工具 yyy", False))
+_FAQ = "VALUES ('faq_0', '知识库介绍', '本系统 提供检索 功能。平台说明。'), ('faq_1', '使用方式', '知识库 上传与提问。')"
+
+
+@query("WITH f(id, title, content) AS (" + _FAQ + "), q(k, faq) AS (VALUES " + ", ".join(f"({k}, {faq})" for k, (_, faq) in enumerate(FAQ_ASKED)) + ") SELECT k, id, 'faq' AS source FROM q, f WHERE faq UNION ALL SELECT k, 'doc_' || doc_id, 'search' FROM q, documents WHERE NOT faq AND lang = 'fr'")
+def faq_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question with the French documents as what search found."""
+    faqs = spark.createDataFrame([("faq_0", "知识库介绍", "本系统 提供检索 功能。平台说明。"), ("faq_1", "使用方式", "知识库 上传与提问。")], "id string, title string, content string")
+    hits = documents(spark, sf_dir).filter("kb_id = 'fr'").select(F.col("title").alias("id"), "title", "content")
+    return reduce(DataFrame.unionByName, (faq_override(q, hits, faqs).select(F.lit(k).alias("k"), "id", "source") for k, (q, _) in enumerate(FAQ_ASKED)))
+
+
+@query("WITH f(id, title, content) AS (" + _FAQ + ") SELECT id, title FROM f UNION ALL SELECT 'doc_' || doc_id, 'doc_' || doc_id FROM documents")
+def faq_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds are added where they are absent; the second time none is."""
+    seeds = spark.createDataFrame([("faq_0", "知识库介绍"), ("faq_1", "使用方式")], "id string, title string")
+    held = documents(spark, sf_dir).select(F.col("title").alias("id"), "title")
+    return add_absent(add_absent(held, seeds, ["id"]), seeds, ["id"])
