@@ -157,8 +157,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def cut_documents(docs: DataFrame, path: str, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
     """Pieces of the tokenized documents: doc_id, piece, start, length, ids_crc32, with ids if asked for.
 
-    A document is its ids and END_ID; only longer ones than capacity are cut.
-    Null and empty texts are END_ID alone.
+    A document is its ids and END_ID; only longer ones than capacity are cut, into
+    pieces of capacity, however long they are. Null and empty texts are END_ID
+    alone. Repeated rows are cut alike, a null doc_id stays null. No rows: no rows.
+    Other columns are ignored.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,9 +183,10 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     A sequence holds at most capacity tokens and its pieces follow on each other
     from offset 0. Pieces of equal length are ranked by doc_id and piece; equal
     rows each get a place. Lengths outside 1 to capacity, and null ones, raise
-    an error. No rows: no rows. Columns named sequence_id or offset are replaced.
+    an error. No rows: no rows. Columns named sequence_id or offset are replaced,
+    those of the names that are used on the way dropped, others stay.
     """
-    pieces = fixed(pieces.drop("sequence_id", "offset"))
+    pieces = fixed(pieces.drop("sequence_id", "offset", "_rank", "_part", "_at", "_start", "_n", "_first", "_after", "_each", "_sequence", "_offset"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
     if None in counts:
         raise ValueError("piece lengths must not be null")
@@ -199,6 +202,11 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids. ``packed`` has ids."""
+    """The packed sequences themselves: sequence_id, ids. ``packed`` has ids.
+
+    Pieces follow on each other by offset; a null array of ids counts as none. A
+    sequence is one value of at most capacity ids. No rows: no rows. Other columns
+    are ignored.
+    """
     parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_p"))
-    return parts.select("sequence_id", F.flatten(F.transform("_p", lambda p: p["ids"])).alias("ids"))
+    return parts.select("sequence_id", F.flatten(F.transform("_p", lambda p: F.coalesce(p["ids"], F.array().cast("array<int>")))).alias("ids"))

@@ -100,8 +100,8 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the counts, base_failed and kept.
 
     Null and empty texts have no words and fail the base. Repeated rows are
-    judged alike; ties don't occur. The columns that are added replace columns
-    of docs of the same name. No rows: no rows.
+    judged alike; ties don't occur. Very long texts are judged whole. The columns
+    that are added replace columns of docs of the same name, others stay. No rows: no rows.
     """
     measures = measured(docs)
     base_failed = ~reduce(lambda a, b: a & b, (r.passes() for r in BASE))

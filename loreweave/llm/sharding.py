@@ -45,7 +45,8 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], extra_weight: float
 
     The shard follows from doc_id and the weights alone. Null text: no bytes and
     the checksum of the empty text. Null doc_id: as the empty key. Repeated rows
-    each get a slot of their own. No rows: no rows. Other columns are ignored.
+    each get a slot of their own. Texts of any length are measured whole. No rows:
+    no rows. Other columns are ignored.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     sized = docs.select("doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"), F.crc32(text_of()).alias("text_crc32"))

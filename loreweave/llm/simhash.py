@@ -154,7 +154,8 @@ def near_copies(docs: DataFrame, distance: int = 2, width: int = 3, seed: int =
 
     Null and empty texts have fingerprint 0, which is linked like any other. A
     null doc_id is no candidate for component_id; a component without any other
-    has null. Repeated rows are kept. No rows: no rows.
+    has null. Very long texts are read whole, eight bytes a word in a task. Repeated
+    rows are kept. No rows: no rows. Other columns of docs are ignored.
     """
     rows = fixed(fingerprints(docs, width, seed))
     nodes = fixed(rows.groupBy("fp").agg(F.min("doc_id").alias("_first")))

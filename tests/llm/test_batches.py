@@ -238,6 +238,37 @@ def test_pipeline(spark, tmp_path):
         assert sum(x["length"] for x in rows if x["doc_id"] == i) == len(LIBRARY.encode(t, add_special_tokens=False).ids) + 1
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    prose = " ".join(r.choice(["the", "of", "and", f"w{k}"]) for k in range(120))
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, prose, "en", "s", 1), (9, prose + " token: abcdefgh", "en", "s", 1), (9, "other " + prose[::-1], "en", "s", 1), (9, "other " + prose[::-1], "en", "s", 1)]
+    table = spark.createDataFrame([(*x, 1, 2, 3) for x in odd], DOCUMENTS + ", _drop int, key int, spans int")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: Counter((x["doc_id"], x["text"]) for x in df.collect())
+    assert all(t and "w1" in t or "1w" in t for _, t in rows(stages["quality"](spark, table, "")))
+    kept = rows(stages["near_dedup"](spark, table, ""))
+    # Null and empty texts are copies; of a near copy without an id the one with an id stays; one id on two texts is two documents.
+    assert kept == Counter({(1, None): 1, (9, odd[5][1]): 1, (9, odd[6][1]): 1})
+    redacted = rows(stages["secrets"](spark, table, ""))
+    assert redacted == Counter((i, t and t.replace("token: abcdefgh", "[SECRET]")) for i, t, *_ in odd)
+    packed = stages["packing"](spark, table, "").collect()
+    assert Counter(x["doc_id"] for x in packed) == Counter(i for i, *_ in odd) and len({(x["sequence_id"], x["offset"]) for x in packed}) == len(odd)
+    for stage in stages.values():
+        assert stage(spark, table.limit(0), "").collect() == []
+
+
+def test_the_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == []
