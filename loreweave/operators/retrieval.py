@@ -8,14 +8,16 @@ which Spark applies before the shuffle as well as after it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import occurrences
-from loreweave.functions.vectors import cosine
 
 # The limits and weights of retrieval.
 LEAST_SCORE, BELOW_TOP, RRF_K, UNSCORED = 0.20, 0.06, 60, 0.5
@@ -33,8 +35,8 @@ SYNONYMS = {
     "大模型": ("LLM", "llm", "大语言模型"),
     "知识图谱": ("图谱", "知识网络", "KG"),
 }
-#: Queries that are broadcast at a time.
-MOST_QUERIES = 10_000
+#: Bytes of query vectors that are broadcast at a time, and scores that a task holds at once.
+BLOCK_BYTES, SCORES = 32 << 20, 2_000_000
 
 
 def ranked(df: DataFrame, keys: list[str], score: str, tie: str | list[str], k: int, rank: str = "rank") -> DataFrame:
@@ -54,21 +56,48 @@ def matches(categories: list[str] | None = None, kb_id: str | None = None) -> Co
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank. queries: query_id, query (a vector); vectors: vec_id, embedding.
+    """query_id, vec_id, score, rank: the k nearest vectors of each query by cosine, to six decimals and not below 0.
 
-    The queries are broadcast; a batch of more than MOST_QUERIES goes block by block.
+    queries: query_id, query (a vector); vectors: vec_id, embedding. The queries are
+    taken block by block of BLOCK_BYTES; a block is broadcast as a matrix of unit
+    vectors, and a task keeps the best k of each query while it multiplies its
+    vectors with it. Vectors of another length than the queries' and null ones
+    are no neighbours, a zero vector is at 0 from all. Ties go to the lower vec_id.
     """
-    blocks = max(1, -(-queries.count() // MOST_QUERIES))
-    if blocks > 1:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        return reduce(DataFrame.unionByName, (_top_k(queries.filter(block == b), vectors, k) for b in range(blocks)))
-    return _top_k(queries, vectors, k)
-
-
-def _top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    pairs = vectors.crossJoin(F.broadcast(queries))
-    scored = pairs.select("query_id", "vec_id", F.greatest(F.lit(0.0), F.round(cosine(F.col("query"), F.col("embedding")), 6)).alias("score"))
-    return ranked(scored, ["query_id"], "score", "vec_id", k)
+    size = queries.agg(F.count(F.lit(1)), F.max(F.size("query"))).first()
+    blocks = max(1, -(-size[0] * 8 * (size[1] or 1) // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = (queries.filter(block == b) if blocks > 1 else queries for b in range(blocks))
+    found = reduce(DataFrame.unionByName, (_nearest(p, vectors, k, size[1] or 0) for p in parts))
+    return ranked(found, ["query_id"], "score", "vec_id", k)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
+    """query_id, vec_id, score of the k nearest in each task, for a block of queries."""
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "vec_id"))}
+    rows = queries.filter(F.size("query") == dim).select("query_id", F.col("query").cast("array<double>").alias("query")).collect()  # at most BLOCK_BYTES
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+    asked = np.array([r["query_id"] for r in rows])
+    shared = queries.sparkSession.sparkContext.broadcast(unit(np.array([r["query"] for r in rows], np.float64).reshape(-1, dim)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrix = shared.value
+        n = len(matrix)
+        ids, scores = np.empty((n, 0), np.int64), np.empty((n, 0))
+        for batch in batches:
+            step = max(1, SCORES // max(n, 1))
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                near = np.maximum(np.round(matrix @ unit(np.stack(part["embedding"].to_numpy())).T, 6), 0.0)
+                ids = np.concatenate((ids, np.broadcast_to(part["vec_id"].to_numpy(), near.shape)), axis=1)
+                scores = np.concatenate((scores, near), axis=1)
+                order = np.lexsort((ids, -scores), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+        if n:
+            yield pd.DataFrame({"query_id": np.repeat(asked, ids.shape[1]), "vec_id": ids.reshape(-1), "score": scores.reshape(-1)})
+
+    usable = vectors.filter((F.size("embedding") == dim) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return usable.mapInPandas(run, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double")
 
 
 def vector_top_k_then_filter(queries: DataFrame, vectors: DataFrame, keep: Column, k: int) -> DataFrame:

@@ -103,7 +103,8 @@ def test_vector_top_k_in_blocks(spark, monkeypatch):
     vectors = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(40)], "vec_id long, embedding array<double>")
     queries = vectors.filter("vec_id < 9").selectExpr("vec_id AS query_id", "embedding AS query")
     whole = {tuple(r) for r in R.vector_top_k(queries, vectors, 3).collect()}
-    monkeypatch.setattr(R, "MOST_QUERIES", 4)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(R, "SCORES", 7)
     assert {tuple(r) for r in R.vector_top_k(queries, vectors, 3).collect()} == whole and len(whole) == 27
 
 
