@@ -31,17 +31,17 @@ BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, rang
 
 def hash_tokens(text: Column) -> Column:
     """Distinct characters (c:) and neighbouring characters (b:) of a trimmed text, and its words (w:) in lower case."""
-    stripped = F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
-    blank = lambda c: c.isin(*BLANKS)
+    stripped = F.btrim(text, F.lit(BLANKS))
+    visible = lambda x: F.btrim(x, F.lit(BLANKS)) != ""
 
     def tokens(characters: Column) -> Column:
-        n = F.size(characters)
-        pair = lambda i: F.when(~(blank(F.get(characters, i)) & blank(F.get(characters, i + 1))), F.concat(F.lit("b:"), F.get(characters, i), F.get(characters, i + 1)))
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), pair)).otherwise(F.array().cast("array<string>"))
-        return F.array_compact(F.concat(F.transform(F.filter(F.array_distinct(characters), lambda c: ~blank(c)), lambda c: F.concat(F.lit("c:"), c)), F.array_distinct(pairs)))
+        # Distinct ones first: a text has few characters and pairs of them.
+        pairs = F.array_compact(F.zip_with(characters, F.slice(characters, 2, F.greatest(F.size(characters), F.lit(1))), lambda a, b: F.concat(a, b)))
+        tagged = lambda tag, found: F.transform(F.filter(F.array_distinct(found), visible), lambda x: F.concat(F.lit(tag), x))
+        return F.concat(tagged("c:", characters), tagged("b:", pairs))
 
-    words = F.regexp_extract_all(stripped, F.lit("([A-Za-z0-9]+|[\u4e00-\u9fff]+)"), F.lit(1))
-    return F.array_distinct(F.concat(bind(F.regexp_extract_all(stripped, F.lit("(?s)(.)"), F.lit(1)), tokens), F.transform(words, lambda w: F.concat(F.lit("w:"), F.lower(w)))))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(stripped, F.lit("([A-Za-z0-9]+|[\u4e00-\u9fff]+)"), F.lit(1)), lambda w: F.lower(w)))
+    return F.concat(bind(F.filter(F.split(stripped, ""), lambda c: c != ""), tokens), F.transform(words, lambda w: F.concat(F.lit("w:"), w)))
 
 
 CELLS = "array<struct<idx:int,weight:double>>"
