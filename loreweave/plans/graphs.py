@@ -159,7 +159,7 @@ _TOLD = "VALUES (0, '提示词'), (1, ' The '), (2, 'a'), (3, 'Alice'), (4, 'zzq
 
 @query(f"""
 WITH e AS (SELECT doc_id, k, CASE WHEN k = 1 THEN substr(text, 20, 5) ELSE name END AS name FROM documents, ({_TOLD}) t(k, name)),
-g AS (SELECT doc_id, k, regexp_replace(e.name, '^\\s+|\s+$', '', 'g') AS name, 'doc_' || doc_id || ' ' || substr(text, 1, 1500) AS t FROM e JOIN documents USING (doc_id))
+g AS (SELECT doc_id, k, regexp_replace(e.name, '^\\s+|\\s+$', '', 'g') AS name, 'doc_' || doc_id || ' ' || substr(text, 1, 1500) AS t FROM e JOIN documents USING (doc_id))
 SELECT doc_id, k, name FROM g WHERE length(name) >= 2 AND name NOT IN ('Alice') AND contains(t, name)""")
 def graph_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names told of each document: one cut from its text, and some that aren't there, too short or examples."""
