@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loreweave.functions.vectors import cosine_safe, hash_embedding, norm
 from loreweave.operators import graph as G
 from loreweave.operators import retrieval as R
-from loreweave.sources.tables import documents, table, vectors
+from loreweave.sources.tables import documents, spread, table, vectors
 
 from .chunks import CELLS_SQL, FIXED_SQL, chunk_fixed
 from .graphs import GRAPH_SQL, KHOP_SQL, graph_of
@@ -62,7 +62,7 @@ def embedding_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hash_embedding(chunk_fixed(spark, sf_dir), ["doc_id", "chunk_index"], "text")
+    return hash_embedding(spread(chunk_fixed(spark, sf_dir)), ["doc_id", "chunk_index"], "text")
 
 
 def asked_cells(spark: SparkSession, question: str = QUESTION) -> DataFrame:

@@ -15,6 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("category"), F.col("lang").alias("kb_id"), F.col("text").alias("content"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if a small table comes in fewer partitions than those; a large one stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, category (the label), embedding as doubles."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("category"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
