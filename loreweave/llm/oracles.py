@@ -140,6 +140,26 @@ SELECT record_id, canonical, CASE WHEN page IS NULL THEN 'no response' WHEN mine
     CASE WHEN mine = tag THEN 'cache-control: max-age=600; content-length: ' || n || '; content-type: text/html; etag: W/' || mine END AS headers
 FROM joined"""
 
+DIVERGENCE = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+each AS (SELECT r, lang, source, unnest(ts) AS term FROM docs),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS ln FROM each GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(ln) AS lt FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS n FROM each SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, k.ln, CAST(coalesce(c.n, 0) AS HUGEINT) AS n
+    FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+totals AS (SELECT lang, source, sum(n) AS t FROM dense GROUP BY ALL),
+ps AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (t + 5 * v) AS p, 1 + (1000000000 * (ln + 5)) // (lt + 5 * v) AS q
+    FROM dense JOIN totals USING (lang, source) JOIN langs USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+    FROM (SELECT DISTINCT lang, source FROM docs) a JOIN (SELECT DISTINCT lang, source FROM docs) b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM ps x JOIN ps y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s
+        ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM ps WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
 ORACLES = {
     "op1_chat_format": CHAT.strip(),
     "op2_rendezvous_shards": SHARDS.strip(),
@@ -147,4 +167,5 @@ ORACLES = {
     "op5_secret_scan": SECRETS.strip(),
     "op8_warc_revisits": REVISITS.strip(),
     "op9_quality_rules": QUALITY.strip(),
+    "op11_source_divergence": DIVERGENCE.strip(),
 }

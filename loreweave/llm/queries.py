@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, media, packing, quality, secrets, sharding, simhash, warc
+from . import bpe, chat, divergence, licenses, media, packing, quality, secrets, sharding, simhash, warc
 from .common import Scratch, shared_folder
 from .oracles import ORACLES
 
@@ -128,6 +128,10 @@ def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.read_media(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -139,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_quality_rules": op9_quality_rules,
     "op10_webp_media": op10_webp_media,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 
