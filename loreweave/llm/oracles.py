@@ -160,6 +160,39 @@ terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
 
+TRIE = r"""
+WITH bits AS (
+    SELECT i, list_reduce([i] || list_transform(range(8), lambda x: 0::BIGINT), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS i)
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM bits),
+turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), counted AS (SELECT conv_id, count(*) AS own FROM turns GROUP BY conv_id),
+hashed AS (
+    SELECT conv_id, own, conv_id - conv_id % 5 AS base,
+        xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1])), 4294967295) % 9 AS h
+    FROM counted, crc
+), convs AS (SELECT a.conv_id, a.own, a.base, a.h, least(a.h, coalesce(b.own, 0)) AS given FROM hashed a LEFT JOIN counted b ON b.conv_id = a.base),
+rebuilt AS (
+    SELECT c.conv_id, t.place + 1 AS depth, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place < c.given
+    UNION ALL SELECT c.conv_id, given + place - h + 1, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place >= h
+), lengths AS (SELECT conv_id, given + greatest(own - h, 0) AS length FROM convs),
+paths AS (
+    SELECT conv_id, 0 AS depth, '' AS node, '' AS parent, 0 AS size FROM convs
+    UNION ALL
+    SELECT r.conv_id, r.depth, sha256(string_agg(length(p.role) || ':' || p.role || length(p.text) || ':' || p.text, '' ORDER BY p.depth)),
+        CASE WHEN r.depth = 1 THEN '' ELSE sha256(string_agg(length(p.role) || ':' || p.role || length(p.text) || ':' || p.text, '' ORDER BY p.depth) FILTER (p.depth < r.depth)) END,
+        any_value(octet_length(encode(r.text)))
+    FROM rebuilt r JOIN rebuilt p ON p.conv_id = r.conv_id AND p.depth <= r.depth GROUP BY r.conv_id, r.depth
+), nodes AS (SELECT node, min(depth) AS depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved FROM paths GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+below AS (SELECT DISTINCT a.node AS top, d.node FROM paths a JOIN paths d ON d.conv_id = a.conv_id AND d.depth >= a.depth),
+sums AS (SELECT top, count(*) FILTER (c.n IS NULL) AS n_leaves, sum(saved) AS saved_tokens FROM below JOIN nodes USING (node) LEFT JOIN children c USING (node) GROUP BY top),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM paths JOIN lengths USING (conv_id) WHERE depth = length GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.top = n.node LEFT JOIN nodes p ON p.node = n.parent AND n.depth > 0 LEFT JOIN children c ON c.node = n.node LEFT JOIN ends e ON e.node = n.node"""
+
 ORACLES = {
     "op1_chat_format": CHAT.strip(),
     "op2_rendezvous_shards": SHARDS.strip(),
@@ -168,4 +201,5 @@ ORACLES = {
     "op8_warc_revisits": REVISITS.strip(),
     "op9_quality_rules": QUALITY.strip(),
     "op11_source_divergence": DIVERGENCE.strip(),
+    "op13_prefix_trie": TRIE.strip(),
 }
