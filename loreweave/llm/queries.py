@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, licenses, media, packing, quality, secrets, sharding, simhash, trie, warc
+from . import bpe, chat, classifier, divergence, licenses, media, packing, quality, secrets, sharding, simhash, trie, warc
 from .common import Scratch, shared_folder
 from .oracles import ORACLES
 
@@ -132,6 +132,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -148,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_webp_media": op10_webp_media,
     "op11_source_divergence": op11_source_divergence,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
