@@ -36,7 +36,6 @@ RESUME_SECTIONS = (
     "个人信息", "基本信息", "personal", "contact", "教育背景", "教育经历", "education", "工作经历", "工作经验", "experience", "employment",
     "项目经验", "项目经历", "project", "技能", "专业技能", "skill", "证书", "资格证书", "certificate", "自我评价", "summary", "objective",
 )
-TABLE = r"(\|.+\|[\r\n]+\|[-:\s|]+\|[\r\n]+(?:\|.+\|[\r\n]+)+)"
 BASE_STRATEGIES, MORE_STRATEGIES = ("fixed", "recursive", "structure", "semantic"), ("naive", "general", "recursive", "intelligent", "parent_child", "book", "paper", "resume", "qa", "table")
 
 
@@ -156,8 +155,37 @@ def rows_of_table(text: Column, headers: list[str]) -> Column:
 
 
 def markdown_tables(text: Column) -> Column:
-    """Tables with a line of dashes under their head."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TABLE), F.lit(1)), strip)
+    """Tables with a line of dashes under their head, trimmed.
+
+    A table is a head, which may begin behind other words of its line, a line of
+    dashes and at least one row; it ends before the first line that isn't between
+    bars, and every line of it has its line end. The dashes are one line. Lines are marked one by one and cut
+    where runs of them end, so a table of any length is found.
+    """
+    bare = lambda e: F.rtrim(e, F.lit("\r\n"))
+    closed = lambda e: e.rlike(r"[\r\n]$") & bare(e).endswith("|")
+    is_row = lambda e: closed(e) & e.startswith("|") & (F.length(bare(e)) > 2)
+    is_head = lambda e: closed(e) & (F.length(bare(e)) - F.instr(e, F.lit("|")) >= 2)
+    is_dashes = lambda e: bare(e).rlike(r"^\|[-:\s|]+\|$")
+
+    def cut(lines: Column, breaks: Column) -> Column:
+        def first_table(k: Column) -> Column:
+            """The table between a break, whose line may be a head, and the next."""
+            start = F.greatest(F.get(breaks, k), F.lit(0))
+            n = F.get(breaks, k + 1) - start
+
+            def found(part: Column) -> Column:
+                at = F.filter(F.sequence(F.lit(0), F.size(part) - 3), lambda i: is_dashes(F.get(part, i + 1)) & is_head(F.get(part, i)))
+                head = bind(F.get(part, F.get(at, 0)), lambda e: F.substr(e, F.instr(e, F.lit("|"))))
+                return F.when(F.size(at) > 0, strip(F.concat(head, F.array_join(F.slice(part, F.get(at, 0) + 2, F.size(part)), ""))))
+
+            return F.when(n >= 3, bind(F.slice(lines, start + 1, n), found))
+
+        return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(breaks) - 2), first_table))
+
+    marks = lambda lines: F.transform(lines, lambda e, i: F.when(~is_row(e), i))
+    whole = lambda lines: bind(F.concat(F.array(F.lit(-1)), F.array_compact(marks(lines)), F.array(F.size(lines))), lambda b: cut(lines, b))
+    return F.when(text.contains("|"), bind(F.split(text, r"(?<=[\r\n])(?=[^\r\n])"), whole)).otherwise(F.array().cast(NONE))
 
 
 def table(text: Column, headers: list[str] | None = None) -> Column:
@@ -299,6 +327,29 @@ def chunk_pages(pages: DataFrame, key: str, strategy: str, size: int = 512, over
     return found.withColumn("token_count", token_estimate(F.col("text")))
 
 
+def chunk_table_pages(pages: DataFrame, key: str) -> DataFrame:
+    """key, chunk_index, page_number, section_title, text, token_count, kind of pages (key, page_number, section_title, text, headers).
+
+    A page with headers is a sheet: each line with text is a row behind their names,
+    titled by its number. Of other pages each Markdown table is a chunk, titled by
+    its place on the page; a page without one is a chunk as it is, under its own title.
+    chunk_index runs on over the pages of a document, and so do the numbers of rows.
+    """
+    sheet = F.coalesce(F.size("headers") > 0, F.lit(False))
+    content = F.coalesce("text", F.lit(""))
+    names = F.concat(F.lit("表格数据（列："), F.array_join("headers", ", "), F.lit("）\n"))
+    lines = F.filter(F.split(strip(content), "\n"), lambda x: strip(x) != "")
+    rows = F.transform(lines, lambda x: F.concat(names, x))
+    found = pages.select(key, "page_number", "section_title", F.when(sheet, "table_row").alias("kind"), F.when(sheet, rows).otherwise(markdown_tables(content)).alias("_c"), content.alias("_page"))
+    whole = F.col("kind").isNull() & (F.size("_c") == 0)
+    found = found.withColumns({"kind": F.when(whole, "page").otherwise(F.coalesce("kind", F.lit("table"))), "_c": F.when(whole, F.array("_page")).otherwise(F.col("_c"))}).drop("_page")
+    before = Window.partitionBy(key).orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("_from", F.coalesce(F.sum(F.size("_c")).over(before), F.lit(0))).select(key, "page_number", "section_title", "kind", "_from", F.posexplode("_c").alias("_n", "text"))
+    place = (F.col("_from") + F.col("_n")).cast("int")
+    title = F.when(F.col("kind") == "table_row", F.concat(F.lit("数据行 "), (place + 1).cast("string"))).when(F.col("kind") == "table", F.concat(F.lit("Table "), (F.col("_n") + 1).cast("string"))).otherwise(F.col("section_title"))
+    return placed.select(key, place.alias("chunk_index"), "page_number", title.alias("section_title"), "text", token_estimate(F.col("text")).alias("token_count"), "kind")
+
+
 def chunk_texts(docs: DataFrame, key: str, text: str, strategy: str, size: int = 512, overlap: int = 64) -> DataFrame:
     """chunk_pages of whole texts, each one page."""
     pages = docs.select(key, F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section_title"), F.col(text).alias("text"))

@@ -58,42 +58,51 @@ def matches(categories: list[str] | None = None, kb_id: str | None = None) -> Co
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest vectors of each query by cosine, to six decimals and not below 0.
 
-    queries: query_id, query (a vector); vectors: vec_id, embedding. The queries are
-    taken block by block of BLOCK_BYTES; a block is broadcast as a matrix of unit
-    vectors, and a task keeps the best k of each query while it multiplies its
-    vectors with it. Vectors of another length than the queries' and null ones
-    are no neighbours, a zero vector is at 0 from all. Ties go to the lower vec_id.
+    queries: query_id, query (a vector); vectors: vec_id, embedding. Ids may be
+    numbers or texts. Queries of each length meet the vectors of that length, as
+    in a store with a collection for each dimension. They are taken block by
+    block of BLOCK_BYTES; a block is broadcast as a matrix of unit vectors, and a
+    task keeps the best k of each query while it multiplies its vectors with it.
+    A vector without values or null is no query and no neighbour, a zero vector is at 0 from
+    all. Ties go to the lower vec_id.
     """
-    size = queries.agg(F.count(F.lit(1)), F.max(F.size("query"))).first()
-    blocks = max(1, -(-size[0] * 8 * (size[1] or 1) // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = (queries.filter(block == b) if blocks > 1 else queries for b in range(blocks))
-    found = reduce(DataFrame.unionByName, (_nearest(p, vectors, k, size[1] or 0) for p in parts))
-    return ranked(found, ["query_id"], "score", "vec_id", k)
+    sizes = queries.groupBy(F.size("query").alias("dim")).agg(F.count(F.lit(1)).alias("n")).filter("dim > 0").orderBy("dim").collect()
+    found = []
+    for dim, n in sizes or [(1, 0)]:
+        own, blocks = queries.filter(F.size("query") == dim), max(1, -(-n * 8 * dim // BLOCK_BYTES))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        found += [_nearest(own.filter(block == b) if blocks > 1 else own, vectors, k, dim) for b in range(blocks)]
+    return ranked(reduce(DataFrame.unionByName, found), ["query_id"], "score", "vec_id", k)
+
+
+def _ids(values: list) -> np.ndarray:
+    """Numbers as longs; other ids as texts, which numpy orders as Spark does."""
+    return np.array(values, np.int64 if all(isinstance(v, (int, np.integer)) for v in values) else np.str_)
 
 
 def _nearest(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
-    """query_id, vec_id, score of the k nearest in each task, for a block of queries."""
+    """query_id, vec_id, score of the k nearest in each task, for a block of queries of one length."""
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "vec_id"))}
-    rows = queries.filter(F.size("query") == dim).select("query_id", F.col("query").cast("array<double>").alias("query")).collect()  # at most BLOCK_BYTES
+    rows = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).collect()  # at most BLOCK_BYTES
     unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
-    asked = np.array([r["query_id"] for r in rows])
+    asked = np.array([r["query_id"] for r in rows], object)
     shared = queries.sparkSession.sparkContext.broadcast(unit(np.array([r["query"] for r in rows], np.float64).reshape(-1, dim)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matrix = shared.value
         n = len(matrix)
-        ids, scores = np.empty((n, 0), np.int64), np.empty((n, 0))
+        ids, scores = None, np.empty((n, 0))
         for batch in batches:
             step = max(1, SCORES // max(n, 1))
             for at in range(0, len(batch), step):
                 part = batch.iloc[at : at + step]
                 near = np.maximum(np.round(matrix @ unit(np.stack(part["embedding"].to_numpy())).T, 6), 0.0)
-                ids = np.concatenate((ids, np.broadcast_to(part["vec_id"].to_numpy(), near.shape)), axis=1)
+                own = np.broadcast_to(_ids(part["vec_id"].tolist()), near.shape)
+                ids = own if ids is None else np.concatenate((ids, own), axis=1)
                 scores = np.concatenate((scores, near), axis=1)
                 order = np.lexsort((ids, -scores), axis=1)[:, :k]
                 ids, scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
-        if n:
+        if n and ids is not None:
             yield pd.DataFrame({"query_id": np.repeat(asked, ids.shape[1]), "vec_id": ids.reshape(-1), "score": scores.reshape(-1)})
 
     usable = vectors.filter((F.size("embedding") == dim) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))

@@ -168,6 +168,30 @@ def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exploded(docs, "doc_id", C.table(F.col("content")))
 
 
+@query("""
+WITH p AS (
+    SELECT doc_id, 1 AS n, true AS sheet, text AS t FROM documents
+    UNION ALL SELECT doc_id, 2, false, 'see | a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || doc_id || ' | 1 |' || chr(10) || chr(10) || '| 2 | 3 |' || chr(10) || replace(text, '|', '/') FROM documents
+    UNION ALL SELECT doc_id, 3, false, replace(text, '|', '/') FROM documents
+), l AS (
+    SELECT doc_id, n, 'table_row' AS kind, '表格数据（列：a, b）' || chr(10) || line AS text, i FROM (
+        SELECT doc_id, n, unnest(string_split(s, chr(10))) AS line, unnest(range(len(string_split(s, chr(10))))) AS i FROM (SELECT doc_id, n, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM p WHERE sheet)
+    ) WHERE regexp_matches(line, '\\S')
+    UNION ALL SELECT doc_id, n, 'table', regexp_extract(t, '^see ((?:\\|[^\\n]*\\n+)+)', 1), 0 FROM p WHERE n = 2
+    UNION ALL SELECT doc_id, n, 'page', t, 0 FROM p WHERE n = 3
+), placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1 AS k FROM l)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS page_number, kind, CASE kind WHEN 'table_row' THEN '数据行 ' || (k + 1) WHEN 'table' THEN 'Table 1' ELSE 'part ' || n END AS section_title,
+    CASE WHEN kind = 'table' THEN regexp_replace(text, '\\n+$', '') ELSE text END AS text FROM placed""")
+def chunk_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as a sheet of two columns, behind a Markdown table, and as a plain page."""
+    docs = documents(spark, sf_dir)
+    plain = F.replace("content", F.lit("|"), F.lit("/"))
+    tabled = F.concat(F.lit("see | a | b |\n|---|:-:|\n| "), F.col("doc_id").cast("string"), F.lit(" | 1 |\n\n| 2 | 3 |\n"), plain)
+    page = lambda n, text, names: F.struct(F.lit(n).alias("page_number"), F.lit(f"part {n}").alias("section_title"), text.alias("text"), names.cast("array<string>").alias("headers"))
+    pages = docs.select("doc_id", F.inline(F.array(page(1, F.col("content"), F.array(F.lit("a"), F.lit("b"))), page(2, tabled, F.array()), page(3, plain, F.lit(None)))))
+    return C.chunk_table_pages(pages, "doc_id").select("doc_id", "chunk_index", "page_number", "kind", "section_title", "text")
+
+
 @query("SELECT n AS name, CAST(k AS INTEGER) AS place FROM (VALUES ('fixed', 0), ('recursive', 1), ('structure', 2), ('semantic', 3), ('naive', 4), ('general', 5), ('intelligent', 6), ('parent_child', 7), ('book', 8), ('paper', 9), ('resume', 10), ('qa', 11), ('table', 12)) t(n, k)")
 def chunk_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue of strategies."""

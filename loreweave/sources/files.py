@@ -9,11 +9,13 @@ from __future__ import annotations
 import csv
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -210,10 +212,43 @@ def export_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def write_export(chunks: DataFrame, path: str) -> None:
-    """The export as CSV files with a head line that starts with a byte order mark, as spreadsheets like it."""
+    """The export as one CSV file, export.csv below path, with one head line that starts with a byte order mark, as spreadsheets like it.
+
+    Tasks write their parts without heads beside it. The parts are then joined
+    behind the head, by the file system itself where it can, else through a buffer
+    of fixed size, and the whole takes its name when it is complete.
+    """
     rows = export_chunks(chunks)
-    first, *more = rows.columns
-    rows.withColumnRenamed(first, "\ufeff" + first).select("\ufeff" + first, *more).write.option("header", True).option("escape", '"').csv(path)
+    context = chunks.sparkSession.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    at = lambda *names: jvm.org.apache.hadoop.fs.Path("/".join((path, *names)))
+    fs = at().getFileSystem(conf)
+    parts = f"_parts-{uuid.uuid4().hex}"
+    rows.write.option("escape", '"').csv(f"{path}/{parts}")
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at(parts)) if f.getPath().getName().startswith("part-") and f.getLen())
+
+    def begun():
+        out = fs.create(at(parts, "export.csv"), True)
+        out.write(bytearray(("\ufeff" + ",".join(rows.columns) + "\n").encode()))
+        return out
+
+    begun().close()
+    try:
+        if names:
+            joined = context._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(names))
+            for k, name in enumerate(names):
+                joined[k] = at(parts, name)
+            fs.concat(at(parts, "export.csv"), joined)
+    except UnsupportedOperationException:
+        out = begun()
+        for n in names:
+            part = fs.open(at(parts, n))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+        out.close()
+    fs.delete(at("export.csv"), False)
+    fs.rename(at(parts, "export.csv"), at("export.csv"))
+    fs.delete(at(parts), True)
 
 
 def replace_documents(docs: DataFrame, path: str) -> None:
