@@ -10,7 +10,7 @@ Subtrees are summed in doubling rounds. Before round k a node holds the sum over
 its descendants nearer than 2**k, itself included, and points to its ancestor at
 2**k. In the round it adds what the nodes that point to it hold, and its pointer
 jumps to where its ancestor points. So the rounds grow with the logarithm of the
-depth. What nodes hold is added up by a groupBy, with sums in the tasks first.
+depth, and a round has the nodes of at least that depth. What nodes hold is added up by a groupBy, with sums in the tasks first.
 A jump joins on a key that many nodes may share: targets that more than a
 thousandth of all pointers name are at most a thousand, and are broadcast; the
 others meet in a join of which no key has more rows than that.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -129,20 +130,29 @@ def ends_digests(ends: DataFrame) -> DataFrame:
 
 
 def rolled_up(nodes: DataFrame, values: tuple[str, ...], scratch: Scratch) -> DataFrame:
-    """nodes (key, depth, parent and values), each value summed over the node's subtree."""
+    """nodes (key, depth, parent and values), each value summed over the node's subtree.
+
+    A round takes the nodes that have an ancestor at its distance, so few deep
+    conversations cost little. What it adds to ancestors is written, and added up
+    with all rounds' at the end.
+    """
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    state, first, reach = nodes.withColumn("_at", F.when(F.col("depth") > 0, F.col("parent"))), True, 1
+    added, reach = [nodes.select("key", *values)], 1
+    active = nodes.filter("depth > 0").select("key", "depth", F.col("parent").alias("_at"), *values)
     while reach <= deepest:
-        held = state.filter("_at IS NOT NULL").groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(v).alias(f"_{v}") for v in values))
-        jumping = state.filter(F.col("depth") > 2 * reach).select("key", "_at")
-        jumped = looked_up(jumping, "_at", state.filter("_at IS NOT NULL").select(F.col("key").alias("_at"), F.col("_at").alias("_next")), held.select("_at", "_n")).select("key", "_next")
-        grown = state.join(held.drop("_n").withColumnRenamed("_at", "key"), "key", "left").join(jumped, "key", "left")
-        at = F.when(F.col("depth") == 2 * reach, root_key()).otherwise(F.col("_next"))
-        after = scratch.write(grown.select(*nodes.drop(*values).columns, *((F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values), at.alias("_at")))
-        if not first:
-            scratch.drop(state)
-        state, first, reach = after, False, 2 * reach
-    return state.drop("_at")
+        held = scratch.write(active.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(v).alias(v) for v in values)))
+        added.append(held.select(F.col("_at").alias("key"), *values))
+        more = added[-1].select("key", *(F.col(v).alias(f"_{v}") for v in values))
+        left = active.filter(F.col("depth") >= 2 * reach).join(more, "key", "left").select("key", "depth", "_at", *((F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values))
+        # The node at twice the reach points to the root; those below ask their ancestor.
+        up = looked_up(left.filter(F.col("depth") > 2 * reach), "_at", active.select(F.col("key").alias("_at"), F.col("_at").alias("_next")), held.select("_at", "_n"))
+        top = left.filter(F.col("depth") == 2 * reach).withColumn("_at", root_key())
+        after = scratch.write(top.unionByName(up.drop("_at").withColumnRenamed("_next", "_at")))
+        if reach > 1:
+            scratch.drop(active)
+        active, reach = after, 2 * reach
+    sums = reduce(DataFrame.unionByName, added).groupBy("key").agg(*(F.sum(v).alias(v) for v in values))
+    return nodes.drop(*values).join(sums, "key")
 
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
