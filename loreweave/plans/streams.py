@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreweave.operators import cache
 from loreweave.operators import chunking as C
 from loreweave.sources.checkpoints import shared_folder
 from loreweave.sources.tables import table
@@ -105,4 +106,26 @@ r AS (SELECT event_id, user_id, n, s AS stored, false AS hit FROM e WHERE n = 1
 SELECT count(*) AS requests, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / greatest(count(*), 1), 4) AS rate FROM r""")
 def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    return J.hit_rate(J.cache_replay(requests, F.col("user_id")))
+    return cache.hit_rate(cache.cache_replay(requests, F.col("user_id"), most=None))
+
+
+_SIZES = (1, 10, 100)
+
+
+@query("""
+WITH RECURSIVE q AS (SELECT event_id, user_id, epoch_us(ts) AS s, row_number() OVER (ORDER BY ts, event_id) AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+p AS (SELECT *, lag(g) OVER (PARTITION BY user_id ORDER BY g) AS pg FROM q),
+d AS (SELECT i.user_id, i.s, i.n, i.pg, count(r.g) AS distance FROM p i LEFT JOIN p r ON r.g > i.pg AND r.g < i.g AND (r.pg IS NULL OR r.pg < i.pg) GROUP BY ALL),
+e AS (SELECT d.*, size, d.pg IS NULL OR distance >= size AS absent FROM d, (VALUES (1), (10), (100)) t(size)),
+r AS (SELECT size, user_id, n, s AS stored, false AS hit FROM e WHERE n = 1
+    UNION ALL SELECT e.size, e.user_id, e.n, CASE WHEN e.absent OR e.s - r.stored > 86400000000 THEN e.s ELSE r.stored END, NOT (e.absent OR e.s - r.stored > 86400000000)
+    FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1 AND e.size = r.size)
+SELECT CAST(size AS INTEGER) AS most, user_id, count(*) AS requests, count(*) FILTER (hit) AS hits FROM r GROUP BY size, user_id""")
+def cache_replay_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each user in caches of three sizes, of which every entry lives a day."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    found = None
+    for most in _SIZES:
+        replayed = cache.cache_replay(events, F.col("user_id"), 86_400, most).withColumn("most", F.lit(most))
+        found = replayed if found is None else found.unionByName(replayed)
+    return found.join(events.select("id", "user_id"), "id").groupBy("most", "user_id").agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"))

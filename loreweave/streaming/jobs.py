@@ -1,15 +1,12 @@
-"""Streams over files: audit counts, event windows, ingest, token texts, and the replay of a cache."""
+"""Streams over files: audit counts, event windows, ingest and token texts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CACHE_SECONDS = 300
-
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files below a folder as a stream."""
@@ -99,31 +96,3 @@ def migration_events(moved: DataFrame) -> DataFrame:
     own = Window.partitionBy("batch")
     done, total = F.row_number().over(own.orderBy("place")), F.count(F.lit(1)).over(own)
     return moved.select("batch", "doc_id", done.alias("done"), total.alias("total")).withColumn("percent", F.floor(100 * F.col("done") / F.col("total")).cast("int"))
-
-
-def cache_replay(requests: DataFrame, key: Column, seconds: int = CACHE_SECONDS) -> DataFrame:
-    """requests (id, ts) with hit: the key was asked for at most so many seconds after it was last stored.
-
-    A miss stores it, hits don't renew the time. A task reads its keys in the order
-    of time and remembers when the last one was stored, so a key of many requests
-    takes time but no memory. The cache is taken as large enough for all keys.
-    """
-    keyed = requests.select(key.cast("string").alias("_key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("double").alias("_s"))
-    ordered = keyed.withColumn("_key", F.coalesce("_key", F.lit(""))).repartition("_key").sortWithinPartitions("_key", "_s", "id")
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, stored = None, 0.0
-        for b in batches:
-            hits = []
-            for k, s in zip(b["_key"], b["_s"], strict=True):
-                hit = k == last and s - stored <= seconds
-                if not hit:
-                    last, stored = k, s
-                hits.append(hit)
-            yield pd.DataFrame({"id": b["id"], "hit": hits})
-
-    return ordered.mapInPandas(replay, "id long, hit boolean")
-
-
-def hit_rate(replayed: DataFrame) -> DataFrame:
-    return replayed.agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits")).withColumn("rate", F.round(F.col("hits") / F.greatest("requests", F.lit(1)), 4))

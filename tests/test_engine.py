@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import intent as I
 from loreweave.functions import text as T
 from loreweave.functions import vectors as V
+from loreweave.operators import cache
 from loreweave.operators import graph as G
 from loreweave.operators import lifecycle as L
 from loreweave.operators import retrieval as R
@@ -208,9 +209,9 @@ def test_streams_over_several_batches(spark, tmp_path):
     events = J.answer_events(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, 2), (2, 0)], "task_id long, n_sources int"))
     assert [(r["kind"], r["payload"]) for r in events.filter("task_id = 2").orderBy("n").collect()] == [("metadata", "0"), ("text", "x"), ("error", "")]
     times = spark.createDataFrame([(k, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, s in enumerate((0, 300, 301, 600, 602))], "id long, ts timestamp")
-    hits = {r["id"]: r["hit"] for r in J.cache_replay(times, F.lit("q")).collect()}
+    hits = {r["id"]: r["hit"] for r in cache.cache_replay(times, F.lit("q")).collect()}
     assert hits == {0: False, 1: True, 2: False, 3: True, 4: False}
-    mixed = {r["id"]: r["hit"] for r in J.cache_replay(times, F.when(F.col("id") == 1, "other")).collect()}
+    mixed = {r["id"]: r["hit"] for r in cache.cache_replay(times, F.when(F.col("id") == 1, "other")).collect()}
     assert mixed == {0: False, 1: False, 2: False, 3: True, 4: False}
 
 
