@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import chunks, graphs, hybrid, lifecycles, maintenance, streams, summaries, texts  # noqa: F401
+    from . import chunks, graphs, hybrid, lifecycles, maintenance, mutations, streams, summaries, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
