@@ -76,7 +76,7 @@ def build(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     mentioned = words.select("doc_id", F.explode("names").alias("name"))
     found = mentioned.select("name", F.concat(F.lit(EXTRACTED), F.col("name")).alias("description")).unionByName(words.select(F.lit(ROOT).alias("name"), F.lit("").alias("description"))).distinct()
     none = F.lit(None)
-    entities = found.select(none.cast("string").alias("kb_id"), entity_id(F.col("name")).alias("id"), "name", F.lit(CONCEPT).alias("type"), "description", F.lit("entity").alias("category"), none.cast("long").alias("doc_id"))
+    entities = found.select(none.cast("string").alias("kb_id"), entity_id(F.col("name")).alias("id"), "name", F.lit(CONCEPT).alias("type"), "description", F.lit("entity").alias("category"), none.cast(words.schema["doc_id"].dataType).alias("doc_id"))
     edges = mentioned.select(document_node(F.col("doc_id")).alias("source"), entity_id(F.col("name")).alias("target"), F.lit(RELATIONS["mentions"]).alias("type"))
     roots = words.select(document_node(F.col("doc_id")).alias("source"), entity_id(F.lit(ROOT)).alias("target"), F.lit(RELATIONS["belongs"]).alias("type"))
     return document_nodes(words).unionByName(entities), distinct_edges(edges.unionByName(roots))
