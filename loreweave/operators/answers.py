@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -11,7 +10,6 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from loreweave.functions.vectors import hash_embedding
 
@@ -63,17 +61,6 @@ def final_answer(answer: Column, n_citations: Column, faq: Column) -> Column:
     return F.when(lost & (n_citations == 0) & ~faq, F.lit(f"知识库中{NOT_FOUND[0]}相关内容")).otherwise(answer)
 
 
-@F.pandas_udf(StructType([StructField("added", IntegerType()), StructField("removed", IntegerType()), StructField("diff", StringType())]))
-def text_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """A unified diff of two texts by lines, and how many lines it adds and removes."""
-    rows = []
-    for a, b in zip(old.fillna(""), new.fillna(""), strict=True):
-        lines = list(difflib.unified_diff(a.split("\n"), b.split("\n"), "old", "new", lineterm=""))
-        body = lines[2:]
-        rows.append((sum(x.startswith("+") for x in body), sum(x.startswith("-") for x in body), "\n".join(lines)))
-    return pd.DataFrame(rows, columns=["added", "removed", "diff"])
-
-
 # What an answer says that found nothing, or that contradicts itself, and the least score of a hit that was worth reading.
 NOTHING_FOUND = ("知识库中暂未找到", "知识库中暂未", "知识库中未找到", "知识库中没有找到")
 ASK_AGAIN = ("换个问法", "换种问法", "换个问题", "建议重新提问")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loreweave.operators import answers as A
 from loreweave.operators import chunking as C
 from loreweave.operators import graph as G
+from loreweave.operators import linediff as D
 from loreweave.operators import lifecycle as L
 from loreweave.operators import retrieval as R
 from loreweave.operators import stats
@@ -174,12 +175,32 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.extractive_answer(hits).select("answer", "confidence")
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, ls, len(ls) - 1 AS old, greatest(len(ls) - 4, 0) AS cut FROM l)
+SELECT doc_id, CASE WHEN old = 0 THEN 0 ELSE 1 END AS added, 0 AS removed,
+    CASE WHEN old = 0 THEN '' ELSE '--- old' || chr(10) || '+++ new' || chr(10) || '@@ -' || (cut + 1) || CASE WHEN old - cut = 1 THEN '' ELSE ',' || (old - cut) END || ' +' || (cut + 1) || ',' || (old - cut + 1) || ' @@' || chr(10)
+        || array_to_string(list_transform(ls[cut + 1:old], lambda x: ' ' || x), chr(10)) || chr(10) || '+' || ls[old + 1] END AS diff FROM n""")
 def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against its text without the last line."""
-    docs = documents(spark, sf_dir)
-    changed = A.text_changes(F.regexp_replace("content", r"\n[^\n]*$", ""), F.col("content"))
-    return docs.select("doc_id", changed.alias("c")).select("doc_id", "c.added", "c.removed", "c.diff")
+    docs = documents(spark, sf_dir).select("doc_id", F.regexp_replace("content", r"\n[^\n]*$", "").alias("old"), F.col("content").alias("new"))
+    changes = D.line_changes(docs, "doc_id")
+    return D.change_counts(changes, "doc_id").join(D.unified(changes, "doc_id"), "doc_id")
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, ls, len(ls) AS n, len(ls) // 2 AS k FROM l)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS added, CASE doc_id % 3 WHEN 0 THEN least(n, 2) WHEN 1 THEN 1 ELSE 0 END AS removed, n - CASE doc_id % 3 WHEN 0 THEN least(n, 2) WHEN 1 THEN 1 ELSE 0 END AS same
+FROM n WHERE n > 2""")
+def version_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of more than two lines against versions without their first two, with another in the middle, or with two more there."""
+    lines = documents(spark, sf_dir).select("doc_id", F.col("content").alias("old"), F.split("content", "\n", -1).alias("l")).filter(F.size("l") > 2).withColumn("k", F.floor(F.size("l") / 2).cast("int"))
+    put = lambda *new: F.concat(F.slice("l", F.lit(1), F.col("k")), F.array(*(F.concat(F.lit(x), F.col("doc_id").cast("string")) for x in new)))
+    new = F.when(F.col("doc_id") % 3 == 0, F.slice("l", 3, F.size("l"))).when(F.col("doc_id") % 3 == 1, F.concat(put("other "), F.slice("l", F.col("k") + 2, F.size("l")))).otherwise(F.concat(put("one ", "two "), F.slice("l", F.col("k") + 1, F.size("l"))))
+    changes = D.line_changes(lines.select("doc_id", "old", F.array_join(new, "\n").alias("new")), "doc_id")
+    same = changes.groupBy("doc_id").agg(F.count_if(F.col("op") == " ").alias("same"))
+    return D.change_counts(changes, "doc_id").join(same, "doc_id")
 
 
 @query("SELECT c_custkey, c_mktsegment, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
