@@ -3,19 +3,26 @@
 A revisit record has no body. It is joined, as of its date, to the latest earlier
 full response of the same canonical URL; the validators of the two must agree,
 and headers that a not-modified answer may renew are taken from the revisit. WARC
-files are read as text that is split between records, so plain files are read in
-parallel and compressed ones as a stream; no file is one value.
+files are read as text that is cut where a record may begin, so plain files are read
+in parallel and compressed ones as a stream; no file is one value. A record is as
+long as its Content-Length says: cuts within it are none, whatever its body holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 # Headers that a 304 response may renew, query keys that don't name a page.
 RENEWABLE = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
-VERSION, GAP = "WARC/1.0\r\n", "\r\n\r\n"
+MARK, GAP = "WARC/", "\r\n\r\n"
+VERSION = f"{MARK}1.1\r\n"
 #: Records of a URL from which its time is cut into slices of about as many.
 ROWS_PER_SLICE = 50_000
 
@@ -53,23 +60,24 @@ def write_warc(captures: DataFrame, path: str) -> None:
     """Write records as WARC files below path.
 
     captures has record_id, kind, url, date, status, headers (map), payload_digest
-    and body; a null body or digest is left out. Texts of URLs and headers must
-    not hold line ends.
+    and body; of these what is null is left out of its record, a null body is
+    empty. A line end in a URL or header would start another field and raises an error. Very
+    long bodies are written whole, repeated rows are records of their own, ties
+    don't occur. No rows: no records. Other columns are ignored.
     """
+    broken = F.col("url").rlike("[\r\n]") | F.exists(F.map_entries("headers"), lambda e: F.concat(e["key"], F.coalesce(e["value"], F.lit(""))).rlike("[\r\n]"))
+    url = F.when(F.coalesce(broken, F.lit(False)), F.raise_error(F.lit("a line end in a URL or header"))).otherwise(F.col("url"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
-    http = F.concat(
-        F.concat(F.lit("HTTP/1.1 "), F.col("status").cast("string"), F.lit("\r\n")),
-        F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n"))), ""),
-        F.lit("\r\n"),
-        F.coalesce("body", F.lit("")),
-    )
+    given = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")), F.lit("\r\n"))), "")
+    http = F.concat(F.coalesce(F.concat(F.lit("HTTP/1.1 "), F.col("status").cast("string"), F.lit("\r\n")), F.lit("")), F.coalesce(given, F.lit("")), F.lit("\r\n"), F.coalesce("body", F.lit("")))
     made = captures.withColumn("_http", http)
+    utc = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(unix_seconds(date) AS DECIMAL(18, 6)))")
     record = F.concat(
         F.lit(VERSION),
         line("WARC-Type", F.col("kind")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("record_id").cast("string"), F.lit(">"))),
-        line("WARC-Target-URI", F.col("url")),
-        line("WARC-Date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Target-URI", url),
+        line("WARC-Date", F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))),
         line("WARC-Payload-Digest", F.col("payload_digest")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length("_http").cast("string")),
@@ -79,34 +87,83 @@ def write_warc(captures: DataFrame, path: str) -> None:
     made.select(record.alias("value")).write.option("lineSep", GAP).text(path)
 
 
+def _field(name: str) -> Column:
+    return F.nullif(F.regexp_extract("_head", rf"(?im)^{name}:[\x20\t]*([^\r\n]*?)[\x20\t]*\r?$", 1), F.lit(""))
+
+
+def _date(name: str) -> Column:
+    """A date to seconds; one that names no zone is in UTC, whatever the session's."""
+    value = _field(name)
+    return F.date_trunc("second", F.when(value.rlike(r"(?i)(Z|[+-]\d\d:?\d\d)$"), value).otherwise(F.concat(value, F.lit("Z"))).try_cast("timestamp"))
+
+
+def _first_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of records that go on over cuts, sorted by file and place, those that don't lie within another."""
+    file, end = None, 0
+    for b in batches:
+        live = []
+        for f, at, until in zip(b["_file"], b["_at"], b["_end"], strict=True):
+            live.append(f != file or at >= end)
+            if live[-1]:
+                file, end = f, until
+        yield b[live]
+
+
+def _records(pieces: DataFrame) -> DataFrame:
+    """The pieces of files that are records, and don't lie within one.
+
+    Only a piece shorter than its Content-Length goes on over the cuts behind it. Of
+    files with such pieces the places are summed up, split by split, and what lies
+    before the end of the record that goes on is left out.
+    """
+    short = F.col("_size") < F.col("_whole")
+    files = pieces.filter(short).select("_file").distinct()
+    cut = pieces.join(files, "_file", "left_semi")
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("_file", "_split").agg(F.sum(F.col("_size") + len(GAP + MARK)).alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = Window.partitionBy("_file", "_split").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn("_at", F.coalesce(F.sum(F.col("_size") + len(GAP + MARK)).over(own), F.lit(0))).join(sums, ["_file", "_split"]).withColumn("_at", F.col("_at") + F.col("_from")).drop("_from")
+    ends = placed.filter(short).select("_file", "_at", (F.col("_at") + F.col("_whole") + len(GAP + MARK)).alias("_end"))
+    live = ends.repartition("_file").sortWithinPartitions("_file", "_at").mapInPandas(_first_ends, "_file string, _at long, _end long")
+    known = placed.join(live, ["_file", "_at"], "left")
+    outside = latest_before(known, ["_file"], ["_at"], "_split", "_end").filter("latest IS NULL OR latest <= _at")
+    return pieces.join(files, "_file", "left_anti").unionByName(outside.select(pieces.columns))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """record_id, kind, url, date, status, headers, payload_digest, refers_to_url, refers_to_date of the responses and revisits in WARC files.
 
-    kind is 'revisit' also for a response of status 304, which has no body of its
-    own. Names of headers are in lower case; values of a repeated one are joined by
-    commas. A field that a record lacks is null, a date that can't be read too.
-    Records of other types are left out. Bodies aren't kept; one that holds the
-    line between two records is cut there, and what follows is no record.
+    Records of every version are read. kind is 'revisit' also for a response of
+    status 304, which has no body of its own. Names of headers are in lower case;
+    values of a repeated one are joined by commas. A field that a record lacks is
+    null, a date that can't be read too. Records of other types are left out, and
+    so is what stands before a file's first record. Bodies aren't kept. A record
+    ends where its Content-Length says; one without ends at the next line that a
+    record may begin with. Repeated records are rows of their own, ties don't
+    occur. No files or empty ones: no rows. The heads of all records are written to
+    the shared folder once.
     """
-    text = spark.read.option("lineSep", GAP + VERSION).text(path)
-    # Only the heads are looked at: what stands before the second blank line.
-    heads = text.select(F.substring_index(F.when(F.col("value").startswith(VERSION), F.expr(f"substr(value, {len(VERSION) + 1})")).otherwise(F.col("value")), GAP, 2).alias("_two"))
-    split = heads.select("_two", F.substring_index("_two", GAP, 1).alias("_head")).select("_head", F.expr("substr(_two, length(_head) + 5)").alias("_http"))
-    field = lambda name: F.nullif(F.regexp_extract("_head", rf"(?im)^{name}:[\x20\t]*([^\r\n]*?)[\x20\t]*\r?$", 1), F.lit(""))
-    date = lambda name: F.try_to_timestamp(F.regexp_replace(field(name), r"(\.\d+)?Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    text = spark.read.option("lineSep", GAP + MARK).text(path)
+    text = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"))
+    # Behind the mark; only the heads are looked at, what stands before the second blank line.
+    bare = text.withColumn("value", F.when(F.col("value").startswith(MARK), F.expr(f"substr(value, {len(MARK) + 1})")).otherwise(F.col("value")))
+    heads = bare.select("_file", "_split", "_row", F.octet_length("value").cast("long").alias("_size"), F.substring_index("value", GAP, 2).alias("_two"))
+    split = heads.withColumn("_head", F.substring_index("_two", GAP, 1)).filter(F.col("_head").rlike(r"^[0-9.]+\r\n")).withColumn("_http", F.expr("substr(_two, length(_head) + 5)")).drop("_two")
+    whole = F.octet_length("_head") + len(GAP) + _field("Content-Length").try_cast("long")
+    split = _records(Scratch(spark, "heads").write(split.withColumn("_whole", whole)))
     status = F.regexp_extract("_http", r"^HTTP/[\d.]+ (\d{3})", 1)
     lines = F.filter(F.split("_http", "\r?\n"), lambda x, i: (i > 0) & x.contains(":"))
     entries = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, F.lit(":")) + 1)).alias("v")))
     made = split.select(
-        F.regexp_replace(field("WARC-Record-ID"), "^<|>$", "").alias("record_id"),
-        F.when((field("WARC-Type") == "response") & (status == "304"), "revisit").otherwise(field("WARC-Type")).alias("kind"),
-        field("WARC-Target-URI").alias("url"),
-        date("WARC-Date").alias("date"),
+        F.regexp_replace(_field("WARC-Record-ID"), "^<|>$", "").alias("record_id"),
+        F.when((_field("WARC-Type") == "response") & (status == "304"), "revisit").otherwise(_field("WARC-Type")).alias("kind"),
+        _field("WARC-Target-URI").alias("url"),
+        _date("WARC-Date").alias("date"),
         F.nullif(status, F.lit("")).cast("int").alias("status"),
         F.when(F.col("_http").startswith("HTTP/"), entries).otherwise(F.array().cast("array<struct<k:string,v:string>>")).alias("_entries"),
-        field("WARC-Payload-Digest").alias("payload_digest"),
-        field("WARC-Refers-To-Target-URI").alias("refers_to_url"),
-        date("WARC-Refers-To-Date").alias("refers_to_date"),
+        _field("WARC-Payload-Digest").alias("payload_digest"),
+        _field("WARC-Refers-To-Target-URI").alias("refers_to_url"),
+        _date("WARC-Refers-To-Date").alias("refers_to_date"),
     )
     names = F.array_distinct(F.transform("_entries", lambda e: e["k"]))
     values = F.transform(names, lambda n: F.array_join(F.transform(F.filter("_entries", lambda e: e["k"] == n), lambda e: e["v"]), ", "))

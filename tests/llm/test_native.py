@@ -315,3 +315,56 @@ def test_warc_files_that_are_written(spark, tmp_path):
     assert [(r["record_id"], r["kind"], r["url"], r["date"], r["status"], r["headers"], r["payload_digest"]) for r in back] == [(f"urn:record:{k}", kind, u, d, s, {a.lower(): b for a, b in h.items()}, p) for k, kind, u, d, s, h, p, _ in rows]
     warc.write_warc(frame.limit(0), str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).collect() == []
+
+
+def _record(kind, name, body, date="2024-01-01T02:30:00Z", version="1.1", length=None):
+    raw = body.encode()
+    head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{name}>\r\nWARC-Target-URI: http://{name}/\r\nWARC-Date: {date}\r\nContent-Length: {len(raw) if length is None else length}\r\n\r\n"
+    return head.encode() + raw + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", [64, 1 << 27])
+def test_records_are_as_long_as_they_say(spark, tmp_path, split):
+    http = "HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    example = "a page on files:\r\n\r\n" + _record("response", "forged", http + "x").decode() * 3 + "end"
+    endless = "\r\n\r\n" + _record("response", "huge", http, length=10**9).decode()
+    records = [_record("warcinfo", "info", "soft"), _record("response", "one", http + example), _record("response", "two", http, version="1.0"), _record("response", "three", http + endless * 2 + "\u00e9" * 99, version="0.18")]
+    records += [_record("response", f"more{k}", http + (example if k % 3 == 0 else "short")) for k in range(40)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc").write_bytes(_record("response", "other", http) * 2)
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc").write_bytes(b"no record\r\n\r\n" + _record("response", "late", http + "WARC/1.0\r\n"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        rows = warc.read_warc(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r["record_id"] for r in rows) == sorted(["urn:one", "urn:two", "urn:three", "urn:other", "urn:other", "urn:late", *(f"urn:more{k}" for k in range(40))])
+    assert all(r["status"] == 200 and r["headers"] == {"a": "b"} for r in rows)
+
+
+def test_dates_have_their_own_zone(spark, tmp_path):
+    dates = ["2024-03-10T02:30:00Z", "2024-03-10T03:30:00.7Z", "2024-03-10T04:30:00+02:00", "2024-03-10T02:30:00", "never"]
+    (tmp_path / "z.warc").write_bytes(b"".join(_record("response", f"d{k}", "HTTP/1.1 200 OK\r\n\r\n", d) for k, d in enumerate(dates)))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        rows = warc.read_warc(spark, str(tmp_path)).selectExpr("record_id", "unix_timestamp(date) AS s", "url", "date", "'response' AS kind", "200 AS status", "map('A', 'b') AS headers", "CAST(NULL AS STRING) AS payload_digest", "'' AS body")
+        told = {r["record_id"][-1]: r["s"] for r in rows.collect()}
+        warc.write_warc(rows, str(tmp_path / "w"))
+        back = {r["record_id"][-1]: r["s"] for r in warc.read_warc(spark, str(tmp_path / "w")).selectExpr("record_id", "unix_timestamp(date) AS s").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert told == back == {"0": 1710037800, "1": 1710041400, "2": 1710037800, "3": 1710037800, "4": None}
+
+
+def test_line_ends_make_no_fields(spark, tmp_path):
+    rows = [(1, "response", None, None, None, None, None, None)]
+    schema = "record_id long, kind string, url string, date timestamp, status int, headers map<string,string>, payload_digest string, body string"
+    warc.write_warc(spark.createDataFrame(rows, schema), str(tmp_path / "ok"))
+    (back,) = warc.read_warc(spark, str(tmp_path / "ok")).collect()
+    assert back["record_id"] == "urn:record:1" and back["url"] is None and back["date"] is None and back["status"] is None
+    for bad in ({"url": "http://a/\r\nWARC-Type: x"}, {"headers": {"a": "b\nc: d"}}):
+        row = {"record_id": 1, "kind": "response", "url": "u", "date": None, "status": 200, "headers": {}, "payload_digest": None, "body": ""} | bad
+        with pytest.raises(Exception, match="line end"):
+            warc.write_warc(spark.createDataFrame([tuple(row.values())], schema), str(tmp_path / str(len(bad)) / next(iter(bad))))
