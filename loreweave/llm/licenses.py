@@ -13,9 +13,11 @@ Spark empties texts without any marker word; the others are read by a small help
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import by_batches, text_of
 
-# Sentences of well-known licences and their notices; {} stands for one to ten words.
+# Sentences of well-known licences and their notices; {} stands for an open place, one word or more.
 SENTENCES = {
     "apache-short": "Licensed under the Apache License, Version 2.0.",
     "apache-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -160,52 +162,108 @@ def normal_sentence(text: str) -> str:
 
 def _wildcard(sentence: str) -> str:
     """A sentence with {} as a regular expression over normalised text."""
-    words = r"[a-z0-9]+(?: [a-z0-9]+){0,9}?"
-    return words.join(f" {normal_sentence(part)} " for part in sentence.split("{}")).strip(" ")
+    return r"[a-z0-9]+(?: [a-z0-9]+)*?".join(f" {normal_sentence(part)} " for part in sentence.split("{}")).strip(" ")
+
+
+class _Node:
+    """A place in the automaton of known sentences' words."""
+
+    def __init__(self) -> None:
+        self.next: dict[str, _Node] = {}
+        self.name: str | None = None
+        #: Sentences whose first fixed words end here, with the fixed words that follow each open place.
+        self.open: list[tuple[str, list[list[str]]]] = []
 
 
 @lru_cache(maxsize=1)
-def _known() -> tuple[dict[str, str], set[str], list[tuple[str, re.Pattern, str]]]:
-    """Identifiers by normalised sentence; all their beginnings of whole words; (first words, pattern, identifier) of sentences with {}."""
-    whole = {normal_sentence(v): k for k, v in SENTENCES.items() if "{}" not in v}
-    begun = {" ".join(w[:n]) for w in map(str.split, whole) for n in range(1, len(w) + 1)}
-    open_ = [(normal_sentence(v.split("{}")[0]), re.compile(_wildcard(v)), k) for k, v in SENTENCES.items() if "{}" in v]
-    return whole, begun, open_
+def _known() -> _Node:
+    root = _Node()
+    for name, sentence in SENTENCES.items():
+        first, *more = [normal_sentence(part).split() for part in sentence.split("{}")]
+        node = root
+        for word in first:
+            node = node.next.setdefault(word, _Node())
+        if more:
+            node.open.append((name, more))
+        else:
+            node.name = name
+    return root
+
+
+class _Words:
+    """A text's words, the segments' ends, and where given words stand."""
+
+    def __init__(self, text: str) -> None:
+        segments = [s.split() for s in map(normal_sentence, ENDS.split(text))]
+        self.words = [w for s in segments for w in s]
+        self.ends = [0, *sorted({n for n in accumulate(map(len, segments)) if n})]
+        self._starts = frozenset(self.ends)
+        self._found: dict[tuple[str, ...], list[int]] = {}
 
+    def ends_at(self, at: int) -> bool:
+        return at in self._starts
 
-#: Segments and characters that a sentence with {} may take.
-_MOST_SEGMENTS, _MOST_CHARACTERS = 24, 1000
+    def next_end(self, at: int) -> int:
+        return self.ends[bisect_left(self.ends, at)]
+
+    def places(self, part: list[str]) -> list[int]:
+        key = tuple(part)
+        if key not in self._found:
+            w, n, first = self.words, len(part), part[0]
+            self._found[key] = [k for k, x in enumerate(w) if x == first and w[k : k + n] == part]
+        return self._found[key]
+
+    def next_place(self, part: list[str], at: int) -> int | None:
+        places = self.places(part)
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else None
+
+
+def _closed(text: _Words, head: list[str], at: int, more: list[list[str]]) -> int | None:
+    """Where a sentence with open places ends whose first words end at a place, or None.
+
+    An open place ends at the nearest of its next fixed words, however far they are,
+    and the last one of a sentence that ends open at its segment's end. It doesn't
+    reach over a segment that begins the sentence anew: then the later beginning counts.
+    """
+    until = at
+    for part in more:
+        if until >= len(text.words):
+            return None
+        start = text.next_place(part, until + 1) if part else text.next_end(until + 1)
+        if start is None:
+            return None
+        until = start + len(part)
+    again = bisect_left(places := text.places(head), at)
+    anew = any(text.ends_at(p) for p in places[again : bisect_left(places, until)])
+    return until if text.ends_at(until) and not anew else None
 
 
 def identifiers(text: str) -> str:
     """The identifiers of the known sentences in order, any other segments as one ``<?>``; '' if none is known.
 
-    At each segment the longest known sentence that starts there is taken.
+    At each segment the longest known sentence that starts there is taken, one
+    without open places first.
     """
-    whole, begun, open_ = _known()
-    segments = [s for s in map(normal_sentence, ENDS.split(text)) if s]
+    known, held = _known(), _Words(text)
     out, at = [], 0
-    while at < len(segments):
-        joined, until, name, best, found = segments[at], at + 1, None, at, None
-        while joined in begun:
-            if joined in whole:
-                best, found = until, whole[joined]
-            if until == len(segments):
-                break
-            joined, until = f"{joined} {segments[until]}", until + 1
-        for head, pattern, name in open_ if found is None else ():
-            joined, until = segments[at], at + 1
-            while head.startswith(joined[: len(head)]) and found is None and until - at <= _MOST_SEGMENTS and len(joined) <= _MOST_CHARACTERS:
-                if pattern.fullmatch(joined):
-                    best, found = until, name
-                if until == len(segments):
-                    break
-                joined, until = f"{joined} {segments[until]}", until + 1
-        if found is not None:
-            out.append(f"<{found}>")
+    while at < len(held.words):
+        node, until, best, name, opened = known, at, at, None, []
+        while until < len(held.words) and (node := node.next.get(held.words[until])):
+            until += 1
+            if node.name and held.ends_at(until):
+                best, name = until, node.name
+            opened += [(until, *o) for o in node.open]
+        if name is None:
+            for after, sentence, more in opened:
+                end = _closed(held, held.words[at:after], after, more)
+                if end is not None and end > best:
+                    best, name = end, sentence
+        if name is not None:
+            out.append(f"<{name}>")
             at = best
         else:
-            at += 1
+            at = held.next_end(at + 1)
             if not out or out[-1] != "<?>":
                 out.append("<?>")
     return "" if out in ([], ["<?>"]) else "".join(out)
@@ -237,7 +295,8 @@ def scan_licences(docs: DataFrame, rules: tuple[LicenceRule, ...] = RULES) -> Da
     expression of several licences is no known sentence.
 
     Null and empty texts: no identifiers, empty list, zeros. Whole texts are read,
-    however long. Repeated rows are read alike; ties don't occur. No rows: no rows.
+    however long, and so are open places: a name of any length is one, also over
+    segments. Repeated rows are read alike; ties don't occur. No rows: no rows.
     Other columns are ignored, whatever their names.
     """
     marked = docs.select("doc_id", F.when(_with_markers(text_of()), text_of()).otherwise("").alias("text"))

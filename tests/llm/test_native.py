@@ -203,6 +203,32 @@ def test_every_sentence_and_every_rule_is_reached(wrap):
                 assert not any(p.search(ids) for _, p in rules[:k]) and licenses.recognised(ids, rules[k : k + 1])[0] == [r.licence]
 
 
+@pytest.mark.parametrize("name", [k for k, v in licenses.SENTENCES.items() if v.count("{}") and not v.endswith("{}.")])
+def test_open_places_have_no_bound(name):
+    holder = " ".join(f"Holder{k}" for k in range(3000))
+    for sentence in (licenses.SENTENCES[name].replace("{}", holder), _filled(name)):
+        assert licenses.identifiers(sentence) == f"<{name}>"
+        assert licenses.identifiers("Before.\n" + sentence.replace(" ", "\n") + "\nBehind.") == f"<?><{name}><?>"
+    first = licenses.SENTENCES[name].split("{}")[0]
+    # A beginning without an end, then a whole sentence: the later beginning counts. Without any end none is known.
+    assert licenses.identifiers(f"{first} nobody.\n{_filled(name)}") == f"<?><{name}>"
+    assert licenses.identifiers(f"{first} nobody. " * 2000) == ""
+
+
+def test_expected_licences_are_stated(spark):
+    """Texts and what they say, without a look at the operator's tables."""
+    bsd = "Neither the name of the Association of Very Many Contributors to the Project of That Name nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    known = {
+        bsd: "<bsd-names>",
+        bsd.replace(" ", "\n# "): "<bsd-names>",
+        'THIS SOFTWARE IS PROVIDED BY THE REGENTS OF A UNIVERSITY, ITS STAFF, STUDENTS, FRIENDS, AND ALL OTHER CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.': "<bsd-as-is>",
+        "To the extent possible under law, A. N. Author has waived all copyright and related or neighboring rights to A Work of Many Words.": "<cc0-person>",
+        "Neither the name of the holder may be used.": "",
+    }
+    found = {r["doc_id"]: r["identifiers"] for r in licenses.scan_licences(docs(spark, list(known))).collect()}
+    assert [found[k].replace("<?>", "") for k in range(len(known))] == list(known.values())
+
+
 def test_revisits(spark):
     from datetime import datetime, timedelta
 
