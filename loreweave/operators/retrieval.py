@@ -8,7 +8,7 @@ which Spark applies before the shuffle as well as after it.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -226,14 +226,16 @@ class HybridConfig:
 GRAPH_HITS, GAP, KEYWORD_MARK = 5, "\n...\n", "[关键词命中]: "
 
 
-def near_chunks(cells: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query_id (0), doc_id, chunk_index, score, rank of the k chunks nearest to one question, without those far below the best.
+def near_chunks(cells: DataFrame, asked: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
+    """query_id (0), doc_id, chunk_index, score, rank of the k chunks nearest to one question, without those far below the best; of the documents in keep, if given.
 
     cells (doc_id, chunk_index, idx, weight) and asked (idx, weight) are hash
     embeddings. Only cells on the question's indices meet, by an equi-join with a
     side of one text, and a chunk's are summed before the shuffle.
     """
     dots = cells.join(F.broadcast(asked.select("idx", F.col("weight").alias("_q"))), "idx").groupBy("doc_id", "chunk_index").agg(F.round(F.sum(F.col("weight") * F.col("_q")), 6).alias("score"))
+    if keep is not None:
+        dots = dots.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
     best = ranked(dots.filter("score > 0").withColumn("query_id", F.lit(0)), ["query_id"], "score", ["doc_id", "chunk_index"], k)
     return above_threshold(best)
 
@@ -265,20 +267,19 @@ def graph_hits(reached: DataFrame, nodes: DataFrame, n: int = GRAPH_HITS) -> Dat
     return first.select(F.lit(0).alias("query_id"), F.col("id"), none.cast("double").alias("rrf_score"), none.cast("double").alias("vector_score"), none.cast("double").alias("keyword_score"), F.lit("graph").alias("source"), content.alias("content"))
 
 
-def hybrid(docs: DataFrame, chunks: DataFrame, cells: DataFrame, asked: DataFrame, query: str, config: HybridConfig = HybridConfig(), graph: DataFrame | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, chunks: DataFrame, near: Callable[[int, DataFrame | None], DataFrame], query: str, config: HybridConfig = HybridConfig(), graph: DataFrame | None = None) -> DataFrame:
     """id, rank, source, score, rrf_score, weighted, keyword_hits, content of what answers one question.
 
-    chunks (doc_id, chunk_index, text) of docs, and cells, their hash embeddings;
-    asked, the question's. The vector channel gives 2 top_k chunks, the keyword
-    channel 2 top_k documents; their fused top_k documents and the hits of graph
+    chunks (doc_id, chunk_index, text) of docs; near gives so many chunks nearest to
+    the question, as near_chunks does, of some documents or of all. The vector
+    channel gives 2 top_k chunks, the keyword channel 2 top_k documents; their fused top_k documents and the hits of graph
     (as graph_hits gives them) are weighted by length and must hold a term of the query.
     """
     docs = docs.filter(matches(list(config.categories), config.kb_id))
-    if config.categories or (config.kb_id and config.kb_id != "all"):
-        cells = cells.join(docs.select("doc_id"), "doc_id", "left_semi")
-    near = near_chunks(cells, asked, 2 * config.top_k).join(chunks, ["doc_id", "chunk_index"])
+    some = bool(config.categories or (config.kb_id and config.kb_id != "all"))
+    found = near(2 * config.top_k, docs.select("doc_id") if some else None).join(chunks, ["doc_id", "chunk_index"])
     words = ranked(keyword_search(docs, query, 2 * config.top_k).withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 2 * config.top_k)
-    fused = fuse_chunks(near, words if config.keywords else words.limit(0))
+    fused = fuse_chunks(found, words if config.keywords else words.limit(0))
     hits = ranked(fused, ["query_id"], "rrf_score", "doc_id", config.top_k).drop("rank").withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
     if graph is not None:
         hits = hits.unionByName(graph)

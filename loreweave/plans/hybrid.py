@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions.vectors import cosine_safe, hash_embedding, norm
+from loreweave.operators import chunking as C
 from loreweave.operators import graph as G
 from loreweave.operators import retrieval as R
+from loreweave.operators.store import SearchIndex, fingerprint
+from loreweave.sources.checkpoints import shared_folder
 from loreweave.sources.tables import documents, spread, table, vectors
 
 from .chunks import CELLS_SQL, FIXED_SQL, chunk_fixed
@@ -161,8 +164,16 @@ best AS (
 )"""
 
 
+def kept_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of the documents in the shared folder; it is built when these files are asked for first."""
+    told = fingerprint(spark, f"{sf_dir}/documents.parquet", "fixed")
+    index = SearchIndex(spark, f"{shared_folder(spark)}/index-{told}")
+    return index if index.exists() else index.build(spread(documents(spark, sf_dir)), C.fixed(F.col("content")))
+
+
 def _asked(spark: SparkSession, sf_dir: str, config: R.HybridConfig = R.HybridConfig(), graph: DataFrame | None = None) -> DataFrame:
-    return R.hybrid(documents(spark, sf_dir), chunk_fixed(spark, sf_dir), chunk_cells(spark, sf_dir), asked_cells(spark), QUESTION, config, graph)
+    index = kept_index(spark, sf_dir)
+    return R.hybrid(documents(spark, sf_dir), index.chunks(), lambda k, keep: index.near(asked_cells(spark), k, keep), QUESTION, config, graph)
 
 
 @query(f"WITH {_answer(8, _BOTH)} SELECT * FROM best")
@@ -180,7 +191,8 @@ def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_answer(8, _BOTH, chunks=_WHOLE)} SELECT * FROM best")
 def hybrid_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a document as one chunk."""
-    return R.hybrid(documents(spark, sf_dir), *_whole(spark, sf_dir), asked_cells(spark), QUESTION)
+    chunks, cells = _whole(spark, sf_dir)
+    return R.hybrid(documents(spark, sf_dir), chunks, lambda k, keep: R.near_chunks(cells, asked_cells(spark), k, keep), QUESTION)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +200,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_search(spark, sf_dir)
 
 
+@query(f"WITH {_answer(8, _BOTH).replace('JOIN q USING (idx) GROUP', "JOIN q USING (idx) JOIN documents USING (doc_id) WHERE lang = 'fr' GROUP").replace('FROM documents)) WHERE hits', "FROM documents WHERE lang = 'fr')) WHERE hits").replace("FROM (SELECT doc_id, text, lower(text) AS t FROM documents))", "FROM (SELECT doc_id, text, lower(text) AS t FROM documents WHERE lang = 'fr'))")} SELECT * FROM best")
+def hybrid_search_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within one base."""
+    return _asked(spark, sf_dir, R.HybridConfig(kb_id="fr"))
+
+
 @query(f"WITH {_answer(10, _VECTOR)} SELECT * FROM best")
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector channel alone."""
@@ -220,7 +238,8 @@ def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_near(16)}, {_hits(_BOTH)} SELECT doc_id, rrf_score, vector_score, keyword_score, source, coalesce(nullif(vector_score, 0), 0.5) AS shown, content FROM f")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk hit and keyword hit of a document adds up."""
-    near = R.near_chunks(chunk_cells(spark, sf_dir), asked_cells(spark), 16).join(chunk_fixed(spark, sf_dir), ["doc_id", "chunk_index"])
+    index = kept_index(spark, sf_dir)
+    near = index.near(asked_cells(spark), 16).join(index.chunks(), ["doc_id", "chunk_index"])
     words = R.ranked(R.keyword_search(documents(spark, sf_dir), QUESTION, 16).withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 16)
     return R.fuse_chunks(near, words).select("doc_id", "rrf_score", "vector_score", "keyword_score", "source", R.display_score(F.col("vector_score")).alias("shown"), "content")
 
