@@ -9,6 +9,7 @@ from loreweave.functions.vectors import cosine_safe, hash_embedding, norm
 from loreweave.operators import chunking as C
 from loreweave.operators import graph as G
 from loreweave.operators import retrieval as R
+from loreweave.operators.coarse import CoarseIndex
 from loreweave.operators.store import SearchIndex, fingerprint
 from loreweave.sources.checkpoints import shared_folder
 from loreweave.sources.tables import documents, spread, table, vectors
@@ -37,6 +38,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.vector_top_k(every_hundredth(spark, sf_dir), vectors(spark, sf_dir), 10)
 
 
+@query()
+def vector_topk_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the approximate index; its recall is tested against vector_topk."""
+    index = CoarseIndex(spark, f"{shared_folder(spark)}/coarse-{fingerprint(spark, f'{sf_dir}/embeddings.parquet')}")
+    return index.build(vectors(spark, sf_dir)).near(every_hundredth(spark, sf_dir), 10)
+
+
 @query(_TOP.format(_SCORED + " AND v.label IN (1, 2, 3)", 10))
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.vector_top_k(every_hundredth(spark, sf_dir), vectors(spark, sf_dir).filter(F.col("category").isin(1, 2, 3)), 10)
