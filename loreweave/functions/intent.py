@@ -24,6 +24,11 @@ class Rule:
         tests = [text.contains(k.lower()) for k in self.keywords] + [text.rlike(p) for p in self.patterns]
         return F.round(sum((t.cast("int") for t in tests[1:]), tests[0].cast("int")) * self.weight, 6)
 
+    def matched(self, text: Column) -> Column:
+        """What the score adds up: each keyword as kw:..., and each pattern, by its first 30 characters, as pat:..."""
+        found = [F.when(text.contains(k.lower()), f"kw:{k}") for k in self.keywords] + [F.when(text.rlike(p), f"pat:{p[:30]}") for p in self.patterns]
+        return F.array_compact(F.array(*found))
+
 
 # The rule tables.
 GREETING = Rule(

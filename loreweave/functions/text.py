@@ -153,3 +153,11 @@ def sanitise(text: Column) -> Column:
 
 def collection_name(dim: Column) -> Column:
     return F.concat(F.lit("chunks_d"), dim.cast("string"))
+
+
+# What is left of values that were no text, in texts that were put together from them.
+PLACEHOLDERS = r"\[object\s+\w+\]|<undefined>|<null>|<empty>"
+
+
+def without_placeholders(text: Column) -> Column:
+    return F.regexp_replace(text, PLACEHOLDERS, "")

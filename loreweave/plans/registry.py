@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import chunks, graphs, hybrid, lifecycles, maintenance, migrations, mutations, streams, summaries, texts, uploads  # noqa: F401
+    from . import catalogue, chunks, graphs, hybrid, lifecycles, maintenance, migrations, mutations, streams, summaries, texts, uploads  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
