@@ -66,13 +66,18 @@ def reindex_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.index_report(docs, docs.select("doc_id", F.explode(C.fixed(F.col("content")))))
 
 
-@query(f"WITH c AS ({FIXED_SQL}), l AS (SELECT doc_id FROM labels WHERE toxic = 1), w AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substr(text, i * 450 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 450.0) AS BIGINT))) AS i FROM documents WHERE doc_id IN (SELECT doc_id FROM l))) SELECT doc_id, chunk_index, md5(text) AS digest FROM c WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT doc_id, chunk_index, md5(text) FROM w")
+@query(f"""
+WITH c AS ({FIXED_SQL}), l AS (SELECT doc_id FROM labels WHERE toxic = 1),
+w AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substr(text, i * 450 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 450.0) AS BIGINT))) AS i FROM documents WHERE doc_id IN (SELECT doc_id FROM l))),
+b AS (SELECT doc_id, chunk_index, text FROM c WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT doc_id, chunk_index, text FROM w),
+e AS (SELECT doc_id, chunk_index, count(*) AS n FROM ({CELLS_SQL('doc_id, chunk_index', 'b')}) GROUP BY ALL)
+SELECT doc_id, chunk_index, md5(text) AS digest, CAST(coalesce(n, 0) AS INTEGER) AS n_cells FROM b LEFT JOIN e USING (doc_id, chunk_index)""")
 def reindex_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index, in which documents with the label are cut by another strategy and embedded anew."""
     docs = documents(spark, sf_dir)
     some = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     index = L.reindexed(L.indexed(docs, C.fixed(F.col("content"))), L.indexed(some, C.naive(F.col("content"))))
-    return index.select("doc_id", "chunk_index", F.md5("text").alias("digest"))
+    return index.select("doc_id", "chunk_index", F.md5("text").alias("digest"), F.size("cells").alias("n_cells"))
 
 
 def _gone(spark: SparkSession, sf_dir: str) -> DataFrame:
