@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loreweave.functions.text import citation
 from loreweave.operators import lifecycle as L
 from loreweave.operators import sessions as S
-from loreweave.sources.tables import audit, documents, messages, table
+from loreweave.sources.tables import audit, documents, messages, table, vectors
 
 from .chunks import FIXED_SQL, base_chunks
 from .registry import query
@@ -46,10 +46,17 @@ def topic_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.long_topic(messages(spark, sf_dir))
 
 
-@query(f"SELECT conv_id, turn, false AS is_follow_up, text AS query FROM ({_TOPIC}) WHERE role = 'user'")
+_FOLLOW_UP = "它呢"
+
+
+@query(f"""
+WITH planted AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND (conv_id + turn) % 3 = 0 THEN '{_FOLLOW_UP}' ELSE text END AS text FROM conversations)
+SELECT conv_id, turn, has_history AND text = '{_FOLLOW_UP}' AS is_follow_up, CASE WHEN has_history AND text = '{_FOLLOW_UP}' AND topic <> '' THEN topic || ' ' || text ELSE text END AS query
+FROM ({_TOPIC.replace('FROM conversations', 'FROM planted')}) WHERE role = 'user'""")
 def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's texts hold none of the marks of a follow-up; tests cover those that do."""
-    return S.expanded_queries(messages(spark, sf_dir)).select("conv_id", "turn", "is_follow_up", "query")
+    """Every third message of a user asks on, so it stands behind what the user asked before."""
+    text = F.when((F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 3 == 0), _FOLLOW_UP).otherwise(F.col("text"))
+    return S.expanded_queries(messages(spark, sf_dir).withColumn("text", text)).select("conv_id", "turn", "is_follow_up", "query")
 
 
 @query("SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'")
@@ -156,6 +163,24 @@ def version_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _versions(spark, sf_dir).select("doc_id", "version", F.length("content").alias("n_chars"))
 
 
+@query(f"SELECT doc_id, version, content FROM ({_VERSIONS}) WHERE doc_id = 7 AND version = 40")
+def version_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.version_of(_versions(spark, sf_dir), 7, 40).select("doc_id", "version", "content")
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM ({_VERSIONS}) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY doc_id")
+def versions_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of each document that are left when those of low quality lose theirs."""
+    gone = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    return L.delete_versions(_versions(spark, sf_dir), gone).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension, (SELECT count(*) FROM embeddings) AS total, CAST((SELECT ceil(count(*) / 25.0) FROM embeddings) AS INTEGER) AS total_pages FROM embeddings ORDER BY vec_id LIMIT 25 OFFSET 25")
+def vectors_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the vectors, with the true length of each."""
+    return L.listed_with_dimension(vectors(spark, sf_dir), 2, 25)
+
+
 @query(f"WITH v AS ({_VERSIONS}), o AS (SELECT * FROM v WHERE doc_id = (SELECT min(doc_id) FROM v)) SELECT doc_id, content, version FROM o UNION ALL SELECT doc_id, content, CAST((SELECT max(version) FROM o) + 1 AS INTEGER) FROM o WHERE version = (SELECT min(version) FROM o)")
 def version_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _versions(spark, sf_dir).select("doc_id", "version", "content")

@@ -195,10 +195,22 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").partitionBy("category").parquet(f"{path}/nodes")
+    """Nodes in a folder for each base and category, those without a base in one of their own, and edges."""
+    nodes.withColumn("base", F.col("kb_id")).write.mode("overwrite").partitionBy("base", "category").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
+def read_graph_tables(spark: SparkSession, path: str, kb_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that write_graph has written; of one base its documents, their edges and what these lead to."""
+    nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    if kb_id is None:
+        return nodes.drop("base"), edges
+    own = nodes.filter(F.col("base") == kb_id).drop("base")
+    met = edges.join(own.select(F.col("id").alias("source")), "source", "left_semi")
+    told = nodes.filter("base IS NULL").drop("base").join(met.select(F.col("target").alias("id")).distinct(), "id", "left_semi")
+    return own.unionByName(told.select(own.columns)), met.select(edges.columns)
+
+
 def read_columnar_store(stores: DataFrame) -> DataFrame:
     """Rows of a store of parallel lists (ids, chunks, embeddings); lists of unequal length raise."""
     same = (F.size("ids") == F.size("chunks")) & (F.size("ids") == F.size("embeddings"))

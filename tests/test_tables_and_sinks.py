@@ -77,3 +77,13 @@ def test_each_length_of_vectors_has_its_own_neighbours(spark):
     got = [tuple(r) for r in R.vector_top_k(queries, vectors, 3).orderBy("query_id", "rank").collect()]
     assert got == [("q2", "a", 1.0, 1), ("q2", "b", 1.0, 2), ("q2", "zero", 0.0, 3), ("q3", "long", 0.707107, 1)]
     assert R.vector_top_k(queries.limit(0), vectors, 3).collect() == []
+
+
+def test_graphs_by_base(spark, tmp_path):
+    nodes = spark.createDataFrame([("k1", "doc_1", "document"), ("k2", "doc_2", "document"), (None, "ent_a", "entity"), (None, "ent_b", "entity")], "kb_id string, id string, category string")
+    edges = spark.createDataFrame([("doc_1", "ent_a", "x"), ("doc_2", "ent_a", "x"), ("doc_2", "ent_b", "x")], "source string, target string, type string")
+    files.write_graph(nodes, edges, str(tmp_path / "g"))
+    read = lambda kb: [sorted(map(tuple, t.select(sorted(t.columns)).collect()), key=str) for t in files.read_graph_tables(spark, str(tmp_path / "g"), kb)]
+    assert read(None) == [sorted(map(tuple, t.select(sorted(t.columns)).collect()), key=str) for t in (nodes, edges)]
+    assert read("k1") == [[("document", "doc_1", "k1"), ("entity", "ent_a", None)], [("doc_1", "ent_a", "x")]]
+    assert len(read("k2")[0]) == 3 and read("none") == [[], []]
