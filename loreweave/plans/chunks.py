@@ -21,6 +21,68 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
 _SLIDING = "SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substr(text, i * {1} + 1, {0}) AS text FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / {1}.0) AS BIGINT))) AS i FROM documents)"
 
 
+_NO_TEXTS = "CAST([] AS VARCHAR[])"
+
+
+def _fold_sql(units: str, fits: str, longer: str, fresh: str, docs: str = "documents", more: str = "") -> str:
+    """Chunks of a fold over units, a list of structs (u, and further fields) of a text t; in the conditions s is the state and x the unit.
+
+    Lists are folded from their first element, so the state has the units' shape.
+    """
+    flushed = f"CASE WHEN {_STRIP.format('{0}.open')} <> '' THEN list_append({{0}}.done, {_STRIP.format('{0}.open')}) ELSE {{0}}.done END"
+    return f"""
+WITH d AS (SELECT doc_id, {units} AS units FROM (SELECT doc_id, text AS t FROM {docs})),
+f AS (
+    SELECT doc_id, list_reduce([{{'open': '', 'done': {_NO_TEXTS}, 'x': CAST(NULL AS STRUCT(u VARCHAR, n BIGINT, flag BOOLEAN))}}] || list_transform(units, lambda v: {{'open': '', 'done': {_NO_TEXTS}, 'x': v}}),
+        lambda s, v: CASE WHEN {fits} THEN {{'open': {longer}, 'done': s.done, 'x': {more or 's.x'}}} ELSE {{'open': {fresh}, 'done': {flushed.format('s')}, 'x': {more or 's.x'}}} END) AS e
+    FROM d
+)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, c AS text FROM (SELECT doc_id, unnest(range(len(cs))) AS i, unnest(cs) AS c FROM (SELECT doc_id, {flushed.format('e')} AS cs FROM f))"""
+
+
+def _units(found: str, flag: str = "false", n: str = "length(x)") -> str:
+    """Units of a list of texts x."""
+    return f"list_transform({found}, lambda x: CAST({{'u': x, 'n': {n}, 'flag': {flag}}} AS STRUCT(u VARCHAR, n BIGINT, flag BOOLEAN)))"
+
+
+_ENDED = f"regexp_extract_all({{0}}, '[^{C.END[1:-1]}]*{C.END}')"
+_TRIMMED = f"list_filter(list_transform({{0}}, lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+_PARAGRAPHS = _TRIMMED.format("string_split(t, chr(10) || chr(10))")
+#: Texts with headings, blank lines, Chinese full stops and words that turn to something else.
+_PLANTED_SQL = "(SELECT doc_id, '# 第一章' || chr(10) || replace(replace(replace(text, '. T', '. 但是T'), '. ', '。 '), chr(10), chr(10) || ' ' || chr(10) || chr(10) || '## part' || chr(10)) AS text FROM documents)"
+RECURSIVE_SQL = _fold_sql(
+    f"""flatten(list_transform({_PARAGRAPHS}, lambda p: CASE WHEN length(p) > 500
+        THEN [CAST({{'u': '', 'n': 0, 'flag': true}} AS STRUCT(u VARCHAR, n BIGINT, flag BOOLEAN))] || {_units(_ENDED.format('p'))}
+        ELSE [CAST({{'u': p || chr(10) || chr(10), 'n': length(p), 'flag': false}} AS STRUCT(u VARCHAR, n BIGINT, flag BOOLEAN))] END))""",
+    "NOT v.x.flag AND length(s.open) + v.x.n < 500", "s.open || v.x.u", "v.x.u",
+)
+SEMANTIC_SQL = _fold_sql(
+    _units(_TRIMMED.format(_ENDED.format("t"))),
+    f"NOT (length(s.open) > 250 AND regexp_matches(substr(v.x.u, 1, 10), '{'|'.join(C.TRANSITIONS)}')) AND length(s.open) + v.x.n < 500", "s.open || v.x.u", "v.x.u",
+)
+_WITH_REST = rf"list_transform(regexp_extract_all(t, '[^{C.END[1:-1]}]*{C.END}\s*|[^{C.END[1:-1]}]+$'), lambda x: regexp_replace(x, '({C.END})\s*$', '\1'))"
+SENTENCES_SQL = _fold_sql(_units(f"list_filter({_WITH_REST}, lambda x: {_STRIP.format('x')} <> '')"), "length(s.open) + v.x.n <= 500", "s.open || v.x.u", "v.x.u")
+# The state keeps the last heading as its unit; its flag says that there is one.
+STRUCTURE_SQL = _fold_sql(
+    _units(_TRIMMED.format("string_split(t, chr(10))"), flag=f"regexp_matches(x, '{C.HEADING}')"),
+    "NOT v.x.flag AND length(s.open) + v.x.n < 500", "s.open || v.x.u || chr(10)", "CASE WHEN NOT v.x.flag AND coalesce(s.x.flag, false) THEN s.x.u || chr(10) ELSE '' END || v.x.u || chr(10)",
+    more="CASE WHEN v.x.flag THEN v.x ELSE s.x END",
+)
+_BLOCKS = _TRIMMED.format(r"string_split_regex(t, '\n[ \t]*\n')")
+# A page is flushed when it is full, so the state keeps how many characters its blocks have.
+TEXT_PAGES_SQL = f"""
+WITH d AS (SELECT doc_id, {_BLOCKS} AS bs FROM (SELECT doc_id, text AS t FROM documents)),
+f AS (
+    SELECT doc_id, list_reduce([{{'open': '', 'n': CAST(0 AS BIGINT), 'done': {_NO_TEXTS}}}] || list_transform(bs, lambda b: {{'open': b, 'n': length(b), 'done': {_NO_TEXTS}}}),
+        lambda s, v: CASE WHEN s.n + v.n >= 2000 THEN {{'open': '', 'n': 0, 'done': list_append(s.done, CASE WHEN s.open = '' THEN v.open ELSE s.open || chr(10) || chr(10) || v.open END)}}
+            ELSE {{'open': CASE WHEN s.open = '' THEN v.open ELSE s.open || chr(10) || chr(10) || v.open END, 'n': s.n + v.n, 'done': s.done}} END) AS e
+    FROM d
+)
+SELECT 'doc_' || doc_id AS path, CAST(k AS INTEGER) AS page_number, CAST(NULL AS VARCHAR) AS section_title, page AS text FROM (
+    SELECT doc_id, unnest(range(1, len(ps) + 1)) AS k, unnest(ps) AS page FROM (SELECT doc_id, CASE WHEN e.open <> '' THEN list_append(e.done, e.open) ELSE e.done END AS ps FROM f))"""
+_HEADED_TEXT = "'# One' || chr(10) || substr(text, 1, 40) || chr(10) || '## Two ' || chr(10) || text || chr(10) || '### no' || chr(10) || '## ' || chr(10) || '  '"
+
+
 def CELLS_SQL(keys: str, source: str) -> str:
     """Cells of the texts of source (keys, text)."""
     return f"""
@@ -192,10 +254,15 @@ def chunk_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_table_pages(pages, "doc_id").select("doc_id", "chunk_index", "page_number", "kind", "section_title", "text")
 
 
-@query("SELECT n AS name, CAST(k AS INTEGER) AS place FROM (VALUES ('fixed', 0), ('recursive', 1), ('structure', 2), ('semantic', 3), ('naive', 4), ('general', 5), ('intelligent', 6), ('parent_child', 7), ('book', 8), ('paper', 9), ('resume', 10), ('qa', 11), ('table', 12)) t(n, k)")
+_NAMES = ("fixed", "recursive", "structure", "semantic", "naive", "general", "intelligent", "parent_child", "book", "paper", "resume", "qa", "table", "auto", "unknown")
+
+
+@query(f"SELECT n AS name, count(doc_id) AS n_docs FROM (VALUES {', '.join(f"({k}, '{n}')" for k, n in enumerate(_NAMES[:13]))}) t(k, n) LEFT JOIN documents ON doc_id % 13 = k GROUP BY n")
 def chunk_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue of strategies."""
-    return spark.createDataFrame([(n, k) for k, n in enumerate(C.strategies())], "name string, place int")
+    """The catalogue of strategies, with the documents that each is given in turn."""
+    names = spark.createDataFrame([(k, n) for k, n in enumerate(C.strategies())], "k long, name string")
+    used = documents(spark, sf_dir).groupBy((F.col("doc_id") % 13).alias("k")).agg(F.count(F.lit(1)).alias("_n"))
+    return names.join(used, "k", "left").select("name", F.coalesce("_n", F.lit(0)).alias("n_docs"))
 
 
 @query("""
@@ -211,28 +278,61 @@ def chunk_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_pages(pages, "doc_id", "naive")
 
 
-@query("SELECT n AS name, CASE WHEN n IN ('naive', 'table', 'fixed') THEN 'fixed' WHEN n IN ('intelligent', 'book', 'paper', 'resume', 'structure') THEN 'structure' WHEN n = 'semantic' THEN 'semantic' ELSE 'recursive' END AS strategy FROM (VALUES ('auto'), ('naive'), ('general'), ('intelligent'), ('parent_child'), ('book'), ('paper'), ('resume'), ('qa'), ('table'), ('fixed'), ('structure'), ('semantic'), ('unknown')) t(n)")
+@query(f"""
+SELECT doc_id, n AS name, CASE WHEN n IN ('naive', 'table', 'fixed') THEN 'fixed' WHEN n IN ('intelligent', 'book', 'paper', 'resume', 'structure') THEN 'structure' WHEN n = 'semantic' THEN 'semantic' ELSE 'recursive' END AS strategy
+FROM documents JOIN (VALUES {', '.join(f"({k}, '{n}')" for k, n in enumerate(_NAMES))}) t(k, n) ON doc_id % {len(_NAMES)} = k""")
 def chunk_strategy_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in (*C.ALIASES, "fixed", "structure", "semantic", "unknown")], "name string")
-    return names.select("name", C.strategy_of(F.col("name")).alias("strategy"))
+    """The algorithm behind the name that each document asks for."""
+    asked = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES)).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", asked.alias("name")).withColumn("strategy", C.strategy_of(F.col("name")))
 
 
-@query()
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.replace(F.replace(F.replace("content", F.lit(". T"), F.lit(". 但是T")), F.lit(". "), F.lit("。 ")), F.lit("\n"), F.lit("\n \n\n## part\n"))
+    return documents(spark, sf_dir).withColumn("content", F.concat(F.lit("# 第一章\n"), text))
+
+
+@query(RECURSIVE_SQL.replace("FROM documents)", f"FROM {_PLANTED_SQL})"))
+def chunk_recursive_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exploded(_planted(spark, sf_dir), "doc_id", C.recursive(F.col("content")))
+
+
+@query(STRUCTURE_SQL.replace("FROM documents)", f"FROM {_PLANTED_SQL})"))
+def chunk_structure_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exploded(_planted(spark, sf_dir), "doc_id", C.structure(F.col("content")))
+
+
+@query(SEMANTIC_SQL.replace("FROM documents)", f"FROM {_PLANTED_SQL})"))
+def chunk_semantic_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exploded(_planted(spark, sf_dir), "doc_id", C.semantic(F.col("content")))
+
+
+@query(SENTENCES_SQL.replace("FROM documents)", f"FROM {_PLANTED_SQL})"))
+def chunk_sentences_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exploded(_planted(spark, sf_dir), "doc_id", C.sentences(F.col("content")))
+
+
+@query(TEXT_PAGES_SQL.replace("FROM documents)", f"FROM {_PLANTED_SQL})"))
+def text_pages_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.text_pages(_planted(spark, sf_dir).select(F.col("title").alias("path"), F.col("content").alias("text")))
+
+
+@query(RECURSIVE_SQL)
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exploded(documents(spark, sf_dir), "doc_id", C.recursive(F.col("content")))
 
 
-@query()
+@query(STRUCTURE_SQL)
 def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exploded(documents(spark, sf_dir), "doc_id", C.structure(F.col("content")))
 
 
-@query()
+@query(SEMANTIC_SQL)
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exploded(documents(spark, sf_dir), "doc_id", C.semantic(F.col("content")))
 
 
-@query()
+@query(SENTENCES_SQL)
 def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exploded(documents(spark, sf_dir), "doc_id", C.sentences(F.col("content")))
 
@@ -272,14 +372,20 @@ def chunk_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.by_category(documents(spark, sf_dir), "doc_id", "content", {"src0": ("fixed", 400, 80), "src1": ("semantic", 500, 0), "src2": ("book", 800, 0)})
 
 
-@query()
+@query(TEXT_PAGES_SQL)
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.text_pages(documents(spark, sf_dir).select(F.col("title").alias("path"), F.col("content").alias("text")))
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split({_HEADED_TEXT}, chr(10)) AS ls FROM documents)),
+m AS (SELECT *, sum(CASE WHEN i = 0 OR regexp_matches(line, '^##? ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l),
+p AS (SELECT doc_id, k, arg_min(line, i) AS head, string_agg(line, chr(10) ORDER BY i) AS text FROM m GROUP BY doc_id, k)
+SELECT 'doc_' || doc_id AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INTEGER) AS page_number, CASE WHEN regexp_matches(head, '^##? ') THEN regexp_replace(head, '^#+ +', '') END AS section_title, text FROM p WHERE trim(text) <> ''""")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.markdown_sections(documents(spark, sf_dir).select(F.col("title").alias("path"), F.col("content").alias("text")))
+    """Texts with headings of both levels, a deeper one and an empty one planted around them."""
+    text = F.concat(F.lit("# One\n"), F.substring("content", 1, 40), F.lit("\n## Two \n"), F.col("content"), F.lit("\n### no\n## \n  "))
+    return files.markdown_sections(documents(spark, sf_dir).select(F.col("title").alias("path"), text.alias("text")))
 
 
 @query("""

@@ -94,9 +94,11 @@ def migration_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.migration_events(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("place"), F.col("o_orderkey").alias("doc_id")))
 
 
-@query("SELECT * FROM (VALUES (5, 'start'), (10, 'vector'), (30, 'vector done'), (40, 'graph'), (65, 'graph done'), (75, 'keyword'), (90, 'keyword done'), (100, 'done')) t(percent, stage)")
+@query("SELECT conv_id, percent, stage FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user'), (VALUES (5, 'start'), (10, 'vector'), (30, 'vector done'), (40, 'graph'), (65, 'graph done'), (75, 'keyword'), (90, 'keyword done'), (100, 'done')) t(percent, stage)")
 def search_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(J.SEARCH_STAGES), "percent int, stage string")
+    """What the search for each conversation's questions reports on its way."""
+    stages = F.array(*(F.struct(F.lit(p).alias("percent"), F.lit(s).alias("stage")) for p, s in J.SEARCH_STAGES))
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id").distinct().select("conv_id", F.inline(stages))
 
 
 @query("""
