@@ -120,15 +120,16 @@ def solved(sums: np.ndarray) -> np.ndarray:
     return np.linalg.solve(sums[:, :-1] + ridge, sums[:, -1])
 
 
-def isotonic(at: np.ndarray, rows: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: centres of blocks of bins and their shares of label 1, which rise."""
-    blocks: list[list[float]] = []
+def isotonic(at: np.ndarray, rows: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pool adjacent violators: first and last bin of each block, and the blocks' shares of label 1, which rise."""
+    blocks: list[tuple[float, float, float, float]] = []
     for x, n, y in zip(at.tolist(), rows.tolist(), ones.tolist(), strict=True):
-        blocks.append([x * n, n, y])
-        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    return np.array([b[0] / b[1] for b in blocks]), np.array([b[2] / b[1] for b in blocks])
+        block = (x, x, n, y)
+        while blocks and blocks[-1][3] * block[2] >= block[3] * blocks[-1][2]:
+            first, _, m, z = blocks.pop()
+            block = (first, x, m + block[2], z + block[3])
+        blocks.append(block)
+    return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks]), np.array([b[3] / b[2] for b in blocks])
 
 
 def raw_scores(rows: pd.DataFrame, features: Features, weights: np.ndarray) -> np.ndarray:
@@ -136,7 +137,10 @@ def raw_scores(rows: pd.DataFrame, features: Features, weights: np.ndarray) -> n
 
 
 def calibration(rows: DataFrame, features: Features, by_fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The isotonic regression of labels on scores by the weights of the other folds; at most BINS sums reach the driver."""
+    """Scores and shares, the isotonic regression of labels on scores by the weights of the other folds; at most BINS sums reach the driver.
+
+    The share is the same from a block's first bin to its last, and rises evenly to the next block's.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -145,7 +149,8 @@ def calibration(rows: DataFrame, features: Features, by_fold: np.ndarray) -> tup
             yield pd.DataFrame({"bin": bins, "y": batch["y"]})
 
     sums = rows.mapInPandas(run, "bin int, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).toPandas().sort_values("bin")
-    return isotonic(LOWEST + (sums["bin"].to_numpy() + 0.5) * (HIGHEST - LOWEST) / BINS, sums["n"].to_numpy(), sums["ones"].to_numpy())
+    first, last, shares = isotonic(LOWEST + (sums["bin"].to_numpy() + 0.5) * (HIGHEST - LOWEST) / BINS, sums["n"].to_numpy(), sums["ones"].to_numpy())
+    return np.c_[first, last].reshape(-1), np.repeat(shares, 2)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

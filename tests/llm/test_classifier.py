@@ -67,8 +67,8 @@ def test_isotonic_is_the_least_squares_rise():
     rng = np.random.default_rng(2)
     at, n = np.arange(40.0), rng.integers(1, 9, 40)
     ones = np.array([rng.binomial(k, min(1, x / 40)) for k, x in zip(n, at, strict=True)])
-    centres, shares = classifier.isotonic(at, n, ones)
-    assert (np.diff(shares) > 0).all() and (np.diff(centres) > 0).all()
+    first, last, shares = classifier.isotonic(at, n, ones)
+    assert (np.diff(shares) > 0).all() and (first <= last).all() and (first[1:] == last[:-1] + 1).all()
     y, best = ones / n, []
     for i in range(40):  # max over starts of the min over ends of means
         mean = lambda a, b: ones[a : b + 1].sum() / n[a : b + 1].sum()
