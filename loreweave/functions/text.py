@@ -156,8 +156,8 @@ def collection_name(dim: Column) -> Column:
 
 
 # What is left of values that were no text, in texts that were put together from them.
-PLACEHOLDERS = r"\[object\s+\w+\]|<undefined>|<null>|<empty>"
+STREAMED = r"\[object\s+\w+\]|<undefined>|<null>|<empty>"
 
 
 def without_placeholders(text: Column) -> Column:
-    return F.regexp_replace(text, PLACEHOLDERS, "")
+    return F.regexp_replace(text, STREAMED, "")

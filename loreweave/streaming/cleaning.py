@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
 
-from loreweave.functions.text import PLACEHOLDERS
+from loreweave.functions.text import STREAMED
 
 #: Java's classes \\s and \\w are those of ASCII.
-_WHOLE = re.compile(PLACEHOLDERS, re.ASCII)
+_WHOLE = re.compile(STREAMED, re.ASCII)
 _BEGUN = re.compile(r"\[(?:o(?:b(?:j(?:e(?:c(?:t(?:\s+\w*)?)?)?)?)?)?)?\Z|<(?:[a-z]*)\Z", re.ASCII)
 _TAGS = ("<undefined>", "<null>", "<empty>")
 
