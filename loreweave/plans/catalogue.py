@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from loreweave.functions import intent as I
 from loreweave.functions.text import normalise
 from loreweave.operators import catalogue as K
+from loreweave.operators import chunking as C
 from loreweave.operators import retrieval as R
+from loreweave.operators.chain import Chain
 from loreweave.sources.checkpoints import shared_folder
 from loreweave.sources.tables import documents, messages, table
 from loreweave.streaming.cleaning import clean_stream
@@ -93,3 +95,16 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean_stream(pieces).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     kept = spark.read.parquet(f"{folder}/out")
     return kept.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("text"))
+
+
+@query(f"SELECT kb_id, count(*) AS n_chunks, CAST(sum(length(c.text)) AS BIGINT) AS n_chars FROM ({FIXED_SQL}) c JOIN (SELECT doc_id, lang AS kb_id FROM documents) USING (doc_id) WHERE contains(lower(c.text), 'the') GROUP BY kb_id")
+def chained_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, those with a word, and their sums by base, as stages of a chain; of a second run nothing is left to do."""
+    stages = [
+        ("chunk", lambda d: d.select("kb_id", F.explode(C.fixed(F.col("content"))).alias("text"))),
+        ("hold the word", lambda d: d.filter(F.lower("text").contains("the"))),
+        ("sum up", lambda d: d.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))),
+    ]
+    chain = Chain(spark, f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}", "documents", stages)
+    chain.run(documents(spark, sf_dir))
+    return chain.run(documents(spark, sf_dir))
