@@ -30,6 +30,8 @@ COSINES, WIDTH, RIDGE, FOLDS, SEED = 192, 5.0, 1e-4, 4, 12
 LOWEST, HIGHEST, BINS = -0.5, 1.5, 1024
 #: A score also carries this share of the raw score, so that few scores are equal.
 TIES = 1e-3
+#: Rows whose cosines a task holds at once, and labelled rows that a task sums up.
+HELD, ROWS_PER_TASK = 2048, 50_000
 #: A row with this remainder of its key's checksum by 5 is held out.
 HELD_OUT = 0
 
@@ -83,13 +85,20 @@ class Features:
         return np.c_[np.cos(standard @ directions + phases) * np.sqrt(2 / COSINES), np.ones(len(rows))]
 
 
-def fit_features(rows: DataFrame, columns: list[str]) -> Features | None:
-    """Means and deviations of the labelled rows; None without any."""
+def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in pieces of HELD rows."""
+    for batch in batches:
+        for at in range(0, len(batch), HELD):
+            yield batch.iloc[at : at + HELD]
+
+
+def fit_features(rows: DataFrame, columns: list[str]) -> tuple[Features, int] | None:
+    """Means and deviations of the labelled rows, and their number; None without any."""
     found = rows.agg(F.count(F.lit(1)), *(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns)).first()
     if not found[0]:
         return None
     mean, scale = np.array(found[1 : len(columns) + 1]), np.array(found[len(columns) + 1 :])
-    return Features(columns, mean, np.where(scale > 1e-9, scale, 1.0))
+    return Features(columns, mean, np.where(scale > 1e-9, scale, 1.0)), found[0]
 
 
 def normal_equations(rows: DataFrame, features: Features) -> np.ndarray:
@@ -98,14 +107,13 @@ def normal_equations(rows: DataFrame, features: Features) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((FOLDS, COSINES + 1, width))
-        for batch in batches:
+        for batch in pieces(batches):
             x = features(batch)
             for fold in range(FOLDS):
                 own = batch["fold"].to_numpy() == fold
                 sums[fold] += x[own].T @ np.c_[x[own], batch["y"].to_numpy()[own]]
         yield pd.DataFrame({"place": np.arange(sums.size // width), "sums": list(sums.reshape(-1, width))})
 
-    # A task makes FOLDS * (COSINES + 1) rows; few tasks share the labelled rows, which are narrow.
     parts = rows.mapInPandas(run, "place int, sums array<double>").select("place", F.posexplode("sums").alias("at", "value"))
     summed = parts.groupBy("place", "at").agg(F.sum("value").alias("value")).toPandas()
     found = np.zeros((FOLDS * (COSINES + 1), width))
@@ -143,7 +151,7 @@ def calibration(rows: DataFrame, features: Features, by_fold: np.ndarray) -> tup
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             scores = np.clip((features(batch) * by_fold[batch["fold"].to_numpy()]).sum(axis=1), LOWEST, HIGHEST)
             bins = np.minimum((scores - LOWEST) / (HIGHEST - LOWEST) * BINS, BINS - 1).astype(np.int32)
             yield pd.DataFrame({"bin": bins, "y": batch["y"]})
@@ -170,16 +178,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     columns = [c for c in measures.columns if c != "doc_id"]
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     learnt = measures.filter(checksum(F.col("doc_id")) % 5 != HELD_OUT).join(marks, "doc_id")
-    learnt = scratch.write(learnt.select(*columns, "y", (F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))) % FOLDS).cast("int").alias("fold")))
-    features, weights, points = fit_features(learnt, columns), np.zeros(COSINES + 1), (np.zeros(1), np.full(1, 0.5))
-    if features is not None:
+    table = learnt = scratch.write(learnt.select(*columns, "y", (F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))) % FOLDS).cast("int").alias("fold")))
+    fitted, features, weights, points = fit_features(learnt, columns), None, np.zeros(COSINES + 1), (np.zeros(1), np.full(1, 0.5))
+    if fitted is not None:
+        features, n = fitted
+        learnt = learnt.coalesce(-(-n // ROWS_PER_TASK))  # a task makes as many sums however few rows it has
         sums = normal_equations(learnt, features)
         whole = sums.sum(axis=0)
         weights, points = solved(whole), calibration(learnt, features, np.array([solved(whole - s) for s in sums]))
-    scratch.drop(learnt)
+    scratch.drop(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             raw = raw_scores(batch, features, weights) if features is not None else np.full(len(batch), 0.5)
             score = (1 - TIES) * np.interp(raw, *points) + TIES * (raw - LOWEST) / (HIGHEST - LOWEST)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score if features is not None else raw})

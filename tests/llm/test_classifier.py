@@ -52,7 +52,8 @@ def test_equations_are_those_of_all_rows(spark):
     rng = np.random.default_rng(4)
     frame = pd.DataFrame(rng.normal(size=(400, 3)), columns=list("abc")).assign(y=rng.integers(0, 2, 400).astype(float), fold=rng.integers(0, classifier.FOLDS, 400).astype("int32"))
     learnt = spark.createDataFrame(frame).repartition(7)
-    features = classifier.fit_features(learnt, list("abc"))
+    features, n = classifier.fit_features(learnt, list("abc"))
+    assert n == 400
     sums, x = classifier.normal_equations(learnt, features), features(frame)
     for fold in range(classifier.FOLDS):
         own = frame["fold"] == fold
