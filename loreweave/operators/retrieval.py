@@ -277,7 +277,8 @@ def hybrid(docs: DataFrame, chunks: DataFrame, near: Callable[[int, DataFrame |
     """
     docs = docs.filter(matches(list(config.categories), config.kb_id))
     some = bool(config.categories or (config.kb_id and config.kb_id != "all"))
-    found = near(2 * config.top_k, docs.select("doc_id") if some else None).join(chunks, ["doc_id", "chunk_index"])
+    # The hits are a few rows, so the texts stay where they are.
+    found = F.broadcast(near(2 * config.top_k, docs.select("doc_id") if some else None)).join(chunks, ["doc_id", "chunk_index"])
     words = ranked(keyword_search(docs, query, 2 * config.top_k).withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 2 * config.top_k)
     fused = fuse_chunks(found, words if config.keywords else words.limit(0))
     hits = ranked(fused, ["query_id"], "rrf_score", "doc_id", config.top_k).drop("rank").withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
