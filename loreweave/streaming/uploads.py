@@ -11,6 +11,7 @@ from loreweave.functions.text import cache_key, strip, token_estimate
 from loreweave.functions.vectors import hash_cells
 from loreweave.operators import chunking as C
 from loreweave.operators import graph as G
+from loreweave.sources.checkpoints import written_once
 
 from .ledger import BatchLedger
 
@@ -56,20 +57,19 @@ def upload_stages(size: int = 500, overlap: int = 100) -> Callable[[DataFrame],
     def stages(batch: DataFrame) -> dict[str, DataFrame]:
         once = batch.dropDuplicates(["task_id"])
         named = once.select("task_id", F.col("task_id").alias("doc_id"), F.coalesce(F.nullif("title", F.lit("")), "file_name").alias("title"), "category", "kb_id", "file_name", "content", C.strategy_of(F.col("strategy")).alias("strategy"))
-        docs = named.filter("content IS NOT NULL")
         cut = None
         for name, chunker in C.CHUNKERS.items():
             own = chunker(F.col("content"), size, overlap)
             cut = F.when(F.col("strategy") == name, own) if cut is None else cut.when(F.col("strategy") == name, own)
-        made = docs.withColumn("_c", cut)
-        chunks = made.select("doc_id", "title", "category", "kb_id", "strategy", F.posexplode("_c").alias("chunk_index", "text"))
+        # All tables come from the uploads, their chunks and their words, which are made once.
+        seen = written_once(named.withColumns({"_c": cut, "names": G.keywords(F.col("title"), F.col("content"))}))
+        docs = seen.filter("content IS NOT NULL")
+        chunks = docs.select("doc_id", "title", "category", "kb_id", "strategy", F.posexplode("_c").alias("chunk_index", "text"))
         chunks = chunks.select("*", F.concat("doc_id", F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), token_estimate(F.col("text")).alias("token_count"), hash_cells(F.col("text")).alias("cells"))
-        words = G.extracted(docs)
-        nodes, edges = G.build(words)
+        nodes, edges = G.build(docs.select("kb_id", "doc_id", "title", "names"))
         steps = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(p).alias("progress"), F.lit(s).alias("status"), F.lit(p == 100).alias("done")) for k, (p, s) in enumerate(STAGES)))
         failed = F.array(F.struct(F.lit(0).alias("step"), F.lit(5).alias("progress"), F.lit(FAILED).alias("status"), F.lit(True).alias("done")))
-        seen = named.withColumns({"_c": cut, "_names": G.keywords(F.col("title"), F.col("content"))})
-        told = seen.select("task_id", "doc_id", "strategy", F.size("_c").alias("n_chunks"), (F.size("_names") + 1).alias("n_entities"), F.inline(F.when(F.col("content").isNull(), failed).otherwise(steps)))
+        told = seen.select("task_id", "doc_id", "strategy", F.size("_c").alias("n_chunks"), (F.size("names") + 1).alias("n_entities"), F.inline(F.when(F.col("content").isNull(), failed).otherwise(steps)))
         # What a stage finds out is known from its end on.
         from_ = lambda c, percent: F.when(F.col("progress") >= percent, F.col(c)).alias(c)
         progress = told.select("task_id", "step", "progress", "status", "done", from_("doc_id", 60), from_("strategy", 20), from_("n_chunks", 50), from_("n_entities", 100))
