@@ -267,10 +267,10 @@ def graph_hits(reached: DataFrame, nodes: DataFrame, n: int = GRAPH_HITS) -> Dat
     return first.select(F.lit(0).alias("query_id"), F.col("id"), none.cast("double").alias("rrf_score"), none.cast("double").alias("vector_score"), none.cast("double").alias("keyword_score"), F.lit("graph").alias("source"), content.alias("content"))
 
 
-def hybrid(docs: DataFrame, chunks: DataFrame, near: Callable[[int, DataFrame | None], DataFrame], query: str, config: HybridConfig = HybridConfig(), graph: DataFrame | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame], near: Callable[[int, DataFrame | None], DataFrame], query: str, config: HybridConfig = HybridConfig(), graph: DataFrame | None = None) -> DataFrame:
     """id, rank, source, score, rrf_score, weighted, keyword_hits, content of what answers one question.
 
-    chunks (doc_id, chunk_index, text) of docs; near gives so many chunks nearest to
+    chunks (doc_id, chunk_index, text) of docs, or what gives those of the documents of a few hits; near gives so many chunks nearest to
     the question, as near_chunks does, of some documents or of all. The vector
     channel gives 2 top_k chunks, the keyword channel 2 top_k documents; their fused top_k documents and the hits of graph
     (as graph_hits gives them) are weighted by length and must hold a term of the query.
@@ -278,7 +278,8 @@ def hybrid(docs: DataFrame, chunks: DataFrame, near: Callable[[int, DataFrame |
     docs = docs.filter(matches(list(config.categories), config.kb_id))
     some = bool(config.categories or (config.kb_id and config.kb_id != "all"))
     # The hits are a few rows, so the texts stay where they are.
-    found = F.broadcast(near(2 * config.top_k, docs.select("doc_id") if some else None)).join(chunks, ["doc_id", "chunk_index"])
+    nearest = near(2 * config.top_k, docs.select("doc_id") if some else None)
+    found = F.broadcast(nearest).join(chunks(nearest) if callable(chunks) else chunks, ["doc_id", "chunk_index"])
     words = ranked(keyword_search(docs, query, 2 * config.top_k).withColumn("query_id", F.lit(0)), ["query_id"], "score", "doc_id", 2 * config.top_k)
     fused = fuse_chunks(found, words if config.keywords else words.limit(0))
     hits = ranked(fused, ["query_id"], "rrf_score", "doc_id", config.top_k).drop("rank").withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
