@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreweave.sources.checkpoints import written_once
 from loreweave.sources.files import read_columnar_store
 from loreweave.sources.versioned import FileTable
 
@@ -220,7 +221,9 @@ class Migration:
         digest = "-".join(str(x) for x in entries.agg(F.count(F.lit(1)), *(word(i) for i in range(4))).first())
         if not ledger.read().filter((F.col("entity") == entity.name) & (F.col("digest") == digest)).isEmpty():
             return 0, 0, 0
+        # Mapped once: a filter on top would be pushed below and parse each entry again for every field that it names.
         rows = mapped(entity, entries)
+        rows = written_once(rows.withColumn("_entry", F.when(F.col("_problem").isNotNull(), F.col("_entry"))))
         columns = [c for c in rows.columns if not c.startswith("_")]
         target = self.table(entity.name, rows.select(*columns).schema)
         good = rows.filter("_problem IS NULL").select(*columns).dropDuplicates(["id"])
