@@ -4,7 +4,8 @@ Lines that occur once on each side of a stretch are anchors; of those a longest
 that rises on both sides is matched, and so are equal lines at a stretch's start and
 end. Matches cut the texts into shorter stretches, in which other lines are alone;
 rounds go on until none finds a match. What isn't matched was removed or added.
-Lines are rows, so all texts are aligned at once.
+What both texts begin and end with is told inside the row, so only lines between are
+rows, which are aligned for all texts at once.
 """
 
 from __future__ import annotations
@@ -36,6 +37,12 @@ def rising(second: list[int]) -> list[int]:
     return run[::-1]
 
 
+def _leading(a: Column, b: Column) -> Column:
+    """How many lines two arrays begin with alike."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False)).cast("int")
+    return F.when(differs == 0, F.size(a)).otherwise(differs - 1)
+
+
 def _chained(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("old")
     return group.iloc[rising(group["new"].tolist())][["_key", "old", "new"]]
@@ -79,9 +86,13 @@ def line_changes(pairs: DataFrame, key: str) -> DataFrame:
     always has one; a null text is an empty one. Lines are equal by their SHA-256.
     No rows: no rows.
     """
-    sides = pairs.select(F.col(key).alias("_key"), F.array(*(F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1) for c in ("old", "new"))).alias("_s"))
-    each = sides.select("_key", F.posexplode("_s").alias("side", "_l")).select("_key", "side", F.posexplode("_l").alias("n", "line"))
-    texts = written_once(each)
+    size, lines_of = F.size, lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1)
+    both = pairs.select(F.col(key).alias("_key"), lines_of("old").alias("_o"), lines_of("new").alias("_w")).withColumn("_p", _leading(F.col("_o"), F.col("_w")))
+    after = lambda c: F.reverse(F.slice(c, F.col("_p") + 1, size(c)))
+    both = both.withColumn("_q", _leading(after("_o"), after("_w"))).withColumns({"_mo": size("_o") - F.col("_p") - F.col("_q"), "_mw": size("_w") - F.col("_p") - F.col("_q")})
+    middle = lambda c, n: F.slice(c, F.col("_p") + 1, F.col(n))
+    sides = both.filter("_mo > 0 AND _mw > 0").select("_key", "_p", F.posexplode(F.array(middle("_o", "_mo"), middle("_w", "_mw"))).alias("side", "_l"))
+    texts = written_once(sides.select("_key", "side", "_p", F.posexplode("_l").alias("n", "line")).withColumn("n", F.col("n") + F.col("_p")))
     lines = written_once(texts.select("_key", "side", "n", F.unhex(F.sha2("line", 256)).alias("hash"), F.lit(None).cast("int").alias("to")))
     while True:
         more = 0
@@ -100,12 +111,28 @@ def line_changes(pairs: DataFrame, key: str) -> DataFrame:
         F.when(F.col("side") == 0, F.col("n") + 1).alias("old_no"),
         F.when(F.col("side") == 1, F.col("n") + 1).otherwise(F.col("to") + 1).alias("new_no"),
         "line",
+        "_p",
         "_seg",
         F.when(F.col("to").isNotNull(), 2).otherwise(F.col("side")).alias("_ord"),
         "n",
     )
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_seg", "_ord", "n"))
-    return rows.select(F.col("_key").alias(key), place.alias("place"), "op", "old_no", "new_no", "line")
+    place = (F.col("_p") + F.row_number().over(Window.partitionBy("_key").orderBy("_seg", "_ord", "n"))).alias("place")
+    columns = ("place", "op", "old_no", "new_no", "line")
+    within = rows.select("_key", place, *columns[1:])
+    met = written_once(lines.filter("side = 0 AND to IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).cast("int").alias("_m")))
+    outer = both.join(met, "_key", "left").withColumn("_c", F.col("_mo") + F.col("_mw") - F.coalesce("_m", F.lit(0)))
+    none = F.lit(None).cast("int")
+
+    def told(lines: Column, first: Column, op: str, old: Column, new: Column) -> Column:
+        """lines with their places, from those of the first one on."""
+        return F.transform(lines, lambda x, i: F.struct((first + i).alias("place"), F.lit(op).alias("op"), (old + i).alias("old_no"), (new + i).alias("new_no"), x.alias("line")))
+
+    p, q, after_middle = F.col("_p"), F.col("_q"), F.col("_p") + F.col("_c") + 1
+    alone = F.concat(told(middle("_o", "_mo"), p + 1, "-", p + 1, none), told(middle("_w", "_mw"), p + F.col("_mo") + 1, "+", none, p + 1))
+    ends = told(F.slice("_o", size("_o") - q + 1, q), after_middle, " ", size("_o") - q + 1, size("_w") - q + 1)
+    begins = told(F.slice("_o", F.lit(1), p), F.lit(1), " ", F.lit(1), F.lit(1))
+    kept = F.concat(begins, F.when((F.col("_mo") == 0) | (F.col("_mw") == 0), alone).otherwise(F.slice(alone, 1, 0)), ends)
+    return outer.select("_key", F.inline(kept)).select("_key", *columns).unionByName(within).withColumnRenamed("_key", key)
 
 
 def change_counts(changes: DataFrame, key: str) -> DataFrame:
