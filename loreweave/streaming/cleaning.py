@@ -45,19 +45,22 @@ def clean_stream(pieces: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (held,) = state.get if state.exists else ("",)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out, over = [], False
-        for seq, piece, done in zip(rows["seq"], rows["piece"].fillna(""), rows["done"].fillna(False), strict=True):
-            text, held = cleaned(held, piece)
-            if done:
+        # A task has few pieces, so columns are lists: a frame's own steps would cost more than the texts.
+        rows = sorted((r for b in batches for r in zip(*(b[c].tolist() for c in ("seq", "piece", "done")), strict=True)), key=lambda r: r[0])
+        numbers, texts, over = [], [], False
+        for seq, piece, done in rows:
+            text, held = cleaned(held, piece if isinstance(piece, str) else "")
+            if done is True:
                 text, held, over = text + held, "", True
             if text:
-                out.append((key[0], seq, text))
+                numbers.append(seq)
+                texts.append(text)
         if over:
             state.remove()
         else:
             state.update((held,))
-        yield pd.DataFrame(out, columns=["task_id", "seq", "piece"])
+        if texts:
+            yield pd.DataFrame({"task_id": [key[0]] * len(texts), "seq": numbers, "piece": texts})
 
     kind = pieces.schema["task_id"].dataType.simpleString()
     return pieces.groupBy("task_id").applyInPandasWithState(step, f"task_id {kind}, seq long, piece string", "held string", "append", "NoTimeout")
