@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import occurrences
+from loreweave.functions.text import bind, occurrences
 
 # The limits and weights of retrieval.
 LEAST_SCORE, BELOW_TOP, RRF_K, UNSCORED = 0.20, 0.06, 60, 0.5
@@ -129,15 +129,19 @@ def keywords_of(query: str) -> list[str]:
 def keyword_search(docs: DataFrame, query: str, k: int = 5, keep: Column | None = None) -> DataFrame:
     """doc_id, hits, occurrences, score, snippet of documents that hold a keyword, best first."""
     words = keywords_of(query)
-    text = F.lower(F.coalesce("content", F.lit("")))
     if not words:
         return docs.limit(0).select("doc_id", F.lit(0).alias("hits"), F.lit(0).alias("occurrences"), F.lit(0.0).alias("score"), F.lit("").alias("snippet"))
-    found = [text.contains(w) for w in words]
-    hits = sum((f.cast("int") for f in found[1:]), found[0].cast("int"))
-    times = sum((occurrences(text, F.lit(w)) for w in words[1:]), occurrences(text, F.lit(words[0])))
-    first = F.coalesce(*(F.nullif(F.instr(text, F.lit(w)), F.lit(0)) for w in words)) - 1
+    text = F.lower(F.coalesce("content", F.lit("")))
+
+    def told(t: Column) -> Column:
+        first = lambda n: F.coalesce(*(F.when(F.get(n, k) > 0, F.instr(t, F.lit(w))) for k, w in enumerate(words)))
+        return bind(F.array(*(occurrences(t, F.lit(w)) for w in words)), lambda n: F.struct(n.alias("times"), (first(n) - 1).alias("first")))
+
     out = docs.filter(keep) if keep is not None else docs
-    out = out.select("doc_id", hits.alias("hits"), times.alias("occurrences"), first.alias("_first"), "content").filter("hits > 0")
+    # A text is lowered once; what is exploded isn't computed anew by each expression.
+    out = out.select("doc_id", F.explode(F.array(bind(text, told))).alias("_t"), "content")
+    hits, times = F.size(F.filter("_t.times", lambda n: n > 0)), F.aggregate("_t.times", F.lit(0), lambda s, n: s + n)
+    out = out.select("doc_id", hits.alias("hits"), times.alias("occurrences"), F.col("_t.first").alias("_first"), "content").filter("hits > 0")
     score = F.least(F.lit(0.95), F.round(F.lit(0.4) + F.col("hits") * 0.15 + F.least("occurrences", F.lit(10)) * 0.03, 6))
     start = F.greatest(F.lit(0), F.col("_first") - 300)
     return out.select("doc_id", "hits", "occurrences", score.alias("score"), F.substr("content", start + 1, F.col("_first") + 500 - start).alias("snippet")).orderBy(F.desc("score"), "doc_id").limit(k)
